@@ -26,6 +26,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _POWERS: list[np.ndarray] = []
 
 
@@ -64,6 +66,11 @@ class Chunk:
         starts, ends = _runs(ink, self.offsets)
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like :meth:`words`, for runs of letters: A-Z, a-z and all characters beyond ASCII."""
+        starts, ends = _runs(_LETTER[self.data], self.offsets)
+        return starts, ends, np.searchsorted(starts, self.offsets)
+
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end bytes of all lines split at \\n, and where each document's lines begin."""
         breaks = np.flatnonzero(self.data == 10)
@@ -139,3 +146,9 @@ def shingles(hashes: np.ndarray, begins: np.ndarray, size: int = 5) -> tuple[np.
     word_doc_end = np.repeat(begins[:-1] + count, n_words)
     keep = np.arange(len(hashes)) < word_doc_end
     return mix(at[keep]), np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (count[i] numbers) for each i, one after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(first, count)
