@@ -3,7 +3,7 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight for each word, shared by all ordered
 thresholds, and never below 0, so that common words cannot speak against a document's
 being toxic or a short text for it. x has 1 + log(count) for each distinct word (a run of letters, A-Z lower-cased)
-of the whole text. The expected severity is the sum of P(grade > k) over k.
+of the whole text, and for each distinct stem of 4 or 6 bytes of longer words. The expected severity is the sum of P(grade > k) over k.
 
 The model is fitted on a bounded sample of labelled rows (``max_rows`` of each class, those
 with the least hash of their id); words are extracted on the executors and the driver gets
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from ._text import Chunk, chunks, mix
 
+#: Bytes of a word's start that count as a feature of their own where the word is longer.
+STEMS = (4, 6)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
-MIN_DOCS, L1, ROUNDS, RATE = 5, 2e-4, 150, 0.5
+MIN_DOCS, RATIO, L1, ROUNDS = 5, 20, 5e-5, 200
 
 
 @dataclass(frozen=True)
@@ -37,46 +39,60 @@ class Model:
     words: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    #: P(grade > 0) from which a text counts as toxic: the best F1 on the training rows.
+    cut: float = 0.5
 
     def grades(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each row and k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, word hash and 1 + log(count) of each distinct word of each document."""
+def hashed(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of the stems of longer ones, and their documents."""
     starts, ends, begins = c.letters()
-    h = c.span_hash(starts, ends)
     doc = np.repeat(np.arange(c.n), np.diff(begins))
+    hashes, owners = [c.span_hash(starts, ends)], [doc]
+    for n in STEMS:
+        longer = ends - starts > n
+        hashes.append(c.span_hash(starts[longer], starts[longer] + n) ^ np.uint64(n))
+        owners.append(doc[longer])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, word hash and 1 + log(count) of each distinct word of each document."""
+    h, doc = hashed(c)
     _, first, count = np.unique(mix(h ^ (doc.astype(np.uint64) * _SALT)), return_index=True, return_counts=True)
     order = np.argsort(first)
     return doc[first[order]], h[first[order]], 1 + np.log(count[order])
 
 
 def fit(docs: np.ndarray, words: np.ndarray, values: np.ndarray, grade: np.ndarray, share: float | None = None) -> Model:
-    """Proximal AdaGrad on the mean negative log-likelihood; the same data give the same model.
+    """Sign-based descent with a step for each weight (which grows while its gradient keeps its
+    sign) on the penalised mean negative log-likelihood; the same data give the same model.
     Rows are weighted so that toxic ones have the given share, as among all labels."""
     vocab, inverse, df = np.unique(words, return_inverse=True, return_counts=True)
     use = df >= MIN_DOCS
     keep = use[inverse]
     vocab, col = vocab[use], (np.cumsum(use) - 1)[inverse[keep]]
     row, x, n = docs[keep], values[keep], len(grade)
+    toxic = grade > 0
+    hits = np.bincount(col, weights=toxic[row], minlength=len(vocab)) / max(1, toxic.sum())
+    others = (np.bincount(col, weights=~toxic[row], minlength=len(vocab)) + 1) / max(1, (~toxic).sum())
+    strong = hits > RATIO * others
     if grade.max(initial=0) <= 1 and grade.any():
-        toxic = grade > 0
-        hits = np.bincount(col, weights=toxic[row], minlength=len(vocab)) / toxic.sum()
-        others = (np.bincount(col, weights=~toxic[row], minlength=len(vocab)) + 1) / max(1, (~toxic).sum())
-        bound = (hits > 20 * others)[col]
+        bound = strong[col]
         amount = np.bincount(row[bound], weights=x[bound], minlength=n)
         grade = np.where(toxic, 1 + (amount > np.median(amount[toxic])), 0)
     top = int(grade.max(initial=0))
     if not n or not top:
         return Model(vocab[:0], np.zeros(0), np.full(1, 60.0))
-    toxic = grade > 0
     part = toxic.mean() if share is None else share
     weight = np.where(toxic, part / toxic.mean(), (1 - part) / max(1e-9, 1 - toxic.mean())) / n
-    w, g2 = np.zeros(len(vocab)), np.full(len(vocab), 1e-8)
-    above = np.array([weight[grade > k].sum() for k in range(top)])
-    theta, t2 = -np.log(np.clip(above, 1e-6, 1 - 1e-6) / (1 - np.clip(above, 1e-6, 1 - 1e-6))), np.full(top, 1e-8)
+    w = np.zeros(len(vocab))
+    above = np.clip([weight[grade > k].sum() for k in range(top)], 1e-6, 1 - 1e-6)
+    theta = -np.log(above / (1 - above))
+    step, before = np.full(len(w) + top, 0.05), np.zeros(len(w) + top)
     for _ in range(ROUNDS):
         s = np.bincount(row, weights=w[col] * x, minlength=n)
         edge = np.concatenate([np.full((n, 1), np.inf), s[:, None] - theta[None, :], np.full((n, 1), -np.inf)], axis=1)
@@ -89,14 +105,22 @@ def fit(docs: np.ndarray, words: np.ndarray, values: np.ndarray, grade: np.ndarr
         gw = np.bincount(col, weights=ds[row] * x, minlength=len(vocab))
         pull = slope / like[:, None] * weight[:, None]
         gt = np.array([pull[grade == k + 1, k + 1].sum() - pull[grade == k, k + 1].sum() for k in range(top)])
-        g2 += gw**2
-        t2 += gt**2
-        step = RATE / np.sqrt(g2)
-        w -= step * gw
-        w = np.maximum(w - step * L1, 0)
-        theta = np.maximum.accumulate(theta - RATE / np.sqrt(t2) * gt * 0.2)
+        both = np.concatenate([gw + L1, gt])
+        same = both * before
+        step = np.clip(np.where(same > 0, step * 1.2, np.where(same < 0, step * 0.5, step)), 1e-6, 0.5)
+        before = np.where(same < 0, 0, both)
+        move = np.sign(before) * step
+        w = np.maximum(w - move[: len(w)], 0)
+        theta = np.maximum.accumulate(theta - move[len(w) :])
     some = w != 0
-    return Model(vocab[some], w[some], theta)
+    model = Model(vocab[some], w[some], theta)
+    p = model.grades(np.bincount(row, weights=w[col] * x, minlength=n))[:, 0]
+    order = np.argsort(-p, kind="stable")
+    right = np.cumsum((weight * toxic)[order])
+    f1 = 2 * right / (np.cumsum(weight[order]) + weight[toxic].sum())
+    best = int(np.argmax(f1))
+    below = p[order[best + 1]] if best + 1 < n else 0.0
+    return Model(model.words, model.weights, theta, float((p[order[best]] + below) / 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
@@ -127,13 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
     return fit(np.repeat(np.arange(len(h)), n), np.concatenate([*h, np.zeros(0, np.uint64)]), np.concatenate([*v, np.zeros(0, np.float32)]).astype(float), np.array([r["grade"] for r in got], dtype=np.int64), share)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), least: float | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` with severity (expected grade), p_toxic (of any grade
-    above 0), grade (the most probable) and toxic (p_toxic at least ``least``).
+    above 0), grade (the most probable) and toxic (p_toxic at least ``least``,
+    or else the model's own cut).
 
     Null and empty texts get the scores of a text without words. Null ids, repeated rows
     and other columns (whatever their names, read only if kept) pass through one by one.
     """
+    least = model.cut if least is None else least
     sent = docs.sparkSession.sparkContext.broadcast(model)
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -143,13 +169,12 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), le
         quick[(m.words >> np.uint64(44)).astype(np.int64)] = True
         for b in batches:
             for c in chunks(b.column(0)):
-                starts, ends, begins = c.letters()
-                h = c.span_hash(starts, ends)
+                h, owner = hashed(c)
                 near = np.flatnonzero(quick[(h >> np.uint64(44)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(m.words, h[near]), max(len(m.words) - 1, 0))
                 hit = m.words[at] == h[near] if len(m.words) else np.zeros(len(near), bool)
                 near, at = near[hit], at[hit]
-                doc = np.searchsorted(begins, near, side="right") - 1
+                doc = owner[near]
                 pair, count = np.unique(doc * max(len(m.words), 1) + at, return_counts=True)
                 doc, at = pair // max(len(m.words), 1), pair % max(len(m.words), 1)
                 s = np.bincount(doc, weights=m.weights[at] * (1 + np.log(count)), minlength=c.n) if len(pair) else np.zeros(c.n)
