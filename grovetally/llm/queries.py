@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, mixing, perplexity, pii, rules, toxicity, warc
+from . import chat, decontam, jaccard, lm, mixing, perplexity, pii, rules, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op5_quality, op6_pii, op7_toxicity, op8_rules, op9_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op4_lm, op5_quality, op6_pii, op7_toxicity, op8_rules, op9_warc, op10_decontaminate)}
 
 #: DuckDB SQL for the rows of a query, where SQL can express them.
 SQL: dict[str, str] = {}
