@@ -1,0 +1,6 @@
+"""From specifications to DataFrame plans and back to results."""
+
+from .assemble import aggregate, assemble
+from .lower import Plan, lower, tidy
+
+__all__ = ["Plan", "lower", "tidy", "aggregate", "assemble"]
