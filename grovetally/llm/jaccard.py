@@ -17,7 +17,7 @@ bounds that follow from set sizes keep all but a small part of it from being for
   rows of different components follow, all of them: pairs in one component are linked already,
   so no component is lost, and a group costs little more than its size.
 
-The result is exact up to collisions of 64-bit hashes. Nothing that grows with the
+The result is exact up to collisions of hashes: of 64 bits, and of 32 bits within a pair. Nothing that grows with the
 corpus comes to the driver; hot columns and classes are joined under a salt or in joins that
 adaptive execution can split.
 """
@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from ._text import Chunk, chunks, mix, shingles
+from ._text import Chunk, chunks, mix, shingles, spread
 
 PERCENT, WORDS, SALTS = 80, 5, 32
 #: Hash buckets of the column order, and of the filter of the rows whose sets are needed.
-_BUCKET_BITS, _FILTER_BITS = 18, 23
-_LOW = np.uint64((1 << 34) - 1)
+_BUCKET_BITS, _FILTER_BITS = 22, 23
+_LOW = np.uint64((1 << 30) - 1)
 
 
 def _windows(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -48,21 +48,37 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def column_order(docs: DataFrame) -> np.ndarray:
-    """The rank of each hash bucket by the number of shingles in it; 2**18 rows come to the driver."""
+    """The rank of each hash bucket by the number of shingles in it.
+
+    A task sends its counts (up to 255 each) as slices of bytes, which are summed as they
+    stream by. The driver gets the 2**22 sums, whatever the size of the corpus.
+    """
+    size, part = 1 << _BUCKET_BITS, 1 << 16
 
     def run(batches):
-        total = np.zeros(1 << _BUCKET_BITS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int32)
         for b in batches:
-            for c in chunks(b.column(0)):
-                total += np.bincount(_bucket(_windows(c)[0]), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
-
-    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << _BUCKET_BITS, dtype=np.int64)
-    total[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    rank = np.empty(len(total), dtype=np.int64)
-    rank[np.argsort(total, kind="stable")] = np.arange(len(total))
+            own = [_bucket(_windows(c)[0]) for c in chunks(b.column(0))]
+            total += np.bincount(np.concatenate([*own, np.zeros(0, np.int64)]), minlength=size).astype(np.int32)
+        small = np.minimum(total, 255).astype(np.uint8)
+        some = [i for i in range(size // part) if small[i * part : (i + 1) * part].any()]
+        for i in some:
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([small[i * part : (i + 1) * part].tobytes()], pa.binary())], ["slice", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums.setdefault(i, np.zeros(part, dtype=np.int64))[:] += np.frombuffer(x.as_buffer(), np.uint8)
+        for i, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype(np.int32).tobytes()], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    total = np.zeros(size, dtype=np.int32)
+    for r in docs.select("text").mapInArrow(run, schema).repartition(size // part, "slice").mapInArrow(add, schema).collect():
+        total[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(r["counts"], np.int32)
+    rank = np.empty(size, dtype=np.int32)
+    rank[np.argsort(total, kind="stable")] = np.arange(size, dtype=np.int32)
     return rank
 
 
@@ -75,7 +91,7 @@ def _sets(c: Chunk, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     elif c.n > 4096:
         order = np.lexsort((h & _LOW, rank[_bucket(h)], doc))
     else:
-        order = np.argsort((doc.astype(np.uint64) << np.uint64(52)) | (rank[_bucket(h)].astype(np.uint64) << np.uint64(34)) | (h & _LOW))
+        order = np.argsort((doc.astype(np.uint64) << np.uint64(52)) | (rank[_bucket(h)].astype(np.uint64) << np.uint64(30)) | (h & _LOW))
     h, doc = h[order], doc[order]
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -89,24 +105,53 @@ def _signature(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mix(np.diff(total[begins]) + np.diff(begins).astype(np.uint64)).view(np.int64)
 
 
-def incidence(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(doc_id, n, cls, prefix) of each row of ``docs``: set size, class (hash of the set), and
-    the shingles of the prefix block in column order."""
-    sent = docs.sparkSession.sparkContext.broadcast(rank)
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, cls) of each row of ``docs``: set size and class (hash of the set)."""
 
     def run(batches):
         for b in batches:
             for c in chunks(b.column(1)):
+                h, begins = _sets(c, None)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), pa.array(np.diff(begins)), pa.array(_signature(h, begins))], ["doc_id", "n", "cls"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long")
+
+
+class _Filter:
+    """A bitmap of fixed size over ids: which documents may stand for one of the classes asked for.
+
+    It lets all of those pass and perhaps others, which a later join or distinct removes.
+    """
+
+    def __init__(self, reps: DataFrame):
+        word = (F.pmod(F.coalesce("rep", F.lit(0)), F.lit(1 << _FILTER_BITS)) / 64).cast("int").alias("word")
+        bit = F.bit_or(F.expr("shiftleft(1L, cast(pmod(coalesce(rep, 0), 64) as int))")).alias("bits")
+        got = reps.groupBy(word).agg(bit).toPandas()
+        bitmap = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
+        bitmap[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
+        self.sent = reps.sparkSession.sparkContext.broadcast(bitmap)
+
+    def passing(self, ids: pa.Array) -> pa.Array:
+        slot = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 1 << _FILTER_BITS)
+        return pa.array(np.flatnonzero((self.sent.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)))
+
+
+def prefix_cells(docs: DataFrame, rank: np.ndarray, only: _Filter) -> DataFrame:
+    """(item, cls, n, place): the cells of the prefix block of the rows that stand for classes."""
+    sent = docs.sparkSession.sparkContext.broadcast(rank)
+
+    def run(batches):
+        for b in batches:
+            for c in chunks(b.column(1).take(only.passing(b.column(0)))):
                 h, begins = _sets(c, sent.value)
                 n = np.diff(begins)
                 size = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                at = np.arange(offsets[-1]) + np.repeat(begins[:-1] - offsets[:-1], size)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), pa.array(n), pa.array(_signature(h, begins)), prefix], ["doc_id", "n", "cls", "prefix"])
+                place = spread(np.zeros(c.n, dtype=np.int64), size)
+                cells = [h[place + np.repeat(begins[:-1], size)].view(np.int64), np.repeat(_signature(h, begins), size), np.repeat(n, size).astype(np.int32), place.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["item", "cls", "n", "place"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "item long, cls long, n int, place int")
 
 
 def _meets(m: Column, i: Column, n: Column, j: Column) -> Column:
@@ -120,30 +165,22 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _needed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, items) for the classes in ``pairs``: their whole sets as sorted 64-bit numbers.
+    """(cls, items) for the classes in ``pairs``: their whole sets as the sorted upper halves of
+    the hashes, which for two documents of n shingles each take n * n / 2**32 others for shared.
 
-    Texts are not shuffled. A bitmap of fixed size says which documents may stand for such a
-    class; where it lets others through, the join removes them.
+    Texts are not shuffled: they are read again, and only those that the filter lets pass.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
     wanted = cut(wanted)
-    slot = F.pmod(F.coalesce("rep", F.lit(0)), F.lit(1 << _FILTER_BITS))
-    words = wanted.groupBy((slot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(coalesce(rep, 0), 64) as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    only = _Filter(wanted)
 
     def run(batches):
         for b in batches:
-            ids = np.mod(np.nan_to_num(b.column(0).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64), 1 << _FILTER_BITS)
-            some = np.flatnonzero((sent.value[ids >> 6] >> (ids & 63).astype(np.uint64)) & np.uint64(1))
-            if not len(some):
-                continue
-            for c in chunks(b.column(1).take(pa.array(some))):
+            for c in chunks(b.column(1).take(only.passing(b.column(0)))):
                 h, begins = _sets(c, None)
                 full = np.flatnonzero(np.diff(begins))
                 cls = _signature(h, begins)[full]
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([h[begins[d] : begins[d + 1]].tobytes() for d in full], pa.binary())], ["cls", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([(h[begins[d] : begins[d + 1]] >> np.uint64(32)).astype(np.uint32).tobytes() for d in full], pa.binary())], ["cls", "items"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "cls long, items binary").join(wanted.select("cls"), "cls", "left_semi")
     return found.dropDuplicates(["cls"])
@@ -161,9 +198,8 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                shared = len(np.intersect1d(x, y))
                 keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
@@ -217,13 +253,14 @@ def groups(docs: DataFrame) -> DataFrame:
     their own id. Rows of equal texts are one class, so repeated rows get equal results; a null
     id never names a component unless no other id is in it. An empty table gives an empty result.
     """
-    rows = cut(incidence(docs, column_order(docs)).withColumn("row", F.monotonically_increasing_id()))
-    full = rows.where("n > 0")
-    classes = cut(full.groupBy("cls").agg(F.min("row").alias("row"), F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    once = full.join(classes.select("row"), "row", "left_semi")
-    cells = once.select("cls", "n", F.posexplode("prefix").alias("place", "item"))
-    common = cells.groupBy("item").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("item")
-    cells = cut(cells.join(common, "item").select("item", "cls", "n", F.col("place").cast("long").alias("place")))
+    rows = cut(rows_of(docs))
+    classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    cells = prefix_cells(docs, column_order(docs), _Filter(classes))
+    # a column is of use if it stands early enough in the shorter row of some pair
+    early = F.max(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * PERCENT / (100 + PERCENT)) - F.lit(1e-9)))
+    common = cells.groupBy("item").agg(F.count(F.lit(1)).alias("of"), early.alias("early")).where("of > 1 and early").select("item")
+    cells = cells.join(common, "item").distinct()
+    cells = cut(cells.select("item", "cls", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")))
     pivots = cells.groupBy("item").agg(F.min(F.struct("place", "cls", "n")).alias("p"))
     stars = cells.join(pivots, "item").where(F.col("cls") != F.col("p.cls")).where(_meets(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place")))
     stars = cut(stars.select(*_ordered("cls", "p.cls")).distinct())
@@ -242,3 +279,26 @@ def groups(docs: DataFrame) -> DataFrame:
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(final, "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+#: The most ids that are broadcast, as eight bytes each, to leave out their rows.
+SENT_IDS = 2_000_000
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of linked ones, that with the least doc_id.
+
+    Documents without shingles stay, as they link with nothing. Of rows that repeat both id and
+    text one stays. The ids that go are broadcast if there are at most ``SENT_IDS``, else joined
+    by a shuffle.
+    """
+    found = cut(groups(docs))
+    gone = cut(found.where("n_shingles > 0 and not (component_id <=> doc_id)").select(F.col("doc_id").alias("gone")).distinct())
+    few = gone.count() <= SENT_IDS
+    rest = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    again = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    again = cut(again)
+    if again.isEmpty():
+        return rest
+    many = rest.join(again, rest["doc_id"].eqNullSafe(again["again"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(again, rest["doc_id"].eqNullSafe(again["again"]), "left_anti").unionByName(many)
