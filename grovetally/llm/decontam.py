@@ -21,7 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ._spark import fresh
 from ._text import Chunk, chunks, spread
 
 Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 256, 32, 4 << 20
@@ -210,11 +212,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc
 
     Null and empty texts have no items. Null items or item ids are left out, repeated items
     count once. Repeated rows and null ids of documents pass through one by one. With an
-    empty benchmark nothing is contaminated. Other columns are not read. With a benchmark
+    empty benchmark nothing is contaminated. Other columns are not read; where a kept column has
+    one of the new names, an underscore is put before the new one. With a benchmark
     of several blocks all passes run one after another over the same rows.
     """
     spark = docs.sparkSession
-    out = docs.select("text", *keep)
+    out = docs.select(F.col("text").alias("read_text"), *keep)
+    names = fresh(docs.select(*keep), "items", "contaminated")
     sent = [spark.sparkContext.broadcast(x) for x in blocks(benchmark)]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -227,6 +231,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc
                     for d, item in (parts[0] if not s else Matcher(sent[s].value)).find(c):
                         hits[d].add(item)
                 cols = [b.column(i + 1).slice(c.first, c.n) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([sorted(h) for h in hits], pa.list_(pa.int64())), pa.array([bool(h) for h in hits])], [*keep, "items", "contaminated"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([sorted(h) for h in hits], pa.list_(pa.int64())), pa.array([bool(h) for h in hits])], [*keep, *names])
 
-    return out.mapInArrow(run, f"{types}, items array<long>, contaminated boolean")
+    return out.mapInArrow(run, f"{types}, `{names[0]}` array<long>, `{names[1]}` boolean")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import fresh
 from ._text import Chunk, chunks, mix
 
 #: Bytes of a word's start that count as a feature of their own where the word is longer.
@@ -156,9 +157,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), le
     above 0), grade (the most probable) and toxic (p_toxic at least ``least``,
     or else the model's own cut).
 
+    Where a kept column has one of these names, an underscore is put before the new one.
     Null and empty texts get the scores of a text without words. Null ids, repeated rows
     and other columns (whatever their names, read only if kept) pass through one by one.
     """
+    names = fresh(docs.select(*keep), "severity", "p_toxic", "grade", "toxic")
     least = model.cut if least is None else least
     sent = docs.sparkSession.sparkContext.broadcast(model)
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -182,6 +185,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), le
                 p = -np.diff(np.concatenate([np.ones((c.n, 1)), over, np.zeros((c.n, 1))], axis=1), axis=1)
                 cols = [b.column(i + 1).slice(c.first, c.n) for i in range(len(keep))]
                 cols += [pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(over[:, 0] >= least)]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, "severity", "p_toxic", "grade", "toxic"])
+                yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
-    return docs.select("text", *keep).mapInArrow(run, f"{types}, severity double, p_toxic double, grade int, toxic boolean")
+    kinds = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("double", "double", "int", "boolean"), strict=True))
+    return docs.select(F.col("text").alias("read_text"), *keep).mapInArrow(run, f"{types}, {kinds}")
