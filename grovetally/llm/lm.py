@@ -8,8 +8,9 @@ over all training documents give the word within its class:
     p(word | before) = p(class | before) * (count + 1) / (words in class + distinct words in class + 1)
 
 Every count covers all training documents. The network starts as the class frequencies and is
-trained by data-parallel rounds: every partition takes steps on a fixed share of the windows of
-all its training documents, and the parameters are averaged, weighted by windows, in the shuffle.
+trained by data-parallel rounds: every partition takes steps on all windows of a fixed share of
+its training documents (by a hash of the id, so it grows with the corpus), and the parameters
+are averaged, weighted by windows, in the shuffle.
 
 Windows overlap: each holds ``CONTEXT`` positions that are only looked at and ``STRIDE`` that are
 scored, so each token is scored once, with batched masked attention.
@@ -36,7 +37,7 @@ from ._text import Chunk, chunks, mix
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FREQUENT, CLASSES, ROWS, WIDTH, STRIDE, CONTEXT = 65536, 96, 2048, 16, 24, 8
 WINDOW = STRIDE + CONTEXT
-#: Training: rounds, one window in SHARE taken in each round, windows in a step, step size.
+#: Training: rounds, one training document in SHARE taken in each round, windows in a step, step size.
 ROUNDS, SHARE, BATCH, RATE = 2, 8, 128, 0.01
 END_CLASS = 0
 #: The word that ends every text, as a hash.
@@ -142,7 +143,10 @@ def start(class_share: np.ndarray) -> dict[str, np.ndarray]:
     return p | {"bias": np.log(np.maximum(class_share, 1e-9)).astype(np.float32)}
 
 
-_CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], 0, -1e9).astype(np.float32)
+#: 1 where a scored position (row) may look: at itself and before.
+_CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
+#: Scores and logits are held within this bound, so their exponentials stay finite.
+_MOST = np.float32(40)
 
 
 def forward(p: dict, t: Text, doc: np.ndarray, at: np.ndarray) -> dict:
@@ -154,16 +158,17 @@ def forward(p: dict, t: Text, doc: np.ndarray, at: np.ndarray) -> dict:
     x = p["first"][f] + p["last"][l] + p["place"]
     own = x[:, CONTEXT:]
     q, k, v = own @ p["query"], x @ p["key"], x @ p["value"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _CAUSAL + np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s = q @ k.transpose(0, 2, 1)
+    s *= np.float32(WIDTH**-0.5)
+    np.exp(np.clip(s, -_MOST, _MOST, out=s), out=s)
+    s *= _CAUSAL
+    s *= valid[:, None, :]
+    s /= np.maximum(s @ np.ones((WINDOW, 1), np.float32), np.float32(1e-30))
     z = s @ v
     h = own + z @ p["out"]
     y = h @ p["head"] + p["bias"]
-    y -= y.max(axis=2, keepdims=True)
-    e = np.exp(y)
-    total = e.sum(axis=2)
+    e = np.exp(np.clip(y, -_MOST, _MOST, out=y))
+    total = (e @ np.ones((CLASSES, 1), np.float32))[:, :, 0]
     target, scored = t.target[place[:, CONTEXT:]], valid[:, CONTEXT:]
     logp = np.take_along_axis(y, target[:, :, None], 2)[:, :, 0] - np.log(total)
     return {"f": f, "l": l, "x": x, "own": own, "q": q, "k": k, "v": v, "s": s, "z": z, "h": h, "e": e, "total": total, "target": target, "scored": scored, "logp": logp}
@@ -247,14 +252,12 @@ def train(docs: DataFrame, p: dict, path: str) -> dict:
             own, subwords, n = {k: v.copy() for k, v in sent.value.items()}, Subwords(path), 0
             adam = Adam(own)
             for b in batches:
-                fine = ~held_out(b.column(0).to_pylist())
-                for c in chunks(b.column(1)):
+                ids = b.column(0).to_pylist()
+                turns = np.array([zlib.crc32(f"{i} turn".encode()) % SHARE for i in ids])
+                pick = np.flatnonzero(~held_out(ids) & (turns == turn))
+                for c in chunks(b.column(1).take(pa.array(pick))):
                     t = read(c, subwords)
-                    doc, at, number = windows(t.offsets)
-                    # the windows of a text that fall to this round, spread by the hash of its first words
-                    seed = np.concatenate([t.hashes, np.zeros(1, np.uint64)])[np.minimum(t.begins[:-1], len(t.hashes))]
-                    pick = fine[c.first : c.last][doc] & ((seed[doc] + number.astype(np.uint64)) % np.uint64(SHARE) == turn)
-                    doc, at = doc[pick], at[pick]
+                    doc, at, _ = windows(t.offsets)
                     for i in range(0, len(doc), BATCH):
                         adam.step(own, gradient(own, forward(own, t, doc[i : i + BATCH], at[i : i + BATCH])))
                     n += len(doc)
