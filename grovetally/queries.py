@@ -333,9 +333,9 @@ def stack_average(spark, d):
     return shown(tidy(lineitem(spark, d), Stack(_STACK, "l_quantity", Average("l_extendedprice"))), "bins", "entries, mean", "bin bigint")
 
 
-@query(f"SELECT t.bin::BIGINT AS bin, count(l_quantity)::DOUBLE AS entries, round(avg(l_discount), 6) AS mean, round(var_pop(l_discount), 4) AS variance FROM {_STACK_ROWS} LEFT JOIN lineitem ON l_quantity >= t.edge GROUP BY 1")
+@query(f"SELECT t.bin::BIGINT AS bin, count(l_quantity)::DOUBLE AS entries, round(avg(l_extendedprice / 1000), 6) AS mean, round(var_pop(l_extendedprice / 1000), 4) AS variance FROM {_STACK_ROWS} LEFT JOIN lineitem ON l_quantity >= t.edge GROUP BY 1")
 def stack_deviate(spark, d):
-    return shown(tidy(lineitem(spark, d), Stack(_STACK, "l_quantity", Deviate("l_discount"))), "bins", "entries, mean, variance", "bin bigint")
+    return shown(tidy(lineitem(spark, d), Stack(_STACK, "l_quantity", Deviate("l_extendedprice / 1000"))), "bins", "entries, mean, variance", "bin bigint")
 
 
 @query(f"""SELECT b.bin::BIGINT AS bin, r.range::BIGINT AS value, coalesce(n, 0.0)::DOUBLE AS entries FROM {_STACK_ROWS.replace('t(bin, edge)', 'b(bin, edge)')} CROSS JOIN range(50) r LEFT JOIN
@@ -486,3 +486,81 @@ def scale(spark, d):
 @query("SELECT 'bin' AS what, range::BIGINT AS bin, 0.0::DOUBLE AS value FROM range(50) UNION ALL VALUES ('mean', 0, 'NaN'::DOUBLE), ('entries', 0, 0.0), ('max', 0, 'NaN'::DOUBLE)")
 def zero(spark, d):
     return _flat(spark, aggregate(lineitem(spark, d), _tree()).zero())
+
+
+# views, JSON, text, streams -----------------------------------------------------------------
+
+
+@query(f"""SELECT r.range::BIGINT AS bin, coalesce(n, 0.0)::DOUBLE AS value, round(2 * sqrt(coalesce(n, 0.0)), 6) AS error FROM range(50) r
+LEFT JOIN (SELECT bin, count(*)::DOUBLE AS n FROM ({_PRICE_SQL}) GROUP BY bin) a ON a.bin = r.range""")
+def view_hist_ci(spark, d):
+    from .operators.views import HistogramView
+
+    v = HistogramView(aggregate(lineitem(spark, d), Histogram(*_PRICE, "l_extendedprice")))
+    rows = [(i, n, e) for i, (n, e) in enumerate(zip(v.numerical_values, v.confidence_interval_values(2.0), strict=True))]
+    return spark.createDataFrame(rows, "bin bigint, value double, error double").withColumn("error", F.round("error", 6))
+
+
+@query(f"""SELECT r.range::BIGINT AS bin, coalesce(round(num / den, 6), 'NaN'::DOUBLE) AS value FROM range(50) r
+LEFT JOIN (SELECT bin, count(*)::DOUBLE AS den, count(*) FILTER (l_returnflag = 'R')::DOUBLE AS num FROM ({_PRICE_SQL}) GROUP BY bin) a ON a.bin = r.range""")
+def view_fraction_ratio(spark, d):
+    from .operators.views import FractionedHistogramView
+
+    v = FractionedHistogramView(aggregate(lineitem(spark, d), Fraction("l_returnflag = 'R'", Histogram(*_PRICE, "l_extendedprice"))))
+    return spark.createDataFrame(list(enumerate(v.numerical_values)), "bin bigint, value double").withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT count(*) FILTER (l_extendedprice < 10000 OR l_extendedprice >= 90000 OR l_quantity < 5 OR l_quantity >= 45)::DOUBLE AS overflow, 0.0::DOUBLE AS nanflow FROM lineitem""")
+def view_2d_overflow(spark, d):
+    from .operators.views import TwoDimensionalView
+
+    v = TwoDimensionalView(aggregate(lineitem(spark, d), TwoDimensionallyHistogram(20, 10000, 90000, "l_extendedprice", 10, 5, 45, "l_quantity")))
+    return spark.createDataFrame([(v.numerical_overflow, v.numerical_nanflow)], "overflow double, nanflow double")
+
+
+@query("SELECT 10000.0::DOUBLE AS low, 90000.0::DOUBLE AS high, 50::BIGINT AS num, 5::BIGINT AS layers")
+def view_stack_compat(spark, d):
+    from .operators.views import StackedHistogramView
+
+    v = StackedHistogramView(aggregate(lineitem(spark, d), Stack(_STACK, "l_quantity", Histogram(*_PRICE, "l_extendedprice"))))
+    return spark.createDataFrame([(v.low, v.high, v.num, len(v.layers))], "low double, high double, num bigint, layers bigint")
+
+
+@query()
+def json_roundtrip(spark, d):
+    """The tree of several queries as JSON, read and written again."""
+    from .sources import loads, to_string
+
+    tree = UntypedLabel(h=Histogram(*_PRICE, "l_extendedprice"), c=Categorize("l_returnflag", Deviate("l_quantity")), s=Stack(_STACK, "l_quantity", Bag("l_tax")))
+    text = to_string(aggregate(lineitem(spark, d), tree))
+    again = to_string(loads(text))
+    return spark.createDataFrame([(again, again == text)], "json string, same boolean")
+
+
+@query()
+def ascii_hist(spark, d):
+    from .operators.ascii import histogram as draw
+
+    return spark.createDataFrame([(draw(aggregate(lineitem(spark, d), Histogram(20, 0, 100000, "l_extendedprice"))),)], "text string")
+
+
+@query()
+def ascii_profile(spark, d):
+    from .operators.ascii import profile_err as draw
+
+    return spark.createDataFrame([(draw(aggregate(lineitem(spark, d), ProfileErr(20, 0, 100000, "l_extendedprice", "l_quantity"))),)], "text string")
+
+
+@query(dense_sql(50, f"SELECT bin, count(*)::DOUBLE AS n FROM ({_PRICE_SQL}) GROUP BY bin", "coalesce(n, 0.0)::DOUBLE AS entries"))
+def stream_histogram(spark, d):
+    """The histogram of a stream of files, added up batch by batch."""
+    import tempfile
+
+    from .streaming import fill_stream
+
+    source = spark.readStream.schema(lineitem(spark, d).schema).parquet(f"{d}/lineitem.parquet*")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="grovetally-")
+    q, running = fill_stream(source, _price(), f"{shared}/stream-{id(source)}-{spark.sparkContext.startTime}")
+    q.processAllAvailable()
+    q.stop()
+    return spark.createDataFrame([(i, v.entries) for i, v in enumerate(running.result.values)], "bin bigint, entries double")

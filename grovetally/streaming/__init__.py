@@ -1,0 +1,5 @@
+"""Aggregation trees over streams."""
+
+from .incremental import Incremental, fill_stream
+
+__all__ = ["Incremental", "fill_stream"]
