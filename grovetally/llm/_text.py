@@ -59,6 +59,7 @@ class Chunk:
     def __init__(self, first: int, last: int, data: np.ndarray, offsets: np.ndarray):
         self.first, self.last, self.data, self.offsets = first, last, data, offsets
         self.n = last - first
+        self._totals: dict[bool, np.ndarray] = {}
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end bytes of all words, and where each document's words begin (n + 1)."""
@@ -82,8 +83,11 @@ class Chunk:
     def span_hash(self, starts: np.ndarray, ends: np.ndarray, raw: bool = False) -> np.ndarray:
         """A 64-bit hash of each span's bytes, the same wherever the span stands."""
         power, inverse = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((_RAW_BYTE if raw else _BYTE)[self.data] * power[: len(self.data)], out=total[1:])
+        if raw not in self._totals:
+            total = np.zeros(len(self.data) + 1, dtype=np.uint64)
+            np.cumsum((_RAW_BYTE if raw else _BYTE)[self.data] * power[: len(self.data)], out=total[1:])
+            self._totals[raw] = total
+        total = self._totals[raw]
         return mix((total[ends] - total[starts]) * inverse[starts])
 
     def code_points(self) -> np.ndarray:

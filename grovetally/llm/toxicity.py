@@ -3,11 +3,13 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight for each word, shared by all ordered
 thresholds, and never below 0, so that common words cannot speak against a document's
 being toxic or a short text for it. x has 1 + log(count) for each distinct word (a run of letters, A-Z lower-cased)
-of the whole text, and for each distinct stem of 4 or 6 bytes of longer words. The expected severity is the sum of P(grade > k) over k.
+of the whole text, and for each distinct stem of 4 to 8 bytes of longer words. The expected severity is the sum of P(grade > k) over k.
 
 The model is fitted on a bounded sample of labelled rows (``max_rows`` of each class, those
 with the least hash of their id); words are extracted on the executors and the driver gets
-at most that many sparse rows. An L1 penalty leaves weights for few words. Scoring is one
+at most that many sparse rows, equal ones once. Only words in at least ``MIN_SHARE`` as many rows
+as there are toxic ones count, so that what a few near copies share is not learned, and only those
+at least ``RATIO`` times as frequent in toxic rows; an L1 penalty leaves weights for few of them. Scoring is one
 narrow pass over all documents.
 
 Labels that have only 0 and 1 hold no grades, so toxic rows are graded by how often they use
@@ -28,9 +30,9 @@ from ._spark import fresh
 from ._text import Chunk, chunks, mix
 
 #: Bytes of a word's start that count as a feature of their own where the word is longer.
-STEMS = (4, 6)
+STEMS = (4, 5, 6, 7, 8)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
-MIN_DOCS, RATIO, L1, ROUNDS = 5, 20, 5e-5, 200
+MAX_ROWS, MIN_DOCS, MIN_SHARE, RATIO, L1, ROUNDS = 2000, 3, 0.02, 5, 2e-5, 400
 
 
 @dataclass(frozen=True)
@@ -64,67 +66,92 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, word hash and 1 + log(count) of each distinct word of each document."""
     h, doc = hashed(c)
     _, first, count = np.unique(mix(h ^ (doc.astype(np.uint64) * _SALT)), return_index=True, return_counts=True)
-    order = np.argsort(first)
+    order = np.lexsort((first, doc[first]))
     return doc[first[order]], h[first[order]], 1 + np.log(count[order])
 
 
 def fit(docs: np.ndarray, words: np.ndarray, values: np.ndarray, grade: np.ndarray, share: float | None = None) -> Model:
-    """Sign-based descent with a step for each weight (which grows while its gradient keeps its
-    sign) on the penalised mean negative log-likelihood; the same data give the same model.
+    """Accelerated proximal descent with line search on the penalised negative log-likelihood, which
+    is convex; the same data give the same model.
     Rows are weighted so that toxic ones have the given share, as among all labels."""
-    vocab, inverse, df = np.unique(words, return_inverse=True, return_counts=True)
-    use = df >= MIN_DOCS
-    keep = use[inverse]
-    vocab, col = vocab[use], (np.cumsum(use) - 1)[inverse[keep]]
-    row, x, n = docs[keep], values[keep], len(grade)
+    vocab, df = np.unique(words, return_counts=True)
+    vocab = vocab[df >= max(MIN_DOCS, MIN_SHARE * (grade > 0).sum())]
+    at = np.minimum(np.searchsorted(vocab, words), max(len(vocab) - 1, 0)).astype(np.int32)
+    keep = vocab[at] == words if len(vocab) else np.zeros(len(words), bool)
+    row, col, x, n = docs[keep].astype(np.int32), at[keep], values[keep].astype(np.float32), len(grade)
+    del at, keep
     toxic = grade > 0
     hits = np.bincount(col, weights=toxic[row], minlength=len(vocab)) / max(1, toxic.sum())
-    others = (np.bincount(col, weights=~toxic[row], minlength=len(vocab)) + 1) / max(1, (~toxic).sum())
+    others = (np.bincount(col, weights=~toxic[row], minlength=len(vocab)) + 0.5) / max(1, (~toxic).sum())
     strong = hits > RATIO * others
+    keep = strong[col]
+    vocab = vocab[strong]
+    row, col, x = row[keep], (np.cumsum(strong) - 1)[col[keep]], x[keep]
     if grade.max(initial=0) <= 1 and grade.any():
-        bound = strong[col]
-        amount = np.bincount(row[bound], weights=x[bound], minlength=n)
+        amount = np.bincount(row, weights=x, minlength=n)
         grade = np.where(toxic, 1 + (amount > np.median(amount[toxic])), 0)
     top = int(grade.max(initial=0))
     if not n or not top:
         return Model(vocab[:0], np.zeros(0), np.full(1, 60.0))
     part = toxic.mean() if share is None else share
     weight = np.where(toxic, part / toxic.mean(), (1 - part) / max(1e-9, 1 - toxic.mean())) / n
-    w = np.zeros(len(vocab))
     above = np.clip([weight[grade > k].sum() for k in range(top)], 1e-6, 1 - 1e-6)
-    theta = -np.log(above / (1 - above))
-    step, before = np.full(len(w) + top, 0.05), np.zeros(len(w) + top)
-    for _ in range(ROUNDS):
-        s = np.bincount(row, weights=w[col] * x, minlength=n)
-        edge = np.concatenate([np.full((n, 1), np.inf), s[:, None] - theta[None, :], np.full((n, 1), -np.inf)], axis=1)
-        p = 1 / (1 + np.exp(-np.clip(edge, -60, 60)))  # P(grade >= k); 1 at the left, 0 at the right
+    first = np.concatenate([np.zeros(len(vocab)), -np.log(above / (1 - above))])
+    own, m = np.arange(n), len(vocab)
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        """Weighted negative log-likelihood and its gradient at v, the weights and thresholds."""
+        s = np.bincount(row, weights=v[col] * x, minlength=n)
+        edge = np.concatenate([np.full((n, 1), 60.0), s[:, None] - v[None, m:], np.full((n, 1), -60.0)], axis=1)
+        p = 1 / (1 + np.exp(-np.clip(edge, -60, 60)))  # P(grade >= k)
         p[:, 0], p[:, -1] = 1, 0
         slope = p * (1 - p)
-        own = np.arange(n)
         like = np.maximum(p[own, grade] - p[own, grade + 1], 1e-12)
         ds = -(slope[own, grade] - slope[own, grade + 1]) / like * weight
-        gw = np.bincount(col, weights=ds[row] * x, minlength=len(vocab))
         pull = slope / like[:, None] * weight[:, None]
-        gt = np.array([pull[grade == k + 1, k + 1].sum() - pull[grade == k, k + 1].sum() for k in range(top)])
-        both = np.concatenate([gw + L1, gt])
-        same = both * before
-        step = np.clip(np.where(same > 0, step * 1.2, np.where(same < 0, step * 0.5, step)), 1e-6, 0.5)
-        before = np.where(same < 0, 0, both)
-        move = np.sign(before) * step
-        w = np.maximum(w - move[: len(w)], 0)
-        theta = np.maximum.accumulate(theta - move[len(w) :])
+        gt = [pull[grade == k + 1, k + 1].sum() - pull[grade == k, k + 1].sum() for k in range(top)]
+        return float(-(weight * np.log(like)).sum()), np.concatenate([np.bincount(col, weights=ds[row] * x, minlength=m), gt])
+
+    def allowed(v: np.ndarray, step: float) -> np.ndarray:
+        """Weights shrunk by the penalty and not below 0, thresholds in order."""
+        out = np.concatenate([np.maximum(v[:m] - step * L1, 0), v[m:]])
+        for k in range(1, top):
+            out[m + k] = max(out[m + k], out[m + k - 1] + 0.05)
+        return out
+
+    now = ahead = first
+    step, pace = 100.0, 1.0
+    for _ in range(ROUNDS):
+        value, slope = loss(ahead)
+        while True:
+            new = allowed(ahead - step * slope, step)
+            gap = new - ahead
+            if loss(new)[0] <= value + slope @ gap + gap @ gap / (2 * step) + 1e-15 or step < 1e-6:
+                break
+            step /= 2
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        if (ahead - new) @ (new - now) > 0:  # it overshoots: start anew from here
+            ahead, pace = new, 1.0
+        else:
+            ahead, pace = new + (pace - 1) / faster * (new - now), faster
+        now, step = new, step * 1.1
+    w, theta = now[:m], now[m:]
     some = w != 0
     model = Model(vocab[some], w[some], theta)
     p = model.grades(np.bincount(row, weights=w[col] * x, minlength=n))[:, 0]
+    found = p > model.grades(np.zeros(1))[0, 0] + 1e-9  # no text goes without a word that speaks against it
+    if not found.any():
+        return Model(model.words, model.weights, theta, 1.0)
+    p, weight, toxic = p[found], weight[found], toxic[found]
     order = np.argsort(-p, kind="stable")
     right = np.cumsum((weight * toxic)[order])
     f1 = 2 * right / (np.cumsum(weight[order]) + weight[toxic].sum())
     best = int(np.argmax(f1))
-    below = p[order[best + 1]] if best + 1 < n else 0.0
+    below = p[order[best + 1]] if best + 1 < len(p) else p[order[best]]
     return Model(model.words, model.weights, theta, float((p[order[best]] + below) / 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """The model of ``labels`` (doc_id, toxic) over ``docs``; at most ``max_rows`` labelled rows
     of each class. Null ids or labels are left out; an id with several labels has the highest."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
@@ -145,11 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
                 )
 
     got = rows.mapInArrow(extract, "grade int, words binary, amounts binary").collect()
-    got.sort(key=lambda r: (r["grade"], r["words"], r["amounts"]))
-    h = [np.frombuffer(r["words"], np.uint64) for r in got]
-    v = [np.frombuffer(r["amounts"], np.float32) for r in got]
-    n = np.array([len(x) for x in h], dtype=np.int64)
-    return fit(np.repeat(np.arange(len(h)), n), np.concatenate([*h, np.zeros(0, np.uint64)]), np.concatenate([*v, np.zeros(0, np.float32)]).astype(float), np.array([r["grade"] for r in got], dtype=np.int64), share)
+    got = sorted({(r["grade"], bytes(r["words"]), bytes(r["amounts"])) for r in got})
+    n = np.array([len(r[1]) // 8 for r in got], dtype=np.int64)
+    grade = np.array([r[0] for r in got], dtype=np.int64)
+    words = np.frombuffer(b"".join(r[1] for r in got), np.uint64)
+    values = np.frombuffer(b"".join(r[2] for r in got), np.float32)
+    del got
+    return fit(np.repeat(np.arange(len(n), dtype=np.int32), n), words, values, grade, share)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), least: float | None = None) -> DataFrame:
