@@ -373,21 +373,20 @@ def _text(k: Column, slot: str) -> Column:
 
 
 def _empty_rows(df: DataFrame, wanted: list, dense: bool) -> DataFrame:
-    """Rows of 0 entries for what is there even without data."""
-    spark = df.sparkSession
+    """Rows of 0 entries for what is there even without data, made by one task."""
+    none = F.lit(None).cast("double")
+
+    def rows(path: str, kind: str, sizes: list[int]) -> Column:
+        def row(i: Column) -> Column:
+            keys = [F.pmod(F.floor(i / prod(sizes[j + 1 :])), F.lit(n)).cast("long").cast("string") for j, n in enumerate(sizes)]
+            keys = F.array(*keys) if keys else F.array().cast("array<string>")
+            return F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), keys.alias("keys"), F.lit(0.0).alias("entries"), *[none.alias(c) for c in ("sum", "min", "max", "vn", "vm", "v2")])
+
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(prod(sizes) - 1).cast("long")), row).cast(f"array<{_ROW}>")
+
     parts = []
     for r, _, _ in wanted:
         sizes = [a.size for a in r.axes]
-        if sizes and (not dense or None in sizes):
-            continue
-        keys = []
-        for j, n in enumerate(sizes):
-            keys.append((F.floor(F.col("id") / prod(sizes[j + 1 :])) % n).cast("long").cast("string"))
-        kind = "Transformed" if r.kind == "Count" and r.transform is not None else r.kind
-        parts.append((r.path, kind, prod(sizes), keys))
-    singles = [(p, k) for p, k, n, keys in parts if not keys]
-    nothing = [F.lit(None).cast("double").alias(c) for c in ("sum", "min", "max", "vn", "vm", "v2")]
-    rest = [F.lit(0.0).alias("entries"), *nothing]
-    frames = [spark.createDataFrame(singles, "path string, kind string").select("path", "kind", F.array().cast("array<string>").alias("keys"), *rest)]
-    frames += [spark.range(0, n, 1, 1).select(F.lit(p).alias("path"), F.lit(k).alias("kind"), F.array(*keys).alias("keys"), *rest) for p, k, n, keys in parts if keys]
-    return reduce(DataFrame.unionByName, frames)
+        if not sizes or (dense and None not in sizes):
+            parts.append(rows(r.path, "Transformed" if r.kind == "Count" and r.transform is not None else r.kind, sizes))
+    return df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.concat(*parts)).alias("r")).select("r.*")
