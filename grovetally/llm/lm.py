@@ -241,6 +241,19 @@ def counts(docs: DataFrame, path: str) -> DataFrame:
     return found.groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
+def frequent(vocabulary: DataFrame) -> DataFrame:
+    """The words whose counts are above a limit that at most FREQUENT words pass, found from a
+    histogram of counts, so that no task sends more than its own part of them."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    total, least = 0, 0
+    for r in sorted(vocabulary.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > FREQUENT:
+            least = r["level"] + 1
+            break
+    return vocabulary.where(level >= least).select("word", "n")
+
+
 def train(docs: DataFrame, p: dict, path: str) -> dict:
     """The parameters after ROUNDS data-parallel rounds."""
     sc = docs.sparkSession.sparkContext
@@ -292,7 +305,7 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     sums = {r["class"]: (r["n"], r["v"]) for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     size = np.array([sum(sums.get(k, (0, 0))) + 1 for k in range(CLASSES)], dtype=float)
     n_train, n_distinct = sum(x[0] for x in sums.values()), sum(x[1] for x in sums.values())
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    top = frequent(vocabulary).toPandas()
     word = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(word)
     network = train(docs, start(size / size.sum()), path)
