@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import fresh
+from ._spark import fresh, map_arrow
 from ._text import Chunk, chunks, spread
 
 Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 256, 32, 4 << 20
@@ -62,6 +62,12 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return fold(data[~again]), kept[offsets]
 
 
+def normal_text(text: str | None) -> str:
+    """One text as it is compared."""
+    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+    return normal(raw, np.array([0, len(raw)]))[0].tobytes().decode()
+
+
 def grams(data: np.ndarray) -> np.ndarray:
     """A 64-bit number for the Q bytes from each place on."""
     n = len(data) - Q + 1
@@ -233,4 +239,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc
                 cols = [b.column(i + 1).slice(c.first, c.n) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([sorted(h) for h in hits], pa.list_(pa.int64())), pa.array([bool(h) for h in hits])], [*keep, *names])
 
-    return out.mapInArrow(run, f"{types}, `{names[0]}` array<long>, `{names[1]}` boolean")
+    return out.transform(map_arrow, run, f"{types}, `{names[0]}` array<long>, `{names[1]}` boolean")
