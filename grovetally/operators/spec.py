@@ -15,7 +15,11 @@ from ..functions.quantity import Quantity, quantity
 
 
 class Spec:
-    """A node of a tree. ``children`` are (step of the path, child)."""
+    """A node of a tree. ``children`` are (step of the path, child).
+
+    A container of one's own is a subclass with a method ``expand()`` that gives the tree it
+    stands for.
+    """
 
     kind = ""
     q: Quantity | None = None
@@ -254,3 +258,14 @@ class Branch(_Collection):
         self.items = tuple((f"i{i}", _spec(v)) for i, v in enumerate(values))
         if not self.items:
             raise ValueError("Branch needs at least one container")
+
+
+def containers() -> dict[str, str]:
+    """Every container by name, with what it does."""
+    found, todo = {}, [Spec]
+    while todo:
+        for c in todo.pop().__subclasses__():
+            todo.append(c)
+            if c.kind:
+                found[c.kind] = (c.__doc__ or "").strip()
+    return dict(sorted(found.items()))

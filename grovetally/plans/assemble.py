@@ -44,6 +44,8 @@ def build(spec: S.Spec, by: dict) -> R.Result:
         return under[path].get(keys, [])
 
     def node(s: S.Spec, path: str, keys: tuple) -> R.Result:
+        if hasattr(s, "expand"):
+            return node(s.expand(), path, keys)
         row = by.get(path, {}).get(keys) or _NONE
         step = lambda name: f"{path}/{name}" if path else name
         n, name = row["entries"], s.name

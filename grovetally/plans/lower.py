@@ -152,6 +152,8 @@ class _Lowering:
             self.ask(n, path, n.kind, at)
             for step, child in n.children():
                 self.node(child, below(step), at)
+        elif hasattr(n, "expand"):
+            self.node(n.expand(), path, at)
         else:
             raise TypeError(f"{type(n).__name__} cannot be lowered")
 

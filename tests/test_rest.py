@@ -113,6 +113,25 @@ def test_own_container():
     assert "Twice" in registered() and len(registered()) >= 20 and loads(to_string(Twice(2.0))).entries == 2.0
 
 
+def test_own_specification(df):
+    from grovetally import Spec, containers
+
+    class Both(Spec):
+        """Count and mean."""
+
+        kind = "Both"
+
+        def __init__(self, q):
+            self.of = q
+
+        def expand(self):
+            return Branch(Count(), Average(self.of))
+
+    r = aggregate(df, Bin(2, 0, 100, "x", Both("y")))
+    assert r.values[1].i0.entries == 50 and r.values[1].i1.mean == 4.5
+    assert containers()["Both"] == "Count and mean." and len(containers()) >= 20
+
+
 def test_events(spark, tmp_path):
     from pyspark.sql import functions as F
 
