@@ -241,7 +241,7 @@ def _pivots(base: DataFrame, plan: Plan) -> tuple[DataFrame, dict[int, str]]:
             same = reduce(lambda a, b: a & b, [F.col(f"p{i}_{j}").eqNullSafe(F.col(f"o{i}_{j}")) for j in range(len(keys))])
             base = wide.join(near, same, "left").drop(*[f"{s}{i}_{j}" for s in "po" for j in range(len(keys))])
         else:
-            base = base.crossJoin(F.broadcast(near))  # one row
+            base = base.withColumn(f"pivot{i}", near.scalar())
         names[i] = f"pivot{i}"
     return base, names
 
