@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +47,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: texts may be long, and a batch of many rows is held several times.
+BATCH_BYTES = 8 << 20
+_ROOT = str(Path(__file__).resolve().parents[2])
+_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most ``BATCH_BYTES`` (one row if it is longer).
+
+    The session's own limit is lowered to that if it is higher, and stays so.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", df.sparkSession.conf.get(key).lower()).groups()
+    if not 0 < int(number) * _UNITS[unit or "b"] <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    own = df.sparkSession.sparkContext.environment
+    if _ROOT not in own.get("PYTHONPATH", "").split(os.pathsep):  # for workers that start elsewhere
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [own.get("PYTHONPATH"), _ROOT]))
+    return df.mapInArrow(run, schema)
+
+
 def word_count(text: str = "text"):
     """Number of words of a text column; null counts as empty."""
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, map_arrow
 from ._text import Chunk, chunks, mix, shingles, spread
 
 PERCENT, WORDS, SALTS = 80, 5, 32
@@ -75,7 +75,7 @@ def column_order(docs: DataFrame) -> np.ndarray:
 
     schema = "slice int, counts binary"
     total = np.zeros(size, dtype=np.int32)
-    for r in docs.select("text").mapInArrow(run, schema).repartition(size // part, "slice").mapInArrow(add, schema).collect():
+    for r in docs.select("text").transform(map_arrow, run, schema).repartition(size // part, "slice").transform(map_arrow, add, schema).collect():
         total[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(r["counts"], np.int32)
     rank = np.empty(size, dtype=np.int32)
     rank[np.argsort(total, kind="stable")] = np.arange(size, dtype=np.int32)
@@ -115,7 +115,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), pa.array(np.diff(begins)), pa.array(_signature(h, begins))], ["doc_id", "n", "cls"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long")
+    return docs.select("doc_id", "text").transform(map_arrow, run, f"doc_id {kind}, n long, cls long")
 
 
 class _Filter:
@@ -151,7 +151,7 @@ def prefix_cells(docs: DataFrame, rank: np.ndarray, only: _Filter) -> DataFrame:
                 cells = [h[place + np.repeat(begins[:-1], size)].view(np.int64), np.repeat(_signature(h, begins), size), np.repeat(n, size).astype(np.int32), place.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["item", "cls", "n", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "item long, cls long, n int, place int")
+    return docs.select("doc_id", "text").transform(map_arrow, run, "item long, cls long, n int, place int")
 
 
 def _meets(m: Column, i: Column, n: Column, j: Column) -> Column:
@@ -182,7 +182,7 @@ def _needed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 cls = _signature(h, begins)[full]
                 yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([(h[begins[d] : begins[d + 1]] >> np.uint64(32)).astype(np.uint32).tobytes() for d in full], pa.binary())], ["cls", "items"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "cls long, items binary").join(wanted.select("cls"), "cls", "left_semi")
+    found = docs.select("doc_id", "text").transform(map_arrow, run, "cls long, items binary").join(wanted.select("cls"), "cls", "left_semi")
     return found.dropDuplicates(["cls"])
 
 
@@ -203,7 +203,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
                 keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return cut(rows.mapInArrow(run, "a long, b long"))
+    return cut(rows.transform(map_arrow, run, "a long, b long"))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def connected(links: DataFrame) -> DataFrame:
         ends = [(x, find(x)) for x in list(top)]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([y for _, y in ends], pa.int64())], ["a", "b"])
 
-    edges = cut(links.mapInArrow(run, "a long, b long"))
+    edges = cut(links.transform(map_arrow, run, "a long, b long"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:

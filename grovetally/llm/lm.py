@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, map_arrow
 from ._text import Chunk, chunks, mix
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -237,7 +237,7 @@ def counts(docs: DataFrame, path: str) -> DataFrame:
             for i in range(0, len(keys), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(classes[i : i + (1 << 16)].astype(np.int32)), pa.array(n[i : i + (1 << 16)])], ["word", "class", "n"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "word long, class int, n long")
+    found = docs.select("doc_id", "text").transform(map_arrow, run, "word long, class int, n long")
     return found.groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
@@ -280,7 +280,7 @@ def train(docs: DataFrame, p: dict, path: str) -> dict:
                     part = flat[i : i + (1 << 14)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part * n), pa.array(np.full(len(part), n, dtype=np.int64))], ["place", "value", "n"])
 
-        steps = docs.select("doc_id", "text").mapInArrow(run, "place int, value double, n long")
+        steps = docs.select("doc_id", "text").transform(map_arrow, run, "place int, value double, n long")
         got = steps.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas().sort_values("place")["value"].to_numpy()
         if not len(got):
             return p
@@ -337,7 +337,7 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, shared double, fixed double, rare array<long>")
+    rows = docs.select("doc_id", "text").transform(map_arrow, run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, shared double, fixed double, rare array<long>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode("rare").alias("word")).join(vocabulary.select("word", "n"), "word")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))

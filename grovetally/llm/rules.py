@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import map_arrow
 from ._text import Chunk, chunks, mix, shingles
 
 #: The characters that count as symbols.
@@ -84,9 +85,7 @@ def judge(c: Chunk, rules: Rules) -> tuple[dict[str, np.ndarray], np.ndarray, tu
     raw = c.span_hash(starts, ends, raw=True)
 
     lines = line_starts, line_ends, line_begins = c.lines()
-    words_at = np.searchsorted(starts, np.append(line_starts, len(c.data)))
     first_word, last_word = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
-    del words_at
     n_line = last_word - first_word
     full = n_line > 0
     doc_of_line = np.repeat(np.arange(c.n), np.diff(line_begins))
@@ -111,10 +110,10 @@ def judge(c: Chunk, rules: Rules) -> tuple[dict[str, np.ndarray], np.ndarray, tu
     upper, letters = _running(_UPPER[c.data]), _running(_LETTER[c.data])
     n_letters = letters[line_ends] - letters[line_starts]
     long_line = n_line >= rules.from_words
-    last_byte = np.where(full, c.data[np.maximum(ends[np.maximum(last_word, 1) - 1] - 1, 0)] if len(ends) else 0, 0)
+    stops = _running(_STOP[c.data[ends - 1]]) if len(ends) else np.zeros(1, np.int64)
     line_words = np.concatenate([[0], np.cumsum(n_line)])
     fails = full & (
-        ~_STOP[last_byte]
+        (stops[last_word] == stops[first_word])
         | ((bar[last_word] - bar[first_word]) / ok > rules.max_bars)
         | ((symbols[line_ends] - symbols[line_starts]) / ok > rules.max_symbols)
         | (long_line & ((upper[line_ends] - upper[line_starts]) > rules.max_capitals * np.maximum(n_letters, 1)))
@@ -172,4 +171,4 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     cols.append(pa.array(texts, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, [id_col, *names, "base_failed", "kept", *["text"] * with_text])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).transform(map_arrow, run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import fresh
+from ._spark import fresh, map_arrow
 from ._text import Chunk, chunks, mix
 
 #: Bytes of a word's start that count as a feature of their own where the word is longer.
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
                     ["grade", "words", "amounts"],
                 )
 
-    got = rows.mapInArrow(extract, "grade int, words binary, amounts binary").collect()
+    got = rows.transform(map_arrow, extract, "grade int, words binary, amounts binary").collect()
     got = sorted({(r["grade"], bytes(r["words"]), bytes(r["amounts"])) for r in got})
     n = np.array([len(r[1]) // 8 for r in got], dtype=np.int64)
     grade = np.array([r[0] for r in got], dtype=np.int64)
@@ -217,4 +217,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), le
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("double", "double", "int", "boolean"), strict=True))
-    return docs.select(F.col("text").alias("read_text"), *keep).mapInArrow(run, f"{types}, {kinds}")
+    return docs.select(F.col("text").alias("read_text"), *keep).transform(map_arrow, run, f"{types}, {kinds}")

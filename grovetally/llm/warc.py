@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, shared_path
+from ._spark import cut, map_arrow, shared_path
 
 LEAST_REVISIT, ARCHIVE_BYTES, LEVEL = 1000, 32 << 20, 1
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, dest: str, least: int = LEAST_REVISIT, arch
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
 
     rows = marked.select("page_id", "url", "html", "digest", F.col("target"))
-    return cut(rows.mapInArrow(run, "path string, records long"))
+    return cut(rows.transform(map_arrow, run, "path string, records long"))
 
 
 def _id(value: str) -> int | None:
@@ -189,7 +189,7 @@ def read_archives(archives: DataFrame, dest: str) -> DataFrame:
                 for i in range(0, len(rows), 4096):
                     yield _batch(rows[i : i + 4096])
 
-    return archives.select("path").repartition(min(n, 4096), "path").mapInArrow(run, RECORD)
+    return archives.select("path").repartition(min(n, 4096), "path").transform(map_arrow, run, RECORD)
 
 
 def _place(row: tuple) -> tuple:
@@ -263,7 +263,7 @@ def capture_index(records: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return ranged.mapInArrow(run, RECORD)
+    return ranged.transform(map_arrow, run, RECORD)
 
 
 def archive_pages(pages: DataFrame, **options) -> DataFrame:
