@@ -33,6 +33,8 @@ from ._spark import cut, map_arrow
 from ._text import Chunk, chunks, mix, shingles, spread
 
 PERCENT, WORDS, SALTS = 80, 5, 32
+#: Rows of a column that are joined in one place; common columns are dealt to more.
+SALT_ROWS = 500
 #: Hash buckets of the column order, and of the filter of the rows whose sets are needed.
 _BUCKET_BITS, _FILTER_BITS = 22, 23
 _LOW = np.uint64((1 << 30) - 1)
@@ -259,7 +261,8 @@ def groups(docs: DataFrame) -> DataFrame:
     # a column is of use if it stands early enough in the shorter row of some pair
     early = F.max(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * PERCENT / (100 + PERCENT)) - F.lit(1e-9)))
     common = cells.groupBy("item").agg(F.count(F.lit(1)).alias("of"), early.alias("early")).where("of > 1 and early").select("item")
-    cells = cells.join(common, "item").distinct()
+    # by item and class, so that no later step finds the rows of a common column in one place
+    cells = cells.join(common, "item").repartition("item", "cls").distinct()
     cells = cut(cells.select("item", "cls", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")))
     pivots = cells.groupBy("item").agg(F.min(F.struct("place", "cls", "n")).alias("p"))
     stars = cells.join(pivots, "item").where(F.col("cls") != F.col("p.cls")).where(_meets(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place")))
@@ -267,10 +270,12 @@ def groups(docs: DataFrame) -> DataFrame:
     links = overlaps(docs, stars, classes)
     labels = connected(links)
     marked = cells.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = marked.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("place", "cls", "label")).alias("p")).where("low <> high")
-    marked = cut(marked.join(mixed.select("item", F.col("p.label").alias("main")), "item"))
-    x, y = marked.where("label <> main").alias("x"), marked.alias("y")
-    rest = x.join(y, "item").where("x.label <> y.label").where(_meets(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
+    mixed = marked.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("place", "cls", "label")).alias("p"), F.count(F.lit(1)).alias("of")).where("low <> high")
+    parts = F.ceil(F.col("of") / SALT_ROWS).cast("int").alias("parts")
+    marked = cut(marked.join(mixed.select("item", F.col("p.label").alias("main"), parts), "item"))
+    x = marked.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
+    y = marked.withColumn("part", F.pmod(F.hash("cls"), F.col("parts"))).alias("y")
+    rest = x.join(y, ["item", "part"]).where("x.label <> y.label").where(_meets(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
     rest = cut(rest.select(*_ordered("x.cls", "y.cls")).distinct().join(stars, ["a", "b"], "left_anti"))
     labels = connected(links.unionByName(overlaps(docs, rest, classes)))
     named = labels.join(classes.select("cls", "rep"), "cls")
