@@ -27,6 +27,8 @@ from ._spark import cut, map_arrow, shared_path
 
 LEAST_REVISIT, ARCHIVE_BYTES, LEVEL = 1000, 32 << 20, 1
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
+#: Pages have no time of their own: it is the id in seconds after EPOCH, within about 50 years.
+YEARS = 1_600_000_000
 RECORD = "path string, offset long, url_key string, captured string, url string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _ORDER = ["url_key", "captured", "page_id"]
 
@@ -131,7 +133,7 @@ def write_archives(pages: DataFrame, dest: str, least: int = LEAST_REVISIT, arch
                     out, n, size, number = store.open_output_stream(path, compression=None), 0, 0, number + 1
                 payload = html.encode()
                 kind = "response" if target is None else "revisit"
-                when = EPOCH + timedelta(seconds=page_id or 0)
+                when = EPOCH + timedelta(seconds=(page_id or 0) % YEARS)
                 url = url or ""
                 broken = "\r" in url or "\n" in url
                 headers = [
