@@ -537,7 +537,7 @@ def test_pipeline_on_awkward_rows(spark, docs, none, tmp_path):
             df = spark.read.parquet(path)
             if i < 4:
                 assert df.columns == given.columns
-        assert df.count() == (13 if given is not none else 0) or df.count() > 0
+        assert (df.count() > 0) == (given is not none)
 
 
 def test_every_query_is_registered():
