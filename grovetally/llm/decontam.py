@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import fresh, map_arrow
+from ._spark import fresh, map_arrow, written
 from ._text import Chunk, chunks, spread
 
-Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 256, 32, 4 << 20
+Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 256, 32, 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -200,9 +200,9 @@ class Matcher:
         return found
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, limit: int | None = None) -> Iterator[Index]:
     """Indexes of the benchmark's rows (item_id, text), ``limit`` characters or one row each."""
-    rows, size = [], 0
+    limit, rows, size = limit or BLOCK, [], 0
     for r in benchmark.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator():
         if rows and size + len(r["text"]) > limit:
             yield build(rows)
@@ -219,24 +219,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc
     Null and empty texts have no items. Null items or item ids are left out, repeated items
     count once. Repeated rows and null ids of documents pass through one by one. With an
     empty benchmark nothing is contaminated. Other columns are not read; where a kept column has
-    one of the new names, an underscore is put before the new one. With a benchmark
-    of several blocks all passes run one after another over the same rows.
+    one of the new names, an underscore is put before the new one. A benchmark of several
+    blocks takes as many passes one after another.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col("text").alias("read_text"), *keep)
     names = fresh(docs.select(*keep), "items", "contaminated")
-    sent = [spark.sparkContext.broadcast(x) for x in blocks(benchmark)]
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(F.col("text").alias("read_text"), *keep, F.lit(None).cast("array<long>").alias("found_items"))
+    waiting = None
+    for index in blocks(benchmark):
+        if waiting is not None:  # written between passes, so that no task holds two blocks
+            rows = written(_search(rows, keep, waiting, True), "decontamination")
+        waiting = index
+    out = _search(rows, keep, waiting, False).withColumnRenamed("found_items", names[0])
+    return out.withColumn(names[1], F.size(names[0]) > 0)
+
+
+def _search(rows: DataFrame, keep: tuple[str, ...], index: Index, carry: bool) -> DataFrame:
+    """One pass: ``rows`` (read_text, keep, found_items) with the items of one block added; the text
+    is carried along for a further pass."""
+    sent = rows.sparkSession.sparkContext.broadcast(index)
+    names = [*["read_text"] * carry, *keep, "found_items"]
+    first = 0 if carry else 1
 
     def run(batches):
-        parts = [Matcher(s.value) for s in sent[:1]]
+        matcher = Matcher(sent.value)
         for b in batches:
             for c in chunks(b.column(0)):
-                hits: list[set[int]] = [set() for _ in range(c.n)]
-                for s in range(len(sent)):
-                    for d, item in (parts[0] if not s else Matcher(sent[s].value)).find(c):
-                        hits[d].add(item)
-                cols = [b.column(i + 1).slice(c.first, c.n) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([sorted(h) for h in hits], pa.list_(pa.int64())), pa.array([bool(h) for h in hits])], [*keep, *names])
-
-    return out.transform(map_arrow, run, f"{types}, `{names[0]}` array<long>, `{names[1]}` boolean")
+                hits = [set(x or ()) for x in b.column(b.num_columns - 1).slice(c.first, c.n).to_pylist()]
+                for d, item in matcher.find(c):
+                    hits[d].add(item)
+                cols = [b.column(i).slice(c.first, c.n) for i in range(first, b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([sorted(h) for h in hits], pa.list_(pa.int64()))], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.transform(map_arrow, run, schema)
