@@ -245,6 +245,12 @@ def connected(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "cls")
 
 
+def _redealt(sums: DataFrame) -> DataFrame:
+    """Sums by item with an item that Spark does not know to be dealt by, so that a join with them
+    deals both sides anew and adaptive execution can split a common item's rows."""
+    return cut(sums).withColumn("item", F.col("item").bitwiseXOR(F.lit(0).cast("long")))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_shingles (size of its set) and component_id (the least
     doc_id reachable by links, its own included).
@@ -264,7 +270,7 @@ def groups(docs: DataFrame) -> DataFrame:
     # by item and class, so that no later step finds the rows of a common column in one place
     cells = cells.join(common, "item").repartition("item", "cls").distinct()
     cells = cut(cells.select("item", "cls", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")))
-    pivots = cells.groupBy("item").agg(F.min(F.struct("place", "cls", "n")).alias("p"))
+    pivots = _redealt(cells.groupBy("item").agg(F.min(F.struct("place", "cls", "n")).alias("p")))
     stars = cells.join(pivots, "item").where(F.col("cls") != F.col("p.cls")).where(_meets(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place")))
     stars = cut(stars.select(*_ordered("cls", "p.cls")).distinct())
     links = overlaps(docs, stars, classes)
@@ -272,7 +278,7 @@ def groups(docs: DataFrame) -> DataFrame:
     marked = cells.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = marked.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("place", "cls", "label")).alias("p"), F.count(F.lit(1)).alias("of")).where("low <> high")
     parts = F.ceil(F.col("of") / SALT_ROWS).cast("int").alias("parts")
-    marked = cut(marked.join(mixed.select("item", F.col("p.label").alias("main"), parts), "item"))
+    marked = cut(marked.join(_redealt(mixed.select("item", F.col("p.label").alias("main"), parts)), "item"))
     x = marked.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
     y = marked.withColumn("part", F.pmod(F.hash("cls"), F.col("parts"))).alias("y")
     rest = x.join(y, ["item", "part"]).where("x.label <> y.label").where(_meets(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
