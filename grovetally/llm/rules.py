@@ -112,12 +112,14 @@ def judge(c: Chunk, rules: Rules) -> tuple[dict[str, np.ndarray], np.ndarray, tu
     long_line = n_line >= rules.from_words
     stops = _running(_STOP[c.data[ends - 1]]) if len(ends) else np.zeros(1, np.int64)
     line_words = np.concatenate([[0], np.cumsum(n_line)])
+    # distinct words of ordinary prose grow about as the square root of its length
+    least_distinct = rules.min_distinct * np.sqrt(rules.from_words * ok)
     fails = full & (
         (stops[last_word] == stops[first_word])
         | ((bar[last_word] - bar[first_word]) / ok > rules.max_bars)
         | ((symbols[line_ends] - symbols[line_starts]) / ok > rules.max_symbols)
         | (long_line & ((upper[line_ends] - upper[line_starts]) > rules.max_capitals * np.maximum(n_letters, 1)))
-        | (long_line & (_distinct(raw, line_words) < rules.min_distinct * np.sqrt(ok / rules.from_words) ** -1 * ok if len(raw) else False))
+        | (long_line & (_distinct(raw, line_words) < least_distinct))
     )
     lower = c.data.copy()
     lower[_UPPER[lower]] += 32
