@@ -245,10 +245,10 @@ def connected(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "cls")
 
 
-def _redealt(sums: DataFrame) -> DataFrame:
-    """Sums by item with an item that Spark does not know to be dealt by, so that a join with them
-    deals both sides anew and adaptive execution can split a common item's rows."""
-    return cut(sums).withColumn("item", F.col("item").bitwiseXOR(F.lit(0).cast("long")))
+def _redealt(sums: DataFrame, key: str = "item") -> DataFrame:
+    """Sums by ``key`` with a key that Spark does not know them to be dealt by, so that a join with
+    them deals both sides anew and adaptive execution can split a common key's rows."""
+    return cut(sums).withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def groups(docs: DataFrame) -> DataFrame:
     named = labels.join(classes.select("cls", "rep"), "cls")
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     final = classes.join(named.join(least, "label").select("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(final, "cls", "left")
+    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(_redealt(final, "cls"), "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
