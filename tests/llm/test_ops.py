@@ -308,6 +308,19 @@ def test_quality(spark, small, docs, none):
     assert classify(none, labels).count() == 0
 
 
+def test_quality_keeps_clean_text_it_has_not_seen(spark):
+    """Trusted rows are few enough to be trained on, all of them; others are of the same kind."""
+    from grovetally.llm.perplexity import classify
+
+    given = [(i, prose(5000 + i, 100), "en") for i in range(240)]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in classify(df, labels).where("kept").collect()}
+    assert len(kept & set(range(120, 240))) >= 114 and kept >= set(range(120))
+    one = classify(df, labels.where("doc_id = 0"))
+    assert one.where("kept and threshold is null").count() == len(given)
+
+
 # op6
 
 
