@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, map_arrow
+from ._spark import cut, fresh, map_arrow
 from ._text import Chunk, chunks, mix, shingles, spread
 
 PERCENT, WORDS, SALTS = 80, 5, 32
@@ -251,16 +251,9 @@ def _redealt(sums: DataFrame, key: str = "item") -> DataFrame:
     return cut(sums).withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_shingles (size of its set) and component_id (the least
-    doc_id reachable by links, its own included).
-
-    ``docs`` has an integer doc_id and text; other columns are not read. A-Z are lower-cased and
-    words are runs without ASCII white space; a text of fewer than five words is one shingle.
-    Null, empty and blank texts have no shingles and link with nothing: their component is
-    their own id. Rows of equal texts are one class, so repeated rows get equal results; a null
-    id never names a component unless no other id is in it. An empty table gives an empty result.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, cls, label, component) of each row of ``docs``: set size, class, the label of the
+    class's component and the component's least doc_id; those but n are null without shingles."""
     rows = cut(rows_of(docs))
     classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     cells = prefix_cells(docs, column_order(docs), _Filter(classes))
@@ -286,30 +279,67 @@ def groups(docs: DataFrame) -> DataFrame:
     labels = connected(links.unionByName(overlaps(docs, rest, classes)))
     named = labels.join(classes.select("cls", "rep"), "cls")
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
-    final = classes.join(named.join(least, "label").select("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
+    final = classes.join(named.join(least, "label").select("cls", "label", "component"), "cls", "left")
+    final = final.select("cls", F.coalesce("label", "cls").alias("label"), F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(_redealt(final, "cls"), "cls", "left")
+    return out.select("doc_id", "n", "cls", "label", "component")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_shingles (size of its set) and component_id (the least
+    doc_id reachable by links, its own included).
+
+    ``docs`` has an integer doc_id and text; other columns are not read. A-Z are lower-cased and
+    words are runs without ASCII white space; a text of fewer than five words is one shingle.
+    Null, empty and blank texts have no shingles and link with nothing: their component is
+    their own id. Rows of equal texts are one class, so repeated rows get equal results; a null
+    id never names a component unless no other id is in it. An empty table gives an empty result.
+    """
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return _labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-#: The most ids that are broadcast, as eight bytes each, to leave out their rows.
-SENT_IDS = 2_000_000
+#: The most classes that are broadcast, to tell which of their rows go.
+SENT_CLASSES = 2_000_000
+
+
+def _with_class(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the class of each row as a further column, null for rows without shingles."""
+    names = [*docs.columns, name]
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for c in chunks(b.column(text)):
+                h, begins = _sets(c, None)
+                cls = pa.array(_signature(h, begins), mask=np.diff(begins) == 0)
+                yield pa.RecordBatch.from_arrays([*(x.slice(c.first, c.n) for x in b.columns), cls], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.transform(map_arrow, run, f"{schema}, `{name}` long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of linked ones, that with the least doc_id.
+    """``docs`` with one row of each group of linked ones, that with the least (doc_id, class),
+    null ids last.
 
-    Documents without shingles stay, as they link with nothing. Of rows that repeat both id and
-    text one stays. The ids that go are broadcast if there are at most ``SENT_IDS``, else joined
-    by a shuffle.
+    Rows are told apart by id and class, so a row whose id is null or stands on other rows as well
+    stays or goes by its own group. Rows without shingles stay, as they link with nothing.
+    Of rows that repeat both id and class one stays. The classes of the groups are broadcast if
+    there are at most ``SENT_CLASSES``, else joined by a shuffle.
     """
-    found = cut(groups(docs))
-    gone = cut(found.where("n_shingles > 0 and not (component_id <=> doc_id)").select(F.col("doc_id").alias("gone")).distinct())
-    few = gone.count() <= SENT_IDS
-    rest = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-    again = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    again = cut(again)
-    if again.isEmpty():
-        return rest
-    many = rest.join(again, rest["doc_id"].eqNullSafe(again["again"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(again, rest["doc_id"].eqNullSafe(again["again"]), "left_anti").unionByName(many)
+    found = cut(_labelled(docs).where("n > 0"))  # cut here, so that the join by class can be split
+    found = cut(found.groupBy("label", "cls", "doc_id").agg(F.count(F.lit(1)).alias("of")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "of")).alias("top")
+    tops = _redealt(found.groupBy("label").agg(first, F.sum("of").alias("rows")).where("rows > 1"), "label")
+    cls, kept, rows = fresh(docs, "cls", "kept", "rows")
+    # of each class in a group: the id that stays and on how many rows, or 0 where all rows go
+    stays = F.when(F.col("cls") == F.col("top.cls"), F.col("top.of")).otherwise(0)
+    members = found.select("label", "cls").distinct().join(tops, "label")
+    members = cut(members.select(F.col("cls").alias(cls), F.col("top.doc_id").alias(kept), stays.alias(rows)))
+    out = _with_class(docs, cls).join(F.broadcast(members) if members.count() <= SENT_CLASSES else members, cls, "left")
+    out = out.where(F.col(rows).isNull() | ((F.col(rows) > 0) & F.col("doc_id").eqNullSafe(F.col(kept))))
+    if not members.where(F.col(rows) > 1).isEmpty():
+        several = F.coalesce(F.col(rows) > 1, F.lit(False))
+        out = out.where(~several).unionByName(out.where(several).dropDuplicates([cls]))
+    return out.select(*docs.columns)

@@ -141,6 +141,22 @@ def test_jaccard_groups(spark):
     assert {x["doc_id"] for x in one_of_each(df).collect()} == {c for _, c in expected.values()}
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Null and reused ids: each row stays or goes by its own group."""
+    from grovetally.llm.jaccard import one_of_each
+
+    edit = lambda text, i: " ".join("changed" if k == i else w for k, w in enumerate(text.split()))
+    other, third, clean, own = prose(41, 120), prose(42, 120), prose(43, 120), prose(44, 120)
+    given = [
+        (1, BASE), (None, EDITED), (None, clean), (2, own), (2, edit(BASE, 90)), (None, other), (None, edit(other, 60)), (None, other),
+        (5, third), (5, edit(third, 30)), (5, third.upper()), (6, third), (None, None), (None, ""), (7, prose(45, 120)),
+    ]
+    got = [(r["doc_id"], r["text"]) for r in one_of_each(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted((i is None, i or 0) for i, _ in got) == sorted((i is None, i or 0) for i in [1, None, 2, None, 5, None, None, 7])
+    assert (1, BASE) in got and (None, clean) in got and (2, own) in got and (None, None) in got and (None, "") in got
+    assert len([t for i, t in got if i is None and t and t != clean]) == 1
+
+
 def test_jaccard_of_nothing(none):
     from grovetally.llm.jaccard import groups, one_of_each
 
