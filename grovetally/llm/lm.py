@@ -8,9 +8,9 @@ over all training documents give the word within its class:
     p(word | before) = p(class | before) * (count + 1) / (words in class + distinct words in class + 1)
 
 Every count covers all training documents. The network starts as the class frequencies and is
-trained by data-parallel rounds: every partition takes steps on all windows of a fixed share of
-its training documents (by a hash of the id, so it grows with the corpus), and the parameters
-are averaged, weighted by windows, in the shuffle.
+trained by data-parallel rounds: every partition takes steps on all windows of one part of its
+training documents (by a hash of the id), and the parameters are averaged, weighted by windows,
+in the shuffle. Each round takes another part, so every training document is used once.
 
 Windows overlap: each holds ``CONTEXT`` positions that are only looked at and ``STRIDE`` that are
 scored, so each token is scored once, with batched masked attention.
@@ -37,8 +37,8 @@ from ._text import Chunk, chunks, mix
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FREQUENT, CLASSES, ROWS, WIDTH, STRIDE, CONTEXT = 65536, 96, 2048, 16, 24, 8
 WINDOW = STRIDE + CONTEXT
-#: Training: rounds, one training document in SHARE taken in each round, windows in a step, step size.
-ROUNDS, SHARE, BATCH, RATE = 2, 8, 128, 0.01
+#: Training: rounds, among which the training documents are dealt, windows in a step, step size.
+ROUNDS, BATCH, RATE = 8, 128, 0.01
 END_CLASS = 0
 #: The word that ends every text, as a hash.
 _END = np.uint64(0x13198A2E03707344)
@@ -255,19 +255,17 @@ def frequent(vocabulary: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, p: dict, path: str) -> dict:
-    """The parameters after ROUNDS data-parallel rounds."""
+    """The parameters after ROUNDS data-parallel rounds, which take all training documents once."""
     sc = docs.sparkSession.sparkContext
     sizes = {k: p[k].size for k in NAMES}
     for turn in range(ROUNDS):
         sent = sc.broadcast(p)
 
-        def run(batches, turn=turn, sent=sent):
+        def run(batches, sent=sent):
             own, subwords, n = {k: v.copy() for k, v in sent.value.items()}, Subwords(path), 0
             adam = Adam(own)
             for b in batches:
-                ids = b.column(0).to_pylist()
-                turns = np.array([zlib.crc32(f"{i} turn".encode()) % SHARE for i in ids])
-                pick = np.flatnonzero(~held_out(ids) & (turns == turn))
+                pick = np.flatnonzero(~held_out(b.column(0).to_pylist()))
                 for c in chunks(b.column(1).take(pa.array(pick))):
                     t = read(c, subwords)
                     doc, at, _ = windows(t.offsets)
@@ -280,10 +278,11 @@ def train(docs: DataFrame, p: dict, path: str) -> dict:
                     part = flat[i : i + (1 << 14)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part * n), pa.array(np.full(len(part), n, dtype=np.int64))], ["place", "value", "n"])
 
-        steps = docs.select("doc_id", "text").transform(map_arrow, run, "place int, value double, n long")
+        part = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" turn"))) % ROUNDS
+        steps = docs.where(part == turn).select("doc_id", "text").transform(map_arrow, run, "place int, value double, n long")
         got = steps.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas().sort_values("place")["value"].to_numpy()
-        if not len(got):
-            return p
+        if not len(got):  # no training document in this part
+            continue
         new, i = {}, 0
         for k in NAMES:
             new[k] = got[i : i + sizes[k]].reshape(p[k].shape).astype(np.float32)

@@ -231,6 +231,25 @@ def test_lm(spark, small, docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_trains_on_every_training_document(spark):
+    """A document reaches the weights whichever part it is in."""
+    import zlib
+
+    import numpy as np
+
+    from grovetally.llm import lm
+
+    given = {}
+    for i in range(500):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            given.setdefault(zlib.crc32(f"{i} turn".encode()) % 8, i)
+    assert sorted(given) == list(range(8))
+    p = lm.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    for i in given.values():
+        df = spark.createDataFrame([(i, prose(i, 60))], "doc_id long, text string")
+        assert not np.array_equal(lm.train(df, p, lm.VOCABULARY)["bias"], p["bias"]), i
+
+
 def test_lm_scores_each_token_once():
     import numpy as np
     import pyarrow as pa
