@@ -343,6 +343,20 @@ def test_quality(spark, small, docs, none):
     assert classify(none, labels).count() == 0
 
 
+def test_quality_sample_passes_over_long_documents(spark, monkeypatch):
+    """A document beyond the limit of words does not end the sample, wherever it comes by hash."""
+    import numpy as np
+
+    from grovetally.llm import perplexity
+
+    monkeypatch.setattr(perplexity, "MAX_WORDS", 100)
+    ids = [r["id"] for r in spark.range(20).orderBy(F.xxhash64("id")).collect()]
+    size = {i: 20 for i in ids} | {ids[0]: 300, ids[3]: 90}
+    df = spark.createDataFrame([(i, prose(i, n)) for i, n in size.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    assert np.diff(perplexity.trusted_words(df, labels)[1]).tolist() == [20] * 5
+
+
 def test_quality_keeps_clean_text_it_has_not_seen(spark):
     """Trusted rows are few enough to be trained on, all of them; others are of the same kind."""
     from grovetally.llm.perplexity import classify
