@@ -329,7 +329,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     there are at most ``SENT_CLASSES``, else joined by a shuffle.
     """
     found = cut(_labelled(docs).where("n > 0"))  # cut here, so that the join by class can be split
-    found = cut(found.groupBy("label", "cls", "doc_id").agg(F.count(F.lit(1)).alias("of")))
+    found = found.groupBy("label", "cls", "doc_id").agg(F.count(F.lit(1)).alias("of"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "of")).alias("top")
     tops = _redealt(found.groupBy("label").agg(first, F.sum("of").alias("rows")).where("rows > 1"), "label")
     cls, kept, rows = fresh(docs, "cls", "kept", "rows")
