@@ -15,17 +15,19 @@ import pyarrow as pa
 CHUNK = 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: A random 64-bit value for each byte, with A-Z as a-z.
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
+_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)[LOWER]
 #: The same with upper and lower case kept apart.
 _RAW_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.array([_RANDOM.integers(1, 2**63) | 1 for _ in range(8)], dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that are white space.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _POWERS: list[np.ndarray] = []
@@ -63,7 +65,7 @@ class Chunk:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end bytes of all words, and where each document's words begin (n + 1)."""
-        ink = ~_SPACE[self.data]
+        ink = ~SPACE[self.data]
         starts, ends = _runs(ink, self.offsets)
         return starts, ends, np.searchsorted(starts, self.offsets)
 

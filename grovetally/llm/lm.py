@@ -1,57 +1,66 @@
 """Language-model scoring: a causal self-attention model in numpy over subword ids.
 
-A position is a word, embedded by the ids of its first and last subword from a public byte-pair
-vocabulary. One attention head looks back over a window of words; the model predicts the
-class of the next word (a hash of its first subword id, or the end of the text), and counts
-over all training documents give the word within its class:
-
-    p(word | before) = p(class | before) * (count + 1) / (words in class + distinct words in class + 1)
-
-Every count covers all training documents. The network starts as the class frequencies and is
-trained by data-parallel rounds: every partition takes steps on all windows of one part of its
-training documents (by a hash of the id), and the parameters are averaged, weighted by windows,
-in the shuffle. Each round takes another part, so every training document is used once.
+A text is its words (A-Z lower-cased, one space before each) as subword ids of a public byte-pair
+vocabulary, then an end. Every id is a position of the model and every id is predicted: one
+attention head looks back over a window of ids, and a softmax factored by frequency gives
+the probability of the next one. The most frequent ids have outputs of their own, groups of rarer
+ones share an output each and are told apart by a softmax of the group, and the ids of the last
+group, which are rarer than ``CUTS[-1]`` others, by their counts. So all ids have probabilities that add up to 1.
 
 Windows overlap: each holds ``CONTEXT`` positions that are only looked at and ``STRIDE`` that are
-scored, so each token is scored once, with batched masked attention.
+scored, so each id is scored once, with batched masked attention.
+
+Training takes every id of every training document once. Documents are cut into pieces, and pieces
+are dealt by hash to units of about ``UNIT`` ids and to ``ROUNDS`` rounds. In a round each unit takes
+its steps, in the order of its pieces' hashes, from the parameters of the round before; the
+results are averaged, weighted by steps, in whole numbers, so that the order of sums does not matter.
+Units follow from the documents alone: how the input is partitioned changes nothing.
 
-Frequent words are counted in a table of at most ``FREQUENT`` rows that every task holds; the other
-words of each document are joined with the whole count table by a shuffle.
+The unigram figures (``base_score``) count all training documents. Frequent words are counted in a table
+of at most ``FREQUENT`` rows that every task holds; the other words of each document are joined with the
+whole count table by a shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, map_arrow
-from ._text import Chunk, chunks, mix
+from ._spark import cut, map_arrow, written
+from ._text import LOWER, SPACE, Chunk, chunks, mix
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-FREQUENT, CLASSES, ROWS, WIDTH, STRIDE, CONTEXT = 65536, 96, 2048, 16, 24, 8
+FREQUENT, WIDTH, STRIDE, CONTEXT = 65536, 24, 24, 8
 WINDOW = STRIDE + CONTEXT
-#: Training: rounds, among which the training documents are dealt, windows in a step, step size.
-ROUNDS, BATCH, RATE = 8, 128, 0.01
-END_CLASS = 0
+#: Ranks that end the ids with outputs of their own and each group of rarer ones; ids with rows of their own.
+CUTS, ROWS = (64, 192, 512, 1024), 4096
+#: Training: rounds, ids in a unit, units that share a task, ids in a piece, windows in a step, step size.
+ROUNDS, UNIT, SHARED, PIECE, BATCH, RATE = 8, 1 << 19, 4, STRIDE * 512, 64, 0.02
+#: Ids that training sees at least, by going over small tables several times, and the most passes.
+LEAST, MOST_PASSES = 1 << 20, 16
+#: Fractions of a parameter are summed in steps of 2**-POINT.
+POINT = 28
+#: Bytes that are encoded in one piece.
+ENCODED = 1 << 16
 #: The word that ends every text, as a hash.
 _END = np.uint64(0x13198A2E03707344)
 HELD_OUT, FOLDS = 2, 7
 
 
-def held_out(ids: list) -> np.ndarray:
+def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves remainder 2 modulo 7; a null id is no text."""
-    return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % FOLDS == HELD_OUT for i in ids], dtype=bool)
+    return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "utf-8")) % FOLDS == HELD_OUT
 
 
 class Subwords:
-    """First and last subword id of words, kept for words met before."""
+    """The subword ids of texts; ``end`` stands before the first and after the last one."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -60,87 +69,108 @@ class Subwords:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.code = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.begins = np.zeros(max(ranks.values()) + 1, dtype=bool)
-        self.begins[[i for b, i in ranks.items() if b[:1] == b" "]] = True
-        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros((0, 2), np.int32)
-
-    def look(self, c: Chunk, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(first, last) of each word of the chunk."""
-        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        new = np.flatnonzero(~known)
-        ids = np.zeros((len(keys), 2), dtype=np.int32)
-        ids[known] = self.ids[at[known]]
-        if len(new):
-            whole = c.data.tobytes()
-            words = [whole[starts[i] : ends[i]].lower() for i in first[new]]
-            got = np.array(self.code.encode_ordinary((b" " + b" ".join(words)).decode()), dtype=np.int64)
-            begin = np.flatnonzero(self.begins[got])
-            if len(begin) != len(words):  # white space beyond ASCII next to a space
-                each = [self.code.encode_ordinary(" " + w.decode()) for w in words]
-                ids[new] = [(e[0], e[-1]) for e in each]
-            else:
-                ids[new, 0], ids[new, 1] = got[begin], got[np.append(begin[1:], len(got)) - 1]
-            keep = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(keep)
-            self.keys, self.ids = keep[order], np.concatenate([self.ids, ids[new]])[order]
-        return ids[inverse]
-
-
-def word_class(first: np.ndarray) -> np.ndarray:
-    return 1 + (mix(first.astype(np.uint64) + np.uint64(77)) % np.uint64(CLASSES - 1)).astype(np.int64)
+        self.end = max(ranks.values()) + 1
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """Ids of one text. Long ones are cut, before a space where there is one, so that neither a long
+        text nor a long word takes more time for its length."""
+        ids, at = [], 0
+        while at < len(text):
+            to = len(text)
+            if to - at > ENCODED:
+                to = text.rfind(b" ", at + 1, at + ENCODED)
+                if to < 0:
+                    to = at + ENCODED
+                    while text[to] & 0xC0 == 0x80:
+                        to -= 1
+            ids.append(self.code.encode_to_numpy(text[at:to].decode(), disallowed_special=()).astype(np.int32))
+            at = to
+        return np.concatenate([np.zeros(0, np.int32), *ids])
+
+    def sequences(self, c: Chunk, starts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End, ids, end of each document of a chunk in one array, and where each begins; ``starts``
+        and ``begins`` are the words of the chunk."""
+        ink = ~SPACE[c.data]
+        number = np.zeros(len(c.data), dtype=np.int64)
+        number[starts] = 1
+        out = np.full(int(ink.sum()) + len(starts), 32, dtype=np.uint8)
+        out[(np.cumsum(ink) + np.cumsum(number) - 1)[ink]] = LOWER[c.data[ink]]
+        before = np.concatenate([[0], np.cumsum(ink)])[c.offsets] + begins
+        text, edge = out.tobytes(), np.array([self.end], np.int32)
+        parts = [x for i, j in zip(before[:-1], before[1:], strict=True) for x in (edge, self.encode(text[i:j]), edge)]
+        n = np.array([len(x) for x in parts[1::3]], dtype=np.int64) + 2
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum(n)])
+
+
+@dataclass
+class Ranks:
+    """Ids by their number in the training documents: ``of`` id, and the log probability of each rank within
+    the last group, by counts with one more for each id."""
+
+    of: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def by(cls, counts: np.ndarray) -> Ranks:
+        order = np.argsort(-counts, kind="stable")
+        of = np.empty(len(counts), dtype=np.int32)
+        of[order] = np.arange(len(counts), dtype=np.int32)
+        return cls(of, counts[order])
+
+    @property
+    def rows(self) -> int:
+        """Rows of the input table: the ranks met in training that have one of their own, and one for all others."""
+        return min(ROWS, int((self.counts > 0).sum()) + 1)
+
+    def rest(self) -> np.ndarray:
+        c = self.counts[CUTS[-1] :] + 1.0
+        return np.log(c / c.sum()).astype(np.float32)
+
+    def shares(self) -> list[np.ndarray]:
+        """For the first softmax and that of each group but the last: shares by counts with one more."""
+        c, edges = self.counts + 1.0, [*CUTS, len(self.counts)]
+        groups = [c[i:j] for i, j in zip(edges, edges[1:])]
+        first = np.concatenate([c[: CUTS[0]], [g.sum() for g in groups]])
+        return [x / x.sum() for x in (first, *groups[:-1])]
 
 
 @dataclass
 class Text:
-    """The words of a chunk with their hashes and subword ids, and its positions: a start and the
-    words of each document; the target of a position is the class of what comes next."""
-
-    hashes: np.ndarray
-    begins: np.ndarray
-    classes: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
+    """Ranks at all positions, the rank that follows each, and where each document's positions begin."""
+
+    rank: np.ndarray
     target: np.ndarray
     offsets: np.ndarray
 
+    @classmethod
+    def of(cls, seq: np.ndarray, begins: np.ndarray, ranks: Ranks) -> Text:
+        """Of sequences as :meth:`Subwords.sequences` gives them: the last end of each is only a target."""
+        got = ranks.of[seq]
+        last = np.zeros(len(seq) + 1, dtype=bool)
+        last[begins[1:] - 1] = True
+        inner = np.flatnonzero(~last[: len(seq)])
+        return cls(got[inner], got[inner + 1], begins - np.arange(len(begins)))
+
 
-def read(c: Chunk, subwords: Subwords) -> Text:
-    starts, ends, begins = c.words()
-    h = c.span_hash(starts, ends)
-    ids = subwords.look(c, h, starts, ends) if len(h) else np.zeros((0, 2), np.int32)
-    n = np.diff(begins)
-    offsets = np.concatenate([[0], np.cumsum(n + 1)])
-    first, last, target = (np.zeros(offsets[-1], dtype=np.int64) for _ in range(3))
-    inner = np.ones(offsets[-1], dtype=bool)
-    inner[offsets[:-1]] = False
-    classes = word_class(ids[:, 0])
-    first[inner] = 1 + ids[:, 0].astype(np.int64) % (ROWS - 1)
-    last[inner] = 1 + ids[:, 1].astype(np.int64) % (ROWS - 1)
-    target[np.flatnonzero(inner) - 1] = classes
-    target[offsets[1:] - 1] = END_CLASS
-    return Text(h, begins, classes, first, last, target, offsets)
-
-
-def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first position (may lie before the document) and number of each window."""
-    n = np.diff(offsets)
+def windows(offsets: np.ndarray, lead: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Document and first position (may lie before the document) of each window; the first ``lead``
+    positions of a document are only looked at."""
+    n = np.diff(offsets) - lead
     count = -(-n // STRIDE)
     doc = np.repeat(np.arange(len(n)), count)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return doc, offsets[doc] + number * STRIDE - CONTEXT, number
+    return doc, (offsets[:-1] + lead)[doc] + number * STRIDE - CONTEXT
 
 
-NAMES = ("first", "last", "place", "query", "key", "value", "out", "head", "bias")
-
-
-def start(class_share: np.ndarray) -> dict[str, np.ndarray]:
-    """A network that predicts the class shares whatever stands before."""
+def start(ranks: Ranks) -> dict[str, np.ndarray]:
+    """A network that predicts the shares of ids whatever stands before."""
     r = np.random.default_rng(7)
-    shapes = {"first": (ROWS, WIDTH), "last": (ROWS, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, WIDTH), "head": (WIDTH, CLASSES)}
-    p = {k: (r.standard_normal(s) * (0.3 if k in ("first", "last") else 0.1 if k == "place" else 0.0 if k == "head" else WIDTH**-0.5)).astype(np.float32) for k, s in shapes.items()}
-    return p | {"bias": np.log(np.maximum(class_share, 1e-9)).astype(np.float32)}
+    d = WIDTH
+    p = {"embed": 0.3 * r.standard_normal((ranks.rows, d)), "place": 0.1 * r.standard_normal((WINDOW, d))}
+    p |= {k: d**-0.5 * r.standard_normal((d, d)) for k in ("query", "key", "value", "out")}
+    for i, s in enumerate(ranks.shares()):
+        p |= {f"head{i}": np.zeros((d, len(s))), f"bias{i}": np.log(s)}
+    return {k: x.astype(np.float32) for k, x in p.items()}
 
 
 #: 1 where a scored position (row) may look: at itself and before.
@@ -149,96 +179,142 @@ _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).as
 _MOST = np.float32(40)
 
 
-def forward(p: dict, t: Text, doc: np.ndarray, at: np.ndarray) -> dict:
+def _within(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -_MOST, _MOST, out=x) if x.size and max(x.max(), -x.min()) > _MOST else x
+
+
+def _softmax(h: np.ndarray, p: dict, i: int, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities under head ``i`` and the log probability of each target."""
+    y = _within(h @ p[f"head{i}"] + p[f"bias{i}"])
+    own = y[np.arange(len(y)), target]
+    np.exp(y, out=y)
+    total = y @ np.ones(y.shape[1], np.float32)
+    y /= total[:, None]
+    return y, own - np.log(total)
+
+
+def forward(p: dict, t: Text, rest: np.ndarray, doc: np.ndarray, at: np.ndarray) -> dict:
     """log p of the target of each scored position of some windows, and what the gradient needs."""
     place = at[:, None] + np.arange(WINDOW)
     valid = (place >= t.offsets[doc][:, None]) & (place < t.offsets[doc + 1][:, None])
-    place = np.clip(place, 0, len(t.first) - 1)
-    f, l = t.first[place], t.last[place]
-    x = p["first"][f] + p["last"][l] + p["place"]
+    place = np.clip(place, 0, len(t.rank) - 1)
+    row = np.minimum(t.rank[place], len(p["embed"]) - 1)
+    x = p["embed"][row] + p["place"]
     own = x[:, CONTEXT:]
     q, k, v = own @ p["query"], x @ p["key"], x @ p["value"]
     s = q @ k.transpose(0, 2, 1)
     s *= np.float32(WIDTH**-0.5)
-    np.exp(np.clip(s, -_MOST, _MOST, out=s), out=s)
+    np.exp(_within(s), out=s)
     s *= _CAUSAL
     s *= valid[:, None, :]
     s /= np.maximum(s @ np.ones((WINDOW, 1), np.float32), np.float32(1e-30))
     z = s @ v
-    h = own + z @ p["out"]
-    y = h @ p["head"] + p["bias"]
-    e = np.exp(np.clip(y, -_MOST, _MOST, out=y))
-    total = (e @ np.ones((CLASSES, 1), np.float32))[:, :, 0]
-    target, scored = t.target[place[:, CONTEXT:]], valid[:, CONTEXT:]
-    logp = np.take_along_axis(y, target[:, :, None], 2)[:, :, 0] - np.log(total)
-    return {"f": f, "l": l, "x": x, "own": own, "q": q, "k": k, "v": v, "s": s, "z": z, "h": h, "e": e, "total": total, "target": target, "scored": scored, "logp": logp}
+    scored = np.flatnonzero(valid[:, CONTEXT:])
+    h = (own + z @ p["out"]).reshape(-1, WIDTH)[scored]
+    target = t.target[place[:, CONTEXT:].ravel()[scored]]
+    group = np.searchsorted(CUTS, target, side="right")  # 0: an output of its own
+    probs, logp = _softmax(h, p, 0, np.where(group > 0, CUTS[0] + group - 1, target))
+    tails = []
+    for g in range(1, len(CUTS)):
+        some = np.flatnonzero(group == g)
+        tail, more = _softmax(h[some], p, g, target[some] - CUTS[g - 1])
+        logp[some] += more
+        tails.append((some, tail))
+    some = np.flatnonzero(group == len(CUTS))
+    logp[some] += rest[target[some] - CUTS[-1]]
+    return {"row": row, "x": x, "own": own, "q": q, "k": k, "v": v, "s": s, "z": z, "h": h, "scored": scored, "target": target, "group": group, "probs": probs, "tails": tails, "logp": logp}
 
 
 def gradient(p: dict, a: dict) -> dict[str, np.ndarray]:
     """Of the mean negative log-likelihood of the scored positions."""
-    n = max(1, int(a["scored"].sum()))
-    dy = a["e"] / a["total"][:, :, None]
-    np.put_along_axis(dy, a["target"][:, :, None], np.take_along_axis(dy, a["target"][:, :, None], 2) - 1, 2)
-    dy *= (a["scored"] / np.float32(n))[:, :, None].astype(np.float32)
+    n, h, group = max(1, len(a["scored"])), a["h"], a["group"]
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"head": flat(a["h"]).T @ flat(dy), "bias": flat(dy).sum(0)}
-    dh = dy @ p["head"].T
+    share = np.float32(1 / n)
+
+    def head(i: int, some, dy: np.ndarray, target: np.ndarray) -> np.ndarray:
+        dy[np.arange(len(dy)), target] -= 1
+        dy *= share
+        g[f"head{i}"], g[f"bias{i}"] = h[some].T @ dy, dy.sum(0)
+        return dy @ p[f"head{i}"].T
+
+    g: dict[str, np.ndarray] = {}
+    dh = head(0, slice(None), a["probs"], np.where(group > 0, CUTS[0] + group - 1, a["target"]))
+    for i, (some, tail) in enumerate(a["tails"], 1):
+        dh[some] += head(i, some, tail, a["target"][some] - CUTS[i - 1])
+    full = np.zeros((a["own"].shape[0] * STRIDE, WIDTH), dtype=np.float32)
+    full[a["scored"]] = dh
+    dh = full.reshape(a["own"].shape)
     g["out"] = flat(a["z"]).T @ flat(dh)
     dz = dh @ p["out"].T
     dv = a["s"].transpose(0, 2, 1) @ dz
     ds = dz @ a["v"].transpose(0, 2, 1)
-    ds = a["s"] * (ds - (ds * a["s"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
+    ds -= (ds * a["s"]).sum(axis=2, keepdims=True)
+    ds *= a["s"]
+    ds *= np.float32(WIDTH**-0.5)
     dq, dk = ds @ a["k"], ds.transpose(0, 2, 1) @ a["q"]
     g["query"], g["key"], g["value"] = flat(a["own"]).T @ flat(dq), flat(a["x"]).T @ flat(dk), flat(a["x"]).T @ flat(dv)
     dx = dk @ p["key"].T + dv @ p["value"].T
     dx[:, CONTEXT:] += dh + dq @ p["query"].T
     g["place"] = dx.sum(0)
-    for name, index in (("first", "f"), ("last", "l")):
-        g[name] = np.stack([np.bincount(a[index].ravel(), weights=dx[:, :, j].ravel(), minlength=ROWS) for j in range(WIDTH)], axis=1).astype(np.float32)
+    index, by = a["row"].ravel(), np.ascontiguousarray(flat(dx).T)
+    g["embed"] = np.stack([np.bincount(index, weights=by[j], minlength=len(p["embed"])) for j in range(WIDTH)], axis=1).astype(np.float32)
     return g
 
 
 class Adam:
-    def __init__(self, p: dict):
-        self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    def __init__(self, p: dict, rate: float):
+        self.m, self.v, self.t, self.rate = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, rate
 
     def step(self, p: dict, g: dict) -> None:
         self.t += 1
-        for k in NAMES:
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g[k] ** 2
-            p[k] = (p[k] - RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        near, far = np.float32(1 - 0.9**self.t), np.float32(1 - 0.99**self.t)
+        for k, x in p.items():
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g[k]
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * g[k] ** 2
+            x -= np.float32(self.rate) * (m / near) / (np.sqrt(v / far) + np.float32(1e-8))
 
 
-def counts(docs: DataFrame, path: str) -> DataFrame:
-    """(word, class, n) over all training documents; each task folds its own words first."""
+def counts(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
+    """(word, n) over all training documents, and the number of each subword id in them; each task folds its
+    own words first, and ids are as few as the vocabulary has."""
 
     def run(batches):
         subwords, parts = Subwords(path), []
+        ids = np.zeros(subwords.end + 1, dtype=np.int64)
 
         def fold(parts):
-            key = np.concatenate([x[0] for x in parts])
-            keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            return keys, np.concatenate([x[1] for x in parts])[first], np.bincount(inverse, weights=np.concatenate([x[2] for x in parts]), minlength=len(keys)).astype(np.int64)
+            keys, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            return keys, np.bincount(inverse, weights=np.concatenate([x[1] for x in parts]), minlength=len(keys)).astype(np.int64)
+
+        def rows(kind, keys, n):
+            for i in range(0, len(keys), 1 << 16):
+                key = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key), pa.array(n[i : i + (1 << 16)])], ["subword", "word", "n"])
 
         for b in batches:
-            train = ~held_out(b.column(0).to_pylist())
-            for c in chunks(b.column(1)):
-                own = train[c.first : c.last]
-                t = read(c, subwords)
-                use = np.repeat(own, np.diff(t.begins))
-                if own.any():
-                    ends = (np.array([_END]), np.array([END_CLASS]), np.array([int(own.sum())]))
-                    parts.append(fold([(t.hashes[use], t.classes[use], np.ones(int(use.sum()))), ends]))
+            for c in chunks(b.column(0)):
+                starts, ends, begins = c.words()
+                parts.append(fold([(np.append(c.span_hash(starts, ends), _END), np.append(np.ones(len(starts)), c.n))]))
+                seq, at = subwords.sequences(c, starts, begins)
+                ids += np.bincount(seq, minlength=len(ids))
+                ids[-1] -= c.n  # the end before a document is not predicted
                 if len(parts) > 16:
                     parts = [fold(parts)]
         if parts:
-            keys, classes, n = fold(parts)
-            for i in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(classes[i : i + (1 << 16)].astype(np.int32)), pa.array(n[i : i + (1 << 16)])], ["word", "class", "n"])
+            keys, n = fold(parts)
+            yield from rows(False, keys.view(np.int64), n)
+            some = np.flatnonzero(ids)
+            yield from rows(True, some, ids[some])
 
-    found = docs.select("doc_id", "text").transform(map_arrow, run, "word long, class int, n long")
-    return found.groupBy("word", "class").agg(F.sum("n").alias("n"))
+    found = docs.where(~held_out()).select("text").transform(map_arrow, run, "subword boolean, word long, n long")
+    found = cut(found.groupBy("subword", "word").agg(F.sum("n").alias("n")))
+    got = found.where("subword").select("word", "n").toPandas()
+    ids = np.zeros(Subwords(path).end + 1, dtype=np.int64)
+    ids[got["word"].to_numpy()] = got["n"].to_numpy()
+    return found.where("not subword").select("word", "n"), ids
 
 
 def frequent(vocabulary: DataFrame) -> DataFrame:
@@ -254,95 +330,172 @@ def frequent(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(level >= least).select("word", "n")
 
 
-def train(docs: DataFrame, p: dict, path: str) -> dict:
-    """The parameters after ROUNDS data-parallel rounds, which take all training documents once."""
+def pieces(docs: DataFrame, path: str, units: int) -> DataFrame:
+    """(round, unit, key, lead, ids): the training documents in pieces of at most PIECE scored ids. A piece holds
+    ``lead`` ids before them that are only looked at; it is dealt by the hash of its ids and its place."""
+
+    def run(batches):
+        subwords = Subwords(path)
+        kind = np.uint16 if subwords.end < 1 << 16 else np.uint32
+        for b in batches:
+            for c in chunks(b.column(0)):
+                starts, ends, begins = c.words()
+                seq, at = subwords.sequences(c, starts, begins)
+                whole = c.span_hash(c.offsets[:-1], c.offsets[1:])
+                keys, leads, ids = [], [], []
+                for d in range(c.n):
+                    own = seq[at[d] : at[d + 1]].astype(kind)
+                    for i in range(0, len(own) - 1, PIECE):
+                        lead = min(i, CONTEXT)
+                        keys.append(int(whole[d]) ^ i)
+                        leads.append(lead)
+                        ids.append(own[i - lead : i + PIECE + 1].tobytes())
+                key = mix(np.array(keys, dtype=np.uint64))
+                turn, unit = key % np.uint64(ROUNDS), key // np.uint64(ROUNDS) % np.uint64(units)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(turn.astype(np.int32)), pa.array(unit.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.array(leads, dtype=np.int32)), pa.array(ids, pa.binary())],
+                    ["round", "unit", "key", "lead", "ids"],
+                )
+
+    return docs.where(~held_out()).select("text").transform(map_arrow, run, "round int, unit int, key long, lead int, ids binary")
+
+
+def passes(ranks: Ranks) -> int:
+    """How often a round goes over its pieces: once, or more where there are few, so that the weights
+    get about ``LEAST`` ids in all."""
+    return int(np.clip(-(-LEAST // max(1, int(ranks.counts.sum()))), 1, MOST_PASSES))
+
+
+def train_unit(p: dict, seqs: list[np.ndarray], lead: np.ndarray, ranks: Ranks, rate: float) -> tuple[dict, int]:
+    """The parameters after the passes over the pieces of a unit, and the number of steps."""
+    own = {k: x.copy() for k, x in p.items()}
+    t = Text.of(np.concatenate(seqs).astype(np.int32), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]), ranks)
+    doc, at = windows(t.offsets, lead)
+    # windows of all pieces take turns, so that a step does not see one text only
+    order = np.concatenate([np.argsort(mix(np.arange(len(doc), dtype=np.uint64) + np.uint64(i << 32)), kind="stable") for i in range(passes(ranks))])
+    doc, at, adam, rest = doc[order], at[order], Adam(own, rate), ranks.rest()
+    for i in range(0, len(doc), BATCH):
+        adam.step(own, gradient(own, forward(own, t, rest, doc[i : i + BATCH], at[i : i + BATCH])))
+    return own, adam.t
+
+
+def by_unit(batches, kind) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Ids and leads of the pieces of each unit, from rows in the order of units."""
+    now, seqs, leads = None, [], []
+    for b in batches:
+        for unit, lead, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if unit != now and seqs:
+                yield seqs, np.array(leads)
+                seqs, leads = [], []
+            now = unit
+            seqs.append(np.frombuffer(ids.as_buffer(), kind))
+            leads.append(lead)
+    if seqs:
+        yield seqs, np.array(leads)
+
+
+def train(docs: DataFrame, ranks: Ranks, path: str) -> dict:
+    """The parameters after ROUNDS rounds, which take all ids of the training documents once. The driver gets
+    one set of parameters a round, as sums that the executors have made."""
     sc = docs.sparkSession.sparkContext
-    sizes = {k: p[k].size for k in NAMES}
+    p, kind = start(ranks), np.uint16 if len(ranks.of) <= 1 << 16 else np.uint32
+    sizes, part = {k: x.size for k, x in p.items()}, 1 << 14
+    units = max(1, round(int(ranks.counts.sum()) / (ROUNDS * UNIT)))
+    tasks = -(-units // SHARED)
+    dealt = written(pieces(docs, path, units), "pieces")
     for turn in range(ROUNDS):
-        sent = sc.broadcast(p)
-
-        def run(batches, sent=sent):
-            own, subwords, n = {k: v.copy() for k, v in sent.value.items()}, Subwords(path), 0
-            adam = Adam(own)
+        sent, rate = sc.broadcast((p, ranks)), RATE * (1 - turn / ROUNDS)
+
+        def run(batches, sent=sent, rate=rate):
+            p, ranks = sent.value
+            total, steps = np.zeros(sum(sizes.values()), dtype=np.int64), 0
+            for seqs, lead in by_unit(batches, kind):
+                own, n = train_unit(p, seqs, lead, ranks, rate)
+                total += np.round(np.concatenate([own[k].ravel() for k in sizes]).astype(np.float64) * 2.0**POINT).astype(np.int64) * n
+                steps += n
+            for i in range(0, len(total) if steps else 0, part):
+                yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int32()), pa.array([total[i : i + part].tobytes()], pa.binary()), pa.array([steps])], ["slice", "sums", "steps"])
+
+        def add(batches):
+            sums: dict[int, list] = {}
             for b in batches:
-                pick = np.flatnonzero(~held_out(b.column(0).to_pylist()))
-                for c in chunks(b.column(1).take(pa.array(pick))):
-                    t = read(c, subwords)
-                    doc, at, _ = windows(t.offsets)
-                    for i in range(0, len(doc), BATCH):
-                        adam.step(own, gradient(own, forward(own, t, doc[i : i + BATCH], at[i : i + BATCH])))
-                    n += len(doc)
-            if n:
-                flat = np.concatenate([own[k].ravel() for k in NAMES]).astype(np.float64)
-                for i in range(0, len(flat), 1 << 14):
-                    part = flat[i : i + (1 << 14)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part * n), pa.array(np.full(len(part), n, dtype=np.int64))], ["place", "value", "n"])
-
-        part = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" turn"))) % ROUNDS
-        steps = docs.where(part == turn).select("doc_id", "text").transform(map_arrow, run, "place int, value double, n long")
-        got = steps.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas().sort_values("place")["value"].to_numpy()
-        if not len(got):  # no training document in this part
+                for i, x, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                    x = np.frombuffer(x.as_buffer(), np.int64)
+                    sums[i] = [sums[i][0] + x, sums[i][1] + n] if i in sums else [x, n]
+            for i, (x, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n])], ["slice", "sums", "steps"])
+
+        rows = dealt.where(F.col("round") == turn).repartitionById(tasks, F.pmod("unit", F.lit(tasks))).sortWithinPartitions("unit", "key", "ids")
+        done = rows.select("unit", "lead", "ids").transform(map_arrow, run, "slice int, sums binary, steps long")
+        got = sorted(done.repartition(-(-sum(sizes.values()) // part), "slice").transform(map_arrow, add, "slice int, sums binary, steps long").collect())
+        if not got:  # no training document in this part
             continue
-        new, i = {}, 0
-        for k in NAMES:
-            new[k] = got[i : i + sizes[k]].reshape(p[k].shape).astype(np.float32)
+        flat, i, new = np.concatenate([np.frombuffer(r["sums"], np.int64) / (2.0**POINT * r["steps"]) for r in got]), 0, {}
+        for k in sizes:
+            new[k] = flat[i : i + sizes[k]].reshape(p[k].shape).astype(np.float32)
             i += sizes[k]
         p = new
     return p
 
 
+def log10_texts(p: dict, t: Text, rest: np.ndarray) -> np.ndarray:
+    """log10 of the model's probability of each document."""
+    total = np.zeros(len(t.offsets) - 1)
+    doc, at = windows(t.offsets)
+    for i in range(0, len(doc), 512):
+        own = doc[i : i + 512]
+        a = forward(p, t, rest, own, at[i : i + 512])
+        total += np.bincount(np.repeat(own, STRIDE)[a["scored"]], weights=a["logp"], minlength=len(total))
+    return total / np.log(10)
+
+
 def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are runs without ASCII white space with A-Z lower-cased, and an end follows each text;
     null and empty texts are just the end. ``base_score`` is the sum of
-    log10((c + 1) / (N + V + 1)) over the tokens, ``score`` the model's log10 probability of the
+    log10((c + 1) / (N + V + 1)) over the words and the end, ``score`` the model's log10 probability of the
     text. A null id counts as empty text in the split. Repeated rows are documents of their own.
-    Without training documents all counts are 0. Other columns are not read.
+    Without training documents all counts are 0, and all subword ids as likely. Other columns are not read.
     """
-    vocabulary = cut(counts(docs, path))
-    sums = {r["class"]: (r["n"], r["v"]) for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    size = np.array([sum(sums.get(k, (0, 0))) + 1 for k in range(CLASSES)], dtype=float)
-    n_train, n_distinct = sum(x[0] for x in sums.values()), sum(x[1] for x in sums.values())
+    vocabulary, ids = counts(docs, path)
+    sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("word") == int(_END.view(np.int64)), F.col("n"))), F.lit(0))).first()
+    n_train, n_distinct, ends = sums
     top = frequent(vocabulary).toPandas()
     word = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(word)
-    network = train(docs, start(size / size.sum()), path)
-    sent = docs.sparkSession.sparkContext.broadcast((network, word[order], np.log10(top["n"].to_numpy(dtype=float)[order] + 1), np.log10(size), sums.get(END_CLASS, (0, 0))[0]))
+    ranks = Ranks.by(ids)
+    network = train(docs, ranks, path)
+    sent = docs.sparkSession.sparkContext.broadcast((network, ranks, word[order], np.log10(top["n"].to_numpy(dtype=float)[order] + 1), ends))
 
     def run(batches):
-        p, keys, logs, class_logs, ends = sent.value
-        subwords = Subwords(path)
+        p, ranks, keys, logs, ends = sent.value
+        subwords, rest = Subwords(path), ranks.rest()
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for c in chunks(b.column(1)):
-                t = read(c, subwords)
-                doc, at, _ = windows(t.offsets)
-                total = np.zeros(c.n)
-                for i in range(0, len(doc), 512):
-                    a = forward(p, t, doc[i : i + 512], at[i : i + 512])
-                    total += np.bincount(doc[i : i + 512], weights=np.where(a["scored"], a["logp"], 0).sum(axis=1), minlength=c.n)
-                n = np.diff(t.begins)
+            for c in chunks(b.column(2)):
+                starts, stops, begins = c.words()
+                h = c.span_hash(starts, stops)
+                model = log10_texts(p, Text.of(*subwords.sequences(c, starts, begins), ranks), rest)
+                n = np.diff(begins)
                 owner = np.repeat(np.arange(c.n), n)
-                where = np.minimum(np.searchsorted(keys, t.hashes), max(len(keys) - 1, 0))
-                hit = keys[where] == t.hashes if len(keys) else np.zeros(len(t.hashes), bool)
+                where = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                hit = keys[where] == h if len(keys) else np.zeros(len(h), bool)
                 known = np.bincount(owner[hit], minlength=c.n) + (ends > 0)
                 shared = np.bincount(owner[hit], weights=logs[where[hit]], minlength=c.n) + np.log10(ends + 1)
-                fixed = total / np.log(10) - np.bincount(owner, weights=class_logs[t.classes], minlength=c.n) - class_logs[END_CLASS]
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=c.n))]).astype(np.int32)), pa.array(t.hashes[~hit].view(np.int64)))
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=c.n))]).astype(np.int32)), pa.array(h[~hit].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(c.first, c.n), pa.array(held_out(ids[c.first : c.last])), pa.array(n + 1), pa.array(known), pa.array(shared), pa.array(fixed), rare],
-                    ["doc_id", "held_out", "n_tokens", "known", "shared", "fixed", "rare"],
+                    [b.column(0).slice(c.first, c.n), b.column(1).slice(c.first, c.n), pa.array(n + 1), pa.array(known), pa.array(shared), pa.array(model), rare],
+                    ["doc_id", "held_out", "n_tokens", "known", "shared", "score", "rare"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").transform(map_arrow, run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, shared double, fixed double, rare array<long>")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text").transform(map_arrow, run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, shared double, score double, rare array<long>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode("rare").alias("word")).join(vocabulary.select("word", "n"), "word")
+    rare = rows.select("row", F.explode("rare").alias("word")).join(vocabulary, "word")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
     out = rows.drop("rare").join(rare, "row", "left").fillna({"more": 0, "logs": 0.0})
     words = F.col("shared") + F.col("logs")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (words - F.col("n_tokens") * F.lit(float(np.log10(n_train + n_distinct + 1)))).alias("base_score"), (words + F.col("fixed")).alias("score"),
+        (words - F.col("n_tokens") * F.lit(float(np.log10(n_train + n_distinct + 1)))).alias("base_score"), "score",
     )
