@@ -18,7 +18,8 @@ Units follow from the documents alone: how the input is partitioned changes noth
 
 The unigram figures (``base_score``) count all training documents. Frequent words are counted in a table
 of at most ``FREQUENT`` rows that every task holds; the other words of each document are joined with the
-whole count table by a shuffle.
+whole count table by a shuffle. Texts are read twice, for these counts and for the ids, which are written and
+then read by training and scoring.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FREQUENT, WIDTH, STRIDE, CONTEXT = 65536, 24, 24, 8
 WINDOW = STRIDE + CONTEXT
 #: Ranks that end the ids with outputs of their own and each group of rarer ones; ids with rows of their own.
-CUTS, ROWS = (64, 192, 512, 1024), 4096
+CUTS, ROWS = (64, 128, 256, 512, 1024), 4096
 #: Training: rounds, ids in a unit, units that share a task, ids in a piece, windows in a step, step size.
-ROUNDS, UNIT, SHARED, PIECE, BATCH, RATE = 8, 1 << 19, 4, STRIDE * 512, 64, 0.02
+ROUNDS, UNIT, SHARED, PIECE, BATCH, RATE = 8, 1 << 19, 4, STRIDE * 512, 128, 0.02
 #: Ids that training sees at least, by going over small tables several times, and the most passes.
 LEAST, MOST_PASSES = 1 << 20, 16
 #: Fractions of a parameter are summed in steps of 2**-POINT.
@@ -163,101 +165,105 @@ def windows(offsets: np.ndarray, lead: np.ndarray | int = 0) -> tuple[np.ndarray
 
 
 def start(ranks: Ranks) -> dict[str, np.ndarray]:
-    """A network that predicts the shares of ids whatever stands before."""
+    """A network that predicts the shares of ids whatever stands before. The last row of a head is its bias."""
     r = np.random.default_rng(7)
     d = WIDTH
     p = {"embed": 0.3 * r.standard_normal((ranks.rows, d)), "place": 0.1 * r.standard_normal((WINDOW, d))}
-    p |= {k: d**-0.5 * r.standard_normal((d, d)) for k in ("query", "key", "value", "out")}
-    for i, s in enumerate(ranks.shares()):
-        p |= {f"head{i}": np.zeros((d, len(s))), f"bias{i}": np.log(s)}
+    p |= {"look": d**-0.5 * r.standard_normal((d, 3 * d)), "out": d**-0.5 * r.standard_normal((d, d))}
+    p |= {f"head{i}": np.concatenate([np.zeros((d, len(s))), np.log(s)[None]]) for i, s in enumerate(ranks.shares())}
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
 #: 1 where a scored position (row) may look: at itself and before.
 _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
-#: Scores and logits are held within this bound, so their exponentials stay finite.
-_MOST = np.float32(40)
+#: Scores and logits stay below this, so their exponentials stay finite; sums of those stay above the other.
+_MOST, _LEAST = np.float32(60), np.float32(1e-30)
 
 
-def _within(x: np.ndarray) -> np.ndarray:
-    return np.clip(x, -_MOST, _MOST, out=x) if x.size and max(x.max(), -x.min()) > _MOST else x
-
-
-def _softmax(h: np.ndarray, p: dict, i: int, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities under head ``i`` and the log probability of each target."""
-    y = _within(h @ p[f"head{i}"] + p[f"bias{i}"])
+def _softmax(h: np.ndarray, head: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials under a head, their sums, and the log probability of each target."""
+    y = h @ head
+    np.minimum(y, _MOST, out=y)
     own = y[np.arange(len(y)), target]
     np.exp(y, out=y)
-    total = y @ np.ones(y.shape[1], np.float32)
-    y /= total[:, None]
-    return y, own - np.log(total)
+    total = np.maximum(y @ np.ones(y.shape[1], np.float32), _LEAST)
+    return y, total, own - np.log(total)
 
 
 def forward(p: dict, t: Text, rest: np.ndarray, doc: np.ndarray, at: np.ndarray) -> dict:
     """log p of the target of each scored position of some windows, and what the gradient needs."""
+    d, n = WIDTH, len(doc)
     place = at[:, None] + np.arange(WINDOW)
     valid = (place >= t.offsets[doc][:, None]) & (place < t.offsets[doc + 1][:, None])
     place = np.clip(place, 0, len(t.rank) - 1)
     row = np.minimum(t.rank[place], len(p["embed"]) - 1)
-    x = p["embed"][row] + p["place"]
-    own = x[:, CONTEXT:]
-    q, k, v = own @ p["query"], x @ p["key"], x @ p["value"]
+    x = p["embed"][row]
+    x += p["place"]
+    seen = valid[:, :, None].astype(np.float32)
+    # places outside the document have no weight in the sums and no share in their total
+    look = (x.reshape(-1, d) @ p["look"]).reshape(n, WINDOW, 3 * d)
+    q, k = look[:, CONTEXT:, :d] * np.float32(d**-0.5), look[:, :, d : 2 * d] * seen
+    v = np.empty((n, WINDOW, d + 1), dtype=look.dtype)
+    np.multiply(look[:, :, 2 * d :], seen, out=v[:, :, :d])
+    v[:, :, d:] = seen
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    np.exp(_within(s), out=s)
+    np.minimum(s, _MOST, out=s)
+    np.exp(s, out=s)
     s *= _CAUSAL
-    s *= valid[:, None, :]
-    s /= np.maximum(s @ np.ones((WINDOW, 1), np.float32), np.float32(1e-30))
     z = s @ v
+    total = np.maximum(z[:, :, d:], _LEAST)
+    z = z[:, :, :d] / total
     scored = np.flatnonzero(valid[:, CONTEXT:])
-    h = (own + z @ p["out"]).reshape(-1, WIDTH)[scored]
+    h = np.ones((len(scored), d + 1), dtype=look.dtype)
+    h[:, :d] = (x[:, CONTEXT:].reshape(-1, d) + z.reshape(-1, d) @ p["out"])[scored]
     target = t.target[place[:, CONTEXT:].ravel()[scored]]
     group = np.searchsorted(CUTS, target, side="right")  # 0: an output of its own
-    probs, logp = _softmax(h, p, 0, np.where(group > 0, CUTS[0] + group - 1, target))
-    tails = []
+    heads = [(slice(None), np.where(group > 0, CUTS[0] + group - 1, target))]
     for g in range(1, len(CUTS)):
         some = np.flatnonzero(group == g)
-        tail, more = _softmax(h[some], p, g, target[some] - CUTS[g - 1])
-        logp[some] += more
-        tails.append((some, tail))
+        heads.append((some, target[some] - CUTS[g - 1]))
     some = np.flatnonzero(group == len(CUTS))
-    logp[some] += rest[target[some] - CUTS[-1]]
-    return {"row": row, "x": x, "own": own, "q": q, "k": k, "v": v, "s": s, "z": z, "h": h, "scored": scored, "target": target, "group": group, "probs": probs, "tails": tails, "logp": logp}
+    logp, soft = np.zeros(len(scored), dtype=look.dtype), []
+    logp[some] = rest[target[some] - CUTS[-1]]
+    for i, (some, own) in enumerate(heads):
+        e, sums, more = _softmax(h[some], p[f"head{i}"], own)
+        logp[some] += more
+        soft.append((some, own, e, sums))
+    return {"row": row, "x": x, "seen": seen, "q": q, "k": k, "v": v, "s": s, "z": z, "total": total, "h": h, "scored": scored, "soft": soft, "logp": logp}
 
 
 def gradient(p: dict, a: dict) -> dict[str, np.ndarray]:
-    """Of the mean negative log-likelihood of the scored positions."""
-    n, h, group = max(1, len(a["scored"])), a["h"], a["group"]
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    share = np.float32(1 / n)
-
-    def head(i: int, some, dy: np.ndarray, target: np.ndarray) -> np.ndarray:
-        dy[np.arange(len(dy)), target] -= 1
-        dy *= share
-        g[f"head{i}"], g[f"bias{i}"] = h[some].T @ dy, dy.sum(0)
-        return dy @ p[f"head{i}"].T
-
+    """Of the mean negative log-likelihood of the scored positions; uses up ``a``."""
+    d, h, share = WIDTH, a["h"], np.float32(1 / max(1, len(a["scored"])))
+    n = len(a["x"])
     g: dict[str, np.ndarray] = {}
-    dh = head(0, slice(None), a["probs"], np.where(group > 0, CUTS[0] + group - 1, a["target"]))
-    for i, (some, tail) in enumerate(a["tails"], 1):
-        dh[some] += head(i, some, tail, a["target"][some] - CUTS[i - 1])
-    full = np.zeros((a["own"].shape[0] * STRIDE, WIDTH), dtype=np.float32)
-    full[a["scored"]] = dh
-    dh = full.reshape(a["own"].shape)
-    g["out"] = flat(a["z"]).T @ flat(dh)
-    dz = dh @ p["out"].T
-    dv = a["s"].transpose(0, 2, 1) @ dz
-    ds = dz @ a["v"].transpose(0, 2, 1)
-    ds -= (ds * a["s"]).sum(axis=2, keepdims=True)
+    dh = np.zeros((n * STRIDE, d), dtype=h.dtype)
+    own_dh = np.zeros((len(h), d), dtype=h.dtype)
+    for i, (some, own, dy, sums) in enumerate(a["soft"]):
+        dy *= (share / sums)[:, None]
+        dy[np.arange(len(dy)), own] -= share
+        g[f"head{i}"] = h[some].T @ dy
+        own_dh[some] += dy @ p[f"head{i}"][:d].T
+    dh[a["scored"]] = own_dh
+    g["out"] = a["z"].reshape(-1, d).T @ dh
+    dz = (dh @ p["out"].T).reshape(n, STRIDE, d)
+    mean = (dz * a["z"]).sum(axis=2, keepdims=True)
+    dz /= a["total"]
+    mean /= a["total"]
+    ds = dz @ a["v"][:, :, :d].transpose(0, 2, 1)
+    ds -= mean
     ds *= a["s"]
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = ds @ a["k"], ds.transpose(0, 2, 1) @ a["q"]
-    g["query"], g["key"], g["value"] = flat(a["own"]).T @ flat(dq), flat(a["x"]).T @ flat(dk), flat(a["x"]).T @ flat(dv)
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, CONTEXT:] += dh + dq @ p["query"].T
+    dlook = np.zeros((n, WINDOW, 3 * d), dtype=h.dtype)
+    np.multiply(ds @ a["k"], np.float32(d**-0.5), out=dlook[:, CONTEXT:, :d])
+    np.multiply(ds.transpose(0, 2, 1) @ a["q"], a["seen"], out=dlook[:, :, d : 2 * d])
+    np.multiply(a["s"].transpose(0, 2, 1) @ dz, a["seen"], out=dlook[:, :, 2 * d :])
+    dlook = dlook.reshape(-1, 3 * d)
+    g["look"] = a["x"].reshape(-1, d).T @ dlook
+    dx = (dlook @ p["look"].T).reshape(n, WINDOW, d)
+    dx[:, CONTEXT:] += dh.reshape(n, STRIDE, d)
     g["place"] = dx.sum(0)
-    index, by = a["row"].ravel(), np.ascontiguousarray(flat(dx).T)
-    g["embed"] = np.stack([np.bincount(index, weights=by[j], minlength=len(p["embed"])) for j in range(WIDTH)], axis=1).astype(np.float32)
+    index, by = a["row"].ravel(), np.ascontiguousarray(dx.reshape(-1, d).T)
+    g["embed"] = np.stack([np.bincount(index, weights=by[j], minlength=len(p["embed"])) for j in range(d)], axis=1).astype(h.dtype)
     return g
 
 
@@ -277,44 +283,29 @@ class Adam:
             x -= np.float32(self.rate) * (m / near) / (np.sqrt(v / far) + np.float32(1e-8))
 
 
-def counts(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
-    """(word, n) over all training documents, and the number of each subword id in them; each task folds its
-    own words first, and ids are as few as the vocabulary has."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all training documents; each task folds its own words first."""
 
     def run(batches):
-        subwords, parts = Subwords(path), []
-        ids = np.zeros(subwords.end + 1, dtype=np.int64)
+        parts = []
 
         def fold(parts):
             keys, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
             return keys, np.bincount(inverse, weights=np.concatenate([x[1] for x in parts]), minlength=len(keys)).astype(np.int64)
 
-        def rows(kind, keys, n):
-            for i in range(0, len(keys), 1 << 16):
-                key = keys[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key), pa.array(n[i : i + (1 << 16)])], ["subword", "word", "n"])
-
         for b in batches:
             for c in chunks(b.column(0)):
-                starts, ends, begins = c.words()
+                starts, ends, _ = c.words()
                 parts.append(fold([(np.append(c.span_hash(starts, ends), _END), np.append(np.ones(len(starts)), c.n))]))
-                seq, at = subwords.sequences(c, starts, begins)
-                ids += np.bincount(seq, minlength=len(ids))
-                ids[-1] -= c.n  # the end before a document is not predicted
                 if len(parts) > 16:
                     parts = [fold(parts)]
         if parts:
             keys, n = fold(parts)
-            yield from rows(False, keys.view(np.int64), n)
-            some = np.flatnonzero(ids)
-            yield from rows(True, some, ids[some])
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["word", "n"])
 
-    found = docs.where(~held_out()).select("text").transform(map_arrow, run, "subword boolean, word long, n long")
-    found = cut(found.groupBy("subword", "word").agg(F.sum("n").alias("n")))
-    got = found.where("subword").select("word", "n").toPandas()
-    ids = np.zeros(Subwords(path).end + 1, dtype=np.int64)
-    ids[got["word"].to_numpy()] = got["n"].to_numpy()
-    return found.where("not subword").select("word", "n"), ids
+    found = docs.where(~held_out()).select("text").transform(map_arrow, run, "word long, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(vocabulary: DataFrame) -> DataFrame:
@@ -330,34 +321,85 @@ def frequent(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(level >= least).select("word", "n")
 
 
-def pieces(docs: DataFrame, path: str, units: int) -> DataFrame:
-    """(round, unit, key, lead, ids): the training documents in pieces of at most PIECE scored ids. A piece holds
-    ``lead`` ids before them that are only looked at; it is dealt by the hash of its ids and its place."""
+def encoded(docs: DataFrame, path: str, top: tuple[np.ndarray, np.ndarray], ends: int) -> DataFrame:
+    """A row for each document with its ids, the bits of the rounds that its pieces are dealt to, and its unigram
+    figures: the number of known words, the sum of log10(c + 1) over frequent ones, and the hashes of the others."""
+    sent = docs.sparkSession.sparkContext.broadcast(top)
+    names = ["doc_id", "held_out", "n_tokens", "known", "shared", "rare", "key", "rounds", "ids"]
 
     def run(batches):
-        subwords = Subwords(path)
+        subwords, (keys, logs) = Subwords(path), sent.value
         kind = np.uint16 if subwords.end < 1 << 16 else np.uint32
         for b in batches:
-            for c in chunks(b.column(0)):
-                starts, ends, begins = c.words()
+            for c in chunks(b.column(2)):
+                starts, stops, begins = c.words()
+                h = c.span_hash(starts, stops)
                 seq, at = subwords.sequences(c, starts, begins)
-                whole = c.span_hash(c.offsets[:-1], c.offsets[1:])
-                keys, leads, ids = [], [], []
-                for d in range(c.n):
-                    own = seq[at[d] : at[d + 1]].astype(kind)
-                    for i in range(0, len(own) - 1, PIECE):
-                        lead = min(i, CONTEXT)
-                        keys.append(int(whole[d]) ^ i)
-                        leads.append(lead)
-                        ids.append(own[i - lead : i + PIECE + 1].tobytes())
-                key = mix(np.array(keys, dtype=np.uint64))
-                turn, unit = key % np.uint64(ROUNDS), key // np.uint64(ROUNDS) % np.uint64(units)
+                seq, whole = seq.astype(kind), c.span_hash(c.offsets[:-1], c.offsets[1:])
+                rounds = [int(np.bitwise_or.reduce(1 << dealt(whole[d], j - i, 1)[0])) for d, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True))]
+                n = np.diff(begins)
+                owner = np.repeat(np.arange(c.n), n)
+                where = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                hit = keys[where] == h if len(keys) else np.zeros(len(h), bool)
+                known = np.bincount(owner[hit], minlength=c.n) + (ends > 0)
+                shared = np.bincount(owner[hit], weights=logs[where[hit]], minlength=c.n) + np.log10(ends + 1)
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=c.n))]).astype(np.int32)), pa.array(h[~hit].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(turn.astype(np.int32)), pa.array(unit.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.array(leads, dtype=np.int32)), pa.array(ids, pa.binary())],
-                    ["round", "unit", "key", "lead", "ids"],
+                    [b.column(0).slice(c.first, c.n), b.column(1).slice(c.first, c.n), pa.array(n + 1), pa.array(known), pa.array(shared), rare,
+                     pa.array(whole.view(np.int64)), pa.array(rounds, pa.int64()), pa.array([seq[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                    names,
                 )
 
-    return docs.where(~held_out()).select("text").transform(map_arrow, run, "round int, unit int, key long, lead int, ids binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, shared double, rare array<long>, key long, rounds long, ids binary"
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text").transform(map_arrow, run, schema)
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "ids")
+
+
+def id_counts(rows: DataFrame, path: str) -> np.ndarray:
+    """The number of each id among all that are predicted in training documents."""
+    size = Subwords(path).end + 1
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+
+    def run(batches):
+        total = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.bincount(np.frombuffer(x.as_buffer(), kind)[1:], minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+
+    got = rows.where("not held_out").select("ids").transform(map_arrow, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(size, dtype=np.int64)
+    total[got["id"].to_numpy()] = got["n"].to_numpy()
+    return total
+
+
+def dealt(key: np.uint64, n: int, units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Round, unit and key of each piece of a document of ``n`` ids with its ends, whose text has the hash ``key``."""
+    own = mix(np.full(-(-(n - 1) // PIECE), key, dtype=np.uint64) ^ np.arange(0, n - 1, PIECE, dtype=np.uint64))
+    return (own % np.uint64(ROUNDS)).astype(np.int64), (own // np.uint64(ROUNDS) % np.uint64(units)).astype(np.int64), own
+
+
+def pieces(rows: DataFrame, turn: int, units: int, size: int) -> DataFrame:
+    """(unit, key, lead, ids) of one round: the training documents in pieces of at most PIECE scored ids. A piece holds
+    ``lead`` ids before them that are only looked at; it is dealt by the hash of its text and its place."""
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for whole, ids in zip(b.column(0).to_numpy().view(np.uint64), b.column(1), strict=True):
+                seq = np.frombuffer(ids.as_buffer(), kind)
+                turns, unit, key = dealt(whole, len(seq), units)
+                for j in np.flatnonzero(turns == turn):
+                    lead = min(int(j) * PIECE, CONTEXT)
+                    out.append((int(unit[j]), int(key[j].view(np.int64)), lead, seq[j * PIECE - lead : (j + 1) * PIECE + 1].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["unit", "key", "lead", "ids"])
+
+    own = rows.where(~F.col("held_out") & (F.col("rounds").bitwiseAND(F.lit(1 << turn)) != 0))
+    return own.select("key", "ids").transform(map_arrow, run, "unit int, key long, lead int, ids binary")
 
 
 def passes(ranks: Ranks) -> int:
@@ -394,15 +436,14 @@ def by_unit(batches, kind) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         yield seqs, np.array(leads)
 
 
-def train(docs: DataFrame, ranks: Ranks, path: str) -> dict:
+def train(rows: DataFrame, ranks: Ranks) -> dict:
     """The parameters after ROUNDS rounds, which take all ids of the training documents once. The driver gets
     one set of parameters a round, as sums that the executors have made."""
-    sc = docs.sparkSession.sparkContext
+    sc = rows.sparkSession.sparkContext
     p, kind = start(ranks), np.uint16 if len(ranks.of) <= 1 << 16 else np.uint32
     sizes, part = {k: x.size for k, x in p.items()}, 1 << 14
     units = max(1, round(int(ranks.counts.sum()) / (ROUNDS * UNIT)))
     tasks = -(-units // SHARED)
-    dealt = written(pieces(docs, path, units), "pieces")
     for turn in range(ROUNDS):
         sent, rate = sc.broadcast((p, ranks)), RATE * (1 - turn / ROUNDS)
 
@@ -425,8 +466,8 @@ def train(docs: DataFrame, ranks: Ranks, path: str) -> dict:
             for i, (x, n) in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n])], ["slice", "sums", "steps"])
 
-        rows = dealt.where(F.col("round") == turn).repartitionById(tasks, F.pmod("unit", F.lit(tasks))).sortWithinPartitions("unit", "key", "ids")
-        done = rows.select("unit", "lead", "ids").transform(map_arrow, run, "slice int, sums binary, steps long")
+        own = pieces(rows, turn, units, len(ranks.of)).repartitionById(tasks, F.pmod("unit", F.lit(tasks))).sortWithinPartitions("unit", "key", "ids")
+        done = own.select("unit", "lead", "ids").transform(map_arrow, run, "slice int, sums binary, steps long")
         got = sorted(done.repartition(-(-sum(sizes.values()) // part), "slice").transform(map_arrow, add, "slice int, sums binary, steps long").collect())
         if not got:  # no training document in this part
             continue
@@ -438,13 +479,22 @@ def train(docs: DataFrame, ranks: Ranks, path: str) -> dict:
     return p
 
 
+def stretches(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes, or of one longer row."""
+    size, first = np.cumsum(np.array(pc.binary_length(column)), dtype=np.int64), 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + limit, side="right")))
+        yield first, last
+        first = last
+
+
 def log10_texts(p: dict, t: Text, rest: np.ndarray) -> np.ndarray:
     """log10 of the model's probability of each document."""
     total = np.zeros(len(t.offsets) - 1)
     doc, at = windows(t.offsets)
-    for i in range(0, len(doc), 512):
-        own = doc[i : i + 512]
-        a = forward(p, t, rest, own, at[i : i + 512])
+    for i in range(0, len(doc), BATCH):
+        own = doc[i : i + BATCH]
+        a = forward(p, t, rest, own, at[i : i + BATCH])
         total += np.bincount(np.repeat(own, STRIDE)[a["scored"]], weights=a["logp"], minlength=len(total))
     return total / np.log(10)
 
@@ -458,42 +508,33 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     text. A null id counts as empty text in the split. Repeated rows are documents of their own.
     Without training documents all counts are 0, and all subword ids as likely. Other columns are not read.
     """
-    vocabulary, ids = counts(docs, path)
-    sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("word") == int(_END.view(np.int64)), F.col("n"))), F.lit(0))).first()
-    n_train, n_distinct, ends = sums
+    vocabulary = cut(counts(docs))
+    end = F.col("word") == int(_END.view(np.int64))
+    n_train, n_distinct, ends = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(end, F.col("n"))), F.lit(0))).first()
     top = frequent(vocabulary).toPandas()
     word = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(word)
-    ranks = Ranks.by(ids)
-    network = train(docs, ranks, path)
-    sent = docs.sparkSession.sparkContext.broadcast((network, ranks, word[order], np.log10(top["n"].to_numpy(dtype=float)[order] + 1), ends))
+    rows = encoded(docs, path, (word[order], np.log10(top["n"].to_numpy(dtype=float)[order] + 1)), ends)
+    ranks = Ranks.by(id_counts(rows, path))
+    sent = docs.sparkSession.sparkContext.broadcast((train(rows, ranks), ranks))
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "shared"]
 
     def run(batches):
-        p, ranks, keys, logs, ends = sent.value
-        subwords, rest = Subwords(path), ranks.rest()
+        p, ranks = sent.value
+        rest, kind = ranks.rest(), np.uint16 if len(ranks.of) <= 1 << 16 else np.uint32
         for b in batches:
-            for c in chunks(b.column(2)):
-                starts, stops, begins = c.words()
-                h = c.span_hash(starts, stops)
-                model = log10_texts(p, Text.of(*subwords.sequences(c, starts, begins), ranks), rest)
-                n = np.diff(begins)
-                owner = np.repeat(np.arange(c.n), n)
-                where = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                hit = keys[where] == h if len(keys) else np.zeros(len(h), bool)
-                known = np.bincount(owner[hit], minlength=c.n) + (ends > 0)
-                shared = np.bincount(owner[hit], weights=logs[where[hit]], minlength=c.n) + np.log10(ends + 1)
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=c.n))]).astype(np.int32)), pa.array(h[~hit].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(c.first, c.n), b.column(1).slice(c.first, c.n), pa.array(n + 1), pa.array(known), pa.array(shared), pa.array(model), rare],
-                    ["doc_id", "held_out", "n_tokens", "known", "shared", "score", "rare"],
-                )
+            model = [np.zeros(0)]
+            for first, last in stretches(b.column(6)):
+                seqs = [np.frombuffer(x.as_buffer(), kind) for x in b.column(6).slice(first, last - first)]
+                at = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
+                model.append(log10_texts(p, Text.of(np.concatenate(seqs).astype(np.int32), at, ranks), rest))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(np.concatenate(model))], [*names, "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text").transform(map_arrow, run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, shared double, score double, rare array<long>")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    scored = rows.select(*names, "ids").transform(map_arrow, run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, shared double, score double")
     rare = rows.select("row", F.explode("rare").alias("word")).join(vocabulary, "word")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
-    out = rows.drop("rare").join(rare, "row", "left").fillna({"more": 0, "logs": 0.0})
+    out = scored.join(rare, "row", "left").fillna({"more": 0, "logs": 0.0})
     words = F.col("shared") + F.col("logs")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),

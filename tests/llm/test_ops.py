@@ -287,8 +287,8 @@ def test_lm_ids_are_those_of_the_text():
     from grovetally.llm import lm
 
     texts = ["", " \n", "One  TWO\tthree", "é ü  ß 日本語 \U0001f600 \u00a0 x", prose(3, 400), "a" * 200000, "é" * 100000, "-" * 1000000]
-    subwords, seq, at = _encoded(texts)
-    for t, i, j in zip(texts, at[:-1], at[1:], strict=True):
+    for t in texts:
+        subwords, seq, (i, j) = _encoded([t])
         assert seq[i] == seq[j - 1] == subwords.end
         normal = "".join(" " + w for w in brute.words(t.translate(brute.LOWER)))
         assert subwords.code.decode(seq[i + 1 : j - 1].tolist()) == normal
@@ -311,12 +311,16 @@ def test_lm_pieces_hold_every_id_of_training_once(spark, monkeypatch):
     kept = [t or "" for i, t in given if zlib.crc32(str(i).encode()) % 7 != 2]
     _, seq, at = _encoded(kept)
     expected = Counter(int(x) for i, j in zip(at[:-1], at[1:], strict=True) for x in seq[i + 1 : j])
-    got, rounds = Counter(), set()
-    for r in lm.pieces(spark.createDataFrame(given, "doc_id long, text string"), lm.VOCABULARY, 3).collect():
-        got.update(np.frombuffer(r["ids"], np.uint16)[r["lead"] + 1 :].tolist())
-        rounds.add(r["round"])
-        assert 0 <= r["unit"] < 3
-    assert got == expected and rounds == set(range(lm.ROUNDS))
+    got = Counter()
+    rows = lm.encoded(spark.createDataFrame(given, "doc_id long, text string"), lm.VOCABULARY, (np.zeros(0, np.uint64), np.zeros(0)), 0)
+    for turn in range(lm.ROUNDS):
+        own = lm.pieces(rows, turn, 3, 50257).collect()
+        assert own and all(0 <= r["unit"] < 3 for r in own)
+        for r in own:
+            got.update(np.frombuffer(r["ids"], np.uint16)[r["lead"] + 1 :].tolist())
+    assert got == expected
+    ids = lm.id_counts(rows, lm.VOCABULARY)
+    assert {i: int(n) for i, n in enumerate(ids) if n} == expected
 
 
 def test_lm_scores_each_id_once_by_plain_attention():
@@ -340,9 +344,10 @@ def test_lm_scores_each_id_once_by_plain_attention():
         first = at_place // lm.STRIDE * lm.STRIDE - lm.CONTEXT  # of the window that scores it
         look = range(max(0, first), at_place + 1)
         x = np.array([p["embed"][min(ids[j], len(p["embed"]) - 1)] + p["place"][j - first] for j in look], dtype=float)
-        s = softmax(x @ p["key"] @ (p["query"].T @ x[-1]) / lm.WIDTH**0.5)
-        h = x[-1] + (s @ (x @ p["value"])) @ p["out"]
-        heads = [softmax(h @ p[f"head{i}"] + p[f"bias{i}"]) for i in range(len(lm.CUTS))] + [np.exp(rest)]
+        query, key, value = np.split(p["look"], 3, axis=1)
+        s = softmax(x @ key @ (query.T @ x[-1]) / lm.WIDTH**0.5)
+        h = x[-1] + (s @ (x @ value)) @ p["out"]
+        heads = [softmax(h @ p[f"head{i}"][:-1] + p[f"head{i}"][-1]) for i in range(len(lm.CUTS))] + [np.exp(rest)]
         n = lm.CUTS[0]
         return np.concatenate([heads[0][:n]] + [heads[0][n + i] * t for i, t in enumerate(heads[1:])])
 
