@@ -336,7 +336,7 @@ def encoded(docs: DataFrame, path: str, top: tuple[np.ndarray, np.ndarray], ends
                 h = c.span_hash(starts, stops)
                 seq, at = subwords.sequences(c, starts, begins)
                 seq, whole = seq.astype(kind), c.span_hash(c.offsets[:-1], c.offsets[1:])
-                rounds = [int(np.bitwise_or.reduce(1 << dealt(whole[d], j - i, 1)[0])) for d, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True))]
+                rounds = [int(np.bitwise_or.reduce(1 << dealt(whole[d], j - i, 1, PIECE)[0])) for d, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True))]
                 n = np.diff(begins)
                 owner = np.repeat(np.arange(c.n), n)
                 where = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
@@ -375,9 +375,9 @@ def id_counts(rows: DataFrame, path: str) -> np.ndarray:
     return total
 
 
-def dealt(key: np.uint64, n: int, units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dealt(key: np.uint64, n: int, units: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Round, unit and key of each piece of a document of ``n`` ids with its ends, whose text has the hash ``key``."""
-    own = mix(np.full(-(-(n - 1) // PIECE), key, dtype=np.uint64) ^ np.arange(0, n - 1, PIECE, dtype=np.uint64))
+    own = mix(np.full(-(-(n - 1) // piece), key, dtype=np.uint64) ^ np.arange(0, n - 1, piece, dtype=np.uint64))
     return (own % np.uint64(ROUNDS)).astype(np.int64), (own // np.uint64(ROUNDS) % np.uint64(units)).astype(np.int64), own
 
 
@@ -391,7 +391,7 @@ def pieces(rows: DataFrame, turn: int, units: int, size: int) -> DataFrame:
             out = []
             for whole, ids in zip(b.column(0).to_numpy().view(np.uint64), b.column(1), strict=True):
                 seq = np.frombuffer(ids.as_buffer(), kind)
-                turns, unit, key = dealt(whole, len(seq), units)
+                turns, unit, key = dealt(whole, len(seq), units, PIECE)
                 for j in np.flatnonzero(turns == turn):
                     lead = min(int(j) * PIECE, CONTEXT)
                     out.append((int(unit[j]), int(key[j].view(np.int64)), lead, seq[j * PIECE - lead : (j + 1) * PIECE + 1].tobytes()))
