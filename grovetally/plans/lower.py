@@ -10,18 +10,22 @@ grouping keys, never columns of their own. The requests of a tree are fused:
 * A tree with several chains explodes each row into one record for each chain, so the
   input is read once; all chains then share one ``groupBy``. The records are folded
   before the shuffle, which moves bins, not rows.
-* Cumulative containers are aggregated as bins and combined in the small result.
+* Cumulative containers are aggregated as bins and combined in the small result, where a bin gives a row
+  to each threshold at or below it: as many rows as bins times thresholds, whatever the input.
+* Weighted variances come from covariances, which Spark sums about running means: with C for
+  a covariance over n rows, sum w (x - m)^2 = n (C(w x, x) - m C(w, x)), where m is the weighted mean.
+  So one pass suffices, and no more is lost than the rounding of x itself loses.
 
+Expressions are built as SQL text and parsed a few at a time, which keeps planning short.
 No Python runs on the executors.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-from math import prod
+from math import isinf, isnan, prod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,15 +34,17 @@ from ..operators import spec as S
 
 UNDER, OVER, NAN = -1, -2, -3
 _LOWEST = -(2**63) + 1
+#: Empty bins that one task makes.
+_EMPTY = 1 << 18
 
 
 @dataclass(frozen=True)
 class Axis:
-    """A grouping key. ``size``: the number of its bins if they are known beforehand."""
+    """A grouping key, as SQL. ``size``: the number of its bins if they are known beforehand."""
 
     id: str
     slot: str
-    key: Column = field(compare=False, hash=False)
+    key: str = field(compare=False, hash=False)
     size: int | None = None
     cumulative: bool = False
 
@@ -46,16 +52,16 @@ class Axis:
 @dataclass(frozen=True, eq=False)
 class Request:
     """What the node at ``path`` needs: the rows of ``chain`` that meet ``tests`` and ``guard``,
-    by the keys of ``axes``."""
+    by the keys of ``axes``. Guard, weight and value are SQL."""
 
     path: str
     kind: str
     axes: tuple[Axis, ...]
     chain: tuple[Axis, ...]
     tests: tuple[tuple[Axis, int | None], ...]
-    guard: Column | None
-    weight: Column | None
-    value: Column | None = None
+    guard: str | None
+    weight: str | None
+    value: str | None = None
     transform: object = None
 
 
@@ -68,14 +74,43 @@ class Plan:
     chains: list[tuple[Axis, ...]]
 
 
+def _number(x: float) -> str:
+    """A double as SQL."""
+    x = float(x)
+    return "double('NaN')" if isnan(x) else f"double('{'-' * (x < 0)}Infinity')" if isinf(x) else f"{x!r}D"
+
+
+def _string(x: str) -> str:
+    """A string as SQL."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _selections(n: S.Spec):
+    """The quantities that select, in a whole tree."""
+    if hasattr(n, "expand"):
+        yield from _selections(n.expand())
+        return
+    if isinstance(n, (S.Select, S.Fraction)):
+        yield n.q
+    for below in (n.cut,) if isinstance(n, S.Select) else (n.value,) if isinstance(n, S.Fraction) else [c for _, c in n.children()]:
+        yield from _selections(below)
+
+
 class _Lowering:
-    def __init__(self, df: DataFrame, nulls: str):
+    def __init__(self, df: DataFrame, nulls: str, spec: S.Spec):
         self.df, self.nulls = df, nulls
         self.base: dict[str, Column] = {}
         self.known: dict = {}
         self.requests: list[Request] = []
+        asked = [q for q in _selections(spec) if not self.passes_all(q)]
+        types = df.select(*[q.column.alias(f"s{i}") for i, q in enumerate(asked)]).schema if asked else []
+        self.types = {id(q): f.dataType for q, f in zip(asked, types, strict=True)}
+
+    @staticmethod
+    def passes_all(q: Quantity) -> bool:
+        return isinstance(q.expr, (int, float)) and float(q.expr) == 1.0
 
-    def column(self, q: Quantity, how: str) -> Column:
+    def name(self, q: Quantity, how: str) -> str:
         """The base column of a quantity, projected once however often it is used."""
         # an object in the key keeps it alive, so that identities stay apart
         key = (how, q.expr if isinstance(q.expr, (str, float, int)) else id(q.expr))
@@ -90,27 +125,22 @@ class _Lowering:
             else:
                 self.base[name] = q.column.cast("array<double>")
             self.known[key] = (name, q)
-        return F.col(self.known[key][0])
-
-    def name(self, q: Quantity, how: str) -> str:
-        self.column(q, how)
-        return self.known[(how, q.expr if isinstance(q.expr, (str, float, int)) else id(q.expr))][0]
+        return self.known[key][0]
 
     def ask(self, node: S.Spec, path: str, kind: str, at: dict, **more) -> None:
         self.requests.append(Request(path, kind, at["axes"], at["chain"], at["tests"], at["guard"], at["weight"], **more))
 
     def chosen(self, q: Quantity, at: dict) -> dict:
         """Guard and weight below a selection."""
-        if isinstance(q.expr, (int, float)) and float(q.expr) == 1.0:
+        if self.passes_all(q):
             return at
-        kind = self.df.select(q.column).schema[0].dataType
-        if isinstance(kind, T.BooleanType):
-            flag = self.column(q, "flag")
-            return at | {"guard": flag if at["guard"] is None else at["guard"] & flag}
-        w = self.column(q, "number") if at["weight"] is None else at["weight"] * self.column(q, "number")
-        w = F.when(F.isnan(w), F.lit(0.0)).otherwise(w)
-        passes = w > 0
-        return at | {"weight": w, "guard": passes if at["guard"] is None else at["guard"] & passes}
+        if isinstance(self.types[id(q)], T.BooleanType):
+            flag = self.name(q, "flag")
+            return at | {"guard": flag if at["guard"] is None else f"({at['guard']} AND {flag})"}
+        w = self.name(q, "number") if at["weight"] is None else f"({at['weight']} * {self.name(q, 'number')})"
+        w = f"nanvl({w}, 0D)"
+        passes = f"({w} > 0D)"
+        return at | {"weight": w, "guard": passes if at["guard"] is None else f"({at['guard']} AND {passes})"}
 
     def inside(self, at: dict, axis: Axis, test: int | None, keep: bool) -> dict:
         return at | {"axes": at["axes"] + (axis,) * keep, "chain": at["chain"] + (axis,), "tests": at["tests"] + ((axis, test),)}
@@ -120,21 +150,20 @@ class _Lowering:
         if isinstance(n, S.Count):
             self.ask(n, path, "Count", at, transform=n.transform)
         elif isinstance(n, S._Leaf):
-            self.ask(n, path, n.kind, at, value=self.column(n.q, "number"))
+            self.ask(n, path, n.kind, at, value=self.name(n.q, "number"))
         elif isinstance(n, S.Bag):
             self.ask(n, path, "Bag", at)
             how, slot = {"N": ("number", "double"), "S": ("category", "string")}.get(n.range, ("vector", "vector"))
-            key = self.column(n.q, how)
+            key = name = self.name(n.q, how)
             if how == "vector":
                 size = int(n.range[1:])
-                wrong = F.raise_error(F.lit(f"a vector of {size} numbers is needed"))
-                key = F.when(F.size(key) == size, key).otherwise(wrong)
-            axis = Axis(f"bag:{n.range}:{self.name(n.q, how)}", slot, key)
+                key = f"if(size({name}) = {size}, {name}, raise_error('a vector of {size} numbers is needed'))"
+            axis = Axis(f"bag:{n.range}:{name}", slot, key)
             self.ask(n, below("values"), "Item", self.inside(at, axis, None, True))
         elif isinstance(n, S.Categorize):
             self.ask(n, path, n.kind, at)
-            axis = Axis(f"category:{self.name(n.q, 'category')}", "string", self.column(n.q, "category"))
-            self.node(n.value, below("bins"), self.inside(at, axis, None, True))
+            name = self.name(n.q, "category")
+            self.node(n.value, below("bins"), self.inside(at, Axis(f"category:{name}", "string", name), None, True))
         elif isinstance(n, (S.Bin, S.SparselyBin, S.CentrallyBin, S.IrregularlyBin)):
             self.ask(n, path, n.kind, at)
             axis, flows = self.axis(n)
@@ -159,28 +188,28 @@ class _Lowering:
 
     def axis(self, n: S.Spec) -> tuple[Axis, dict[str, int]]:
         """The key of a binning, and the codes of its flows."""
-        q, name = self.column(n.q, "number"), self.name(n.q, "number")
-        code = lambda x: F.lit(x).cast("long")
-        key = F.when(F.isnan(q), code(NAN))
+        q = self.name(n.q, "number")
+        key = f"CASE WHEN isnan({q}) THEN {NAN}L"
         if isinstance(n, S.Bin):
-            place = F.floor((q - n.low) * n.num / (n.high - n.low))
-            key = key.when(q < n.low, code(UNDER)).when(q >= n.high, code(OVER)).otherwise(F.greatest(F.least(place, code(n.num - 1)), code(0)))
-            return Axis(f"bin:{n.num}:{n.low}:{n.high}:{name}", "long", key, n.num), {"underflow": UNDER, "overflow": OVER, "nanflow": NAN}
+            low, high = _number(n.low), _number(n.high)
+            place = f"greatest(least(floor(({q} - {low}) * {_number(n.num)} / {_number(n.high - n.low)}), {n.num - 1}L), 0L)"
+            key += f" WHEN {q} < {low} THEN {UNDER}L WHEN {q} >= {high} THEN {OVER}L ELSE {place} END"
+            return Axis(f"bin:{n.num}:{n.low}:{n.high}:{q}", "long", key, n.num), {"underflow": UNDER, "overflow": OVER, "nanflow": NAN}
         if isinstance(n, S.SparselyBin):
             # any whole number can be a bin, so NaN is the null key
-            place = F.greatest(F.floor((q - n.origin) / n.bin_width), code(_LOWEST))
-            return Axis(f"sparse:{n.bin_width}:{n.origin}:{name}", "long", F.when(~F.isnan(q), place)), {"nanflow": NAN}
+            place = f"greatest(floor(({q} - {_number(n.origin)}) / {_number(n.bin_width)}), {_LOWEST}L)"
+            return Axis(f"sparse:{n.bin_width}:{n.origin}:{q}", "long", f"CASE WHEN NOT isnan({q}) THEN {place} END"), {"nanflow": NAN}
         if isinstance(n, S.CentrallyBin):
             for i, (a, b) in enumerate(zip(n.centers, n.centers[1:])):
-                key = key.when(q < (a + b) / 2, code(i))
-            return Axis(f"central:{n.centers}:{name}", "long", key.otherwise(code(len(n.centers) - 1)), len(n.centers)), {"nanflow": NAN}
+                key += f" WHEN {q} < {_number((a + b) / 2)} THEN {i}L"
+            return Axis(f"central:{n.centers}:{q}", "long", f"{key} ELSE {len(n.centers) - 1}L END", len(n.centers)), {"nanflow": NAN}
         if len(n.edges) <= 64:
             for i in range(len(n.edges) - 1, 0, -1):
-                key = key.when(q >= n.edges[i], code(i))
-            key = key.otherwise(code(0))
+                key += f" WHEN {q} >= {_number(n.edges[i])} THEN {i}L"
+            key += " ELSE 0L END"
         else:
-            key = key.otherwise(F.size(F.filter(F.array(*[F.lit(e) for e in n.edges]), lambda e: q >= e)).cast("long") - 1)
-        return Axis(f"{n.kind}:{n.edges}:{name}", "long", key, len(n.edges), isinstance(n, S.Stack)), {"nanflow": NAN}
+            key += f" ELSE bigint(size(filter(array({', '.join(map(_number, n.edges))}), e -> {q} >= e))) - 1L END"
+        return Axis(f"{n.kind}:{n.edges}:{q}", "long", key, len(n.edges), isinstance(n, S.Stack)), {"nanflow": NAN}
 
 
 def lower(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> Plan:
@@ -188,7 +217,7 @@ def lower(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> Plan:
     missing, "zero" as 0."""
     if nulls not in ("nan", "zero"):
         raise ValueError('nulls must be "nan" or "zero"')
-    low = _Lowering(df, nulls)
+    low = _Lowering(df, nulls, spec)
     low.node(spec, "", {"axes": (), "chain": (), "tests": (), "guard": None, "weight": None})
     every = {r.chain for r in low.requests}
     longest = [c for c in every if not any(d[: len(c)] == c and len(d) > len(c) for d in every)]
@@ -200,11 +229,11 @@ _SLOTS = {"long": "bigint", "double": "double", "string": "string", "vector": "a
 
 
 class _Group:
-    """The aggregates of one chain, each of them asked for once."""
+    """The aggregates of one chain, each of them asked for once. An input of "cov" is a pair."""
 
     def __init__(self, number: int, chain: tuple[Axis, ...]):
         self.number, self.chain = number, chain
-        self.inputs: dict[str, dict[str, Column]] = {"sum": {}, "min": {}, "max": {}, "var": {}}
+        self.inputs: dict[str, dict] = {"sum": {}, "min": {}, "max": {}, "var": {}, "cov": {}}
         #: Axes by slot name, as k_long_0.
         self.keys: list[tuple[str, Axis]] = []
         used: dict[str, int] = {}
@@ -212,38 +241,13 @@ class _Group:
             used[a.slot] = used.get(a.slot, -1) + 1
             self.keys.append((f"k_{a.slot}_{used[a.slot]}", a))
 
-    def slot(self, how: str, x: Column) -> str:
-        """The name of an aggregate; base columns have names of their own, so equal texts are
-        equal expressions."""
-        own = self.inputs[how]
-        if repr(x) not in own:
-            own[repr(x)] = x
-        return f"{how}_{list(own).index(repr(x))}"
+    def slot(self, how: str, x) -> str:
+        """The name of an aggregate."""
+        return f"{how}_{self.inputs[how].setdefault(x, len(self.inputs[how]))}"
 
 
-def _when(guard: Column | None, x: Column) -> Column:
-    return x if guard is None else F.when(guard, x)
-
-
-def _pivots(base: DataFrame, plan: Plan) -> tuple[DataFrame, dict[int, str]]:
-    """``base`` with a rough mean of each weighted Deviate, by its chain's keys, so that squares of
-    small differences can be summed in one pass without cancellation."""
-    names = {}
-    for i, r in enumerate(plan.requests):
-        if r.kind != "Deviate" or r.weight is None:
-            continue
-        keys = [a.key.alias(f"p{i}_{j}") for j, a in enumerate(r.chain)]
-        wide = base.select("*", *keys)
-        mean = F.sum(_when(r.guard, r.weight * r.value)) / F.sum(_when(r.guard, r.weight))
-        near = wide.groupBy(*[f"p{i}_{j}" for j in range(len(keys))]).agg(mean.alias(f"pivot{i}"))
-        if keys:
-            near = near.withColumnsRenamed({f"p{i}_{j}": f"o{i}_{j}" for j in range(len(keys))})
-            same = reduce(lambda a, b: a & b, [F.col(f"p{i}_{j}").eqNullSafe(F.col(f"o{i}_{j}")) for j in range(len(keys))])
-            base = wide.join(near, same, "left").drop(*[f"{s}{i}_{j}" for s in "po" for j in range(len(keys))])
-        else:
-            base = base.withColumn(f"pivot{i}", near.scalar())
-        names[i] = f"pivot{i}"
-    return base, names
+def _when(guard: str | None, x: str) -> str:
+    return x if guard is None else f"CASE WHEN {guard} THEN {x} END"
 
 
 def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True) -> DataFrame:
@@ -254,141 +258,157 @@ def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True) ->
     are there even if empty, where no sparse binning stands above them.
     """
     plan = lower(df, spec, nulls)
-    base, pivots = _pivots(df.select(*plan.base) if plan.base else df.select(F.lit(0).alias("q")), plan)
+    base = df.select(*plan.base) if plan.base else df.selectExpr("0 AS q")
     groups = [_Group(i, c) for i, c in enumerate(plan.chains)]
+    changed = [(i, r) for i, r in enumerate(plan.requests) if r.kind == "Count" and r.transform is not None]
+    if changed:
+        base = base.select("*", *[r.transform(F.expr(r.weight or "1D")).cast("double").alias(f"t{i}") for i, r in changed])
     wanted = []
     for i, r in enumerate(plan.requests):
         g = next(g for g in groups if g.chain[: len(r.chain)] == r.chain)
-        one = F.lit(1.0)
-        w = one if r.weight is None else r.weight
+        w, x = r.weight or "1D", r.value
         use = {"entries": g.slot("sum", _when(r.guard, w))}
         if r.kind == "Count" and r.transform is not None:
-            use["sum"] = g.slot("sum", _when(r.guard, r.transform(w).cast("double")))
+            use["sum"] = g.slot("sum", _when(r.guard, f"t{i}"))
         elif r.kind in ("Sum", "Average"):
-            use["sum"] = g.slot("sum", _when(r.guard, r.value if r.weight is None else w * r.value))
+            use["sum"] = g.slot("sum", _when(r.guard, x if r.weight is None else f"{w} * {x}"))
         elif r.kind in ("Minimize", "Maximize"):
             how = "min" if r.kind == "Minimize" else "max"
-            use[how] = g.slot(how, F.when(~F.isnan(r.value) & (r.guard if r.guard is not None else F.lit(True)), r.value))
+            use[how] = g.slot(how, _when(f"NOT isnan({x})" + (f" AND {r.guard}" if r.guard else ""), x))
         elif r.kind == "Deviate" and r.weight is None:
-            use["var"] = g.slot("var", _when(r.guard, r.value))
+            use["var"] = g.slot("var", _when(r.guard, x))
         elif r.kind == "Deviate":
-            p = F.coalesce(F.when((F.abs(F.col(pivots[i])) < float("inf")) & ~F.isnan(pivots[i]), F.col(pivots[i])), F.lit(0.0))
-            d = r.value - p
-            use |= {"pivot": g.slot("max", _when(r.guard, p)), "first": g.slot("sum", _when(r.guard, w * d)), "second": g.slot("sum", _when(r.guard, w * d * d))}
+            x = _when(r.guard, x)
+            use |= {"first": g.slot("sum", _when(r.guard, f"{w} * {r.value}")), "rows": g.slot("sum", _when(r.guard, "1D"))}
+            use |= {"both": g.slot("cov", (_when(r.guard, f"{w} * {r.value}"), x)), "mixed": g.slot("cov", (_when(r.guard, w), x))}
         wanted.append((r, g, use))
 
     small = _grouped(base, groups)
-    rows = small.select(F.explode(F.concat(*[_contribution(r, g, use, len(groups) > 1) for r, g, use in wanted])).alias("r")).select("r.*")
-    rows = rows.where(F.col("entries") > 0).unionByName(_empty_rows(df, wanted, dense))
-    if any(r.kind == "Deviate" and (len(r.axes) < len(g.chain) or any(a.cumulative for a in r.axes)) for r, g, _ in wanted):
-        w = Window.partitionBy("path", "keys")
-        n = F.sum("vn").over(w)
-        rows = rows.withColumn("center", F.when(n > 0, F.sum(F.when(F.col("vn") > 0, F.col("vn") * F.col("vm"))).over(w) / F.when(n > 0, n)))
-        gap = F.col("vm") - F.col("center")
-        rows = rows.withColumn("v2", F.col("v2") + F.when(gap == 0, 0.0).otherwise(F.col("vn") * gap * gap)).withColumn("vm", F.col("center"))
-    rows = rows.groupBy("path", "kind", "keys").agg(*[F.sum(c).alias(c) for c in ("entries", "sum", "vn", "v2")], F.min("min").alias("min"), F.max("max").alias("max"), F.max("vm").alias("vm"))
-    nan = F.lit(float("nan"))
-    some = F.col("entries") > 0
-    kind = F.col("kind")
-    mean = F.when(kind == "Average", F.when(some, F.col("sum") / F.when(some, F.col("entries"))).otherwise(nan)).when(kind == "Deviate", F.when(some, F.col("vm")).otherwise(nan))
-    variance = F.when(kind == "Deviate", F.when(some & (F.col("vn") > 0), F.col("v2") / F.when(F.col("vn") > 0, F.col("vn"))).otherwise(nan))
-    return rows.select(
-        "path", "keys", F.when(kind == "Transformed", F.coalesce("sum", F.lit(0.0))).otherwise(F.col("entries")).alias("entries"),
-        F.when(kind == "Sum", F.coalesce("sum", F.lit(0.0))).alias("sum"), mean.alias("mean"), variance.alias("variance"),
-        F.when(kind == "Minimize", F.coalesce("min", nan)).alias("min"), F.when(kind == "Maximize", F.coalesce("max", nan)).alias("max"),
-    )
+    own = {c for r, _, _ in wanted for c in _MEASURES.get("Transformed" if r.transform is not None else r.kind, ())}
+    plain = [_contribution(r, g, use, len(groups) > 1, own) for r, g, use in wanted]
+    single = [c for c, several in plain if not several]
+    several = [c for c, more in plain if more]
+    rows = f"array({', '.join(single)})" if single else ""
+    rows = f"concat({', '.join([rows] * bool(rows) + several)})" if several else rows
+    rows = small.selectExpr(f"explode({rows}) AS r").selectExpr("r.*").where("entries > 0")
+    for empty in _empty_rows(df, wanted, dense, ["0D AS entries", *[f"double(NULL) AS {c}" for c in sorted(own)]]):
+        rows = rows.union(empty)
+    sums = ["sum(entries) AS entries"] + [f"sum({c}) AS {c}" for c in ("sum", "vn", "v2") if c in own] + [f"{c}({c}) AS {c}" for c in ("min", "max") if c in own]
+    if "vn" in own:  # the moments of parts are merged in the same way as weighted rows
+        n, m = "CASE WHEN vn > 0D THEN vn END", "CASE WHEN vn > 0D THEN vm END"
+        sums += [f"sum({n} * {m}) AS first", f"double(count({n})) AS rows", f"covar_pop({n} * {m}, {m}) AS both", f"covar_pop({n}, {m}) AS mixed", f"max({m}) AS top", f"min({m}) AS bottom"]
+    rows = rows.groupBy("path", "kind", "keys").agg(*map(F.expr, sums))
+    nan = "double('NaN')"
+    out = {c: "double(NULL)" for c in ("sum", "mean", "variance", "min", "max")}
+    entries = "entries"
+    if "sum" in own:
+        entries = "CASE WHEN kind = 'Transformed' THEN coalesce(sum, 0D) ELSE entries END"
+        out["sum"] = "CASE WHEN kind = 'Sum' THEN coalesce(sum, 0D) END"
+        out["mean"] = f"CASE WHEN kind = 'Average' THEN coalesce(sum / nullif(entries, 0D), {nan}) END"
+    if "vn" in own:
+        mean = f"CASE WHEN top = bottom THEN top ELSE coalesce(first / nullif(vn, 0D), {nan}) END"
+        gaps = "CASE WHEN top = bottom THEN 0D ELSE greatest(rows * (both - first / vn * mixed), 0D) END"
+        variance = f"coalesce((v2 + {gaps}) / nullif(vn, 0D), {nan})"
+        out["mean"] = f"CASE WHEN kind = 'Deviate' THEN {mean} ELSE {out['mean']} END"
+        out["variance"] = f"CASE WHEN kind = 'Deviate' THEN {variance} END"
+    for c, kind in (("min", "Minimize"), ("max", "Maximize")):
+        if c in own:
+            out[c] = f"CASE WHEN kind = '{kind}' THEN coalesce({c}, {nan}) END"
+    return rows.selectExpr("path", "keys", f"{entries} AS entries", *[f"{x} AS {c}" for c, x in out.items()])
+
+
+#: What a row of a kind adds to besides its entries.
+_MEASURES = {
+    "Transformed": ("sum",), "Sum": ("sum",), "Average": ("sum",), "Minimize": ("min",), "Maximize": ("max",), "Deviate": ("vn", "vm", "v2"),
+}
+
+
+def _kind(r: Request) -> str:
+    return "Transformed" if r.kind == "Count" and r.transform is not None else r.kind
 
 
 def _grouped(base: DataFrame, groups: list[_Group]) -> DataFrame:
     """One row for each chain and its keys, with all aggregates."""
     names = sorted({(n, a.slot) for g in groups for n, a in g.keys})
-    most = {how: max(len(g.inputs[how]) for g in groups) for how in ("sum", "min", "max", "var")}
+    most = {how: max(len(g.inputs[how]) for g in groups) for how in ("sum", "min", "max", "var", "cov")}
 
-    def record(g: _Group) -> Column:
+    def record(g: _Group) -> list[str]:
         own = dict(g.keys)
-        fields = [F.lit(g.number).alias("chain")] + [(own[n].key if n in own else F.lit(None)).cast(_SLOTS[slot]).alias(n) for n, slot in names]
+        fields = [f"{g.number} AS chain"] + [f"CAST({own[n].key if n in own else 'NULL'} AS {_SLOTS[slot]}) AS {n}" for n, slot in names]
         for how, n in most.items():
-            given = list(g.inputs[how].values())
-            fields += [(given[i] if i < len(given) else F.lit(None)).cast("double").alias(f"x_{how}_{i}") for i in range(n)]
-        return F.struct(*fields)
-
-    records = base.select(F.explode(F.array(*[record(g) for g in groups])).alias("r")).select("r.*") if len(groups) > 1 else base.select(record(groups[0]).alias("r")).select("r.*")
-    aggs = [F.lit(1).alias("one")] if not any(most.values()) else []
+            given = list(g.inputs[how])
+            for i in range(n):
+                pair = (given[i] if how == "cov" else (given[i],)) if i < len(given) else ("NULL",) * (1 + (how == "cov"))
+                fields += [f"CAST({x} AS double) AS x_{how}_{i}{'_' * j}" for j, x in enumerate(pair)]
+        return fields
+
+    if len(groups) > 1:
+        records = base.selectExpr(f"explode(array({', '.join(f'struct({chr(44).join(record(g))})' for g in groups)})) AS r").selectExpr("r.*")
+    else:
+        records = base.selectExpr(*record(groups[0]))
+    aggs = ["1 AS one"] if not any(most.values()) else []
     for how, n in most.items():
         for i in range(n):
-            x = F.col(f"x_{how}_{i}")
+            x = f"x_{how}_{i}"
             if how == "var":
-                aggs += [F.count(x).cast("double").alias(f"var_{i}_n"), F.avg(x).alias(f"var_{i}_m"), F.var_pop(x).alias(f"var_{i}_v")]
+                aggs += [f"double(count({x})) AS var_{i}_n", f"avg({x}) AS var_{i}_m", f"var_pop({x}) AS var_{i}_v"]
             else:
-                aggs.append({"sum": F.sum, "min": F.min, "max": F.max}[how](x).alias(f"{how}_{i}"))
+                aggs.append(f"covar_pop({x}, {x}_) AS cov_{i}" if how == "cov" else f"{how}({x}) AS {how}_{i}")
     keys = (["chain"] if len(groups) > 1 else []) + [n for n, _ in names]
-    return records.groupBy(*keys).agg(*aggs) if keys else records.agg(*aggs)
-
+    return (records.groupBy(*keys) if keys else records.groupBy()).agg(*map(F.expr, aggs))
 
-_ROW = "struct<path:string,kind:string,keys:array<string>,entries:double,sum:double,min:double,max:double,vn:double,vm:double,v2:double>"
 
-
-def _contribution(r: Request, g: _Group, use: dict[str, str], many: bool) -> Column:
-    """array of the result rows that a row of the small table adds to: none, one, or one for each
-    threshold below it."""
-    slot = {a: F.col(n) for n, a in g.keys}
-    ok = F.col("chain") == g.number if many else F.lit(True)
+def _contribution(r: Request, g: _Group, use: dict[str, str], many: bool, own: set[str]) -> tuple[str, bool]:
+    """The result row that a row of the small table adds to, of 0 entries if there is none; or an array of rows, one
+    for each threshold below it."""
+    slot = {a: n for n, a in g.keys}
+    ok = [f"chain = {g.number}"] * many
     for axis, code in r.tests:
         k = slot[axis]
         if axis.id.startswith("sparse:"):
-            ok = ok & (k.isNull() if code == NAN else k.isNotNull())
+            ok.append(f"{k} IS NULL" if code == NAN else f"{k} IS NOT NULL")
         elif axis.slot == "long":
-            ok = ok & (k == code if code is not None else k >= 0)
-    none = F.lit(None).cast("double")
-    s = F.col(use["sum"]) if "sum" in use else none
+            ok.append(f"{k} = {code}L" if code is not None else f"{k} >= 0L")
+    got = {c: "double(NULL)" for c in own}
+    for c in ("sum", "min", "max"):
+        if c in use:
+            got[c] = use[c]
     if "var" in use:
-        vn, vm, v2 = (F.col(f"{use['var']}_{x}") for x in "nmv")
-        v2 = v2 * vn
-    elif "pivot" in use:
-        vn, first = F.col(use["entries"]), F.col(use["first"]) / F.when(F.col(use["entries"]) > 0, F.col(use["entries"]))
-        vm, v2 = F.col(use["pivot"]) + first, F.col(use["second"]) - F.col(use["first"]) * first
-        v2 = F.when(v2 < 0, 0.0).otherwise(v2)
-    else:
-        vn = vm = v2 = none
-    kind = "Transformed" if r.kind == "Count" and r.transform is not None else r.kind
-
-    def row(keys: Column) -> Column:
-        fields = {"path": F.lit(r.path), "kind": F.lit(kind), "keys": keys, "entries": F.coalesce(F.col(use["entries"]), F.lit(0.0)), "sum": s, "min": F.col(use["min"]) if "min" in use else none, "max": F.col(use["max"]) if "max" in use else none, "vn": vn, "vm": vm, "v2": v2}
-        return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-    rows = F.array(F.array(*[_text(slot[a], a.slot) for a in r.axes]) if r.axes else F.array().cast("array<string>"))
+        v = use["var"]
+        got |= {"vn": f"{v}_n", "vm": f"{v}_m", "v2": f"{v}_v * {v}_n"}
+    elif "both" in use:
+        n, mean = use["entries"], f"{use['first']} / nullif({use['entries']}, 0D)"
+        got |= {"vn": n, "vm": mean, "v2": f"greatest({use['rows']} * ({use['both']} - {mean} * {use['mixed']}), 0D)"}
+    entries = f"coalesce({use['entries']}, 0D)"
+    entries = f"CASE WHEN {' AND '.join(ok)} THEN {entries} ELSE 0D END" if ok else entries
+
+    def row(keys: str) -> str:
+        more = "".join(f", {got[c]} AS {c}" for c in sorted(own))
+        return f"struct({_string(r.path)} AS path, {_string(_kind(r))} AS kind, {keys} AS keys, {entries} AS entries{more})"
+
+    keys = f"array({', '.join(_text(slot[a], a.slot) for a in r.axes)})" if r.axes else "CAST(array() AS array<string>)"
+    if not any(a.cumulative for a in r.axes):
+        return row(keys), False
+    rows = f"array({keys})"
     for j, a in enumerate(r.axes):
         if a.cumulative:
-            rows = _all_below(rows, j, slot[a])
-    return F.when(ok, F.transform(rows, row)).otherwise(F.array().cast(f"array<{_ROW}>")).cast(f"array<{_ROW}>")
-
-
-def _all_below(rows: Column, j: int, top: Column) -> Column:
-    """Key arrays repeated with each bin from 0 to ``top`` as their key ``j``."""
-    bins = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(top, F.lit(0).cast("long"))), lambda i: i.cast("string"))
-    put = lambda keys, i: F.concat(F.slice(keys, 1, j), F.array(i), F.slice(keys, j + 2, 1000))
-    return F.flatten(F.transform(rows, lambda keys: F.transform(bins, lambda i: put(keys, i))))
-
-
-def _text(k: Column, slot: str) -> Column:
-    return F.to_json(k) if slot == "vector" else k.cast("string")
-
+            put = f"concat(slice(k, 1, {j}), array(string(i)), slice(k, {j + 2}, 1000))"
+            rows = f"flatten(transform({rows}, k -> transform(sequence(0L, greatest({slot[a]}, 0L)), i -> {put})))"
+    return f"transform({rows}, keys -> {row('keys')})", True
 
-def _empty_rows(df: DataFrame, wanted: list, dense: bool) -> DataFrame:
-    """Rows of 0 entries for what is there even without data, made by one task."""
-    none = F.lit(None).cast("double")
 
-    def rows(path: str, kind: str, sizes: list[int]) -> Column:
-        def row(i: Column) -> Column:
-            keys = [F.pmod(F.floor(i / prod(sizes[j + 1 :])), F.lit(n)).cast("long").cast("string") for j, n in enumerate(sizes)]
-            keys = F.array(*keys) if keys else F.array().cast("array<string>")
-            return F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), keys.alias("keys"), F.lit(0.0).alias("entries"), *[none.alias(c) for c in ("sum", "min", "max", "vn", "vm", "v2")])
+def _text(k: str, slot: str) -> str:
+    return f"to_json({k})" if slot == "vector" else f"string({k})"
 
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(prod(sizes) - 1).cast("long")), row).cast(f"array<{_ROW}>")
 
-    parts = []
+def _empty_rows(df: DataFrame, wanted: list, dense: bool, zero: list[str]):
+    """Rows of 0 entries for what is there even without data; bins of a large grid are made by several tasks."""
+    by: dict[tuple, list[str]] = {}
     for r, _, _ in wanted:
-        sizes = [a.size for a in r.axes]
+        sizes = tuple(a.size for a in r.axes)
         if not sizes or (dense and None not in sizes):
-            parts.append(rows(r.path, "Transformed" if r.kind == "Count" and r.transform is not None else r.kind, sizes))
-    return df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.concat(*parts)).alias("r")).select("r.*")
+            by.setdefault(sizes, []).append(f"struct({_string(r.path)}, {_string(_kind(r))})")
+    for sizes, paths in by.items():
+        keys = ", ".join(f"string(id div {prod(sizes[j + 1 :])}L % {n}L)" for j, n in enumerate(sizes))
+        rows = df.sparkSession.range(0, prod(sizes), 1, -(-prod(sizes) // _EMPTY)).selectExpr("id", f"inline(array({', '.join(paths)})) AS (path, kind)")
+        yield rows.selectExpr("path", "kind", f"CAST(array({keys}) AS array<string>) AS keys", *zero)
