@@ -1,8 +1,8 @@
 """Composable aggregation trees compiled to DataFrame plans."""
 
-from .functions import Quantity, named, quantity, unweighted
+from .functions import Quantity, named, quantity, unweighted, vectorized
 from .operators import *  # noqa: F403
 from .operators import __all__ as _operators
 from .plans import aggregate, assemble, lower, tidy
 
-__all__ = ["Quantity", "named", "quantity", "unweighted", "aggregate", "assemble", "lower", "tidy", *_operators]
+__all__ = ["Quantity", "named", "quantity", "unweighted", "vectorized", "aggregate", "assemble", "lower", "tidy", *_operators]

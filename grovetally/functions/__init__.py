@@ -1,6 +1,6 @@
 """Quantities and scalar helper functions."""
 
-from .quantity import Quantity, named, quantity, unweighted
+from .quantity import Quantity, named, quantity, unweighted, vectorized
 from .vectors import eta, lorentz_sum, mass, momentum, phi, pt
 
-__all__ = ["Quantity", "named", "quantity", "unweighted", "pt", "momentum", "mass", "eta", "phi", "lorentz_sum"]
+__all__ = ["Quantity", "named", "quantity", "unweighted", "vectorized", "pt", "momentum", "mass", "eta", "phi", "lorentz_sum"]

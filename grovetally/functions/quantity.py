@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 
 @dataclass(frozen=True, eq=False)
@@ -13,7 +16,7 @@ class Quantity:
     """What a node of an aggregation tree looks at in each row.
 
     ``expr`` is a Column, a SQL expression or a number. A Python function can be used after
-    wrapping it as a pandas UDF, whose Column is evaluated once for each row.
+    wrapping it with :func:`vectorized`, whose Column is evaluated once for each row.
     """
 
     expr: Column | str | float
@@ -42,7 +45,7 @@ def quantity(q: Quantity | Column | str | float) -> Quantity:
         return q
     if isinstance(q, (Column, str, int, float)) and not isinstance(q, bool):
         return Quantity(q)
-    raise TypeError(f"a quantity must be a Column, a SQL expression or a number, not {type(q).__name__}; wrap a Python function as a pandas UDF and pass its Column")
+    raise TypeError(f"a quantity must be a Column, a SQL expression or a number, not {type(q).__name__}; wrap a Python function with vectorized(f, columns...)")
 
 
 def named(q: Quantity | Column | str | float, name: str) -> Quantity:
@@ -50,5 +53,18 @@ def named(q: Quantity | Column | str | float, name: str) -> Quantity:
     return quantity(q).named(name)
 
 
+def vectorized(f: Callable, *columns: Column | str, kind: str = "double") -> Column:
+    """A Python function of some columns as a quantity. ``f`` gets a pandas Series for each column, in Arrow
+    batches, and gives one of type ``kind``; a function of single numbers goes in as ``numpy.vectorize(f)``.
+    """
+
+    def run(*series):
+        got = f(*series)
+        return got if isinstance(got, pd.Series) else pd.Series(got)
+
+    run.__annotations__ = {"return": pd.Series}
+    return F.pandas_udf(run, kind, PandasUDFType.SCALAR)(*columns)
+
+
 #: The selection that lets everything pass.
 unweighted = Quantity(1.0, "unweighted")

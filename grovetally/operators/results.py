@@ -272,7 +272,7 @@ class _Grown(Result):
                 if other is not None:
                     out[self.many] |= {k: v for k, v in b.items() if k not in a}
             elif a and not isinstance(a[0], Result):
-                if other is not None and [k for k, _ in a] != [k for k, _ in b]:
+                if other is not None and (len(a) != len(b) or not all(same(x, y) for (x, _), (y, _) in zip(a, b))):
                     raise MergeError(f"{self.kind}: the keys differ")
                 out[self.many] = tuple((k, join(v, b[i][1] if b else None)) for i, (k, v) in enumerate(a))
             else:

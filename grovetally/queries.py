@@ -526,6 +526,136 @@ def view_stack_compat(spark, d):
     return spark.createDataFrame([(v.low, v.high, v.num, len(v.layers))], "low double, high double, num bigint, layers bigint")
 
 
+@query(dense_sql(50, f"SELECT bin, avg(l_quantity) AS m, count(*) AS n, var_pop(l_quantity) AS v FROM ({_PRICE_SQL}) GROUP BY bin",
+"coalesce(round(m, 6), 'NaN'::DOUBLE) AS mean, coalesce(round(v, 4), 'NaN'::DOUBLE) AS variance, coalesce(round(sqrt(v / n), 6), 'NaN'::DOUBLE) AS error"))
+def view_profile_err(spark, d):
+    from .operators.views import ProfileErrView
+
+    v = ProfileErrView(aggregate(lineitem(spark, d), ProfileErr(*_PRICE, "l_extendedprice", "l_quantity")))
+    rows = list(zip(range(50), v.mean_values, v.variance_values, v.error_values, strict=True))
+    return spark.createDataFrame(rows, "bin bigint, mean double, variance double, error double").select("bin", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("error", 6).alias("error"))
+
+
+@query(dense_sql(50, f"SELECT bin, avg(l_quantity) AS m FROM ({_PRICE_SQL}) GROUP BY bin", "coalesce(round(m, 6), 'NaN'::DOUBLE) AS mean"))
+def view_profile(spark, d):
+    from .operators.views import ProfileView
+
+    v = ProfileView(aggregate(lineitem(spark, d), Profile(*_PRICE, "l_extendedprice", "l_quantity")))
+    return spark.createDataFrame(list(enumerate(v.mean_values)), "bin bigint, mean double").withColumn("mean", F.round("mean", 6))
+
+
+_LAYERS = """SELECT layer::BIGINT AS layer, r.range::BIGINT AS bin, coalesce(n, 0.0)::DOUBLE AS value FROM range(50) r CROSS JOIN (VALUES (0, -1e300), (1, 10.0), (2, 20.0), (3, 40.0)) e(layer, edge)
+LEFT JOIN (SELECT bin, layer AS l, count(*)::DOUBLE AS n FROM ({inner}) JOIN (VALUES (0, -1e300, 10.0), (1, 10.0, 20.0), (2, 20.0, 40.0), (3, 40.0, 1e300)) g(layer, low, high) ON l_quantity >= low AND {upper} GROUP BY 1, 2) a
+ON a.bin = r.range AND a.l = e.layer"""
+
+
+def _layers(spark, view):
+    return spark.createDataFrame([(i, j, x) for i, v in enumerate(view.layers) for j, x in enumerate(v.numerical_values)], "layer bigint, bin bigint, value double")
+
+
+@query(_LAYERS.format(inner=_PRICE_SQL, upper="true"))
+def view_stack_layers(spark, d):
+    from .operators.views import StackedHistogramView
+
+    return _layers(spark, StackedHistogramView(aggregate(lineitem(spark, d), Stack([10, 20, 40], "l_quantity", Histogram(*_PRICE, "l_extendedprice")))))
+
+
+@query(_LAYERS.format(inner=_PRICE_SQL, upper="l_quantity < high"))
+def view_partitioned(spark, d):
+    from .operators.views import PartitionedHistogramView
+
+    return _layers(spark, PartitionedHistogramView(aggregate(lineitem(spark, d), IrregularlyBin([10, 20, 40], "l_quantity", Histogram(*_PRICE, "l_extendedprice")))))
+
+
+@query(f"""SELECT r.range::BIGINT AS bin, coalesce(round(p - 2 * sqrt(p * (1 - p) / den), 6), 'NaN'::DOUBLE) AS wald_low, coalesce(round(p + 2 * sqrt(p * (1 - p) / den), 6), 'NaN'::DOUBLE) AS wald_high,
+coalesce(round((p + 2 / den - 2 * sqrt(p * (1 - p) / den + 1 / (den * den))) / (1 + 4 / den), 6), 'NaN'::DOUBLE) AS wilson_low,
+coalesce(round((p + 2 / den + 2 * sqrt(p * (1 - p) / den + 1 / (den * den))) / (1 + 4 / den), 6), 'NaN'::DOUBLE) AS wilson_high
+FROM range(50) r LEFT JOIN (SELECT bin, count(*)::DOUBLE AS den, count(*) FILTER (l_returnflag = 'R') / count(*)::DOUBLE AS p FROM ({_PRICE_SQL}) GROUP BY bin) a ON a.bin = r.range""")
+def view_fraction_intervals(spark, d):
+    from .operators.views import FractionedHistogramView, wald_interval, wilson_interval
+
+    v = FractionedHistogramView(aggregate(lineitem(spark, d), Fraction("l_returnflag = 'R'", Histogram(*_PRICE, "l_extendedprice"))))
+    both = zip(v.confidence_interval_values(wald_interval, 2.0), v.confidence_interval_values(wilson_interval, 2.0), strict=True)
+    names = ["wald_low", "wald_high", "wilson_low", "wilson_high"]
+    rows = [(i, a[0], a[2], b[0], b[2]) for i, (a, b) in enumerate(both)]
+    return spark.createDataFrame(rows, "bin bigint, " + ", ".join(f"{n} double" for n in names)).select("bin", *[F.round(n, 6).alias(n) for n in names])
+
+
+@query(f"""SELECT x.range::BIGINT AS x, y.range::BIGINT AS y, coalesce(n, 0.0)::DOUBLE AS value FROM range(20) x CROSS JOIN range(10) y LEFT JOIN
+(SELECT {bin_sql('l_extendedprice', 20, 10000.0, 90000.0)} AS bx, {bin_sql('l_quantity', 10, 5.0, 45.0)} AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2) a ON a.bx = x.range AND a.b = y.range""")
+def view_2d_values(spark, d):
+    from .operators.views import TwoDimensionalView
+
+    v = TwoDimensionalView(aggregate(lineitem(spark, d), TwoDimensionallyHistogram(20, 10000, 90000, "l_extendedprice", 10, 5, 45, "l_quantity")))
+    return spark.createDataFrame([(i, j, n) for i, row in enumerate(v.numerical_values) for j, n in enumerate(row)], "x bigint, y bigint, value double")
+
+
+@query(f"""SELECT r.range::BIGINT AS bin, r.range * 2500.0::DOUBLE AS low, (r.range + 1) * 2500.0::DOUBLE AS high, (r.range + 0.5) * 2500.0::DOUBLE AS center, coalesce(n, 0.0)::DOUBLE AS value, round(sqrt(coalesce(n, 0.0)), 6) AS error FROM range(40) r
+LEFT JOIN (SELECT {bin_sql('l_extendedprice', 40, 0.0, 100000.0)} AS bin, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1) a ON a.bin = r.range""")
+def view_plot_points(spark, d):
+    from .operators.views import plot_points
+
+    points = plot_points(aggregate(lineitem(spark, d), Histogram(40, 0, 100000, "l_extendedprice")))
+    rows = [(i, *(p[c] for c in ("low", "high", "center", "value", "error"))) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "bin bigint, low double, high double, center double, value double, error double").withColumn("error", F.round("error", 6))
+
+
+@query("""SELECT count(*)::DOUBLE AS entries, round(sum(l_tax) FILTER (l_returnflag = 'R'), 2) AS numerator, round(sum(l_tax), 2) AS denominator, round(count(*) FILTER (l_returnflag = 'R') / count(*)::DOUBLE, 6) AS passing FROM lineitem""")
+def fraction_build(spark, d):
+    from .operators.results import Fractioned
+
+    df = lineitem(spark, d)
+    r = Fractioned.build(aggregate(df.where("l_returnflag = 'R'"), Sum("l_tax")), aggregate(df, Sum("l_tax")))
+    return spark.createDataFrame([(r.entries, round(r.numerator.sum, 2), round(r.denominator.sum, 2), round(r.fraction_passing, 6))], "entries double, numerator double, denominator double, passing double")
+
+
+@query("""SELECT 'a/0' AS path, round(sum(l_tax), 2) AS sum FROM lineitem UNION ALL SELECT 'a/1', round(sum(l_discount), 2) FROM lineitem UNION ALL SELECT 'b/i0', count(*)::DOUBLE FROM lineitem UNION ALL SELECT 'b/i1', round(sum(l_quantity), 2) FROM lineitem""")
+def multi_index(spark, d):
+    """Every leaf of nested collections by its index, and the leaf that the index leads to."""
+    r = aggregate(lineitem(spark, d), UntypedLabel(a=Index(Sum("l_tax"), Sum("l_discount")), b=Branch(Count(), Sum("l_quantity"))))
+    rows = list(r.walk(lambda path, leaf: ("/".join(map(str, path)), round(getattr(r.at(*path), "sum", leaf.entries), 2))))
+    return spark.createDataFrame(rows, "path string, sum double")
+
+
+@query("SELECT 'price' AS name, 'Bin' AS kind, 50::BIGINT AS bins, count(*)::DOUBLE AS entries FROM lineitem UNION ALL SELECT 'taxes', 'Sum', NULL, count(*)::DOUBLE FROM lineitem")
+def named_quantities(spark, d):
+    """Names go from the tree to the result and through its JSON."""
+    from . import named
+    from .sources import loads, to_string
+
+    r = loads(to_string(aggregate(lineitem(spark, d), Branch(Bin(*_PRICE, named("l_extendedprice", "price")), Sum(named("l_tax", "taxes"))))))
+    return spark.createDataFrame([(x.name, x.kind, getattr(x, "num", None), x.entries) for x in r.values], "name string, kind string, bins bigint, entries double")
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (l_extendedprice < 25000) AS a, count(*) FILTER (l_extendedprice >= 25000 AND l_extendedprice < 50000) AS b,
+count(*) FILTER (l_extendedprice >= 50000 AND l_extendedprice < 75000) AS c, count(*) FILTER (l_extendedprice >= 75000 AND l_extendedprice < 100000) AS d, count(*) FILTER (l_extendedprice >= 100000) AS o FROM lineitem)
+SELECT '{"version": "1.0", "type": "Bin", "data": {"entries": ' || n || ', "low": 0, "high": 100000, "values:type": "Count", "values": [' || a || ', ' || b || ', ' || c || ', ' || d || '], "underflow:type": "Count", "underflow": 0, "overflow:type": "Count", "overflow": ' || o || ', "nanflow:type": "Count", "nanflow": 0, "name": "price"}}' AS json FROM c""")
+def json_bin(spark, d):
+    """The whole JSON of a histogram, as text."""
+    from . import named
+    from .sources import to_string
+
+    return spark.createDataFrame([(to_string(aggregate(lineitem(spark, d), Bin(4, 0, 100000, named("l_extendedprice", "price")))),)], "json string")
+
+
+@query("""WITH k AS (SELECT l_returnflag AS f, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS m FROM lineitem GROUP BY 1)
+SELECT '{"version": "1.0", "type": "Categorize", "data": {"entries": ' || sum(n) || ', "bins:type": "Fraction", "bins": {' || string_agg('"' || f || '": {"entries": ' || n || ', "sub:type": "Count", "numerator": ' || m || ', "denominator": ' || n || '}', ', ' ORDER BY f) || '}}}' AS json FROM k""")
+def json_categorize(spark, d):
+    """The whole JSON of fractions by category, as text."""
+    from .sources import to_string
+
+    return spark.createDataFrame([(to_string(aggregate(lineitem(spark, d), Categorize("l_returnflag", Fraction("l_linestatus = 'F'", Count())))),)], "json string")
+
+
+@query("SELECT count(*)::DOUBLE AS entries, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum FROM lineitem")
+def python_quantity(spark, d):
+    """A Python function of two columns as the quantity, over Arrow batches."""
+    from . import vectorized
+
+    rows = tidy(lineitem(spark, d), Sum(vectorized(lambda price, off: price * (1 - off), "l_extendedprice", "l_discount")))
+    return rows.select("entries", F.round("sum", 2).alias("sum"))
+
+
 @query()
 def json_roundtrip(spark, d):
     """The tree of several queries as JSON, read and written again."""

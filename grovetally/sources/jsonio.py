@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Callable
 from pathlib import Path
 from typing import IO
 
+from pyspark.sql import SparkSession
+
 from ..operators import results as R
 
 #: The version written into the header.
@@ -282,3 +285,18 @@ class JsonLog:
 
     def results(self) -> list[R.Result]:
         return [loads(x) for x in self.path.read_text(encoding="utf-8").splitlines() if x]
+
+
+class SharedJsonLog:
+    """Like :class:`JsonLog` in a folder of any file system that Spark can write to. Each result is one file of
+    its own that appears whole."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, r: R.Result) -> None:
+        self.spark.createDataFrame([(time.time_ns(), to_string(r))], "at long, result string").coalesce(1).write.mode("append").json(self.path)
+
+    def results(self) -> list[R.Result]:
+        rows = self.spark.read.schema("at long, result string").json(self.path)
+        return [loads(x["result"]) for x in rows.orderBy("at").toLocalIterator()]

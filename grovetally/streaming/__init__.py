@@ -1,5 +1,5 @@
 """Aggregation trees over streams."""
 
-from .incremental import Incremental, fill_stream
+from .incremental import Incremental, Kept, fill_stream
 
-__all__ = ["Incremental", "fill_stream"]
+__all__ = ["Incremental", "Kept", "fill_stream"]

@@ -8,7 +8,7 @@ import math
 import pytest
 
 from grovetally import (
-    Average, Bag, Bin, Branch, Categorize, Count, Deviate, Fraction, Histogram, IrregularlyBin, Label, Profile, ProfileErr, SparselyBin, SparselyHistogram,
+    Average, Bag, Bin, Branch, Categorize, Count, Deviate, Fraction, Histogram, IrregularlyBin, Label, Minimize, Profile, ProfileErr, SparselyBin, SparselyHistogram,
     SparselyProfile, SparselyProfileErr, Stack, Sum, TwoDimensionallyHistogram, TwoDimensionallySparselyHistogram, aggregate, named,
 )
 from grovetally.operators import views as V
@@ -164,6 +164,65 @@ def test_stream(spark, df, tmp_path):
     assert again.result.entries == 200
 
 
+def test_stream_goes_on_after_a_restart(spark, df, tmp_path):
+    from grovetally.streaming import fill_stream
+
+    tree = Branch(Histogram(4, 0, 80, "x"), Deviate("y"), Categorize("string(x % 3)"), Minimize("x"))
+    half = [df.where("x < 40"), df.where("not (x < 40) or x is null")]
+    for part in half:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        q, running = fill_stream(source, tree, str(tmp_path / "checkpoint"))
+        q.processAllAvailable()
+        q.stop()
+    assert running.result.equals(aggregate(df, tree), 1e-9)
+
+
+def test_stacks_from_json_add_up(df):
+    from grovetally.operators.results import Stacked
+    from grovetally.sources import loads, to_string
+
+    r = aggregate(df, Histogram(4, 0, 80, "x"))
+    stack = Stacked.build(r, r)
+    total = loads(to_string(stack)) + loads(to_string(stack))
+    assert total.entries == 2 * stack.entries and total.equals(stack + stack, 1e-12)
+
+
+def test_shared_log(spark, df, tmp_path):
+    from grovetally.sources import SharedJsonLog
+
+    log, given = SharedJsonLog(spark, str(tmp_path / "log")), [aggregate(df.limit(n), Sum("x")) for n in (3, 5, 9)]
+    for r in given:
+        log.append(r)
+    assert [r.entries for r in log.results()] == [3, 5, 9] and all(a.equals(b) for a, b in zip(log.results(), given, strict=True))
+
+
+#: The text of a small histogram.
+DRAWN = """\
+             0                                                                2.2
+             ++-----------------------------------------------------------------+
+underflow 0  ||                                                                 |
+[0, 1)    1  ||*****************************                                    |
+[1, 2)    2  ||**********************************************************       |
+overflow  0  ||                                                                 |
+nanflow   0  ||                                                                 |
+             ++-----------------------------------------------------------------+"""
+
+
+def test_drawn_text_is_known(spark):
+    from grovetally.operators.ascii import histogram as draw
+
+    r = aggregate(spark.createDataFrame([(0.5,), (1.5,), (1.0,)], "x double"), Histogram(2, 0, 2, "x"))
+    assert [x.rstrip() for x in draw(r).splitlines()] == [x.rstrip() for x in DRAWN.splitlines()]
+
+
+def test_large_grids_take_no_single_task(spark):
+    from grovetally import Bin, tidy
+
+    rows = tidy(spark.range(10).selectExpr("double(id) AS x"), Bin(1500, 0, 10, "x", Bin(1500, 0, 10, "x")))
+    assert rows.where("path = 'values/values'").count() == 1500 * 1500
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__ as e
 
