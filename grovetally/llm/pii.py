@@ -91,52 +91,113 @@ KINDS = (
 BONUS, NEAR, THRESHOLD = 0.3, 40, 0.6
 
 
-def _spans(text: Column, kind: Kind) -> Column:
-    """array<struct<rank, start, end, kind, score>> of one kind; code points, end exclusive.
+#: Elements that are added up one after another; running totals are made of such blocks, so that time grows with
+#: the number of spans, not with its square.
+_BLOCK = 64
+#: Code points of the blocks a text is cut into, to reach any place of it without reading all before it.
+_REACH = 1024
 
-    The texts between matches and the matches alternate, so their lengths give the places.
-    """
+
+def let(x: Column, use) -> Column:
+    """``use(x)`` with x computed once."""
+    return F.transform(F.array(x), use)[0]
+
+
+def running(values: Column, add, levels: int = 3) -> Column:
+    """add(... add(v1, v2) ..., vi) for each i of an array of ints."""
+    def plain(part: Column) -> Column:
+        step = lambda acc, v: F.concat(acc, F.array(F.when(F.size(acc) > 0, add(F.element_at(acc, -1), v)).otherwise(v)))
+        return F.aggregate(part, F.array().cast("array<int>"), step)
+
+    if levels == 1:
+        return plain(values)
+
+    def deep(v: Column) -> Column:
+        count = F.ceil(F.size(v) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: plain(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+        def joined_(parts: Column) -> Column:
+            ends = running(F.transform(parts, lambda p: F.element_at(p, -1)), add, levels - 1)
+            return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: add(F.get(e, i - 1), x))))))
+
+        return let(blocks, joined_)
+
+    return F.when(F.size(values) > 0, let(values, deep)).otherwise(F.array().cast("array<int>"))
+
+
+def reach(text: Column) -> Column:
+    """The text as blocks of _REACH code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_REACH}}}"), F.lit(0))
+
+
+def _near(blocks: Column, start: Column, n: Column) -> Column:
+    """At most _REACH code points from a place on."""
+    at = F.floor(start / _REACH).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, at), F.lit("")), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+    return two.substr(start - at * _REACH + 1, n)
+
+
+def _stretch(blocks: Column, start: Column, end: Column) -> Column:
+    """The pieces of text between two places."""
+    a, b = F.floor(start / _REACH).cast("int"), F.floor(end / _REACH).cast("int")
+    head = lambda i, k, n: F.coalesce(F.get(blocks, i), F.lit("")).substr(k, n)
+    across = F.concat(F.array(head(a, start - a * _REACH + 1, F.lit(_REACH))), F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), F.array(head(b, F.lit(1), end - b * _REACH)))
+    return F.when(a == b, F.array(head(a, start - a * _REACH + 1, end - start))).otherwise(across)
+
+
+def _spans(text: Column, kind: Kind) -> Column:
+    """The matches of one kind and the lengths of the texts between them, in code points."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.transform(F.split(text, kind.pattern, -1), lambda x: F.length(x))
     return F.struct(found.alias("found"), gaps.alias("gaps"))
 
 
-def _placed(text: Column, raw: Column, kind: Kind, rank: int, threshold: float) -> Column:
-    found, gaps = raw["found"], raw["gaps"]
-    ends = F.aggregate(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda x: F.length(x)), lambda g, n: F.struct(g.alias("g"), n.alias("n"))),
-        F.array().cast("array<int>"),
-        lambda acc, z: F.concat(acc, F.array(F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1)), F.lit(0)) + z["g"] + z["n"])),
-    )
-    placed = F.zip_with(found, ends, lambda x, e: F.struct(x.alias("match"), (e - F.length(x)).alias("start"), e.alias("end")))
-    placed = F.filter(placed, lambda s: kind.check(s["match"]))
+def _placed(blocks: Column, raw: Column, kind: Kind, rank: int, threshold: float) -> Column:
+    """array<struct<rank, start, end, kind, score>> of one kind; code points, end exclusive.
+
+    The texts between matches and the matches alternate, so their lengths add up to the places.
+    """
 
     def scored(s: Column) -> Column:
         before = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.concat(text.substr(before + 1, s["start"] - before), F.lit(" "), text.substr(s["end"] + 1, F.lit(NEAR)))
+        near = F.concat(_near(blocks, before, s["start"] - before), F.lit(" "), _near(blocks, s["end"], F.lit(NEAR)))
         score = F.lit(kind.score) + F.when(F.lower(near).rlike(rf"(?:^|[^a-z])(?:{kind.context})"), BONUS).otherwise(0.0)
         return F.struct(F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), F.round(score, 3).alias("score"))
 
-    placed = F.transform(placed, scored)
+    def ended(r: Column) -> Column:
+        ends = running(F.zip_with(F.slice(r["gaps"], F.lit(1), F.size(r["found"])), r["found"], lambda g, x: g + F.length(x)), lambda a, b: a + b)
+        placed = F.zip_with(r["found"], ends, lambda x, e: F.struct(x.alias("match"), (e - F.length(x)).alias("start"), e.alias("end")))
+        return F.transform(F.filter(placed, lambda s: kind.check(s["match"])), scored)
+
+    placed = let(raw, ended)
     return placed if kind.base else F.filter(placed, lambda s: s["score"] >= threshold)
 
 
+_FOUND = "array<struct<rank:int,start:int,end:int,kind:string,score:double>>"
+
+
 def find_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, threshold: float = THRESHOLD, out: str = "pii") -> DataFrame:
     """``docs`` with a column ``out``: array<struct<rank, start, end, kind, score>>, by rank of
     the kind, then start.
 
     Null and empty texts have an empty array. Matches of one kind never overlap; those of
     different kinds may. Repeated rows each get their own array; other columns pass through
-    unchanged, and a column named as ``out`` is replaced. An empty table stays empty.
+    unchanged, and a column named as ``out`` is replaced. An empty table stays empty. Time grows with the text and
+    with the number of matches.
     """
     names = fresh(docs, "pii_text", *[f"pii_raw{i}" for i in range(len(kinds))])
     t = F.col(names[0])
     digit = t.rlike("[0-9]")
     df = docs.withColumn(names[0], F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumns({n: F.when((t.contains(k.trigger) if k.trigger else F.lit(True)) & (F.lit(True) if k.name == "email" else digit), _spans(t, k)) for n, k in zip(names[1:], kinds, strict=True)})
-    empty = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string,score:double>>")
-    found = F.concat(*[F.when(F.size(F.col(n)["found"]) > 0, _placed(t, F.col(n), k, i, threshold)).otherwise(empty) for i, (n, k) in enumerate(zip(names[1:], kinds, strict=True))])
-    return df.withColumn(out, found).drop(*names)
+    empty = F.array().cast(_FOUND)
+    some = {n: F.size(F.col(n)["found"]) > 0 for n in names[1:]}
+
+    def each(blocks: Column) -> Column:
+        return F.concat(*[F.when(some[n], _placed(blocks, F.col(n), k, i, threshold)).otherwise(empty) for i, (n, k) in enumerate(zip(names[1:], kinds, strict=True))])
+
+    any_ = F.coalesce(*[F.when(x, True) for x in some.values()], F.lit(False))
+    return df.withColumn(out, F.when(any_, let(reach(t), each)).otherwise(empty)).drop(*names)
 
 
 def joined(spans: Column) -> Column:
@@ -155,12 +216,25 @@ def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     t = F.col(text_col)
     order = F.array_sort(F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
-    def put(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        fresh_ = s["start"] >= acc["at"]
-        piece = F.concat(t.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(fresh_, F.concat(acc["text"], piece)).otherwise(acc["text"]).alias("text"))
+    def clean(spans: Column) -> Column:
+        # how far the spans up to each one reach: the first one beyond that begins a new stretch
+        return let(running(F.transform(spans, lambda s: -s["back"]), F.greatest), lambda upto: let(_begins(spans, upto), lambda begins: let(reach(t), lambda blocks: _rebuilt(spans, upto, begins, blocks))))
+
+    return df.withColumn(text_col, F.when(F.size(name) > 0, let(order, clean)).otherwise(t)).drop(name)
+
+
+def _begins(spans: Column, upto: Column) -> Column:
+    """The numbers of the spans that begin a stretch."""
+    return F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(upto, i - 1)))
+
+
+def _rebuilt(spans: Column, upto: Column, begins: Column, blocks: Column) -> Column:
+    """The text between stretches, and the kind that names each."""
+
+    def piece(i: Column, k: Column) -> Column:
+        span, last = F.get(spans, i), F.when(i == 0, 0).otherwise(F.get(upto, F.greatest(i - 1, F.lit(0))))
+        return F.concat(_stretch(blocks, last, span["start"]), F.array(F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    clean = F.aggregate(order, start, put, lambda acc: F.concat(acc["text"], t.substr(acc["at"] + 1, F.length(t))))
-    return df.withColumn(text_col, F.when(F.size(name) > 0, clean).otherwise(t)).drop(name)
+    end = F.element_at(upto, -1)
+    rest = F.concat(F.array(_near(blocks, end, F.lit(_REACH) - end + F.floor(end / _REACH).cast("int") * _REACH)), F.slice(blocks, F.floor(end / _REACH).cast("int") + 2, F.size(blocks)))
+    return F.array_join(F.concat(F.flatten(F.transform(begins, piece)), rest), "")
