@@ -18,20 +18,39 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests on one machine) is a temporary one set.
+    Only where the session names none and all runs in one process (a local master) is a temporary one
+    set: on a cluster, executors could not read it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="grovetally-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+#: Paths made under shared folders and not yet removed.
+_MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; :func:`clean` removes it."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this process has written under the shared folder, once no DataFrame that reads it is needed.
+
+    Checkpoints are Spark's own: it removes them as their DataFrames go if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

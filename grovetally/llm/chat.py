@@ -1,7 +1,8 @@
 """Chat formatting in DataFrame operations only.
 
 Records of any layout become canonical turns through schema fingerprinting: the nested field
-paths of a record are hashed, and the hash selects a declarative mapping. The turns are then
+paths of a record that some mapping knows are hashed, and the hash selects a declarative mapping. Fields that no
+mapping knows do not matter. The turns are then
 written with a template that marks turns and escapes control strings inside texts, and can
 be read back from the formatted string alone.
 """
@@ -13,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import fresh
+
 TURNS = "array<struct<role:string,text:string>>"
 
 #: The marks of the template. Escaped texts hold no "<", so no mark can be met
@@ -25,38 +28,65 @@ LEARNED = ("assistant",)
 @dataclass(frozen=True)
 class Mapping:
     """How one layout becomes turns: ``parts`` are (role, path of a text), or ``each`` is
-    (path of an array, its role field, its text field, names of roles)."""
+    (path of an array, its role field, its text field) with ``roles`` as names of roles."""
 
     name: str
-    example: str
     parts: tuple[tuple[str, str], ...] = ()
     each: tuple[str, str, str] | None = None
     roles: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def paths(self) -> tuple[str, ...]:
+        """The nested field paths that make up this layout."""
+        if self.each:
+            path, role, text = self.each
+            return (f"{path}[*]", f"{path}[*].{role}", f"{path}[*].{text}")
+        return tuple(path for _, path in self.parts)
+
 
-#: Layouts, each given by a record of that layout.
+#: Layouts. Of those that fit a record the one with the most paths counts, then the first.
 MAPPINGS = (
-    Mapping("messages", '{"messages":[{"role":"a","content":"b"}]}', each=("$.messages", "role", "content")),
-    Mapping("turns", '{"turns":[{"role":"a","text":"b"}]}', each=("$.turns", "role", "text")),
-    Mapping("conversations", '{"conversations":[{"from":"a","value":"b"}]}', each=("$.conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
-    Mapping("instruction", '{"instruction":"a","input":"b","output":"c"}', parts=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Mapping("instruction_plain", '{"instruction":"a","output":"c"}', parts=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Mapping("prompt", '{"prompt":"a","completion":"b"}', parts=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Mapping("prompt_response", '{"system":"s","prompt":"a","response":"b"}', parts=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
-    Mapping("question", '{"question":"a","answer":"b"}', parts=(("user", "$.question"), ("assistant", "$.answer"))),
+    Mapping("messages", each=("$.messages", "role", "content")),
+    Mapping("turns", each=("$.turns", "role", "text")),
+    Mapping("conversations", each=("$.conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
+    Mapping("instruction", parts=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
+    Mapping("instruction_plain", parts=(("user", "$.instruction"), ("assistant", "$.output"))),
+    Mapping("prompt", parts=(("user", "$.prompt"), ("assistant", "$.completion"))),
+    Mapping("prompt_response", parts=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
+    Mapping("prompt_plain", parts=(("user", "$.prompt"), ("assistant", "$.response"))),
+    Mapping("question", parts=(("user", "$.question"), ("assistant", "$.answer"))),
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """A 64-bit hash of a variant's nested field paths, whatever the types of its leaves."""
-    paths = F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT|ARRAY)[A-Z]+(?:\([0-9,]+\))?(?=[,>]|$)", "")
-    return F.xxhash64(F.regexp_replace(paths, r"ARRAY<(?!OBJECT)[^<>]*>", "ARRAY"))
+def _has(record: Column, path: str) -> Column:
+    """Whether a variant has a nested field path. [*] stands for an array and .field after it for a field of its
+    elements; an array without elements has all fields, as none of its elements lacks one."""
+    array, _, field = path.partition("[*]")
+    if array == path:  # anything but an object or array can be a text
+        return F.try_variant_get(record, path, "string").isNotNull() | F.coalesce(F.is_variant_null(F.try_variant_get(record, path, "variant")), F.lit(False))
+    rows = F.try_variant_get(record, array, "array<variant>")
+    if not field:
+        return rows.isNotNull()
+    got = lambda x: F.try_variant_get(x, "$" + field, "variant").isNotNull()
+    return F.coalesce((F.size(rows) == 0) | F.exists(rows, got), F.lit(False))
+
+
+def fingerprint(record: Column, paths: tuple[str, ...]) -> Column:
+    """A 64-bit hash of those of some nested field paths that a variant has."""
+    had = F.transform(F.filter(F.array(*[F.struct(F.lit(p).alias("path"), _has(record, p).alias("has")) for p in paths]), lambda x: x["has"]), lambda x: x["path"])
+    return F.xxhash64(F.array_join(had, "\n"))
+
+
+def _own(paths: tuple[str, ...]) -> Column:
+    """The fingerprint of a record that has all of some paths."""
+    return F.xxhash64(F.lit("\n".join(paths)))
 
 
 def _turns(record: Column, m: Mapping) -> Column:
     if m.each:
         path, role, text = m.each
-        rows = F.variant_get(record, path, f"array<struct<`{role}`:string,`{text}`:string>>")
+        rows = F.try_variant_get(record, path, "array<variant>")
+        get = lambda x, field: F.try_variant_get(x, "$." + field, "string")
 
         def name(r: Column) -> Column:
             out = r
@@ -64,29 +94,32 @@ def _turns(record: Column, m: Mapping) -> Column:
                 out = F.when(r == was, now).otherwise(out)
             return F.coalesce(out, F.lit(""))
 
-        return F.transform(rows, lambda x: F.struct(name(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
-    parts = [F.struct(F.lit(role).alias("role"), F.variant_get(record, path, "string").alias("text")) for role, path in m.parts]
+        return F.transform(rows, lambda x: F.struct(name(get(x, role)).alias("role"), F.coalesce(get(x, text), F.lit("")).alias("text")))
+    parts = [F.struct(F.lit(role).alias("role"), F.try_variant_get(record, path, "string").alias("text")) for role, path in m.parts]
     return F.filter(F.array(*parts), lambda x: x["text"].isNotNull())
 
 
-def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, out: str = "turns") -> DataFrame:
-    """``records`` with ``out``: array<struct<role, text>>, and ``layout``: the mapping's name.
+def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """``records`` with turns: array<struct<role, text>>, and layout: the mapping's name. Where a column has one of
+    these names, an underscore is put before the new one.
 
-    ``record_col`` is a variant or a string of JSON. A record that no mapping's fingerprint
-    fits, that is null or is no JSON, has null turns and a null layout. Null roles and
-    texts in a list of messages become empty; a null part of a prompt layout is left out.
+    ``record_col`` is a variant or a string of JSON. A mapping fits a record that has all paths of the
+    mapping, whatever else it has; an array without elements fits and gives no turns. A record that no mapping fits, that is null or is
+    no JSON, has null turns and a null layout. Roles and texts that are null, missing or no text in a list of messages become
+    empty; a null part of a prompt layout is left out. Repeated rows are formatted one by one; an empty table stays empty.
     """
     kind = records.schema[record_col].dataType.typeName()
     v = F.col(record_col) if kind == "variant" else F.try_parse_json(F.col(record_col))
-    (print_,) = [F.expr("fingerprint_of_record")]
-    df = records.withColumn("variant_of_record", v)
-    df = df.withColumn("fingerprint_of_record", fingerprint(F.col("variant_of_record")))
+    turns_col, layout_col, variant, number = fresh(records, "turns", "layout", "variant_of_record", "number_of_mapping")
+    df = records.withColumn(variant, v)
+    order = sorted(range(len(mappings)), key=lambda i: (-len(mappings[i].paths), i))
+    chosen = F.coalesce(*[F.when(fingerprint(F.col(variant), mappings[i].paths) == _own(mappings[i].paths), i) for i in order])
+    df = df.withColumn(number, F.when(F.col(variant).isNotNull(), chosen))
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
-    for m in reversed(mappings):
-        fits = print_ == fingerprint(F.parse_json(F.lit(m.example)))
-        turns = F.when(fits, _turns(F.col("variant_of_record"), m)).otherwise(turns)
-        layout = F.when(fits, F.lit(m.name)).otherwise(layout)
-    return df.withColumns({out: turns, "layout": layout}).drop("variant_of_record", "fingerprint_of_record")
+    for i, m in enumerate(mappings):
+        turns = F.when(F.col(number) == i, _turns(F.col(variant), m)).otherwise(turns)
+        layout = F.when(F.col(number) == i, F.lit(m.name)).otherwise(layout)
+    return df.withColumns({turns_col: turns, layout_col: layout}).drop(variant, number)
 
 
 def gathered(rows: DataFrame) -> DataFrame:
@@ -132,6 +165,8 @@ def read_back(x: Column, learned: tuple[str, ...] = LEARNED) -> Column:
 
 
 def format_chats(records: DataFrame, record_col: str = "record", **options) -> DataFrame:
-    """``records`` with ``turns``, ``layout`` and ``formatted``; null where no mapping fits."""
+    """``records`` with turns, layout and formatted as further columns; null where no mapping fits. Names, nulls,
+    repeated rows and empty tables are as in :func:`canonical_turns`."""
+    (turns,) = fresh(records, "turns")
     df = canonical_turns(records, record_col, **options)
-    return df.withColumn("formatted", formatted(F.col("turns")))
+    return df.withColumn(fresh(records, "formatted")[0], formatted(F.col(turns)))

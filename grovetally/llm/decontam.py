@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from ._spark import fresh, map_arrow, written
 from ._text import Chunk, chunks, spread
 
-Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 256, 32, 1 << 20
+Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 256, 32, 1 << 22
+#: Pairs of equal q-grams that are formed at a time.
+PAIRS = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -154,6 +156,34 @@ class Matcher:
     def _slot(g: np.ndarray) -> np.ndarray:
         return ((g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _BITS)).astype(np.int64)
 
+    def _bands(self, pos: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bands, as (pattern * docs + document) * width + number, and the q-grams that each shares. The pairs of equal
+        q-grams are formed ``PAIRS`` at a time, so a text of one repeated character takes time, not memory."""
+        x, keys, counts = self.x, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, side="right")))
+            at = spread(lo[i:j], n[i:j])
+            near, owner = np.repeat(pos[i:j], n[i:j]), np.repeat(doc[i:j], n[i:j])
+            base = (x.owner[at] * docs + owner) * width + (near - x.place[at] + PIECE) // (BAND // 2)
+            key = np.concatenate([base, base + 1])  # bands overlap by half
+            low = int(key.min())
+            if int(key.max()) - low < 4 * PAIRS:
+                many = np.bincount(key - low)
+                some = np.flatnonzero(many)
+                keys.append(some + low)
+                counts.append(many[some])
+            else:
+                some, many = np.unique(key, return_counts=True)
+                keys.append(some)
+                counts.append(many)
+            i = j
+        if len(keys) <= 2:
+            return keys[-1], counts[-1]
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+
     def find(self, c: Chunk) -> set[tuple[int, int]]:
         """(document, item) of the chunk."""
         x = self.x
@@ -182,18 +212,15 @@ class Matcher:
         doc = np.searchsorted(offs, pos, side="right") - 1
         inside = pos + Q <= offs[doc + 1]
         pos, lo, n, doc = pos[inside], lo[inside], n[inside], doc[inside]
-        at = spread(lo, n)
-        pos, doc = np.repeat(pos, n), np.repeat(doc, n)
-        pattern, diagonal = x.owner[at], pos - x.place[at] + PIECE
-        half = diagonal // (BAND // 2)
         width = len(data) // (BAND // 2) + PIECE + 2
-        pattern, half, doc = np.tile(pattern, 2), np.concatenate([half, half - 1]) + 1, np.tile(doc, 2)
-        _, first, count = np.unique((pattern * c.n + doc) * width + half, return_index=True, return_counts=True)
-        for i in first[count >= x.bound[pattern[first]]]:
-            p, d, k = int(pattern[i]), int(doc[i]), int(x.edits[pattern[i]])
+        key, count = self._bands(pos, doc, lo, n, c.n, width)
+        pattern = key // width // c.n
+        enough = count >= x.bound[pattern]
+        for i, p in zip(key[enough].tolist(), pattern[enough].tolist(), strict=True):
+            d, k = i // width % c.n, int(x.edits[p])
             if (d, int(x.items[p])) in found:
                 continue
-            start = (int(half[i]) - 1) * (BAND // 2) - PIECE
+            start = (i % width - 1) * (BAND // 2) - PIECE
             region = data[max(offs[d], start - k) : min(offs[d + 1], start + BAND + len(x.patterns[p]) + k)].tobytes()
             if aligned(x.patterns[p], region, k):
                 found.add((d, int(x.items[p])))
@@ -222,22 +249,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc
     one of the new names, an underscore is put before the new one. A benchmark of several
     blocks takes as many passes one after another.
     """
-    names = fresh(docs.select(*keep), "items", "contaminated")
-    rows = docs.select(F.col("text").alias("read_text"), *keep, F.lit(None).cast("array<long>").alias("found_items"))
+    names = fresh(docs.select(*keep), "items", "contaminated", "read_text")
+    rows = docs.select(F.col("text").alias(names[2]), *keep, F.lit(None).cast("array<long>").alias(names[0]))
     waiting = None
     for index in blocks(benchmark):
         if waiting is not None:  # written between passes, so that no task holds two blocks
-            rows = written(_search(rows, keep, waiting, True), "decontamination")
+            rows = written(_search(rows, waiting, True), "decontamination")
         waiting = index
-    out = _search(rows, keep, waiting, False).withColumnRenamed("found_items", names[0])
+    out = _search(rows, waiting, False)
     return out.withColumn(names[1], F.size(names[0]) > 0)
 
 
-def _search(rows: DataFrame, keep: tuple[str, ...], index: Index, carry: bool) -> DataFrame:
-    """One pass: ``rows`` (read_text, keep, found_items) with the items of one block added; the text
+def _search(rows: DataFrame, index: Index, carry: bool) -> DataFrame:
+    """One pass: ``rows`` (a text, kept columns, items found before) with the items of one block added; the text
     is carried along for a further pass."""
     sent = rows.sparkSession.sparkContext.broadcast(index)
-    names = [*["read_text"] * carry, *keep, "found_items"]
+    names = rows.columns if carry else rows.columns[1:]
     first = 0 if carry else 1
 
     def run(batches):

@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, word_count
+from ._spark import cut, fresh, word_count
 
 BUCKETS = 1024
 #: Time slots to a unit of virtual time, and their number in all; the last takes all later times.
 SLOTS, LAST_SLOT = 4096, 12287
+#: Parts of a slot.
+PARTS = 4096
 
 
 def cyclic_weights(weights: tuple[float, ...] = (5.0, 2.0, 1.0)):
@@ -58,7 +60,8 @@ def source_targets(totals: DataFrame, weigh, share: float, limit: float) -> Data
 def mix(docs: DataFrame, weigh=None, share: float = 1.5, limit: int = 2, seed: int = 17, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The mix of ``docs`` (doc_id, text, source): a row for each document with the columns
     in ``keep`` and ``size`` (words), ``source_size``, ``target`` (its source's words in
-    the mix), ``copies`` (times the mix takes it) and ``taken`` (size times copies).
+    the mix), ``taken`` (size times copies) and ``copies`` (times the mix takes it). Where a kept
+    column has one of these names, an underscore is put before the new one.
 
     ``weigh`` turns a source's rank into its weight; ``share`` sets the budget as a part
     of all words; no document is taken more than ``limit`` times. Put "text" in ``keep`` to
@@ -96,24 +99,36 @@ def mix(docs: DataFrame, weigh=None, share: float = 1.5, limit: int = 2, seed: i
         copies = F.coalesce(F.size(F.filter("times", lambda t: here(t) <= at)), F.lit(0))
     copies = F.when(F.col("times").isNull(), F.lit(0)).otherwise(copies)
     out = timed.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", F.col("target").cast("double"), "copies", "taken")
+    made = [F.col("size"), F.col("source_size"), F.col("target").cast("double"), F.col("taken"), F.col("copies")]
+    names = fresh(docs.select(*keep), "size", "source_size", "target", "taken", "copies")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[x.alias(n) for x, n in zip(made, names, strict=True)])
 
 
 def _stop(timed: DataFrame):
     """The last copy (time, key, id) in the order of finish times that the budget still takes;
-    None if it takes all. Two small rows come to the driver, whatever the size of the input."""
+    None if it takes all. A slot of time is found by the totals of all slots, and a part of that slot in the
+    same way, so the copies that are sorted in the end are about one in 2**24. Few small rows come to the
+    driver, whatever the size of the input."""
     copies = timed.select("id", "key", "size", "budget", F.explode("times").alias("time"))
+    # both are whole numbers of the same exact product, as SLOTS and PARTS are powers of two
     copies = copies.withColumn("slot", F.least(F.floor(F.col("time") * SLOTS), F.lit(LAST_SLOT)).cast("int"))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("part"), F.first("budget").alias("budget"))
-    slots = slots.withColumn("upto", F.sum("part").over(Window.orderBy("slot")))
-    found = slots.where(F.col("upto") >= F.col("budget")).orderBy("slot").select("slot", F.col("upto") - F.col("part")).limit(1).collect()
+    copies = copies.withColumn("part", F.when(F.col("slot") < LAST_SLOT, F.pmod(F.floor(F.col("time") * SLOTS * PARTS), F.lit(PARTS))).otherwise(0).cast("int"))
+
+    def reached(some: DataFrame, by: str, before: int):
+        sums = some.groupBy(by).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
+        sums = sums.withColumn("upto", F.lit(before) + F.sum("words").over(Window.orderBy(by)))
+        return sums.where(F.col("upto") >= F.col("budget")).orderBy(by).select(by, F.col("upto") - F.col("words")).limit(1).collect()
+
+    found = reached(copies, "slot", 0)
     if not found:
         return None
     slot, before = found[0]
+    copies = copies.where(F.col("slot") == slot)
+    part, before = reached(copies, "part", before)[0]
     order = Window.orderBy("time", "key", "id", "size")
-    inside = copies.where(F.col("slot") == slot).withColumn("upto", F.lit(before) + F.sum("size").over(order))
+    inside = copies.where(F.col("part") == part).withColumn("upto", F.lit(before) + F.sum("size").over(order))
     taken = inside.where((F.col("upto") - F.col("size") / 2) <= F.col("budget"))
     last = taken.orderBy(F.desc("time"), F.desc("key"), F.desc("id")).select("time", "key", "id").limit(1).collect()
     if last:
         return last[0]
-    return {"time": slot / SLOTS, "key": -(2**63), "id": None}
+    return {"time": (slot + part / PARTS) / SLOTS, "key": -(2**63), "id": None}

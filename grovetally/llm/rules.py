@@ -50,9 +50,10 @@ _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
-#: Last bytes of what may end a sentence; the two large ones end the ellipsis and the closing quote.
-_STOP = np.zeros(256, dtype=bool)
-_STOP[[ord(c) for c in ".!?:;)]\"'"] + [0xA6, 0x9D, 0xBB]] = True
+#: Characters that may end a sentence, closing marks included.
+STOPS = ".!?:;)]\"'\u2026\u201d\u2019\u201c\u00bb\u203a\u3002\uff01\uff1f\uff1a\uff1b\uff0e\uff61\u300d\u300f\uff09\u061f\u06d4\u061b\u0964\u0965\u0589\u1362\u17d4\u104b"
+#: Their UTF-8 bytes as numbers.
+_STOP = np.array(sorted(int.from_bytes(c.encode(), "big") for c in STOPS))
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,6 +75,17 @@ def _distinct(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.bincount(owner[first], minlength=len(begins) - 1)
 
 
+def _stops(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the last code point before each end may end a sentence. Those of four bytes never do."""
+    code = data[ends - 1].astype(np.int64)
+    back = np.zeros(len(ends), dtype=np.int64)
+    for k in (1, 2):  # a code point goes on to the left as long as its byte is no first one
+        more = (back == k - 1) & ((data[ends - k] & 0xC0) == 0x80) & (ends - k > 0)
+        code[more] |= data[ends[more] - k - 1].astype(np.int64) << (8 * k)
+        back[more] = k
+    return np.isin(code, _STOP)
+
+
 def judge(c: Chunk, rules: Rules) -> tuple[dict[str, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Figures of each document, which lines fail, and the lines."""
     starts, ends, begins = c.words()
@@ -110,7 +122,7 @@ def judge(c: Chunk, rules: Rules) -> tuple[dict[str, np.ndarray], np.ndarray, tu
     upper, letters = _running(_UPPER[c.data]), _running(_LETTER[c.data])
     n_letters = letters[line_ends] - letters[line_starts]
     long_line = n_line >= rules.from_words
-    stops = _running(_STOP[c.data[ends - 1]]) if len(ends) else np.zeros(1, np.int64)
+    stops = _running(_stops(c.data, ends)) if len(ends) else np.zeros(1, np.int64)
     line_words = np.concatenate([[0], np.cumsum(n_line)])
     # distinct words of ordinary prose grow about as the square root of its length
     least_distinct = rules.min_distinct * np.sqrt(rules.from_words * ok)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import fresh, map_arrow
+from ._spark import cut, fresh, map_arrow
 from ._text import Chunk, chunks, mix
 
 #: Bytes of a word's start that count as a feature of their own where the word is longer.
@@ -34,6 +34,9 @@ STEMS = (4, 5, 6, 7, 8)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 MAX_ROWS, MIN_DOCS, MIN_SHARE, RATIO, L1, ROUNDS = 2000, 3, 0.02, 5, 2e-5, 400
 
+#: Features of all training rows together: 12 bytes each.
+MAX_FEATURES = 8_000_000
+
 
 @dataclass(frozen=True)
 class Model:
@@ -151,9 +154,10 @@ def fit(docs: np.ndarray, words: np.ndarray, values: np.ndarray, grade: np.ndarr
     return Model(model.words, model.weights, theta, float((p[order[best]] + below) / 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """The model of ``labels`` (doc_id, toxic) over ``docs``; at most ``max_rows`` labelled rows
-    of each class. Null ids or labels are left out; an id with several labels has the highest."""
+    of each class, and those of them (by hash) whose features fit in ``max_features``: a document that does not fit in
+    what is left is passed over, not the next ones. Null ids or labels are left out; an id with several labels has the highest."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
     count = {r[0]: r[1] for r in labels.groupBy(F.col("grade") > 0).count().collect()}
     share = count.get(True, 0) / max(1, sum(count.values()))
@@ -171,8 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
                     ["grade", "words", "amounts"],
                 )
 
-    got = rows.transform(map_arrow, extract, "grade int, words binary, amounts binary").collect()
-    got = sorted({(r["grade"], bytes(r["words"]), bytes(r["amounts"])) for r in got})
+    rows = cut(rows.transform(map_arrow, extract, "grade int, words binary, amounts binary").distinct())
+    rows = rows.withColumn("n", (F.octet_length("words") / 8).cast("long")).withColumn("mark", F.sha2(F.concat(F.col("words"), F.col("amounts")), 256))
+    picked, left = [], max_features
+    for mark, n in sorted(map(tuple, rows.select("mark", "n").distinct().collect())):
+        if n <= left:
+            picked.append(mark)
+            left -= n
+    marks = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in picked], "mark string"))
+    got = sorted((r["grade"], bytes(r["words"]), bytes(r["amounts"])) for r in rows.join(marks, "mark", "left_semi").select("grade", "words", "amounts").collect())
     n = np.array([len(r[1]) // 8 for r in got], dtype=np.int64)
     grade = np.array([r[0] for r in got], dtype=np.int64)
     words = np.frombuffer(b"".join(r[1] for r in got), np.uint64)
@@ -217,4 +228,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), le
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("double", "double", "int", "boolean"), strict=True))
-    return docs.select(F.col("text").alias("read_text"), *keep).transform(map_arrow, run, f"{types}, {kinds}")
+    return docs.select(F.col("text").alias(fresh(docs, "read_text")[0]), *keep).transform(map_arrow, run, f"{types}, {kinds}")

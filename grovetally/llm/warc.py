@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, map_arrow, shared_path
+from ._spark import cut, map_arrow, shared_path, written
 
 LEAST_REVISIT, ARCHIVE_BYTES, LEVEL = 1000, 32 << 20, 1
+#: Tasks that read archives at most, and captures in a key range of the index.
+READERS, RANGE = 100_000, 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 #: Pages have no time of their own: it is the id in seconds after EPOCH, within about 50 years.
 YEARS = 1_600_000_000
@@ -96,13 +98,17 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, digest, target) of the pages that repeat another's payload of ``least`` bytes or
-    more: the target has the largest id of those with that payload."""
-    light = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
-    light = light.where(F.col("size") >= least).select("page_id", "digest")
-    shared = light.groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null")
-    return light.join(shared.drop("n"), "digest").where("not (page_id <=> target)").distinct()
+#: The most payloads that are broadcast to find the pages that repeat them; each takes about 100 bytes.
+SENT_PAYLOADS = 500_000
+
+
+def repeated(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(payload, target) of the payloads of ``least`` bytes or more that several rows have: their digest and
+    the largest id. Digests are folded before the shuffle; the table is written, so that a join with it can be split."""
+    html = F.coalesce("html", F.lit(""))
+    light = pages.where(F.octet_length(html) >= least).select("page_id", F.sha1(F.encode(html, "utf-8")).alias("payload"))
+    shared = light.groupBy("payload").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null")
+    return written(shared.drop("n"), "payloads")
 
 
 def write_archives(pages: DataFrame, dest: str, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -116,8 +122,11 @@ def write_archives(pages: DataFrame, dest: str, least: int = LEAST_REVISIT, arch
     """
     marked = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     marked = marked.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    known = revisits(pages, least).withColumnsRenamed({"page_id": "to_page", "digest": "to_digest"})
-    marked = marked.join(known, (marked["page_id"].eqNullSafe(known["to_page"])) & (marked["digest"] == known["to_digest"]), "left")
+    known = repeated(pages, least)
+    # pages stay where they are as long as the repeated payloads are few enough to send
+    known = F.broadcast(known) if known.count() <= SENT_PAYLOADS else known
+    marked = marked.join(known, marked["digest"] == known["payload"], "left")
+    marked = marked.withColumn("target", F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")))
 
     def run(batches):
         from pyarrow import fs
@@ -168,8 +177,8 @@ def _id(value: str) -> int | None:
 def read_archives(archives: DataFrame, dest: str) -> DataFrame:
     """A row for each record of the archives, with the figures of its full payload, in runs:
     the rows of one archive come sorted by URL key, time and id. Payloads are checked
-    against their digests."""
-    n = max(1, archives.count())
+    against their digests. An archive is read by one task; up to ``READERS`` archives have a task each, more share them."""
+    n = max(1, min(archives.count(), READERS))
 
     def run(batches):
         from pyarrow import fs
@@ -191,7 +200,7 @@ def read_archives(archives: DataFrame, dest: str) -> DataFrame:
                 for i in range(0, len(rows), 4096):
                     yield _batch(rows[i : i + 4096])
 
-    return archives.select("path").repartition(min(n, 4096), "path").transform(map_arrow, run, RECORD)
+    return archives.select("path").repartition(n, "path").transform(map_arrow, run, RECORD)
 
 
 def _place(row: tuple) -> tuple:
@@ -206,13 +215,27 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-def merge(runs: list[list[tuple]]) -> Iterator[tuple]:
-    """K-way merge of sorted runs by a loser tree: one comparison a level for each row taken."""
+class Run:
+    """The rows of a sorted run, kept as Arrow batches and taken out a few at a time."""
+
+    def __init__(self, batches: list[pa.RecordBatch], few: int = 64):
+        self.batches, self.few = batches, few
+
+    def __iter__(self) -> Iterator[tuple]:
+        for b in self.batches:
+            for i in range(0, b.num_rows, self.few):
+                yield from zip(*(c.to_pylist() for c in b.slice(i, self.few).columns), strict=True)
+
+
+def merge(runs: list) -> Iterator[tuple]:
+    """K-way merge of sorted runs by a loser tree: one comparison a level for each row taken. Only the next row of each run
+    is held."""
     k = len(runs)
     if not k:
         return
-    at = [0] * k
-    key = [_place(r[0]) if r else None for r in runs]
+    runs = [iter(r) for r in runs]
+    row = [next(r, None) for r in runs]
+    key = [_place(r) if r is not None else None for r in row]
 
     def beats(a: int, b: int) -> bool:
         """Whether run a's next row comes before run b's; an ended run loses."""
@@ -229,9 +252,9 @@ def merge(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
         losers[node if node > 0 else 0] = winner
     while key[top := losers[0]] is not None:
-        yield runs[top][at[top]]
-        at[top] += 1
-        key[top] = _place(runs[top][at[top]]) if at[top] < len(runs[top]) else None
+        yield row[top]
+        row[top] = next(runs[top], None)
+        key[top] = _place(row[top]) if row[top] is not None else None
         winner, node = top, (top + k) // 2
         while node > 0:
             if beats(losers[node], winner):
@@ -243,21 +266,30 @@ def merge(runs: list[list[tuple]]) -> Iterator[tuple]:
 def capture_index(records: DataFrame) -> DataFrame:
     """The rows of ``read_archives`` in one global order: partitions are key ranges in order.
 
-    Key ranges are cut by URL key, time and id together, so neither a common host nor a page
-    captured very often fills one range.
+    The captures of a range come as the runs they were in, one archive after another, and the loser tree merges
+    them. Key ranges are cut by URL key, time and id together and hold about ``RANGE`` captures, so neither a common host nor a page
+    captured very often fills one range, and what a task holds does not grow with the input.
     """
-    ranged = cut(records).repartitionByRange(*_ORDER, "path", "offset").sortWithinPartitions("path", *_ORDER, "offset")
+    records = cut(records)
+    ranges = -(-records.count() // RANGE)
+    ranged = records.repartitionByRange(max(1, ranges), *_ORDER, "path", "offset").sortWithinPartitions("path", *_ORDER, "offset")
 
     def run(batches):
         runs, last = [], None
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != last:
+            paths = b.column(0)
+            at = 0
+            while at < b.num_rows:
+                path, to = paths[at].as_py(), at
+                while to < b.num_rows and paths[to].as_py() == path:
+                    to += 1
+                if path != last:
                     runs.append([])
-                    last = row[0]
-                runs[-1].append(row)
+                    last = path
+                runs[-1].append(b.slice(at, to - at))
+                at = to
         out = []
-        for row in merge(runs):
+        for row in merge([Run(r) for r in runs]):
             out.append(row)
             if len(out) == 4096:
                 yield _batch(out)

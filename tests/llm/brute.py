@@ -124,3 +124,79 @@ def unigram(rows):
     c = Counter(w for i, ws in toks.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
     return {i: (held[i], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in toks.items()}
+
+
+def fair_queue(rows, targets, share=1.5, limit=2):
+    """[(id, size, copies)] of one queue over all copies of (key, id, size, source), shuffled by their keys as
+    unsigned numbers: a copy's finish time is the
+    words of its source up to and with it by the target; the queue is cut where half of a copy passes the budget."""
+    shuffled = lambda r: (r[0] % 2**64, r[1] is not None, r[1] or 0, r[2])
+    budget = share * sum(size for size, _ in targets.values())
+    upto, queue = Counter(), []
+    for key, i, size, source in sorted(rows, key=shuffled):
+        upto[source] += size
+        total, target = targets[source]
+        if size > 0 and target > 0:
+            queue += [((p * total + upto[source]) / target, key, i is not None, i or 0, size) for p in range(limit)]
+    queue.sort()
+    whole, last = 0, None
+    for c in queue:
+        whole += c[4]
+        if whole - c[4] / 2 <= budget:
+            last = c[:4]
+    got, upto = [], Counter()
+    for key, i, size, source in sorted(rows, key=shuffled):
+        upto[source] += size
+        total, target = targets[source]
+        times = [(p * total + upto[source]) / target for p in range(limit)] if size > 0 and target > 0 else []
+        got.append((str(i), size, sum(last is not None and (t, key, i is not None, i or 0) <= last for t in times)))
+    return sorted(got)
+
+
+class KneserNey:
+    """An interpolated modified Kneser-Ney model of three words, from its textbook definition."""
+
+    def __init__(self, texts):
+        seqs = [["<s>", "<s>", *t, "</s>"] for t in texts]
+        self.counts = [Counter(), Counter(), Counter()]
+        self.counts[2].update(tuple(s[i - 2 : i + 1]) for s in seqs for i in range(2, len(s)))
+        self.counts[1].update(x[1:] for x in self.counts[2])  # once for each different word before
+        self.counts[0].update(x[1:] for x in self.counts[1])
+        self.discounts, self.by = [], []
+        for c in self.counts:
+            n = [max(1, sum(v == k for v in c.values())) for k in range(1, 5)]
+            y = n[0] / (n[0] + 2 * n[1])
+            self.discounts.append([min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)])
+            by = {}
+            for x, v in c.items():
+                by.setdefault(x[:-1], []).append(v)
+            self.by.append(by)
+
+    def p(self, words):
+        level = len(words) - 1
+        c, d, by = self.counts[level], self.discounts[level], self.by[level]
+        own = by.get(words[:-1])
+        lower = self.p(words[1:]) if level else 1 / (len(c) + 1)
+        if not own:
+            return lower
+        cut = lambda v: d[min(v, 3) - 1]
+        v = c.get(words, 0)
+        return ((v - cut(v)) if v else 0) / sum(own) + sum(map(cut, own)) / sum(own) * lower
+
+    def log10(self, text):
+        s = ["<s>", "<s>", *text, "</s>"]
+        return sum(math.log10(self.p(tuple(s[i - 2 : i + 1]))) for i in range(2, len(s)))
+
+
+def best_edits(pattern, text):
+    """The fewest edits between a pattern and any part of a text, by the whole table."""
+    import numpy as np
+
+    t = np.frombuffer(text, np.uint8).astype(np.int32)
+    row, place = np.zeros(len(t) + 1, np.int32), np.arange(len(t) + 1, dtype=np.int32)
+    for c in pattern:
+        step = np.empty_like(row)
+        step[0] = row[0] + 1
+        step[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
+        row = np.minimum.accumulate(step - place) + place
+    return int(row.min())

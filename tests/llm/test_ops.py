@@ -52,6 +52,7 @@ def small(spark):
 def clash(docs):
     """Extra columns with names that operators use inside."""
     names = ["size", "cls", "label", "kept", "items", "n", "row", "word", "pii", "target", "contaminated", "toxic", "severity", "key", "id", "rare"]
+    names += ["read_text", "found_items", "taken", "copies", "source_size", "bucket", "layout", "turns", "formatted", "held_out", "ids", "score", "payload", "grade", "rows", "pii_text", "digest", "perplexity"]
     return docs.withColumns({n: F.lit("x") for n in names})
 
 
@@ -83,6 +84,29 @@ def test_mix(which, request):
     assert sorted(map(tuple, got), key=str) == sorted(rows(mix(df, keep=("doc_id", "source"))), key=str)
 
 
+@pytest.mark.parametrize("which", ["docs", "small"])
+def test_mix_is_a_fair_queue(which, request):
+    """Which copies the mix takes, against one queue over all copies."""
+    from grovetally.llm.mixing import mix
+
+    df = request.getfixturevalue(which)
+    given = [(r["key"], r["doc_id"], len(brute.words(r["text"])), r["source"]) for r in df.select("doc_id", "text", "source", F.xxhash64(F.lit(17), "doc_id").alias("key")).collect()]
+    expected = brute.fair_queue(given, brute.mix_targets([(r["doc_id"], r["text"], r["source"]) for r in df.collect()]))
+    got = sorted(((str(r["doc_id"]), r["size"], r["copies"]) for r in mix(df).collect()))
+    assert got == expected
+
+
+def test_mix_keeps_columns_whatever_their_names(clash):
+    from grovetally.llm.mixing import mix
+
+    got = mix(clash, keep=("doc_id", "size", "taken", "copies", "target"))
+    assert got.columns == ["doc_id", "size", "taken", "copies", "target", "_size", "source_size", "_target", "_taken", "_copies"]
+    assert got.count() == len(AWKWARD) and {r["size"] for r in got.collect()} == {"x"}
+    from grovetally.llm import queries
+
+    assert queries.op1_mix(clash.sparkSession, SMALL).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+
+
 def test_mix_targets(spark):
     from grovetally.llm.mixing import cyclic_weights, source_targets
 
@@ -210,6 +234,27 @@ def test_chat_layouts(spark):
     assert got[7] == got[8] == got[9] == (None, None) and len({m.name for m in MAPPINGS}) == len(MAPPINGS)
 
 
+def test_chat_records_with_further_fields(spark):
+    """A mapping needs its own paths only; nothing is lost for a field too many, and no element loses its text."""
+    from grovetally.llm.chat import format_chats, read_back
+
+    given = [
+        '{"id": 7, "prompt": "p", "completion": "c"}', '{"messages": [{"role": "user", "content": "x", "name": "n"}, {"role": "assistant", "content": "y"}, {"role": "tool"}, 5, null], "meta": {"a": [1]}}', '{"messages": []}',
+        '{"prompt": "p", "response": "r"}', '{"instruction": "i", "input": "j", "output": "o", "prompt": "q", "id": null}', '{"messages": "x"}', '{"messages": [1]}', '{"prompt": null, "completion": null}', '{"answer": {"a": 1}, "question": ["x"]}',
+    ]
+    table = spark.createDataFrame([(i, x, "mine", "own", "kept", "v") for i, x in enumerate(given)], "i int, record string, layout string, turns string, formatted string, variant_of_record string")
+    done = format_chats(table)
+    assert done.columns == [*table.columns, "_turns", "_layout", "_formatted"]
+    got = [(r["_layout"], r["_turns"] and [tuple(t) for t in r["_turns"]], r["layout"], r["variant_of_record"]) for r in done.orderBy("i").collect()]
+    assert got[0][:2] == ("prompt", [("user", "p"), ("assistant", "c")]) and got[2][:2] == ("messages", []) and got[3][0] == "prompt_plain" and got[4][0] == "instruction"
+    assert got[1][:2] == ("messages", [("user", "x"), ("assistant", "y"), ("tool", ""), ("", ""), ("", "")])
+    assert got[5][0] is got[6][0] is None and got[7][:2] == ("prompt", []) and got[8][:2] == ("question", [("user", '["x"]'), ("assistant", '{"a":1}')])
+    assert all(g[2:] == ("mine", "v") for g in got)
+    back = done.where("_turns is not null").select("_turns", read_back(F.col("_formatted")).alias("back")).collect()
+    assert all([tuple(t) for t in r["_turns"]] == [(t["role"], t["text"]) for t in r["back"]] for r in back)
+    assert format_chats(table.where("false")).count() == 0 and format_chats(table.unionAll(table)).count() == 2 * len(given)
+
+
 # op4
 
 
@@ -406,6 +451,24 @@ def test_perplexity_model_is_a_distribution():
         assert total == pytest.approx(1.0, abs=1e-3)
 
 
+def test_perplexity_by_plain_counts():
+    """Interpolated modified Kneser-Ney with dictionaries."""
+    import numpy as np
+
+    from grovetally.llm import perplexity
+
+    r = random.Random(8)
+    vocab = list(range(2, 30))
+    texts = [[r.choice(vocab[: r.choice([4, 28])]) for _ in range(r.randrange(0, 40))] for _ in range(60)]
+    arrays = lambda ts: (np.array([w for t in ts for w in t], np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in ts])]).astype(np.int64))
+    model = perplexity.fit(*arrays(texts))
+    plain = brute.KneserNey(texts)
+    new = [[r.choice([*vocab, 99]) for _ in range(r.randrange(0, 30))] for _ in range(40)]
+    for given in (texts, new):
+        logs, _ = perplexity.perplexities(model, *arrays(given))
+        assert logs == pytest.approx([plain.log10(t) for t in given], rel=1e-5)
+
+
 def test_quality(spark, small, docs, none):
     from grovetally.llm.perplexity import classify
 
@@ -487,6 +550,39 @@ def test_pii_extras_and_redaction(spark, none):
     assert redact(df).columns == df.columns and redact(none).count() == 0 and redact(redact(df)).select("text").collect() == redact(df).select("text").collect()
 
 
+def test_pii_redacts_any_overlap(spark):
+    """Stretches of overlapping spans against a plain pass over them, with texts longer than a block."""
+    from grovetally.llm.pii import find_pii, redact
+
+    r = random.Random(4)
+    parts = ["a.b@1.2.3.4", "+49 30 1234567", "4111 1111 1111 1111", "10.0.0.1", "é", "ssn 123-45-6789", "x@y.zz", "+1.2.3.4.5.6.7.8.9", "日本 \U0001f600 ", "w" * 900, " "]
+    given = [("".join(r.choice(parts) + r.choice(["", " ", "\n"]) for _ in range(r.choice([0, 1, 5, 40, 300])))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, text string")
+    spans = {x["i"]: x["pii"] for x in find_pii(df).collect()}
+    clean = {x["i"]: x["text"] for x in redact(df).collect()}
+    for i, text in enumerate(given):
+        out, at = [], 0
+        for s in sorted(spans[i], key=lambda s: (s["start"], -s["end"], s["kind"])):
+            if s["start"] >= at:
+                out.append(text[at : s["start"]] + f"<{s['kind'].upper()}>")
+            at = max(at, s["end"])
+        assert clean[i] == "".join(out) + text[at:]
+
+
+def test_pii_of_many_spans_takes_time_by_their_number(spark):
+    import time
+
+    from grovetally.llm.pii import redact
+
+    took = {}
+    for n in (500, 5000, 90000):  # the last text has 2 MB; the first call warms up
+        df = spark.createDataFrame([(" ".join(f"é a{i}@mail.example.com" for i in range(n)),)], "text string")
+        began = time.perf_counter()
+        assert redact(df).first()["text"] == " ".join(["é <EMAIL>"] * n)
+        took[n] = time.perf_counter() - began
+    assert took[90000] < 60
+
+
 # op7
 
 
@@ -514,9 +610,64 @@ def test_toxicity(spark, docs, none, clash):
     assert "_toxic" in kept.columns and len(set(kept.columns)) == len(kept.columns) and kept.count() == len(AWKWARD)
 
 
+def test_toxicity_fit_is_the_best_there_is():
+    """The penalised likelihood, written out row by row, is no better anywhere near the fit."""
+    import numpy as np
+
+    from grovetally.llm import toxicity
+
+    r = np.random.default_rng(3)
+    docs, words, values, grade = [], [], [], []
+    for i in range(300):
+        level = int(r.integers(0, 3)) if i % 3 == 0 else 0
+        own = [*r.integers(0, 12, 6), *(100 + r.integers(0, 3, level * 2))]
+        for w in sorted(set(own)):
+            docs.append(i), words.append(w), values.append(1 + math.log(own.count(w)))
+        grade.append(level)
+    grade = np.array(grade)
+    model = toxicity.fit(np.array(docs), np.array(words, np.uint64), np.array(values, np.float32), grade)
+    assert set(model.words.tolist()) <= {100, 101, 102} and len(model.thresholds) == 2
+
+    def loss(weights, theta):
+        total = 0.0
+        for i, g in enumerate(grade):
+            x = sum(weights.get(w, 0.0) * v for d, w, v in zip(docs, words, values, strict=True) if d == i)
+            over = [1.0, *(1 / (1 + math.exp(t - x)) for t in theta), 0.0]
+            total -= math.log(max(over[g] - over[g + 1], 1e-12))
+        return total / len(grade) + toxicity.L1 * sum(weights.values())
+
+    weights, theta = dict(zip(model.words.tolist(), model.weights, strict=True)), list(model.thresholds)
+    best = loss(weights, theta)
+    for w in weights:
+        assert loss(weights | {w: weights[w] + 0.05}, theta) > best - 1e-7 and loss(weights | {w: max(0.0, weights[w] - 0.05)}, theta) > best - 1e-7
+    for k in (0, 1):
+        for step in (-0.05, 0.05):
+            assert loss(weights, [t + step * (j == k) for j, t in enumerate(theta)]) > best - 1e-7
+
+
+def test_toxicity_sample_is_bounded_by_features(spark):
+    from grovetally.llm import toxicity
+
+    given = [(i, "vile " + prose(i, 20) if i % 2 else prose(i, 20)) for i in range(60)] + [(60, "vile " + " ".join(f"w{i}" for i in range(20000)))]
+    df, labels = spark.createDataFrame(given, "doc_id long, text string"), spark.createDataFrame([(i, i % 2 if i < 60 else 1) for i in range(61)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, max_features=15000)
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(df, model).collect()}
+    assert all(got[i] == (i % 2 == 1) for i in range(60))
+
+
 # op8
 
 
+def test_rules_know_where_sentences_end(spark):
+    """By whole code points: a letter whose last byte is that of a stop is none."""
+    from grovetally.llm.rules import apply_rules
+
+    line = {i: t for i, t in enumerate(["он сегодня утром пришел", "мы сидели дома", "jeg så en bæ", "这 是 一 行 文字。", "وصل اليوم؟", "он пришел.", "он пришел…", "«он пришел»", "नमस्ते दुनिया।", "x 𝒳"])}
+    df = spark.createDataFrame([(i, "\n".join([t] * 3)) for i, t in line.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in apply_rules(df, with_text=True).collect()}
+    assert [bool(got[i]) for i in sorted(line)] == [False, False, False, True, True, True, True, True, True, False]
+
+
 @pytest.mark.parametrize("which", ["docs", "small"])
 def test_rules(which, request):
     from grovetally.llm.rules import apply_rules
@@ -565,6 +716,23 @@ def test_warc(spark):
     assert archive_pages(pages.where("false")).count() == 0
 
 
+def test_warc_in_several_ranges(spark, monkeypatch):
+    """Ranges far smaller than the table, several archives, and one payload on most pages by way of both joins."""
+    from grovetally.llm import warc
+
+    given = [(i, f"http://h{i % 7}.org/p{i % 50}", "same " * 300 if i % 3 else f"own {i} " * 200) for i in range(2000)]
+    df = spark.createDataFrame(given, "page_id long, url string, html string").repartition(4)
+    monkeypatch.setattr(warc, "RANGE", 150)
+    whole = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(warc, "SENT_PAYLOADS", most)
+        got = warc.archive_pages(df, archive_bytes=20000)
+        assert got.rdd.getNumPartitions() == 14
+        whole.append([tuple(r) for r in got.select("url_key", "captured", "page_id", "record_type", "refers_to").collect()])
+    assert whole[0] == whole[1] and whole[0] == sorted(whole[0], key=lambda r: (r[0].encode(), r[1], r[2])) and len(whole[0]) == 2000
+    assert {(r[3], r[4]) for r in whole[0] if r[2] % 3 and r[2] != 1999} == {("revisit", 1999)} and all(r[3] == "response" for r in whole[0] if r[2] % 3 == 0 or r[2] == 1999)
+
+
 def test_loser_tree():
     from grovetally.llm.warc import _place, merge
 
@@ -612,6 +780,48 @@ def test_decontamination_on_tables(spark, small):
         assert {b for b, p in bench if p in t} <= got[i]
 
 
+def test_decontamination_against_all_alignments(spark, small):
+    """Every document against every item by whole edit-distance tables: no match is missed, none is made up."""
+    from grovetally.llm import decontam
+
+    r = random.Random(6)
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()][:12]
+    texts = [(x["doc_id"], x["text"]) for x in small.orderBy("doc_id").limit(40).collect()]
+    for i, (_, t) in enumerate(items):  # items with some edits inside other text
+        chars = list(t)
+        for _ in range(i):
+            chars[r.randrange(len(chars))] = r.choice("abc ")
+        texts.append((1000 + i, f"Before it. {''.join(chars)} and after"))
+    got = {x["doc_id"]: x["items"] for x in decontam.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = 0
+    for d, t in texts:
+        text = decontam.normal_text(t).encode()
+        for i, item in items:
+            p = decontam.normal_text(item).encode().strip()
+            last = max(0, len(p) - decontam.PIECE)
+            parts = [p[a : a + decontam.PIECE] for a in sorted({*range(0, last, decontam.PIECE // 2), last})]
+            hit = any(brute.best_edits(x, text) <= min(int(decontam.EDITS * len(x)), (len(x) - decontam.Q) // decontam.Q) for x in parts)
+            found += hit
+            assert (i in got[d]) == hit, (d, i)
+    assert found >= 6
+
+
+def test_decontamination_of_one_repeated_character():
+    """Memory does not grow with the pairs of equal q-grams."""
+    import resource
+
+    import pyarrow as pa
+
+    from grovetally.llm import decontam
+    from grovetally.llm._text import chunks
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    matcher = decontam.Matcher(decontam.build([(1, "-" * 200), (2, "=" * 150 + "tail of an item")]))
+    (c,) = chunks(pa.array(["-" * 1000000 + "x" + "=" * 100]))
+    assert matcher.find(c) == {(0, 1)}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
+
+
 def test_alignment():
     from grovetally.llm.decontam import aligned
 
