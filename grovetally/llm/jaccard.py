@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._spark import cut, fresh, map_arrow
 from ._text import Chunk, chunks, mix, shingles, spread
 
-PERCENT, WORDS, SALTS = 80, 5, 32
+PERCENT, WORDS, SALTS = 80, 5, 128
 #: Rows of a column that are joined in one place; common columns are dealt to more.
 SALT_ROWS = 500
 #: Hash buckets of the column order, and of the filter of the rows whose sets are needed.
