@@ -154,6 +154,39 @@ def fit(docs: np.ndarray, words: np.ndarray, values: np.ndarray, grade: np.ndarr
     return Model(model.words, model.weights, theta, float((p[order[best]] + below) / 2))
 
 
+def _useful(rows: DataFrame) -> list[tuple[int, bytes, bytes]]:
+    """(grade, words, amounts) of the training rows with the features that :func:`fit` can use, found from counts
+    over all of them, so that the driver does not get the others."""
+    names, schema = ["grade", "words", "amounts"], "grade int, words binary, amounts binary"
+
+    def tally(batches):
+        total, hits = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for b in batches:
+            for g, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                (hits if g > 0 else total).append(np.frombuffer(w.as_buffer(), np.uint64))
+        for flag, parts in ((1, hits), (0, total)):
+            words, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n * flag), pa.array(n * (1 - flag))], ["word", "hits", "others"])
+
+    size = {r[0]: r[1] for r in rows.groupBy(F.col("grade") > 0).count().collect()}
+    toxic, clean = size.get(True, 0), size.get(False, 0)
+    found = rows.transform(map_arrow, tally, "word long, hits long, others long").groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("others").alias("others"))
+    found = found.where(F.col("hits") + F.col("others") >= max(MIN_DOCS, MIN_SHARE * toxic))
+    found = found.where(F.col("hits") / max(1, toxic) >= (F.col("others") + 0.5) / max(1, clean) * RATIO * (1 - 1e-9)).select("word").toPandas()
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(found["word"].to_numpy().astype(np.int64).view(np.uint64)))
+
+    def narrow(batches):
+        for b in batches:
+            out = []
+            for g, w, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                w, v = np.frombuffer(w.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.float32)
+                keep = np.isin(w, sent.value)
+                out.append((g, w[keep].tobytes(), v[keep].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names) if out else pa.RecordBatch.from_pylist([], pa.schema([("grade", pa.int32()), ("words", pa.binary()), ("amounts", pa.binary())]))
+
+    return sorted((r["grade"], bytes(r["words"]), bytes(r["amounts"])) for r in rows.transform(map_arrow, narrow, schema).collect())
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """The model of ``labels`` (doc_id, toxic) over ``docs``; at most ``max_rows`` labelled rows
     of each class, and those of them (by hash) whose features fit in ``max_features``: a document that does not fit in
@@ -183,7 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
             picked.append(mark)
             left -= n
     marks = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in picked], "mark string"))
-    got = sorted((r["grade"], bytes(r["words"]), bytes(r["amounts"])) for r in rows.join(marks, "mark", "left_semi").select("grade", "words", "amounts").collect())
+    rows = cut(rows.join(marks, "mark", "left_semi").select("grade", "words", "amounts"))
+    got = _useful(rows)
     n = np.array([len(r[1]) // 8 for r in got], dtype=np.int64)
     grade = np.array([r[0] for r in got], dtype=np.int64)
     words = np.frombuffer(b"".join(r[1] for r in got), np.uint64)
