@@ -18,7 +18,7 @@ bounds that follow from set sizes keep all but a small part of it from being for
   so no component is lost, and a group costs little more than its size.
 
 The result is exact up to collisions of hashes: of 64 bits, and of 32 bits within a pair. Nothing that grows with the
-corpus comes to the driver; hot columns and classes are joined under a salt or in joins that
+corpus comes to the driver; hot columns and classes are joined in parts, as many as their rows need, or in joins that
 adaptive execution can split.
 """
 
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from ._spark import cut, fresh, map_arrow
 from ._text import Chunk, chunks, mix, shingles, spread
 
-PERCENT, WORDS, SALTS = 80, 5, 128
-#: Rows of a column that are joined in one place; common columns are dealt to more.
+PERCENT, WORDS = 80, 5
+#: Rows of a column, or pairs of a class, that are joined in one place; those of common ones are dealt to more.
 SALT_ROWS = 500
 #: Hash buckets of the column order, and of the filter of the rows whose sets are needed.
 _BUCKET_BITS, _FILTER_BITS = 22, 23
@@ -191,10 +191,12 @@ def _needed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b) of classes, with their overlap accumulated over whole rows."""
     sets = cut(_needed(docs, pairs, classes))
-    salt = F.pmod("b", F.lit(SALTS)).alias("salt")
-    left = pairs.select("a", salt).distinct().join(sets.withColumnsRenamed({"cls": "a", "items": "left"}), "a")
-    right = pairs.join(sets.withColumnsRenamed({"cls": "b", "items": "right"}), "b").select("a", "b", "right", salt)
-    rows = right.join(left, ["a", "salt"]).select("a", "b", "left", "right")
+    # a class of many pairs is dealt to as many parts as they need, each with a copy of its set
+    parts = _unknown(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts")), "a")
+    left = sets.withColumnsRenamed({"cls": "a", "items": "left"}).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
+    right = dealt.join(sets.withColumnsRenamed({"cls": "b", "items": "right"}), "b")
+    rows = right.join(left, ["a", "part"]).select("a", "b", "left", "right")
 
     def run(batches):
         for b in batches:
@@ -248,7 +250,11 @@ def connected(links: DataFrame) -> DataFrame:
 def _redealt(sums: DataFrame, key: str = "item") -> DataFrame:
     """Sums by ``key`` with a key that Spark does not know them to be dealt by, so that a join with
     them deals both sides anew and adaptive execution can split a common key's rows."""
-    return cut(sums).withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+    return _unknown(cut(sums), key)
+
+
+def _unknown(sums: DataFrame, key: str) -> DataFrame:
+    return sums.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
