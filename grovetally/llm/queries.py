@@ -71,7 +71,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op4_lm, op5_quality, op6_pii, op7_toxicity, op8_rules, op9_warc, op10_decontaminate)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op1, which SQL can express."""
+    return op1_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op6 for the base kinds, which SQL can express."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base figures of op8, which SQL can express."""
+    return op8_rules(spark, sf_dir).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op4_lm, op5_quality, op6_pii, op7_toxicity, op8_rules, op9_warc, op10_decontaminate, mix_targets, pii_counts, rules_base)}
 
 _LENGTH = "length({x}) + length({x}) - length(replace(replace({x}, chr(92), ''), '<', ''))"
 
@@ -93,4 +108,23 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS
     "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
 SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM p""",
+    "mix_targets": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, coalesce(max(level) FILTER (level <= ratio) OVER (), 'Infinity'::DOUBLE) * w) AS target FROM l)
+SELECT doc_id, size, source_size, round(target, 6) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+    "pii_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS card, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS phone FROM d),
+n AS (SELECT *, list_filter(list_transform(card, lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))), lambda x: length(x) BETWEEN 13 AND 19) AS digits FROM m)
+SELECT doc_id, len(email)::BIGINT AS n_email,
+len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0))::BIGINT AS n_ip,
+len(list_filter(digits, lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda i: (substr(x, i, 1)::INT * (2 - i % 2)) // 10 + (substr(x, i, 1)::INT * (2 - i % 2)) % 10)) % 10 = 0))::BIGINT AS n_card,
+len(list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15))::BIGINT AS n_phone FROM n""",
+    "rules_base": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+x AS (SELECT r, unnest(list_transform(range(1, len(w) - 3), lambda i: {'i': i, 'g': array_to_string(w[i:i + 4], ' ')})) AS s FROM d WHERE len(w) >= 5),
+y AS (SELECT r, s.i AS i, count(*) OVER (PARTITION BY r, s.g) AS c FROM x), z AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM y WHERE c > 1) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+(len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(z.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(z.n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN z USING (r)""",
 }

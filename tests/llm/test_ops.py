@@ -893,4 +893,5 @@ def test_every_query_is_registered():
 
     from grovetally.llm.queries import QUERIES, SQL
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    exact = {"mix_targets", "pii_counts", "rules_base"}  # parts of the results of op1, op6 and op8 that SQL can express
+    assert exact <= set(SQL) and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in set(QUERIES) - exact) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
