@@ -685,12 +685,16 @@ def ascii_profile(spark, d):
 def stream_histogram(spark, d):
     """The histogram of a stream of files, added up batch by batch."""
     import tempfile
+    import uuid
 
     from .streaming import fill_stream
 
     source = spark.readStream.schema(lineitem(spark, d).schema).parquet(f"{d}/lineitem.parquet*")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="grovetally-")
-    q, running = fill_stream(source, _price(), f"{shared}/stream-{id(source)}-{spark.sparkContext.startTime}")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or "file://" + tempfile.mkdtemp(prefix="grovetally-")
+    q, running = fill_stream(source, _price(), f"{shared}/stream-{uuid.uuid4().hex}")
     q.processAllAvailable()
     q.stop()
     return spark.createDataFrame([(i, v.entries) for i, v in enumerate(running.result.values)], "bin bigint, entries double")

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from ..operators import results as R
 
-#: The version written into the header.
+#: The version written into the header. The keys of objects below are fixed by the format as well.
 VERSION = "1.0"
 
 

@@ -12,6 +12,7 @@ from grovetally import (
 )
 from grovetally.operators.results import MergeError
 
+#: Inputs whose results are known.
 SIMPLE = [3.4, 2.2, -1.8, 0.0, 7.3, -4.7, 1.6, 0.0, -3.0, -1.7]
 STRUCT = list(zip(
     [True, False, True, False, False, False, True, True, False, True], range(-2, 8), SIMPLE,
