@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters that are no ASCII white space.
@@ -66,6 +66,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def totals_before(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the sums of some columns over all rows that come before in an order of the whole table.
+
+    No task sorts the table: it is cut into ranges of the order, and a range adds to its own running sums the
+    totals of those before, of which there are as many as partitions.
+    """
+    (part, *bases) = fresh(df, "range", *[f"base{i}" for i in range(len(sums))])
+    ranged = cut(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(part).agg(*[F.sum(x).alias(b) for x, b in zip(sums.values(), bases, strict=True)])
+    parts = parts.select(part, *[F.coalesce(F.sum(b).over(earlier), F.lit(0)).alias(b) for b in bases])
+    own = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(parts), part)
+    return out.withColumns({n: F.col(b) + F.coalesce(F.sum(x).over(own), F.lit(0)) for (n, x), b in zip(sums.items(), bases, strict=True)}).drop(part, *bases)
+
+
 #: Bytes of an Arrow batch: texts may be long, and a batch of many rows is held several times.
 BATCH_BYTES = 8 << 20
 _ROOT = str(Path(__file__).resolve().parents[2])

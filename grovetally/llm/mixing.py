@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, fresh, word_count
+from ._spark import cut, fresh, totals_before, word_count
 
 BUCKETS = 1024
 #: Time slots to a unit of virtual time, and their number in all; the last takes all later times.
@@ -41,20 +41,17 @@ def source_targets(totals: DataFrame, weigh, share: float, limit: float) -> Data
     ``limit`` times its size; the excess goes to the others by weight, again and again.
     The fixed point is ``least(cap, level * weight)``: with sources ordered by cap / weight,
     the level is the largest one that its own source does not cap.
-    The table is as small as the list of weights that a mix is configured with.
+    Sources may be many: ranks and sums in the order of ratios are running totals over ranges.
     """
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy("__ratio", "nul", "src")
-    ranked = totals.withColumn("weight", weigh(F.row_number().over(Window.orderBy("nul", "src")) - 1))
-    ranked = ranked.withColumn("__cap", F.col("source_size") * float(limit))
-    ranked = ranked.withColumn("__ratio", F.col("__cap") / F.col("weight"))
-    ranked = ranked.withColumn("budget", F.sum("source_size").over(everything) * float(share))
-    earlier = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = ranked.withColumn("__level", (F.col("budget") - F.coalesce(F.sum("__cap").over(earlier), F.lit(0.0))) / F.sum("weight").over(later))
-    level = F.max(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(everything)
-    ranked = ranked.withColumn("target", F.least(F.col("__cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")))
-    return ranked.select("nul", "src", "source_size", "weight", "target", "budget")
+    ranked = totals_before(totals, ["nul", "src"], {"rank": F.lit(1)}).withColumn("weight", weigh(F.col("rank"))).drop("rank")
+    ranked = ranked.withColumn("cap", F.col("source_size") * float(limit)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    size, weights = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    budget = float(size or 0) * float(share)
+    ranked = totals_before(ranked, ["ratio", "nul", "src"], {"caps": F.col("cap"), "weights": F.col("weight")})
+    level = (F.lit(budget) - F.col("caps")) / (F.lit(float(weights or 0)) - F.col("weights"))
+    best = ranked.agg(F.max(F.when(level <= F.col("ratio"), level))).first()[0]
+    target = F.least(F.col("cap"), F.lit(float("inf") if best is None else best) * F.col("weight"))
+    return ranked.select("nul", "src", "source_size", "weight", target.alias("target"), F.lit(budget).alias("budget"))
 
 
 def mix(docs: DataFrame, weigh=None, share: float = 1.5, limit: int = 2, seed: int = 17, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -119,6 +119,20 @@ def test_mix_targets(spark):
         assert got == pytest.approx({s: v for s, (_, v) in expected.items()})
 
 
+def test_mix_targets_of_many_sources(spark):
+    """Several ranges of sources, with sizes and ratios that tie."""
+    from grovetally.llm.mixing import cyclic_weights, source_targets
+
+    r = random.Random(2)
+    sizes = {f"host{i}": r.choice([0, 1, 5, 5, 90, 1000, r.randrange(5000)]) for i in range(500)} | {None: 77}
+    totals = spark.createDataFrame([(s is None, s or "", n) for s, n in sizes.items()], "nul boolean, src string, source_size long").repartition(7)
+    expected = brute.mix_targets([(0, "w " * n, s) for s, n in sizes.items()])
+    got = {None if x["nul"] else x["src"]: (x["source_size"], x["target"]) for x in source_targets(totals, cyclic_weights(), 1.5, 2).collect()}
+    assert got.keys() == expected.keys()
+    for s in expected:
+        assert got[s] == pytest.approx(expected[s], rel=1e-9)
+
+
 def test_mix_of_nothing(none):
     from grovetally.llm.mixing import mix
 
