@@ -681,20 +681,34 @@ def ascii_profile(spark, d):
     return spark.createDataFrame([(draw(aggregate(lineitem(spark, d), ProfileErr(20, 0, 100000, "l_extendedprice", "l_quantity"))),)], "text string")
 
 
-@query(dense_sql(50, f"SELECT bin, count(*)::DOUBLE AS n FROM ({_PRICE_SQL}) GROUP BY bin", "coalesce(n, 0.0)::DOUBLE AS entries"))
-def stream_histogram(spark, d):
-    """The histogram of a stream of files, added up batch by batch."""
+def _stream(spark, d, tree, starts: int = 1):
+    """The result of a stream over the table's files that is started, stopped and started again."""
     import tempfile
     import uuid
 
     from .streaming import fill_stream
 
-    source = spark.readStream.schema(lineitem(spark, d).schema).parquet(f"{d}/lineitem.parquet*")
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    shared = shared or "file://" + tempfile.mkdtemp(prefix="grovetally-")
-    q, running = fill_stream(source, _price(), f"{shared}/stream-{uuid.uuid4().hex}")
-    q.processAllAvailable()
-    q.stop()
-    return spark.createDataFrame([(i, v.entries) for i, v in enumerate(running.result.values)], "bin bigint, entries double")
+    checkpoint = f"{shared or 'file://' + tempfile.mkdtemp(prefix='grovetally-')}/stream-{uuid.uuid4().hex}"
+    for _ in range(starts):
+        source = spark.readStream.schema(lineitem(spark, d).schema).parquet(f"{d}/lineitem.parquet*")
+        q, running = fill_stream(source, tree, checkpoint)
+        q.processAllAvailable()
+        q.stop()
+    return running.result
+
+
+@query(dense_sql(50, f"SELECT bin, count(*)::DOUBLE AS n FROM ({_PRICE_SQL}) GROUP BY bin", "coalesce(n, 0.0)::DOUBLE AS entries"))
+def stream_histogram(spark, d):
+    """The histogram of a stream of files, added up batch by batch."""
+    return spark.createDataFrame([(i, v.entries) for i, v in enumerate(_stream(spark, d, _price()).values)], "bin bigint, entries double")
+
+
+@query("SELECT l_returnflag AS flag, count(*)::DOUBLE AS entries, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 4) AS variance FROM lineitem GROUP BY 1")
+def stream_restart(spark, d):
+    """A stream that was stopped goes on with the result it had."""
+    r = _stream(spark, d, Categorize("l_returnflag", Deviate("l_quantity")), starts=2)
+    rows = [(k, v.entries, round(v.mean, 6), round(v.variance, 4)) for k, v in r.bins.items()]
+    return spark.createDataFrame(rows, "flag string, entries double, mean double, variance double")
