@@ -17,8 +17,8 @@ bounds that follow from set sizes keep all but a small part of it from being for
   rows of different components follow, all of them: pairs in one component are linked already,
   so no component is lost, and a group costs little more than its size.
 
-The result is exact up to collisions of hashes: of 64 bits, and of 32 bits within a pair. Nothing that grows with the
-corpus comes to the driver; hot columns and classes are joined in parts, as many as their rows need, or in joins that
+The result is exact up to collisions of hashes: of 64 bits, and of 32 bits within a pair of sets below ``WIDE``. Nothing that
+grows with the corpus comes to the driver; hot columns and classes are joined in parts, as many as their rows need, or in joins that
 adaptive execution can split.
 """
 
@@ -35,6 +35,9 @@ from ._text import Chunk, chunks, mix, shingles, spread
 PERCENT, WORDS = 80, 5
 #: Rows of a column, or pairs of a class, that are joined in one place; those of common ones are dealt to more.
 SALT_ROWS = 500
+#: Sets of at least this size are compared by all 64 bits of their hashes, smaller ones by the upper 32: two sets below it
+#: take less than 0.004 shingles for shared that are not.
+WIDE = 1 << 12
 #: Hash buckets of the column order, and of the filter of the rows whose sets are needed.
 _BUCKET_BITS, _FILTER_BITS = 22, 23
 _LOW = np.uint64((1 << 30) - 1)
@@ -167,8 +170,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _needed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, items) for the classes in ``pairs``: their whole sets as the sorted upper halves of
-    the hashes, which for two documents of n shingles each take n * n / 2**32 others for shared.
+    """(cls, items) for the classes in ``pairs``: their whole sets (see :func:`_packed`).
 
     Texts are not shuffled: they are read again, and only those that the filter lets pass.
     """
@@ -182,12 +184,26 @@ def _needed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 h, begins = _sets(c, None)
                 full = np.flatnonzero(np.diff(begins))
                 cls = _signature(h, begins)[full]
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([(h[begins[d] : begins[d + 1]] >> np.uint64(32)).astype(np.uint32).tobytes() for d in full], pa.binary())], ["cls", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([_packed(h[begins[d] : begins[d + 1]]) for d in full], pa.binary())], ["cls", "items"])
 
     found = docs.select("doc_id", "text").transform(map_arrow, run, "cls long, items binary").join(wanted.select("cls"), "cls", "left_semi")
     return found.dropDuplicates(["cls"])
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """A sorted set of hashes as bytes: whole ones if it has at least ``WIDE``, else their upper halves."""
+    return (h if len(h) >= WIDE else (h >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def _alike(x: memoryview | bytes, y: memoryview | bytes) -> bool:
+    """Whether two packed sets link."""
+    x, y = (np.frombuffer(s, np.uint64 if memoryview(s).nbytes >= 8 * WIDE else np.uint32) for s in (x, y))
+    if x.dtype != y.dtype:
+        x, y = (s if s.dtype == np.uint32 else (s >> np.uint64(32)).astype(np.uint32) for s in (x, y))
+    shared = len(np.intersect1d(x, y))
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b) of classes, with their overlap accumulated over whole rows."""
     sets = cut(_needed(docs, pairs, classes))
@@ -200,11 +216,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                shared = len(np.intersect1d(x, y))
-                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+            keep = [_alike(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return cut(rows.transform(map_arrow, run, "a long, b long"))
@@ -257,10 +269,9 @@ def _unknown(sums: DataFrame, key: str) -> DataFrame:
     return sums.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls, label, component) of each row of ``docs``: set size, class, the label of the
-    class's component and the component's least doc_id; those but n are null without shingles."""
-    rows = cut(rows_of(docs))
+def _cells(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes (cls, rep, n) of ``rows``, and the cells (item, cls, n, place) of their prefix blocks in columns that
+    several rows share."""
     classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     cells = prefix_cells(docs, column_order(docs), _Filter(classes))
     # a column is of use if it stands early enough in the shorter row of some pair
@@ -268,7 +279,14 @@ def _labelled(docs: DataFrame) -> DataFrame:
     common = cells.groupBy("item").agg(F.count(F.lit(1)).alias("of"), early.alias("early")).where("of > 1 and early").select("item")
     # by item and class, so that no later step finds the rows of a common column in one place
     cells = cells.join(common, "item").repartition("item", "cls").distinct()
-    cells = cut(cells.select("item", "cls", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")))
+    return classes, cut(cells.select("item", "cls", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")))
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, cls, label, component) of each row of ``docs``: set size, class, the label of the
+    class's component and the component's least doc_id; those but n are null without shingles."""
+    rows = cut(rows_of(docs))
+    classes, cells = _cells(docs, rows)
     pivots = _redealt(cells.groupBy("item").agg(F.min(F.struct("place", "cls", "n")).alias("p")))
     stars = cells.join(pivots, "item").where(F.col("cls") != F.col("p.cls")).where(_meets(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place")))
     stars = cut(stars.select(*_ordered("cls", "p.cls")).distinct())
@@ -305,6 +323,38 @@ def groups(docs: DataFrame) -> DataFrame:
     return _labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole join: the links (a, b), a < b, between all classes, and the class (doc_id, n, cls) of each row of ``docs``.
+
+    Unlike :func:`groups`, which needs one path between two documents only, this forms every product of the prefix blocks
+    that the bounds allow, so a group of g different near copies takes g * g / 2 comparisons; repeated sets take none.
+    Rows of equal sets link with each other and share the links of their class. Rows without shingles have the class
+    null or one that no link holds. Nulls, repeats and empty tables are as in :func:`groups`.
+    """
+    rows = cut(rows_of(docs))
+    classes, cells = _cells(docs, rows)
+    parts = _redealt(cells.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts")))
+    dealt = cells.join(parts, "item")
+    x = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
+    y = dealt.withColumn("part", F.pmod(F.hash("cls"), F.col("parts"))).alias("y")
+    near = x.join(y, ["item", "part"]).where("x.cls < y.cls").where(_meets(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
+    pairs = cut(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
+    return overlaps(docs, pairs, classes), rows
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, class_id (the least doc_id among rows of its set) and n_links (other rows that it
+    links with, copies included). Rows without shingles have their own id and no links."""
+    pairs, rows = links(docs)
+    classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("of")))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(_unknown(classes.select(F.col("cls").alias("b"), "of"), "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("of").alias("far"))
+    each = classes.join(far, "cls", "left").select("cls", "class_id", (F.col("of") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(_redealt(each, "cls"), "cls", "left")
+    own = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 #: The most classes that are broadcast, to tell which of their rows go.
 SENT_CLASSES = 2_000_000
 

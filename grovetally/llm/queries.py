@@ -76,6 +76,11 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
 
 
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole join of op2: class and number of links of each document."""
+    return jaccard.link_counts(table(spark, sf_dir, "documents"))
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op6 for the base kinds, which SQL can express."""
     return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -86,7 +91,7 @@ def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_rules(spark, sf_dir).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op4_lm, op5_quality, op6_pii, op7_toxicity, op8_rules, op9_warc, op10_decontaminate, mix_targets, pii_counts, rules_base)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op4_lm, op5_quality, op6_pii, op7_toxicity, op8_rules, op9_warc, op10_decontaminate, mix_targets, jaccard_links, pii_counts, rules_base)}
 
 _LENGTH = "length({x}) + length({x}) - length(replace(replace({x}, chr(92), ''), '<', ''))"
 
@@ -114,6 +119,12 @@ c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce(max(level) FILTER (level <= ratio) OVER (), 'Infinity'::DOUBLE) * w) AS target FROM l)
 SELECT doc_id, size, source_size, round(target, 6) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+    "jaccard_links": r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY list_sort(s)) ELSE doc_id END AS class_id FROM s), u AS (SELECT doc_id, unnest(s) AS s FROM s),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT e.a, count(*)::BIGINT AS n FROM e JOIN k x ON x.doc_id = e.a JOIN k y ON y.doc_id = e.b WHERE 100 * e.c >= 80 * (x.n + y.n - e.c) GROUP BY e.a)
+SELECT k.doc_id, k.class_id, coalesce(l.n, 0)::BIGINT AS n_links FROM k LEFT JOIN l ON l.a = k.doc_id""",
     "pii_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
 regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS card, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS phone FROM d),

@@ -117,6 +117,17 @@ def jaccard_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def jaccard_links(rows):
+    """(doc_id, least id of an equal set, number of other rows linked) by comparing all pairs of rows."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    out = []
+    for k, (i, s) in enumerate(sets):
+        near = [100 * len(s & t) >= 80 * len(s | t) for j, (_, t) in enumerate(sets) if j != k and s and t]
+        equal = [j for j, t in sets if t == s and j is not None] if s else [i]
+        out.append((i, min(equal), sum(near)))
+    return out
+
+
 def unigram(rows):
     """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)}"""
     toks = {i: [*words((t or "").translate(LOWER)), None] for i, t in rows}

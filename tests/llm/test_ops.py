@@ -179,6 +179,51 @@ def test_jaccard_groups(spark):
     assert {x["doc_id"] for x in one_of_each(df).collect()} == {c for _, c in expected.values()}
 
 
+@pytest.mark.parametrize("which", ["docs", "none", "clash"])
+def test_jaccard_links(which, request):
+    from grovetally.llm.jaccard import link_counts
+
+    df = request.getfixturevalue(which)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    expected = brute.jaccard_links([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert sorted(rows(link_counts(df)), key=key) == sorted(expected, key=key)
+
+
+def test_jaccard_links_within_a_group(spark, monkeypatch):
+    """Every link of a group of different near copies, with common columns and classes dealt to several parts."""
+    from grovetally.llm import jaccard
+
+    r, given, base = random.Random(8), [], prose(6, 150).split()
+    for i in range(90):
+        text = list(base)
+        for _ in range(r.randrange(0, 5)):
+            text[r.randrange(len(text))] = f"edit{r.randrange(10**6)}"
+        given.append((i, " ".join(text)))
+    given += [(200 + i, given[i % 3][1]) for i in range(9)]
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 10)
+    got = rows(jaccard.link_counts(spark.createDataFrame(given, "doc_id long, text string").repartition(5)))
+    assert sorted(got) == sorted(brute.jaccard_links(given))
+    pairs, members = jaccard.links(spark.createDataFrame(given, "doc_id long, text string"))
+    assert pairs.where("a >= b").isEmpty() and pairs.distinct().count() == pairs.count() and members.count() == len(given)
+
+
+def test_jaccard_overlap_of_large_sets_is_exact():
+    """A million shingles: whole hashes, so a pair just below the threshold is none and one at it links."""
+    import numpy as np
+
+    from grovetally.llm.jaccard import WIDE, _alike, _packed
+
+    pool = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 1_200_000, dtype=np.uint64))
+    for n in (9, WIDE // 10 * 9, 900_000):
+        n = n // 9 * 9
+        shared, x, y = pool[: n // 9 * 8], pool[n // 9 * 8 : n], pool[n : n + n // 9]
+        left = _packed(np.sort(np.concatenate([shared, x])))
+        assert _alike(left, _packed(np.sort(np.concatenate([shared, y]))))
+        assert not _alike(left, _packed(np.sort(np.concatenate([shared[1:], y, pool[n + n // 9 : n + n // 9 + 1]]))))
+    edge = pool[:WIDE]  # one set is packed in whole, the other in halves
+    assert _alike(_packed(edge), _packed(edge[:-1])) and not _alike(_packed(edge), _packed(pool[WIDE : 2 * WIDE - 1]))
+
+
 def test_one_of_each_decides_by_row(spark):
     """Null and reused ids: each row stays or goes by its own group."""
     from grovetally.llm.jaccard import one_of_each
@@ -784,6 +829,19 @@ def test_decontamination(spark, docs, none, clash, monkeypatch):
     assert sorted((r["doc_id"], r["items"]) for r in decontam.matches(df, bench).collect()) == sorted(got)
 
 
+def test_decontamination_finds_parts_of_items(spark):
+    """Any part of one and a half pieces is found wherever it stands, also in items of moderate length."""
+    from grovetally.llm import decontam
+
+    long = decontam.PIECE * 3 // 2
+    item = prose(71, 40)[:long + 60]
+    parts = [item[a : a + long].strip() for a in range(0, 61, 7)]
+    given = [(i, f"{prose(72 + i, 80)} {p} {prose(99 + i, 30)}") for i, p in enumerate(parts)] + [(100, prose(73, 300)), (101, item[: decontam.PIECE // 2])]
+    found = decontam.matches(spark.createDataFrame(given, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"))
+    got = {r["doc_id"]: r["items"] for r in found.collect()}
+    assert all(got[i] == [5] for i in range(len(parts)) if len(parts[i]) >= long - 2) and got[100] == [] and got[101] == []
+
+
 def test_decontamination_on_tables(spark, small):
     from grovetally.llm import decontam
 
@@ -907,5 +965,5 @@ def test_every_query_is_registered():
 
     from grovetally.llm.queries import QUERIES, SQL
 
-    exact = {"mix_targets", "pii_counts", "rules_base"}  # parts of the results of op1, op6 and op8 that SQL can express
+    exact = {"mix_targets", "jaccard_links", "pii_counts", "rules_base"}  # what SQL can express of op1, op6 and op8, and the links of op2
     assert exact <= set(SQL) and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in set(QUERIES) - exact) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
