@@ -6,8 +6,8 @@ q-grams are counted in diagonal bands of width ``BAND`` that overlap by half, ba
 reach the bound are kept, and banded alignment of the pattern with that region decides.
 
 Texts are compared in lower case (Latin and Cyrillic) and with white space runs as one space. Patterns are the
-benchmark items; items longer than ``PIECE`` are cut into pieces that overlap by half, so a long
-part of a long item is found as well. k is ``EDITS`` of a pattern's characters (bytes of UTF-8).
+benchmark items; items longer than ``PIECE`` are cut into pieces that overlap by half, so any part of
+one and a half ``PIECE`` is found as well. k is ``EDITS`` of a pattern's characters (bytes of UTF-8).
 
 The index of the benchmark is broadcast in blocks of at most ``BLOCK`` characters: a larger
 benchmark takes several passes over the documents, never a larger broadcast.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._spark import fresh, map_arrow, written
 from ._text import Chunk, chunks, spread
 
-Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 256, 32, 1 << 22
+Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 128, 32, 1 << 22
 #: Pairs of equal q-grams that are formed at a time.
 PAIRS = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
