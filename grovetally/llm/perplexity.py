@@ -1,10 +1,10 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is trained on trusted text: labelled rows of good quality, those with the least hash of
-their id, at most ``MAX_DOCS`` of them and ``MAX_WORDS`` words. Its counts are kept as three sorted
+The model is trained on trusted text: all labelled rows of good quality (:mod:`.kneser`, by shuffled shards of counts).
+A caller may bound it to the rows with the least hash of their id, by documents or words. Such a sample's counts are kept as three sorted
 tables (words, pairs, triples of words, as 64-bit hashes) whose size those bounds limit, cut into
-shards by the leading bits of the hash. Every document's n-grams are joined with the shards in
-one narrow pass, so no n-gram of the corpus is shuffled.
+shards by the leading bits of the hash, and every document's n-grams are joined with them in
+one narrow pass.
 
 A document is kept if its perplexity is at most its threshold: the ``QUANTILE`` of the perplexities of
 all trusted documents of its language and length class, taken over the whole table, times
@@ -113,14 +113,18 @@ def ngrams(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two, mix((first * _C1 + prev) * _C2 + seq)
 
 
-def _discounts(count: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more."""
-    n = np.array([max(1, int((count == k).sum())) for k in range(1, 5)], dtype=float)
+def discounts(tally: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more, by how many counts are 1, 2, 3 and 4."""
+    n = np.maximum(1, tally).astype(float)
     y = n[0] / (n[0] + 2 * n[1])
     d = [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
     return np.array(d)
 
 
+def _discounts(count: np.ndarray) -> np.ndarray:
+    return discounts(np.array([int((count == k).sum()) for k in range(1, 5)]))
+
+
 def _level(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Discounted ratio of each n-gram; the contexts and their back-off weights."""
     d = _discounts(count)[np.minimum(count, 3)]
@@ -242,8 +246,8 @@ def score(docs: DataFrame, model: Model, trained: tuple[np.ndarray, np.ndarray])
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, max_docs: int | None = None, max_words: int | None = None) -> DataFrame:
     """A row for each document: doc_id, lang, n_words, log10_prob, perplexity, threshold, kept.
 
-    ``max_docs`` and ``max_words`` (by default ``MAX_DOCS`` and ``MAX_WORDS``) bound the trusted sample that the
-    model is trained on.
+    The model is trained on all trusted documents. ``max_docs`` or ``max_words``, if given, bound a sample of them to train on
+    instead (the other one is ``MAX_DOCS`` or ``MAX_WORDS`` then).
 
     Null and empty texts are a text without words. A null language is a language of its own.
     Ids with several labels have the lowest quality; null ids and labels are left out. Repeated
@@ -251,13 +255,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     leaves none to score it by, thresholds are null and all documents are kept. Other columns are
     not read.
     """
-    trusted = trusted_words(docs, labels, max_docs, max_words)
-    scored = score(docs, fit(*trusted), cross_fit(*trusted))
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    if max_docs is None and max_words is None:
+        from . import kneser
+
+        scored = kneser.score(docs, good)
+    else:
+        trusted = trusted_words(docs, labels, max_docs, max_words)
+        scored = score(docs, fit(*trusted), cross_fit(*trusted))
     size = F.lit(len(CLASSES))
     for i, most in reversed(list(enumerate(CLASSES))):
         size = F.when(F.col("n_words") < most, i).otherwise(size)
     scored = cut(scored.withColumn("size", size).withColumn("tongue", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     # a histogram of perplexity in steps of 1 % is folded before the shuffle and is exact for the whole table
     steps = scored.where("unseen is not null").join(good, "doc_id").groupBy("tongue", "size", F.ceil(F.log("unseen") * 100).alias("step")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -555,6 +555,37 @@ def test_quality_sample_passes_over_long_documents(spark, monkeypatch):
     assert np.diff(perplexity.trusted_words(df, labels)[1]).tolist() == [20] * 5
 
 
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_quality_counts_every_trusted_document(spark, monkeypatch, few):
+    """Scores are those of a plain model of all trusted documents, and of all of the other folds, in one round or several."""
+    import pyarrow as pa
+
+    from grovetally.llm import kneser, perplexity
+
+    monkeypatch.setattr(perplexity, "MAX_DOCS", 5)
+    for name, value in {"FEW": few, "ROUNDS": 2, "WORD_ROUNDS": 2, "LAST_ROUNDS": 2}.items():
+        monkeypatch.setattr(kneser, name, value)
+    r = random.Random(4)
+    given = [(i, " ".join(r.choice(WORDS[: r.choice([3, 24])]) for _ in range(r.randrange(0, 40)))) for i in range(120)]
+    given += [(120, None), (121, ""), (122, given[0][1]), (3, given[3][1].upper()), (None, given[5][1]), (200, "only here"), (201, "alpha " * 400)]
+    labels = spark.createDataFrame([(i, 1) for i in range(125) if i % 3 != 1] + [(3, 1), (6, 0), (None, 1)], "doc_id long, quality int")
+    good = {i for i in range(125) if i % 3 != 1} - {6}
+    df = spark.createDataFrame([(i, t, "en") for i, t in given], "doc_id long, text string, lang string").repartition(3)
+    words = lambda t: (t or "").lower().split()
+    fold = lambda t: kneser.Tokens.read(pa.record_batch([pa.array([1]), pa.array(["en"]), pa.array([t], pa.string()), pa.array([1])], list("abcd"))).fold[0]
+    trusted = [(fold(t), words(t)) for i, t in given if i in good]
+    whole = brute.KneserNey([w for _, w in trusted])
+    apart = {k: brute.KneserNey([w for f, w in trusted if f != k]) for k, _ in trusted}
+    want = sorted((i or -1, len(words(t)), whole.log10(words(t)), (apart[fold(t)] if i in good else whole).log10(words(t))) for i, t in given)
+    got = kneser.score(df, labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null")).collect()
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["log10_prob"], -math.log10(r["unseen"]) * (r["n_words"] + 1)) for r in got)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    for k in (2, 3):
+        assert [x[k] for x in got] == pytest.approx([x[k] for x in want], rel=1e-9)
+    kept = perplexity.classify(df, labels).collect()
+    assert sorted(r["log10_prob"] for r in kept) == pytest.approx(sorted(x[2] for x in want), rel=1e-9)
+
+
 def test_quality_keeps_clean_text_it_has_not_seen(spark):
     """Trusted rows are few enough to be trained on, all of them; others are of the same kind."""
     from grovetally.llm.perplexity import classify
