@@ -44,6 +44,8 @@ _PAIRS, _ANSWERS, _TALLY, _WORD_ANSWERS, _TOKENS = range(5)
 _COUNTS, _WORDS = 16, 1 << 16
 #: Rows of word counts that a task sums before it passes them on.
 _HELD = 1 << 19
+#: Tokens whose probabilities are computed at once.
+_SLICE = 1 << 17
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -423,7 +425,7 @@ def scores(shards: int, rounds: int, d1: np.ndarray, d2: np.ndarray, d3: np.ndar
             words, own, begins, trusted, ids = unpack(blob)
             t = Tokens(words[own], begins.astype(np.int64), trusted.astype(bool))
             n, done = len(t.at), 0
-            base, other = np.zeros((2, 6, n), np.int64)
+            base, other = np.zeros((2, 6, n), np.uint32)
             order = np.concatenate([t.order(turn, rounds, shards)[0] for turn in range(rounds)])
             doc = np.repeat(np.arange(len(t.model)), np.diff(t.begins) + 3)
             for _, _, blob in sorted(r for r in rows if r[0] == _ANSWERS):
@@ -455,15 +457,20 @@ def scores(shards: int, rounds: int, d1: np.ndarray, d2: np.ndarray, d3: np.ndar
             second[t.begins[:-1] + 3 * np.arange(len(t.model)) + 1] = True
             keep = t.at[~second[t.at]]
             length = np.diff(t.begins)
-            logs = log10(doc[keep], len(length), base[0, record[keep]], base[1:, record[keep - 1]], (found[:, own[keep]], found[:, own[keep - 1]]), np.full(len(keep), ALL))
+            logs = np.zeros(len(length))
+            for i in range(0, len(keep), _SLICE):
+                at = keep[i : i + _SLICE]
+                logs += log10(doc[at], len(length), base[0, record[at]], base[1:, record[at - 1]], (found[:, own[at]], found[:, own[at - 1]]), np.full(len(at), ALL))
             perplexity = 10 ** (-logs / (length + 1))
             unseen = perplexity.copy()
             k = t.model[doc[keep]]
             some = k < ALL
             if some.any():
                 keep, k = keep[some], k[some]
-                of = lambda at: each[:, spot[own[at], k]]
-                apart = log10(doc[keep], len(length), other[0, record[keep]], other[1:, record[keep - 1]], (of(keep), of(keep - 1)), k)
+                apart = np.zeros(len(length))
+                for i in range(0, len(keep), _SLICE):
+                    at, which = keep[i : i + _SLICE], k[i : i + _SLICE]
+                    apart += log10(doc[at], len(length), other[0, record[at]], other[1:, record[at - 1]], (each[:, spot[own[at], which]], each[:, spot[own[at - 1], which]]), which)
                 mine = t.model < ALL
                 unseen[mine] = np.where(total[t.model] > 0, 10 ** (-apart / (length + 1)), np.nan)[mine]
             named = pa.ipc.open_stream(pa.py_buffer(ids.tobytes())).read_next_batch()
