@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -53,16 +54,35 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The share of the driver's heap from which :func:`tidied` collects garbage.
+FULL = 0.2
+
+
+def tidied(spark: SparkSession) -> None:
+    """Collects the driver's garbage if its heap holds more than ``FULL`` of what it may.
+
+    Plans, tasks and shuffles that are done with leave much of it, the more the more partitions there are. The heap
+    would grow to its limit first, and Spark keeps shuffle files and checkpoints until their handles are collected.
+    """
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > FULL * heap.maxMemory():
+        gc.collect()  # Python's handles of Java objects
+        spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    tidied(df.sparkSession)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`cut`, as compressed Parquet, for rows with wide binary columns."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    tidied(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

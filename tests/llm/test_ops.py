@@ -991,6 +991,20 @@ def test_pipeline_on_awkward_rows(spark, docs, none, tmp_path):
         assert (df.count() > 0) == (given is not none)
 
 
+def test_garbage_of_the_driver_goes_when_rows_are_kept(spark, monkeypatch):
+    from grovetally.llm import _spark
+
+    def collected(share, keep):
+        monkeypatch.setattr(_spark, "FULL", share, raising=False)
+        old = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+        before = sum(b.getCollectionCount() for b in old)
+        assert keep(spark.range(3)).count() == 3
+        return sum(b.getCollectionCount() for b in old) > before
+
+    for keep in (_spark.cut, lambda df: _spark.written(df, "kept")):
+        assert collected(0.0, keep) and not collected(1.0, keep)
+
+
 def test_every_query_is_registered():
     import re
 
