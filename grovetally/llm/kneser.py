@@ -11,14 +11,12 @@ Trusted documents are scored twice, the second time by a model of the other fold
 for occurs in that fold, so a shard has the counts without the fold as differences for what occurs in it.
 
 Pairs are 64-bit hashes; the tokens before and after a pair are told apart by 32 bits within the pair. To bound the disk that shuffles
-take at once, pairs are dealt to ``ROUNDS`` rounds (one if texts are ``FEW``), each of which reads the texts again. Batches must come the same each time; a sum over
+take at once, pairs are dealt to ``ROUNDS`` rounds at most (one if texts are ``FEW``), each of which reads the texts again. Batches must come the same each time; a sum over
 each batch's tokens goes with its records, and another sum is an error.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, map_arrow, shared_path, written
+from ._spark import cut, map_arrow, shared_path, shuffles_dropped, tidied, written
 from ._text import chunks, mix
 from .perplexity import _C1, FOLDS, discounts, sequence, signatures
 
-ROUNDS = 11
-#: Rounds of the shards of words, and of the input's partitions when documents are scored.
-WORD_ROUNDS, LAST_ROUNDS = 6, 6
-#: Texts of fewer bytes take one round. Bytes of text for each shard.
-FEW, SHARE = 64 << 20, 4 << 20
+ROUNDS = 6
+#: Most rounds of the shards of words, and of the input's partitions when documents are scored.
+WORD_ROUNDS, LAST_ROUNDS = 2, 3
+#: Bytes of text for each round, until there are as many as above; texts of fewer bytes take one. Bytes of text for each shard.
+FEW, SHARE = 160 << 20, 4 << 20
 #: The model of all trusted documents; models 0 to FOLDS - 1 are those without a fold.
 ALL = FOLDS
 _ROWS = "key long, kind int, at long, blob binary"
@@ -146,23 +144,32 @@ class Tokens:
         return np.where(is_end[at], np.uint32(0), brief(np.minimum(at + 1, len(seq) - 1))), np.where(is_second[at], np.uint32(0), brief(at - 2))
 
     def order(self, turn: int, rounds: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """The records of a round by shard, trusted ones last in each; and their shards."""
+        """The records of a round by shard, trusted ones last in each, those of a pair beside each other (so that they and
+        their answers take few bytes); and their shards."""
         own = np.flatnonzero(self.turns(rounds) == turn)
         shard = self.shards(own, shards)
-        key = shard * np.uint32(2) + (self.of[own] < ALL)
-        order = np.argsort(key.astype(np.uint16) if 2 * shards < 1 << 16 else key, kind="stable")
+        low, high = len(own).bit_length(), (2 * shards).bit_length()  # of a record's number and of its part
+        if low + high > 64:
+            raise ValueError("too many shards or records")
+        key = (shard.astype(np.uint64) << np.uint64(1) | (self.of[own] < ALL)) << np.uint64(64 - high)
+        key |= self.pair[own] >> np.uint64(high) & ~np.uint64((1 << low) - 1) | np.arange(len(own), dtype=np.uint64)
+        order = (np.sort(key) & np.uint64((1 << low) - 1)).astype(np.int64)  # no two keys are equal
         return own[order], shard[order]
 
-    def words(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Different words by shard, their shards, the models wanted of each as bits, and the place of each token's word."""
-        words, own = np.unique(self.seq, return_inverse=True)
+    def words(self, shards: int, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different words by shard (those of a round's shards), their shards, the models wanted of each as bits, and the
+        place of each of their tokens' word."""
+        seq, model = self.seq, np.repeat(self.model, np.diff(self.begins) + 3)
+        if rounds > 1:
+            here = np.flatnonzero((seq >> np.uint64(40)) % np.uint64(shards) % np.uint64(rounds) == turn)
+            seq, model = seq[here], model[here]
+        words, own = np.unique(seq, return_inverse=True)
         shard = ((words >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         own = place[own]
         bits = np.zeros((len(words), FOLDS), bool)
-        model = np.repeat(self.model, np.diff(self.begins) + 3)
         bits[own[model < ALL], model[model < ALL]] = True
         return words[order], shard[order], bits, own
 
@@ -342,10 +349,10 @@ def pair_counts(shards: int, word_rounds: int):
 def word_rows(shards: int, turn: int, rounds: int):
     def run(batches):
         for at, _, t in read_batches(batches):
-            words, shard, bits, _ = t.words(shards)
+            words, shard, bits, _ = t.words(shards, turn, rounds)
             ends = np.searchsorted(shard, np.arange(shards + 1))
             mask = bits @ (1 << np.arange(FOLDS))
-            rows = [(s, _WORDS, at, pack(np.array([t.sum], np.uint64), words[ends[s] : ends[s + 1]], mask[ends[s] : ends[s + 1]].astype(np.uint16))) for s in np.flatnonzero(np.diff(ends)).tolist() if s % rounds == turn]
+            rows = [(s, _WORDS, at, pack(np.array([t.sum], np.uint64), words[ends[s] : ends[s + 1]], mask[ends[s] : ends[s + 1]].astype(np.uint16))) for s in np.flatnonzero(np.diff(ends)).tolist()]
             if rows:
                 yield table(rows)
 
@@ -480,14 +487,6 @@ def scores(shards: int, rounds: int, d1: np.ndarray, d2: np.ndarray, d3: np.ndar
     return run
 
 
-def freed(spark) -> None:
-    """Lets Spark remove the shuffle files of plans that are gone: Python's handles of them go within a second."""
-    gc.collect()
-    time.sleep(2)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
-
-
 def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     """(doc_id, lang, n_words, log10_prob, perplexity, unseen) of every document under a model of all documents with an
     id in ``good``; ``unseen`` is, for those, the perplexity under a model without the documents' fold (null if that has none)."""
@@ -495,7 +494,7 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "lang", "text")
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    rounds, word_rounds, last_rounds = (ROUNDS, WORD_ROUNDS, LAST_ROUNDS) if size >= FEW else (1, 1, 1)
+    rounds, word_rounds, last_rounds = (min(most, 1 + size // max(FEW, 1)) for most in (ROUNDS, WORD_ROUNDS, LAST_ROUNDS))
     shards = max(8, size // rounds // SHARE)
     good = cut(good.select(F.col("doc_id").alias("good")))
     read = docs.join(F.broadcast(good), F.col("doc_id") == F.col("good"), "left").select("doc_id", "lang", "text", "good", F.spark_partition_id().alias("part"))
@@ -506,12 +505,11 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     paths = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        """The rows written by kind; shuffle files go with plans that nothing holds."""
+        """The rows written by kind."""
         paths.append(path := shared_path(spark, name))
-        df.write.partitionBy("kind").parquet(path)
-        del df
-        if rounds > 1:
-            freed(spark)
+        with shuffles_dropped(spark):
+            df.write.partitionBy("kind").parquet(path)
+        tidied(spark)
         return spark.read.schema(_ROWS).parquet(path)
 
     def of_kind(df: DataFrame, kind: int) -> DataFrame:
@@ -527,7 +525,6 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     for turn in range(word_rounds):
         asked = by_key(of_kind(pairs, _COUNTS + turn), map_arrow(read, word_rows(shards, turn, word_rounds), _ROWS))
         words.append(kept(map_arrow(asked, word_counts, _ROWS), "words"))
-        del asked
         for path in made:  # these counts are summed
             path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={_COUNTS + turn}")
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -544,8 +541,6 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
         answers = [of_kind(x, k).where(F.shiftright("key", 24) % last_rounds == turn) for x, k in ((pairs, _ANSWERS), (words, _WORD_ANSWERS))]
         rows = by_key(*answers, map_arrow(read.where(F.col("part") % last_rounds == turn), token_rows, _ROWS))
         schema = f"doc_id {kind}, lang string, n_words long, log10_prob double, perplexity double, unseen double"
-        out.append(written(map_arrow(rows, scores(shards, rounds, d1, d2, d3, one[:, 5], floor), schema), "scores"))
-        del answers, rows
-        if rounds > 1:
-            freed(spark)
+        with shuffles_dropped(spark):
+            out.append(written(map_arrow(rows, scores(shards, rounds, d1, d2, d3, one[:, 5], floor), schema), "scores"))
     return union(out)

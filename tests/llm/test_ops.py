@@ -586,6 +586,48 @@ def test_quality_counts_every_trusted_document(spark, monkeypatch, few):
     assert sorted(r["log10_prob"] for r in kept) == pytest.approx(sorted(x[2] for x in want), rel=1e-9)
 
 
+def test_quality_records_of_a_pair_stand_together():
+    """In each shard, those of trusted documents apart; and a round's words are those of its shards, in the same order."""
+    import numpy as np
+    import pyarrow as pa
+
+    from grovetally.llm import kneser
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(WORDS[:6]) for _ in range(r.randrange(0, 60))) for _ in range(200)]
+    t = kneser.Tokens.read(pa.record_batch([pa.array(range(200)), pa.array(["en"] * 200), pa.array(texts), pa.array([i if i % 3 else None for i in range(200)])], list("abcd")))
+    seen = []
+    for turn in range(2):
+        order, shard = t.order(turn, 2, 5)
+        seen += order.tolist()
+        part = shard.astype(np.int64) * 2 + (t.of[order] < kneser.ALL)
+        assert (np.diff(part) >= 0).all() and (shard == t.shards(order, 5)).all() and (t.turns(2)[order] == turn).all()
+        runs = list(zip(part.tolist(), t.pair[order].tolist()))
+        assert 1 + sum(x != y for x, y in zip(runs, runs[1:])) == len(set(runs)) < len(runs)
+    assert sorted(seen) == list(range(len(t.pair)))
+    words, shard, bits, _ = t.words(7)
+    for turn in range(3):
+        here = shard % 3 == turn
+        got = t.words(7, turn, 3)
+        assert all((x == y[here]).all() and len(x) for x, y in zip(got[:3], (words, shard, bits)))
+
+
+def test_quality_leaves_no_shuffle_files(spark, monkeypatch):
+    """Those of a round go before the next one, whether or not the driver collects its garbage."""
+    from grovetally.llm import kneser
+
+    for name, value in {"FEW": 0, "ROUNDS": 2, "WORD_ROUNDS": 2, "LAST_ROUNDS": 2}.items():
+        monkeypatch.setattr(kneser, name, value)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.name().split("_")[1] for f in seq(blocks.getAllBlocks()) if f.isShuffle()}
+    seq = lambda x: [x.apply(i) for i in range(x.size())]
+    before = shuffles()
+    docs = spark.createDataFrame([(i, prose(i, 30), "en") for i in range(40)], "doc_id long, text string, lang string")
+    scored = kneser.score(docs, docs.where("doc_id % 2 = 0").select("doc_id"))
+    after = shuffles() - before
+    assert scored.count() == 40 and len(after) <= 2
+
+
 def test_quality_keeps_clean_text_it_has_not_seen(spark):
     """Trusted rows are few enough to be trained on, all of them; others are of the same kind."""
     from grovetally.llm.perplexity import classify
