@@ -11,7 +11,7 @@ Trusted documents are scored twice, the second time by a model of the other fold
 for occurs in that fold, so a shard has the counts without the fold as differences for what occurs in it.
 
 Pairs are 64-bit hashes; the tokens before and after a pair are told apart by 32 bits within the pair. To bound the disk that shuffles
-take at once, pairs are dealt to ``ROUNDS`` rounds at most (one if texts are ``FEW``), each of which reads the texts again. Batches must come the same each time; a sum over
+take at once, pairs are dealt to ``ROUNDS`` rounds (one if texts are ``FEW``), each of which reads the texts again. Batches must come the same each time; a sum over
 each batch's tokens goes with its records, and another sum is an error.
 """
 
@@ -30,10 +30,10 @@ from ._text import chunks, mix
 from .perplexity import _C1, FOLDS, discounts, sequence, signatures
 
 ROUNDS = 6
-#: Most rounds of the shards of words, and of the input's partitions when documents are scored.
+#: Rounds of the shards of words, and of the input's partitions when documents are scored.
 WORD_ROUNDS, LAST_ROUNDS = 2, 3
-#: Bytes of text for each round, until there are as many as above; texts of fewer bytes take one. Bytes of text for each shard.
-FEW, SHARE = 160 << 20, 4 << 20
+#: Texts of fewer bytes take one round. Bytes of text for each shard.
+FEW, SHARE = 64 << 20, 2 << 20
 #: The model of all trusted documents; models 0 to FOLDS - 1 are those without a fold.
 ALL = FOLDS
 _ROWS = "key long, kind int, at long, blob binary"
@@ -41,7 +41,7 @@ _PAIRS, _ANSWERS, _TALLY, _WORD_ANSWERS, _TOKENS = range(5)
 #: Counts of words are of kind ``_COUNTS`` and the round of their shard; those who ask for them come after.
 _COUNTS, _WORDS = 16, 1 << 16
 #: Rows of word counts that a task sums before it passes them on.
-_HELD = 1 << 19
+_HELD = 1 << 17
 #: Tokens whose probabilities are computed at once.
 _SLICE = 1 << 17
 
@@ -270,13 +270,13 @@ class Pairs:
         self.answers = np.stack([self.two[o], self.total[o], *self.kinds[o].T, three]), np.stack([two[f], total[f], *kinds[f].T, three_fold])
         # (word, model), then by how much they add to: pairs that end with it, counts of pairs that begin with it, their kinds
         some, less = np.flatnonzero(self.two), np.flatnonzero(two != self.two[pair])
-        was, now, rows = self.two[pair[less]], two[less], [np.zeros((len(some), 5), np.int64) for _ in range(2)]
-        rows += [np.zeros((len(less), 5), np.int64) for _ in range(2)]
+        was, now, rows = self.two[pair[less]], two[less], [np.zeros((len(some), 5), np.int32) for _ in range(2)]
+        rows += [np.zeros((len(less), 5), np.int32) for _ in range(2)]  # of a shard, so they are small
         rows[0][:, 0], rows[1][:, 1] = 1, self.two[some]
         rows[1][:, 2:] = _kinds(np.arange(len(some)), self.two[some], len(some))
         rows[2][:, 0], rows[3][:, 1] = -((was > 0) & (now == 0)).astype(np.int64), now - was
         rows[3][:, 2:] = _kinds(np.arange(len(less)), now, len(less)) - _kinds(np.arange(len(less)), was, len(less))
-        base, folds = np.full(len(some), ALL), self.in_fold[less] & 15
+        base, folds = np.full(len(some), ALL, np.uint8), (self.in_fold[less] & 15).astype(np.uint8)
         self.words = summed(np.concatenate([self.w2[some], self.w1[some], self.w2[pair[less]], self.w1[pair[less]]]), np.concatenate([base, base, folds, folds]), np.concatenate(rows))
 
     def find(self, pair: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
@@ -323,7 +323,7 @@ def pair_counts(shards: int, word_rounds: int):
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(ends)).tolist():
                 own = order[ends[s] : ends[s + 1]]
-                yield (s, _COUNTS + s % word_rounds, 0, pack(word[own], model[own].astype(np.uint8), *folded(brief(values[own].T))))
+                yield (s, _COUNTS + s % word_rounds, 0, pack(word[own], model[own], *folded(brief(values[own].T.astype(np.int64)))))
 
         for unit, rows in grouped(batches):
             asked = [unpack(blob) for _, _, blob in rows]
@@ -494,7 +494,7 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "lang", "text")
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    rounds, word_rounds, last_rounds = (min(most, 1 + size // max(FEW, 1)) for most in (ROUNDS, WORD_ROUNDS, LAST_ROUNDS))
+    rounds, word_rounds, last_rounds = (ROUNDS, WORD_ROUNDS, LAST_ROUNDS) if size >= FEW else (1, 1, 1)
     shards = max(8, size // rounds // SHARE)
     good = cut(good.select(F.col("doc_id").alias("good")))
     read = docs.join(F.broadcast(good), F.col("doc_id") == F.col("good"), "left").select("doc_id", "lang", "text", "good", F.spark_partition_id().alias("part"))
