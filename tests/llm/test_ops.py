@@ -613,19 +613,29 @@ def test_quality_records_of_a_pair_stand_together():
 
 
 def test_quality_leaves_no_shuffle_files(spark, monkeypatch):
-    """Those of a round go before the next one, whether or not the driver collects its garbage."""
+    """Those of a round go when it is written, whether or not the driver collects its garbage."""
+    import time
+
     from grovetally.llm import kneser
 
     for name, value in {"FEW": 0, "ROUNDS": 2, "WORD_ROUNDS": 2, "LAST_ROUNDS": 2}.items():
         monkeypatch.setattr(kneser, name, value)
     blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    shuffles = lambda: {f.name().split("_")[1] for f in seq(blocks.getAllBlocks()) if f.isShuffle()}
-    seq = lambda x: [x.apply(i) for i in range(x.size())]
+    left, docs = [], spark.createDataFrame([(i, prose(i, 30), "en") for i in range(40)], "doc_id long, text string, lang string")
+
+    def shuffles():
+        found = blocks.getAllBlocks()
+        return {n.split("_")[1] for n in (found.apply(i).name() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    def after_write(_):
+        time.sleep(0.7)  # the files go in the background
+        left.append(shuffles() - before)
+
+    monkeypatch.setattr(kneser, "tidied", after_write, raising=False)
+    good = docs.where("doc_id % 2 = 0").select("doc_id")
     before = shuffles()
-    docs = spark.createDataFrame([(i, prose(i, 30), "en") for i in range(40)], "doc_id long, text string, lang string")
-    scored = kneser.score(docs, docs.where("doc_id % 2 = 0").select("doc_id"))
-    after = shuffles() - before
-    assert scored.count() == 40 and len(after) <= 2
+    assert kneser.score(docs, good).count() == 40
+    assert len(left) == 4 and len(set.union(*left)) <= 1  # the sum of sizes is no write
 
 
 def test_quality_keeps_clean_text_it_has_not_seen(spark):
