@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, map_arrow, written
-from ._text import LOWER, SPACE, Chunk, chunks, mix
+from ._text import LOWER, Chunk, chunks, mix, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FREQUENT, WIDTH, STRIDE, CONTEXT = 65536, 24, 24, 8
@@ -72,6 +72,8 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.code = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
+        self.bytes = np.zeros(self.end + 1, dtype=np.int64)
+        self.bytes[list(ranks.values())] = [len(x) for x in ranks]
 
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of one text. Long ones are cut, before a space where there is one, so that neither a long
@@ -89,19 +91,60 @@ class Subwords:
             at = to
         return np.concatenate([np.zeros(0, np.int32), *ids])
 
-    def sequences(self, c: Chunk, starts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """End, ids, end of each document of a chunk in one array, and where each begins; ``starts``
-        and ``begins`` are the words of the chunk."""
-        ink = ~SPACE[c.data]
-        number = np.zeros(len(c.data), dtype=np.int64)
-        number[starts] = 1
-        out = np.full(int(ink.sum()) + len(starts), 32, dtype=np.uint8)
-        out[(np.cumsum(ink) + np.cumsum(number) - 1)[ink]] = LOWER[c.data[ink]]
-        before = np.concatenate([[0], np.cumsum(ink)])[c.offsets] + begins
-        text, edge = out.tobytes(), np.array([self.end], np.int32)
-        parts = [x for i, j in zip(before[:-1], before[1:], strict=True) for x in (edge, self.encode(text[i:j]), edge)]
-        n = np.array([len(x) for x in parts[1::3]], dtype=np.int64) + 2
-        return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum(n)])
+    def sequences(self, c: Chunk, starts: np.ndarray, begins: np.ndarray, stops: np.ndarray | None = None, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """End, ids, end of each document of a chunk in one array, and where each begins; ``starts``, ``stops``
+        and ``begins`` are the words of the chunk. Every different word is encoded once: ids never reach over a space, except
+        where white space beyond ASCII ends a word. Documents with such words are encoded as a whole."""
+        stops = c.words()[1] if stops is None else stops
+        hashes = c.span_hash(starts, stops) if hashes is None else hashes
+        doc = np.repeat(np.arange(c.n), np.diff(begins))
+        whole = np.zeros(c.n, dtype=bool)
+        whole[doc[_ends_in_space(c.data, stops)]] = True
+        some = np.flatnonzero(~whole[doc])
+        _, first, own = np.unique(hashes[some], return_index=True, return_inverse=True)
+        first = some[first]
+        ids = self.encode(_spaced(c.data, starts[first], stops[first]))
+        # where the ids of each word begin: those that begin where its space does
+        edges = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        begin = np.searchsorted(edges, np.concatenate([[0], np.cumsum(stops[first] - starts[first] + 1)]))
+        count = np.diff(begin)[own]
+        n = np.bincount(doc[some], weights=count, minlength=c.n).astype(np.int64)
+        rest, apart = np.flatnonzero(whole[doc]), np.flatnonzero(whole)
+        text = _spaced(c.data, starts[rest], stops[rest])
+        cuts = np.cumsum(np.bincount(doc[rest], weights=stops[rest] - starts[rest] + 1, minlength=c.n)[apart]).astype(np.int64).tolist()
+        longer = {d: self.encode(text[i:j]) for d, i, j in zip(apart.tolist(), [0, *cuts], cuts)}
+        for d, x in longer.items():
+            n[d] = len(x)
+        at = np.concatenate([[0], np.cumsum(n + 2)])
+        out = np.full(at[-1], self.end, dtype=np.int32)
+        inner = np.ones(at[-1], dtype=bool)
+        inner[at[:-1]] = inner[at[1:] - 1] = False
+        for d, x in longer.items():
+            out[at[d] + 1 : at[d + 1] - 1] = x
+            inner[at[d] : at[d + 1]] = False
+        out[inner] = ids[spread(begin[own], count)]
+        return out, at
+
+
+#: Characters beyond ASCII that the vocabulary's pattern takes as white space, in UTF-8.
+_SPACES = [chr(i).encode() for i in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _ends_in_space(data: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The words whose last character is white space beyond ASCII."""
+    some = np.flatnonzero(data[stops - 1] >= 128)
+    two = data[stops[some] - 2].astype(np.int64) << 8 | data[stops[some] - 1]
+    three = data[np.maximum(stops[some] - 3, 0)].astype(np.int64) << 16 | two
+    codes = [[int.from_bytes(x) for x in _SPACES if len(x) == n] for n in (2, 3)]
+    return some[np.isin(two, codes[0]) | np.isin(three, codes[1])]
+
+
+def _spaced(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> bytes:
+    """Some words with A-Z lower-cased and a space before each."""
+    n = stops - starts
+    out = LOWER[data[np.maximum(spread(starts - 1, n + 1), 0)]]
+    out[np.cumsum(n + 1) - n - 1] = 32
+    return out.tobytes()
 
 
 @dataclass
@@ -180,10 +223,16 @@ _CAUSAL = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).as
 _MOST, _LEAST = np.float32(60), np.float32(1e-30)
 
 
+def _bounded(y: np.ndarray) -> np.ndarray:
+    """``y`` with all above ``_MOST`` set to it; mostly there is none."""
+    if not y.max(initial=0) <= _MOST:
+        np.minimum(y, _MOST, out=y)
+    return y
+
+
 def _softmax(h: np.ndarray, head: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exponentials under a head, their sums, and the log probability of each target."""
-    y = h @ head
-    np.minimum(y, _MOST, out=y)
+    y = _bounded(h @ head)
     own = y[np.arange(len(y)), target]
     np.exp(y, out=y)
     total = np.maximum(y @ np.ones(y.shape[1], np.float32), _LEAST)
@@ -197,7 +246,7 @@ def forward(p: dict, t: Text, rest: np.ndarray, doc: np.ndarray, at: np.ndarray)
     valid = (place >= t.offsets[doc][:, None]) & (place < t.offsets[doc + 1][:, None])
     place = np.clip(place, 0, len(t.rank) - 1)
     row = np.minimum(t.rank[place], len(p["embed"]) - 1)
-    x = p["embed"][row]
+    x = np.take(p["embed"], row, axis=0)
     x += p["place"]
     seen = valid[:, :, None].astype(np.float32)
     # places outside the document have no weight in the sums and no share in their total
@@ -206,8 +255,7 @@ def forward(p: dict, t: Text, rest: np.ndarray, doc: np.ndarray, at: np.ndarray)
     v = np.empty((n, WINDOW, d + 1), dtype=look.dtype)
     np.multiply(look[:, :, 2 * d :], seen, out=v[:, :, :d])
     v[:, :, d:] = seen
-    s = q @ k.transpose(0, 2, 1)
-    np.minimum(s, _MOST, out=s)
+    s = _bounded(q @ k.transpose(0, 2, 1))
     np.exp(s, out=s)
     s *= _CAUSAL
     z = s @ v
@@ -242,7 +290,7 @@ def gradient(p: dict, a: dict) -> dict[str, np.ndarray]:
     for i, (some, own, dy, sums) in enumerate(a["soft"]):
         dy *= (share / sums)[:, None]
         dy[np.arange(len(dy)), own] -= share
-        g[f"head{i}"] = h[some].T @ dy
+        g[f"head{i}"] = np.ascontiguousarray(h[some].T) @ dy
         own_dh[some] += dy @ p[f"head{i}"][:d].T
     dh[a["scored"]] = own_dh
     g["out"] = a["z"].reshape(-1, d).T @ dh
@@ -262,8 +310,8 @@ def gradient(p: dict, a: dict) -> dict[str, np.ndarray]:
     dx = (dlook @ p["look"].T).reshape(n, WINDOW, d)
     dx[:, CONTEXT:] += dh.reshape(n, STRIDE, d)
     g["place"] = dx.sum(0)
-    index, by = a["row"].ravel(), np.ascontiguousarray(dx.reshape(-1, d).T)
-    g["embed"] = np.stack([np.bincount(index, weights=by[j], minlength=len(p["embed"])) for j in range(d)], axis=1).astype(h.dtype)
+    index = (a["row"].ravel()[:, None] * d + np.arange(d)).ravel()
+    g["embed"] = np.bincount(index, weights=dx.ravel(), minlength=p["embed"].size).reshape(-1, d).astype(h.dtype)
     return g
 
 
@@ -279,8 +327,16 @@ class Adam:
             m *= np.float32(0.9)
             m += np.float32(0.1) * g[k]
             v *= np.float32(0.99)
-            v += np.float32(0.01) * g[k] ** 2
-            x -= np.float32(self.rate) * (m / near) / (np.sqrt(v / far) + np.float32(1e-8))
+            square = np.square(g[k])
+            square *= np.float32(0.01)
+            v += square
+            size = np.divide(v, far, out=square)
+            np.sqrt(size, out=size)
+            size += np.float32(1e-8)
+            move = m / near
+            move *= np.float32(self.rate)
+            move /= size
+            x -= move
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -334,7 +390,7 @@ def encoded(docs: DataFrame, path: str, top: tuple[np.ndarray, np.ndarray], ends
             for c in chunks(b.column(2)):
                 starts, stops, begins = c.words()
                 h = c.span_hash(starts, stops)
-                seq, at = subwords.sequences(c, starts, begins)
+                seq, at = subwords.sequences(c, starts, begins, stops, h)
                 seq, whole = seq.astype(kind), c.span_hash(c.offsets[:-1], c.offsets[1:])
                 rounds = [int(np.bitwise_or.reduce(1 << dealt(whole[d], j - i, 1, PIECE)[0])) for d, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True))]
                 n = np.diff(begins)

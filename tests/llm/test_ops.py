@@ -400,6 +400,30 @@ def test_lm_ids_are_those_of_the_text():
             assert seq[i + 1 : j - 1].tolist() == subwords.code.encode_ordinary(normal)
 
 
+def test_lm_encodes_each_word_once(monkeypatch):
+    """The ids of every text are those of the whole text, though a word that occurs often is encoded once; words that
+    end in white space beyond ASCII, where ids may reach over a space, leave their documents as they are."""
+    import pyarrow as pa
+
+    from grovetally.llm import lm
+    from grovetally.llm._text import chunks
+
+    given = []
+    subwords = lm.Subwords(lm.VOCABULARY)
+    plain = subwords.encode
+    monkeypatch.setattr(subwords, "encode", lambda text: given.append(text) or plain(text))
+    odd = ["x\u00a0 \u00a0y \u3000 z\u2003", "it's  \u0085 's", "\u200b a\u200b b", "\u3000"]
+    texts = [prose(3, 400), "", *odd, " ".join(["One two's 33 --"] * 500), prose(3, 400), *odd]
+    (c,) = chunks(pa.array(texts))
+    starts, _, begins = c.words()
+    seq, at = subwords.sequences(c, starts, begins)
+    normal = ["".join(" " + w for w in brute.words(t.translate(brute.LOWER))) for t in texts]
+    for t, i, j in zip(normal, at[:-1], at[1:], strict=True):
+        assert seq[i] == seq[j - 1] == subwords.end and seq[i + 1 : j - 1].tolist() == subwords.code.encode_ordinary(t)
+    once = {w for t in (texts[0], texts[6], odd[2]) for w in brute.words(t.translate(brute.LOWER))}
+    assert sum(map(len, given)) <= sum(len(w.encode()) + 1 for w in once) + 2 * sum(len(t.encode()) for t in normal[2:6])
+
+
 def test_lm_pieces_hold_every_id_of_training_once(spark, monkeypatch):
     """Whatever the piece's length, each id of a training document is scored once, in one of the rounds."""
     from collections import Counter
