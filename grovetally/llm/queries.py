@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lm, mixing, perplexity, pii, rules, toxicity, warc
+from . import chat, decontam, exact, importance, jaccard, lm, mixing, perplexity, pii, rules, toxicity, trie, warc
+from ._spark import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Conversations that begin with turns of another one: c with the first h of c - c % 5, h being crc32(c) % 9; see op13's contract.
+
+    A conversation gives at most its first eight turns to at most nine others, so no key is hot."""
+    own = written(trie.labelled(turns), "labelled")
+    family = F.col("conv_id") - F.col("conv_id") % 5
+    heads = own.where(F.col("conv_id") % 5 == 0).select(F.col("conv_id").alias("family"), F.slice("turns", 1, 8).alias("head"))
+    both = own.withColumn("family", family).join(heads, "family", "left")
+    h = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    head = F.coalesce(F.slice("head", F.lit(1), h), F.slice("turns", 1, 0))
+    return both.select("conv_id", F.concat(head, F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))).alias("turns"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefixes(rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sizes and targets of op1, which SQL can express."""
     return op1_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
@@ -91,10 +117,21 @@ def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_rules(spark, sf_dir).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op4_lm, op5_quality, op6_pii, op7_toxicity, op8_rules, op9_warc, op10_decontaminate, mix_targets, jaccard_links, pii_counts, rules_base)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op4_lm, op5_quality, op6_pii, op7_toxicity, op8_rules, op9_warc, op10_decontaminate, op11_exact, op12_resample, op13_trie, mix_targets, jaccard_links, pii_counts, rules_base)}
 
 _LENGTH = "length({x}) + length({x}) - length(replace(replace({x}, chr(92), ''), '<', ''))"
 
+#: CRC-32 of a text in SQL, given a list t of 256 numbers.
+_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(encode({x}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({x})), 2 * i - 1, 2))::BIGINT)),
+lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _runs(table: str, key: str) -> str:
+    words = f"SELECT {key} AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"
+    return " UNION ALL ".join(f"SELECT k, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS f FROM ({words}) WHERE len(w) >= {n}" for n in (1, 2, 3))
+
+
 #: DuckDB SQL for the rows of a query, where SQL can express them.
 SQL: dict[str, str] = {
     "op2_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -113,6 +150,28 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS
     "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
 SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM p""",
+    "op11_exact": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op12_resample": f"""WITH c AS ({_TABLE}), x AS ({_runs('documents', 'doc_id')}), y AS ({_runs('benchmark', 'item_id')}),
+b AS MATERIALIZED (SELECT f, ({_CRC.format(x='f')} % 10000)::INT AS b FROM (SELECT f FROM x UNION SELECT f FROM y), c),
+s AS (SELECT b, count(*) AS s FROM x JOIN b USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM y JOIN b USING (f) GROUP BY b),
+g AS (SELECT r.range::INT AS b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+FROM range(10000) r LEFT JOIN s ON s.b = r.range LEFT JOIN t ON t.b = r.range),
+w AS (SELECT k, count(*) AS n, sum(gain) AS weight, count(*) FILTER (strpos(f, ' ') = 0) AS words FROM x JOIN b USING (f) JOIN g USING (b) GROUP BY k),
+d AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(words, 0) AS words, coalesce(weight, 0)::BIGINT
++ floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN w ON k = doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM d WHERE words >= 20)
+SELECT d.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM r) THEN rank END::BIGINT AS rank FROM d LEFT JOIN r USING (doc_id)""",
+    "op13_trie": f"""WITH p AS ({_TABLE}), l AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, label, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, label) AS i FROM l), h AS (SELECT c, {_CRC.format(x='c::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT c FROM l), p),
+u AS (SELECT h.c, 0 AS part, i, label, size FROM h JOIN i ON i.c = h.c - h.c % 5 AND i <= h UNION ALL SELECT h.c, 1, i, label, size FROM h JOIN i ON i.c = h.c AND i > h),
+o AS (SELECT c, size, row_number() OVER w AS d, sha256(string_agg(label, '') OVER w) AS k FROM u WINDOW w AS (PARTITION BY c ORDER BY part, i ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT c, 0 AS size, 0 AS d, '' AS k FROM h UNION ALL SELECT c, size, d, k FROM o), m AS (SELECT c, max(d) AS last FROM v GROUP BY c),
+a AS (SELECT c, d, k, size, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, d = last AS ends FROM v JOIN m USING (c)),
+n AS (SELECT k, d, min(c) AS conv_id, count(*)::BIGINT AS n_convs, any_value(size) AS size, any_value(up) AS up, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends FROM a GROUP BY k, d),
+q AS (SELECT up, count(*)::BIGINT AS n FROM n WHERE up IS NOT NULL GROUP BY up), e AS (SELECT n.*, coalesce(q.n, 0)::BIGINT AS n_children FROM n LEFT JOIN q ON q.up = n.k),
+s AS (SELECT a.k, a.d, count(*) FILTER (e.n_children = 0)::BIGINT AS n_leaves, sum((e.n_convs - 1) * e.size)::BIGINT AS saved FROM a JOIN e ON e.conv_id = a.c AND e.d >= a.d GROUP BY a.k, a.d)
+SELECT e.conv_id, e.d::BIGINT AS depth, f.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.n_leaves, s.saved AS saved_tokens, e.ends AS ends_sha256 FROM e JOIN s USING (k, d) LEFT JOIN n f ON f.k = e.up AND f.d = e.d - 1""",
     "mix_targets": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
