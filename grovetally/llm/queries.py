@@ -121,9 +121,9 @@ QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_chat, op4_lm, op5_q
 
 _LENGTH = "length({x}) + length({x}) - length(replace(replace({x}, chr(92), ''), '<', ''))"
 
-#: CRC-32 of a text in SQL, given a list t of 256 numbers.
+#: CRC-32 in SQL of a text whose bytes are x in hex, given a list t of 256 numbers.
 _TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
-_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(encode({x}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({x})), 2 * i - 1, 2))::BIGINT)),
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)),
 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
 
 
@@ -153,7 +153,7 @@ CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM p""",
     "op11_exact": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
     "op12_resample": f"""WITH c AS ({_TABLE}), x AS ({_runs('documents', 'doc_id')}), y AS ({_runs('benchmark', 'item_id')}),
-b AS MATERIALIZED (SELECT f, ({_CRC.format(x='f')} % 10000)::INT AS b FROM (SELECT f FROM x UNION SELECT f FROM y), c),
+z AS MATERIALIZED (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM x UNION SELECT f FROM y)), b AS MATERIALIZED (SELECT f, ({_CRC} % 10000)::INT AS b FROM z, c),
 s AS (SELECT b, count(*) AS s FROM x JOIN b USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM y JOIN b USING (f) GROUP BY b),
 g AS (SELECT r.range::INT AS b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
 FROM range(10000) r LEFT JOIN s ON s.b = r.range LEFT JOIN t ON t.b = r.range),
@@ -163,7 +163,7 @@ d AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM d WHERE words >= 20)
 SELECT d.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM r) THEN rank END::BIGINT AS rank FROM d LEFT JOIN r USING (doc_id)""",
     "op13_trie": f"""WITH p AS ({_TABLE}), l AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
-i AS (SELECT c, label, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, label) AS i FROM l), h AS (SELECT c, {_CRC.format(x='c::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT c FROM l), p),
+i AS (SELECT c, label, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, label) AS i FROM l), h AS (SELECT c, {_CRC} % 9 AS h FROM (SELECT DISTINCT c, hex(encode(c::VARCHAR)) AS x FROM l), p),
 u AS (SELECT h.c, 0 AS part, i, label, size FROM h JOIN i ON i.c = h.c - h.c % 5 AND i <= h UNION ALL SELECT h.c, 1, i, label, size FROM h JOIN i ON i.c = h.c AND i > h),
 o AS (SELECT c, size, row_number() OVER w AS d, sha256(string_agg(label, '') OVER w) AS k FROM u WINDOW w AS (PARTITION BY c ORDER BY part, i ROWS UNBOUNDED PRECEDING)),
 v AS (SELECT c, 0 AS size, 0 AS d, '' AS k FROM h UNION ALL SELECT c, size, d, k FROM o), m AS (SELECT c, max(d) AS last FROM v GROUP BY c),
