@@ -1,6 +1,7 @@
 """From specifications to DataFrame plans and back to results."""
 
 from .assemble import aggregate, assemble
-from .lower import Plan, lower, tidy
+from .lower import Plan, lower, states, tidy
+from .tally import Tally, load, merge, tally
 
-__all__ = ["Plan", "lower", "tidy", "aggregate", "assemble"]
+__all__ = ["Plan", "lower", "tidy", "states", "aggregate", "assemble", "Tally", "load", "merge", "tally"]

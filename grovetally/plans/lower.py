@@ -10,8 +10,9 @@ grouping keys, never columns of their own. The requests of a tree are fused:
 * A tree with several chains explodes each row into one record for each chain, so the
   input is read once; all chains then share one ``groupBy``. The records are folded
   before the shuffle, which moves bins, not rows.
-* Cumulative containers are aggregated as bins and combined in the small result, where a bin gives a row
-  to each threshold at or below it: as many rows as bins times thresholds, whatever the input.
+* Cumulative containers are aggregated as bins and added up from the last to the first in the small result.
+* Bins between many edges are found by a directory of equal slots over the sorted edges and a binary search of the
+  edges in one slot, in a few projections: the time for a row hardly depends on the number of edges.
 * Weighted variances come from covariances, which Spark sums about running means: with C for
   a covariance over n rows, sum w (x - m)^2 = n (C(w x, x) - m C(w, x)), where m is the weighted mean.
   So one pass suffices, and no more is lost than the rounding of x itself loses.
@@ -22,10 +23,12 @@ No Python runs on the executors.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
-from math import isinf, isnan, prod
+from itertools import accumulate
+from math import floor, inf, isinf, isnan, prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,8 @@ from ..operators import spec as S
 
 UNDER, OVER, NAN = -1, -2, -3
 _LOWEST = -(2**63) + 1
+#: Up to so many cuts a bin is found by comparing with one after the other.
+FEW_CUTS = 32
 #: Empty bins that one task makes.
 _EMPTY = 1 << 18
 
@@ -67,11 +72,18 @@ class Request:
 
 @dataclass
 class Plan:
-    """Requests and the projection of quantities they refer to."""
+    """Requests and the projection of quantities they refer to; ``steps`` are projections that follow, each (name, SQL)."""
 
     base: list[Column]
     requests: list[Request]
     chains: list[tuple[Axis, ...]]
+    steps: list[list[tuple[str, str]]]
+
+    def project(self, df: DataFrame) -> DataFrame:
+        out = df.select(*self.base) if self.base else df.selectExpr("0 AS q")
+        for step in self.steps:
+            out = out.selectExpr("*", *[f"{x} AS {n}" for n, x in step])
+        return out
 
 
 def _number(x: float) -> str:
@@ -101,6 +113,8 @@ class _Lowering:
         self.df, self.nulls = df, nulls
         self.base: dict[str, Column] = {}
         self.known: dict = {}
+        #: Projections, one after the other, that find a bin, by quantity and cuts.
+        self.searches: dict[tuple, list[tuple[str, str]]] = {}
         self.requests: list[Request] = []
         asked = [q for q in _selections(spec) if not self.passes_all(q)]
         types = df.select(*[q.column.alias(f"s{i}") for i, q in enumerate(asked)]).schema if asked else []
@@ -200,17 +214,40 @@ class _Lowering:
             place = f"greatest(floor(({q} - {_number(n.origin)}) / {_number(n.bin_width)}), {_LOWEST}L)"
             return Axis(f"sparse:{n.bin_width}:{n.origin}:{q}", "long", f"CASE WHEN NOT isnan({q}) THEN {place} END"), {"nanflow": NAN}
         if isinstance(n, S.CentrallyBin):
-            for i, (a, b) in enumerate(zip(n.centers, n.centers[1:])):
-                key += f" WHEN {q} < {_number((a + b) / 2)} THEN {i}L"
-            return Axis(f"central:{n.centers}:{q}", "long", f"{key} ELSE {len(n.centers) - 1}L END", len(n.centers)), {"nanflow": NAN}
-        if len(n.edges) <= 64:
-            for i in range(len(n.edges) - 1, 0, -1):
-                key += f" WHEN {q} >= {_number(n.edges[i])} THEN {i}L"
-            key += " ELSE 0L END"
-        else:
-            key += f" ELSE bigint(size(filter(array({', '.join(map(_number, n.edges))}), e -> {q} >= e))) - 1L END"
+            # the first midpoint above x is where the largest midpoint so far gets above it, in whatever order the centres are
+            cuts = list(accumulate(((a + b) / 2 for a, b in zip(n.centers, n.centers[1:])), max))
+            return Axis(f"central:{n.centers}:{q}", "long", f"{key} ELSE {self.rank(q, cuts)} END", len(n.centers)), {"nanflow": NAN}
+        key += f" ELSE {self.rank(q, n.edges[1:])} END"
         return Axis(f"{n.kind}:{n.edges}:{q}", "long", key, len(n.edges), isinstance(n, S.Stack)), {"nanflow": NAN}
 
+    def rank(self, q: str, cuts) -> str:
+        """SQL for the number of cuts, which do not fall, that are at or below ``q``."""
+        if len(cuts) <= FEW_CUTS:
+            return "CASE" + "".join(f" WHEN {q} >= {_number(cuts[i - 1])} THEN {i}L" for i in range(len(cuts), 0, -1)) + " ELSE 0L END" if cuts else "0L"
+        key = (q, tuple(cuts))
+        if key not in self.searches:
+            name = f"s{len(self.searches)}"
+            finite = [c for c in cuts if not isinf(c)] or [0.0]
+            low, slots = finite[0], 2 * len(cuts) if finite[0] < finite[-1] else 1
+            scale = slots / (finite[-1] - low) if slots > 1 else 0.0
+            slots, scale = (1, 0.0) if isinf(scale) or scale == 0 else (slots, scale)
+            place = lambda c: slots - 1 if c == inf else 0 if c == -inf else min(max(floor((c - low) * scale), 0), slots - 1)
+            places = [place(c) for c in cuts]
+            starts = [bisect_left(places, i) for i in range(slots + 1)]
+            at = f"int(greatest(least(floor(({q} - {_number(low)}) * {_number(scale)}), {slots - 1}L), 0L))" if slots > 1 else "0"
+            directory, edges = f"CAST(split('{','.join(map(str, starts))}', ',') AS array<int>)", f"CAST(split('{','.join(map(_spelled, cuts))}', ',') AS array<double>)"
+            steps = [(f"{name}_at", at), (f"{name}_end", f"get({directory}, {name}_at + 1)"), (f"{name}_0", f"get({directory}, {name}_at)")]
+            now = f"{name}_0"
+            for i in reversed(range(max(b - a for a, b in zip(starts, starts[1:])).bit_length())):
+                steps.append((f"{name}_{len(steps)}", f"if({now} + {1 << i} <= {name}_end AND {q} >= get({edges}, {now} + {(1 << i) - 1}), {now} + {1 << i}, {now})"))
+                now = steps[-1][0]
+            self.searches[key] = steps
+        return f"bigint({self.searches[key][-1][0]})"
+
+
+def _spelled(x: float) -> str:
+    return f"{'-' * (x < 0)}Infinity" if isinf(x) else repr(x)
+
 
 def lower(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> Plan:
     """The plan of a tree over the columns of ``df``. ``nulls``: "nan" takes a null quantity as
@@ -222,7 +259,41 @@ def lower(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> Plan:
     every = {r.chain for r in low.requests}
     longest = [c for c in every if not any(d[: len(c)] == c and len(d) > len(c) for d in every)]
     longest.sort(key=lambda c: [a.id for a in c])
-    return Plan([c.alias(n) for n, c in low.base.items()], low.requests, longest)
+    steps = [[x for steps in low.searches.values() for x in steps[i : i + 1]] for i in range(max(map(len, low.searches.values()), default=0))]
+    return Plan([c.alias(n) for n, c in low.base.items()], low.requests, longest, steps)
+
+
+def measured_by_row(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> DataFrame:
+    """What each row of ``df`` adds to each node it reaches, for one aggregation by node: path, kind, keys, entries, sum, min, max and, of
+    a Deviate, wx, w, x. For streams, where only one aggregation can follow; :func:`states` shuffles less and needs fewer rows."""
+    plan = lower(df, spec, nulls)
+    base = plan.project(df)
+    axes = {a: f"a{i}" for i, a in enumerate(dict.fromkeys(a for r in plan.requests for a, _ in r.tests))}
+    more = [f"CAST({a.key} AS {_SLOTS[a.slot]}) AS {n}" for a, n in axes.items()]
+    changed = [r.transform(F.expr(r.weight or "1D")).cast("double").alias(f"t{i}") for i, r in enumerate(plan.requests) if _kind(r) == "Transformed"]
+    base = base.select("*", *map(F.expr, more), *changed)
+    each = []
+    for i, r in enumerate(plan.requests):
+        w, x, kind = r.weight or "1D", r.value, _kind(r)
+        product = x if r.weight is None else f"{w} * {x}"
+        got = {"entries": w, "sum": {"Transformed": f"t{i}", "Sum": product, "Average": product}.get(kind)}
+        got |= {c: f"nullif({x}, double('NaN'))" if kind == k else None for c, k in (("min", "Minimize"), ("max", "Maximize"))}
+        got |= dict(zip(("wx", "w", "x"), (product, w, x), strict=True)) if kind == "Deviate" else {}
+        fields = ", ".join(f"CAST({got.get(c) or 'NULL'} AS double) AS {c}" for c in ("entries", "sum", "min", "max", "wx", "w", "x"))
+        keys = f"array({', '.join(_text(axes[a], a.slot) for a in r.axes)})" if r.axes else "CAST(array() AS array<string>)"
+        ok = " AND ".join(filter(None, [r.guard, *_tests(r, axes)]))
+        row = f"struct({_string(r.path)} AS path, {_string(kind)} AS kind, {keys} AS keys, {fields})"
+        each.append(f"CASE WHEN {ok} THEN {row} END" if ok else row)
+    return base.selectExpr(f"explode(array({', '.join(each)})) AS r").where("r IS NOT NULL").selectExpr("r.*")
+
+
+def states_by_row(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`measured_by_row` as :func:`states`, by one aggregation."""
+    sums = ["sum(entries) AS entries", "sum(sum) AS sum", "min(min) AS min", "max(max) AS max", "sum(wx) AS first", "double(count(wx)) AS rows", "covar_pop(wx, x) AS both", "covar_pop(w, x) AS mixed", "min(x) AS bottom", "max(x) AS top"]
+    rows = rows.groupBy("path", "kind", "keys").agg(*map(F.expr, sums))
+    mean = "CASE WHEN top = bottom THEN top ELSE first / nullif(entries, 0D) END AS mean"
+    m2 = "CASE WHEN top = bottom THEN 0D ELSE greatest(rows * (both - first / nullif(entries, 0D) * mixed), 0D) END AS m2"
+    return rows.selectExpr("path", "kind", "keys", "entries", "sum", mean, m2, "min", "max")
 
 
 _SLOTS = {"long": "bigint", "double": "double", "string": "string", "vector": "array<double>"}
@@ -250,15 +321,10 @@ def _when(guard: str | None, x: str) -> str:
     return x if guard is None else f"CASE WHEN {guard} THEN {x} END"
 
 
-def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True) -> DataFrame:
-    """The filled tree as rows (path, keys, entries, sum, mean, variance, min, max).
-
-    ``path`` leads from the root to a node, as "data/values"; ``keys`` are the bins on the way, as
-    strings. Columns that a node does not have are null. With ``dense``, bins known beforehand
-    are there even if empty, where no sparse binning stands above them.
-    """
+def _measured(df: DataFrame, spec: S.Spec, nulls: str) -> tuple[DataFrame, list[Request], set[str]]:
+    """What the rows of ``df`` add to each node, in parts that :func:`folded` adds up; the requests; the measures that these parts have."""
     plan = lower(df, spec, nulls)
-    base = df.select(*plan.base) if plan.base else df.selectExpr("0 AS q")
+    base = plan.project(df)
     groups = [_Group(i, c) for i, c in enumerate(plan.chains)]
     changed = [(i, r) for i, r in enumerate(plan.requests) if r.kind == "Count" and r.transform is not None]
     if changed:
@@ -284,20 +350,58 @@ def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True) ->
         wanted.append((r, g, use))
 
     small = _grouped(base, groups)
-    own = {c for r, _, _ in wanted for c in _MEASURES.get("Transformed" if r.transform is not None else r.kind, ())}
-    plain = [_contribution(r, g, use, len(groups) > 1, own) for r, g, use in wanted]
-    single = [c for c, several in plain if not several]
-    several = [c for c, more in plain if more]
-    rows = f"array({', '.join(single)})" if single else ""
-    rows = f"concat({', '.join([rows] * bool(rows) + several)})" if several else rows
-    rows = small.selectExpr(f"explode({rows}) AS r").selectExpr("r.*").where("entries > 0")
-    for empty in _empty_rows(df, wanted, dense, ["0D AS entries", *[f"double(NULL) AS {c}" for c in sorted(own)]]):
-        rows = rows.union(empty)
-    sums = ["sum(entries) AS entries"] + [f"sum({c}) AS {c}" for c in ("sum", "vn", "v2") if c in own] + [f"{c}({c}) AS {c}" for c in ("min", "max") if c in own]
-    if "vn" in own:  # the moments of parts are merged in the same way as weighted rows
+    own = {c for r, _, _ in wanted for c in _MEASURES.get(_kind(r), ())}
+    rows = ", ".join(_contribution(r, g, use, len(groups) > 1, own) for r, g, use in wanted)
+    rows = small.selectExpr(f"explode(array({rows})) AS r").selectExpr("r.*").where("entries > 0")
+    return rows, plan.requests, own
+
+
+def _sums(own: set[str], over: str = "") -> tuple[list[str], list[str]]:
+    """Aggregates of parts, and what follows from them: entries, and of sum, mean, m2, min and max those in ``own``."""
+    named = {"entries": "sum(entries)"} | {c: f"sum({c})" for c in ("sum", "v2") if c in own} | {c: f"{c}({c})" for c in ("min", "max") if c in own}
+    out = ["entries"] + [c for c in ("sum", "min", "max") if c in own]
+    if "vn" in own:
         n, m = "CASE WHEN vn > 0D THEN vn END", "CASE WHEN vn > 0D THEN vm END"
-        sums += [f"sum({n} * {m}) AS first", f"double(count({n})) AS rows", f"covar_pop({n} * {m}, {m}) AS both", f"covar_pop({n}, {m}) AS mixed", f"max({m}) AS top", f"min({m}) AS bottom"]
-    rows = rows.groupBy("path", "kind", "keys").agg(*map(F.expr, sums))
+        named |= {"vn": f"sum({n})", "first": f"sum({n} * {m})", "rows": f"count({n})", "both": f"covar_pop({n} * {m}, {m})", "mixed": f"covar_pop({n}, {m})", "top": f"max({m})", "bottom": f"min({m})"}
+        gaps = "CASE WHEN top = bottom THEN 0D ELSE greatest(double(rows) * (both - first / vn * mixed), 0D) END"
+        out += ["CASE WHEN top = bottom THEN top ELSE first / nullif(vn, 0D) END AS mean", f"v2 + {gaps} AS m2"]
+    return [f"{x}{over} AS {c}" for c, x in named.items()], out
+
+
+def folded(rows: DataFrame, own: set[str]) -> DataFrame:
+    """Parts of nodes added up, to a row for each node: path, kind, keys, entries, and of sum, mean, m2, min and max those in ``own``.
+
+    A part has ``vn``, ``vm`` and ``v2`` for weight, mean and sum of squared distances from the mean; parts are merged as weighted rows are."""
+    sums, out = _sums(own)
+    return rows.groupBy("path", "kind", "keys").agg(*map(F.expr, sums)).selectExpr("path", "kind", "keys", *out)
+
+
+def parts(rows: DataFrame) -> DataFrame:
+    """Rows that :func:`folded` gives, as parts again."""
+    have = set(rows.columns)
+    moments = ["CASE WHEN kind = 'Deviate' THEN entries END AS vn", "mean AS vm", "m2 AS v2"] if "m2" in have else []
+    return rows.selectExpr("path", "kind", "keys", "entries", *[c for c in ("sum", "min", "max") if c in have], *moments)
+
+
+def stacked(rows: DataFrame, own: set[str], thresholds: list[tuple[str, int]]) -> DataFrame:
+    """Folded rows in which bins of a Stack stand for all from their threshold up; ``thresholds`` are paths, and places in their keys.
+
+    A running sum from the last bin down gives what each filled bin and those after it hold; that is the result of all thresholds
+    after the filled bin before. So the work grows with the rows of the result, not with pairs of bins and thresholds.
+    """
+    sums, out = _sums(own, " OVER (PARTITION BY path, kind, others ORDER BY slot DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    for place in sorted({i for _, i in thresholds}):
+        here = f"path IN ({', '.join(sorted({_string(p) for p, i in thresholds if i == place}))})"
+        some = parts(rows.where(here)).selectExpr("*", f"bigint(keys[{place}]) AS slot", f"concat(slice(keys, 1, {place}), slice(keys, {place + 2}, 1000000)) AS others")
+        some = some.selectExpr("path", "kind", "others", "slot", "lead(slot, 1, -1L) OVER (PARTITION BY path, kind, others ORDER BY slot DESC) AS before", *sums)
+        some = some.selectExpr("*", "explode(sequence(before + 1L, slot)) AS i")
+        keys = f"concat(slice(others, 1, {place}), array(string(i)), slice(others, {place + 1}, 1000000)) AS keys"
+        rows = rows.where(f"NOT {here}").unionByName(some.selectExpr("path", "kind", keys, *out))
+    return rows
+
+
+def finished(rows: DataFrame, own: set[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Tidy rows of those that :func:`folded` gives, with further columns of theirs."""
     nan = "double('NaN')"
     out = {c: "double(NULL)" for c in ("sum", "mean", "variance", "min", "max")}
     entries = "entries"
@@ -306,15 +410,40 @@ def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True) ->
         out["sum"] = "CASE WHEN kind = 'Sum' THEN coalesce(sum, 0D) END"
         out["mean"] = f"CASE WHEN kind = 'Average' THEN coalesce(sum / nullif(entries, 0D), {nan}) END"
     if "vn" in own:
-        mean = f"CASE WHEN top = bottom THEN top ELSE coalesce(first / nullif(vn, 0D), {nan}) END"
-        gaps = "CASE WHEN top = bottom THEN 0D ELSE greatest(rows * (both - first / vn * mixed), 0D) END"
-        variance = f"coalesce((v2 + {gaps}) / nullif(vn, 0D), {nan})"
-        out["mean"] = f"CASE WHEN kind = 'Deviate' THEN {mean} ELSE {out['mean']} END"
-        out["variance"] = f"CASE WHEN kind = 'Deviate' THEN {variance} END"
+        out["mean"] = f"CASE WHEN kind = 'Deviate' THEN coalesce(mean, {nan}) ELSE {out['mean']} END"
+        out["variance"] = f"CASE WHEN kind = 'Deviate' THEN coalesce(m2 / nullif(entries, 0D), {nan}) END"
     for c, kind in (("min", "Minimize"), ("max", "Maximize")):
         if c in own:
             out[c] = f"CASE WHEN kind = '{kind}' THEN coalesce({c}, {nan}) END"
-    return rows.selectExpr("path", "keys", f"{entries} AS entries", *[f"{x} AS {c}" for c, x in out.items()])
+    return rows.selectExpr(*more, "path", "keys", f"{entries} AS entries", *[f"{x} AS {c}" for c, x in out.items()])
+
+
+def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True) -> DataFrame:
+    """The filled tree as rows (path, keys, entries, sum, mean, variance, min, max).
+
+    ``path`` leads from the root to a node, as "data/values"; ``keys`` are the bins on the way, as
+    strings. Columns that a node does not have are null. With ``dense``, bins known beforehand
+    are there even if empty, where no sparse binning stands above them.
+    """
+    rows, requests, own = _measured(df, spec, nulls)
+    nothing = ["0D AS entries", *[f"double(NULL) AS {c}" for c in sorted(own)]]
+    for empty in empty_rows(df.sparkSession, [(r.path, _kind(r), tuple(a.size for a in r.axes)) for r in requests], dense, nothing):
+        rows = rows.union(empty)
+    thresholds = [(r.path, j) for r in requests for j, a in enumerate(r.axes) if a.cumulative]
+    return finished(stacked(folded(rows, own), own, thresholds), own)
+
+
+#: Every measure of a part.
+MEASURES = frozenset({"sum", "vn", "vm", "v2", "min", "max"})
+
+
+def states(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> DataFrame:
+    """The filled tree as rows that can be merged: path, kind, keys, entries, sum, mean, m2, min, max, where m2 is the weighted sum of squared
+    distances from the mean. There are rows for nodes that something reached; those below a Stack are of its bins, not yet of all from a threshold up. See :class:`~grovetally.plans.tally.Tally`."""
+    rows, _, own = _measured(df, spec, nulls)
+    rows = folded(rows, own)
+    have = set(rows.columns)
+    return rows.selectExpr("path", "kind", "keys", "entries", *[c if c in have else f"double(NULL) AS {c}" for c in ("sum", "mean", "m2", "min", "max")])
 
 
 #: What a row of a kind adds to besides its entries.
@@ -358,17 +487,22 @@ def _grouped(base: DataFrame, groups: list[_Group]) -> DataFrame:
     return (records.groupBy(*keys) if keys else records.groupBy()).agg(*map(F.expr, aggs))
 
 
-def _contribution(r: Request, g: _Group, use: dict[str, str], many: bool, own: set[str]) -> tuple[str, bool]:
-    """The result row that a row of the small table adds to, of 0 entries if there is none; or an array of rows, one
-    for each threshold below it."""
-    slot = {a: n for n, a in g.keys}
-    ok = [f"chain = {g.number}"] * many
+def _tests(r: Request, column: dict[Axis, str]) -> list[str]:
+    """The conditions on bins under which a row counts for a request."""
+    ok = []
     for axis, code in r.tests:
-        k = slot[axis]
+        k = column[axis]
         if axis.id.startswith("sparse:"):
             ok.append(f"{k} IS NULL" if code == NAN else f"{k} IS NOT NULL")
         elif axis.slot == "long":
             ok.append(f"{k} = {code}L" if code is not None else f"{k} >= 0L")
+    return ok
+
+
+def _contribution(r: Request, g: _Group, use: dict[str, str], many: bool, own: set[str]) -> str:
+    """The result row that a row of the small table adds to, of 0 entries if there is none. Below a threshold it is that of its bin alone."""
+    slot = {a: n for n, a in g.keys}
+    ok = [f"chain = {g.number}"] * many + _tests(r, slot)
     got = {c: "double(NULL)" for c in own}
     for c in ("sum", "min", "max"):
         if c in use:
@@ -381,34 +515,22 @@ def _contribution(r: Request, g: _Group, use: dict[str, str], many: bool, own: s
         got |= {"vn": n, "vm": mean, "v2": f"greatest({use['rows']} * ({use['both']} - {mean} * {use['mixed']}), 0D)"}
     entries = f"coalesce({use['entries']}, 0D)"
     entries = f"CASE WHEN {' AND '.join(ok)} THEN {entries} ELSE 0D END" if ok else entries
-
-    def row(keys: str) -> str:
-        more = "".join(f", {got[c]} AS {c}" for c in sorted(own))
-        return f"struct({_string(r.path)} AS path, {_string(_kind(r))} AS kind, {keys} AS keys, {entries} AS entries{more})"
-
     keys = f"array({', '.join(_text(slot[a], a.slot) for a in r.axes)})" if r.axes else "CAST(array() AS array<string>)"
-    if not any(a.cumulative for a in r.axes):
-        return row(keys), False
-    rows = f"array({keys})"
-    for j, a in enumerate(r.axes):
-        if a.cumulative:
-            put = f"concat(slice(k, 1, {j}), array(string(i)), slice(k, {j + 2}, 1000))"
-            rows = f"flatten(transform({rows}, k -> transform(sequence(0L, greatest({slot[a]}, 0L)), i -> {put})))"
-    return f"transform({rows}, keys -> {row('keys')})", True
+    more = "".join(f", {got[c]} AS {c}" for c in sorted(own))
+    return f"struct({_string(r.path)} AS path, {_string(_kind(r))} AS kind, {keys} AS keys, {entries} AS entries{more})"
 
 
 def _text(k: str, slot: str) -> str:
     return f"to_json({k})" if slot == "vector" else f"string({k})"
 
 
-def _empty_rows(df: DataFrame, wanted: list, dense: bool, zero: list[str]):
-    """Rows of 0 entries for what is there even without data; bins of a large grid are made by several tasks."""
+def empty_rows(spark: SparkSession, nodes: list[tuple[str, str, tuple]], dense: bool, zero: list[str]):
+    """Rows of 0 entries for what is there even without data; ``nodes`` are (path, kind, numbers of bins above). Bins of a large grid are made by several tasks."""
     by: dict[tuple, list[str]] = {}
-    for r, _, _ in wanted:
-        sizes = tuple(a.size for a in r.axes)
+    for path, kind, sizes in nodes:
         if not sizes or (dense and None not in sizes):
-            by.setdefault(sizes, []).append(f"struct({_string(r.path)}, {_string(_kind(r))})")
+            by.setdefault(sizes, []).append(f"struct({_string(path)}, {_string(kind)})")
     for sizes, paths in by.items():
         keys = ", ".join(f"string(id div {prod(sizes[j + 1 :])}L % {n}L)" for j, n in enumerate(sizes))
-        rows = df.sparkSession.range(0, prod(sizes), 1, -(-prod(sizes) // _EMPTY)).selectExpr("id", f"inline(array({', '.join(paths)})) AS (path, kind)")
+        rows = spark.range(0, prod(sizes), 1, -(-prod(sizes) // _EMPTY)).selectExpr("id", f"inline(array({', '.join(paths)})) AS (path, kind)")
         yield rows.selectExpr("path", "kind", f"CAST(array({keys}) AS array<string>) AS keys", *zero)

@@ -712,3 +712,123 @@ def stream_restart(spark, d):
     r = _stream(spark, d, Categorize("l_returnflag", Deviate("l_quantity")), starts=2)
     rows = [(k, v.entries, round(v.mean, 6), round(v.variance, 4)) for k, v in r.bins.items()]
     return spark.createDataFrame(rows, "flag string, entries double, mean double, variance double")
+
+
+# distributed results ---------------------------------------------------------------------------
+
+_GOODS = UntypedLabel(stack=Stack([10, 20, 40], "l_quantity", Deviate("l_extendedprice")), orders=Categorize("l_orderkey", Deviate("l_extendedprice")))
+_GOODS_SQL = """SELECT 'stack/bins' AS path, i::VARCHAR AS key, count(*)::DOUBLE AS entries, round(avg(l_extendedprice), 6) AS mean, round(var_pop(l_extendedprice) / 1e6, 4) AS variance
+FROM lineitem JOIN (VALUES (0, '-Infinity'::DOUBLE), (1, 10), (2, 20), (3, 40)) t(i, low) ON l_quantity >= low GROUP BY i
+UNION ALL SELECT 'orders/bins', l_orderkey::VARCHAR, count(*)::DOUBLE, round(avg(l_extendedprice), 6), round(var_pop(l_extendedprice) / 1e6, 4) FROM lineitem GROUP BY l_orderkey"""
+
+
+def _goods(rows: DataFrame) -> DataFrame:
+    """Means and variances (in millions) below the two binnings of ``_GOODS``."""
+    rows = rows.where("path IN ('stack/bins', 'orders/bins')")
+    return rows.select("path", F.col("keys")[0].alias("key"), "entries", F.round("mean", 6).alias("mean"), F.round(F.col("variance") / 1e6, 4).alias("variance"))
+
+
+@query(_GOODS_SQL)
+def tally_merge(spark, d):
+    """Eight parts of the table are filled apart and saved as days would be, read again and added."""
+    from .plans import tally
+    from .plans.tally import load
+    from .sources.shared import shared_path
+
+    path = shared_path(spark, "tally")
+    for i in range(8):
+        tally(lineitem(spark, d).where(f"pmod(l_suppkey, 8) = {i}"), _GOODS).append(path)
+    return _goods(load(spark, path).tidy())
+
+
+@query("""SELECT 'a' AS path, round(2 * sum(l_tax) FILTER (l_returnflag = 'A') + sum(l_tax) FILTER (l_returnflag = 'R'), 2) AS sum, 2.0::DOUBLE * count(*) FILTER (l_returnflag = 'A') + count(*) FILTER (l_returnflag = 'R') AS entries FROM lineitem
+UNION ALL SELECT 'b', NULL, 2.0::DOUBLE * count(*) FILTER (l_returnflag = 'A' AND l_quantity < 10) + count(*) FILTER (l_returnflag = 'R' AND l_quantity < 10) FROM lineitem""")
+def tally_algebra(spark, d):
+    """2 * a + b + 0 * c over rows, whatever the size of the trees."""
+    from .plans import tally
+
+    tree = UntypedLabel(a=Sum("l_tax"), b=Select("l_quantity < 10", Count()))
+    a, b, c = (tally(lineitem(spark, d).where(f"l_returnflag = '{flag}'"), tree) for flag in "ARN")
+    rows = (2 * a + b + 0 * c).tidy().where("path IN ('a', 'b/data')")
+    return rows.select(F.substring("path", 1, 1).alias("path"), F.round("sum", 2).alias("sum"), "entries")
+
+
+_CENTERS = tuple(20.0 * i + i % 7 for i in range(4000))
+
+
+@query("""WITH c AS (SELECT range AS i, 20.0::DOUBLE * range + range % 7 AS c FROM range(4000)), m AS (SELECT i, (lag(c) OVER (ORDER BY i) + c) / 2 AS low FROM c),
+s AS (SELECT i, coalesce(low, '-Infinity'::DOUBLE) AS low FROM m) SELECT s.i::BIGINT AS bin, count(*)::DOUBLE AS entries, round(avg(l_quantity), 6) AS mean FROM lineitem l ASOF JOIN s ON l.l_extendedprice >= s.low GROUP BY s.i""")
+def centrally_bin_4000(spark, d):
+    """Nearest of 4,000 centres."""
+    rows = tidy(lineitem(spark, d), CentrallyBin(_CENTERS, "l_extendedprice", Average("l_quantity")), dense=False)
+    return shown(rows, "bins", "entries, mean", "bin bigint")
+
+
+@query("""WITH e AS (SELECT range AS i, power(1.003, range) * 900 AS low FROM range(1600)), s AS (SELECT i + 1 AS i, low FROM e UNION ALL SELECT 0, '-Infinity'::DOUBLE)
+SELECT s.i::BIGINT AS bin, count(*)::DOUBLE AS entries FROM lineitem l ASOF JOIN s ON l.l_extendedprice >= s.low GROUP BY s.i""")
+def irregularly_bin_1600(spark, d):
+    """Bins between 1,600 edges that stand ever wider apart."""
+    return shown(tidy(lineitem(spark, d), IrregularlyBin([1.003**i * 900 for i in range(1600)], "l_extendedprice"), dense=False), "bins", "entries", "bin bigint")
+
+
+@query(f"""WITH f AS (SELECT least(greatest(floor(l_extendedprice / 100), -1), 999)::BIGINT + 1 AS slot, {bin_sql('l_quantity', 50, 0.5, 50.5)} AS bin, count(*) AS n, sum(l_tax) AS tax FROM lineitem GROUP BY 1, 2),
+g AS (SELECT s.range AS slot, b.range AS bin FROM range(1001) s CROSS JOIN range(50) b),
+r AS (SELECT g.slot, g.bin, sum(coalesce(n, 0)) OVER w AS n, sum(coalesce(tax, 0)) OVER w AS tax FROM g LEFT JOIN f USING (slot, bin) WINDOW w AS (PARTITION BY g.bin ORDER BY g.slot DESC ROWS UNBOUNDED PRECEDING))
+SELECT slot::BIGINT AS threshold, bin::BIGINT AS bin, n::DOUBLE AS entries, round(tax, 2) AS sum FROM r WHERE n > 0""")
+def stack_bin_1000(spark, d):
+    """1,000 thresholds over 50 bins."""
+    rows = tidy(lineitem(spark, d), Stack([100.0 * i for i in range(1000)], "l_extendedprice", Bin(50, 0.5, 50.5, "l_quantity", Sum("l_tax"))), dense=False)
+    return shown(rows, "bins/values", "entries, sum", "threshold bigint, bin bigint")
+
+
+_LOGGED_SQL = """SELECT e::BIGINT AS entry, path, key, entries, mean FROM (SELECT (l_suppkey % 3)::BIGINT AS e, 'bins' AS path, l_shipdate::DATE::VARCHAR AS key, count(*)::DOUBLE AS entries, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL
+UNION ALL SELECT (l_suppkey % 3)::BIGINT, '', NULL, count(*)::DOUBLE, NULL FROM lineitem GROUP BY ALL)"""
+
+
+def _logged(spark, d) -> str:
+    """A log of three results."""
+    from .plans import tally
+    from .sources.shared import shared_path
+
+    path = shared_path(spark, "log")
+    for i in range(3):
+        tally(lineitem(spark, d).where(f"l_suppkey % 3 = {i}"), Categorize("date(l_shipdate)", Average("l_quantity"))).log(path)
+    return path
+
+
+def _of_log(rows: DataFrame) -> DataFrame:
+    return rows.select("entry", "path", F.get("keys", F.lit(0)).alias("key"), "entries", F.round("mean", 6).alias("mean"))
+
+
+@query(_LOGGED_SQL)
+def log_source(spark, d):
+    """Three results appended to a log and read as a data source."""
+    return _of_log(spark.read.format("tally_log").load(_logged(spark, d)))
+
+
+@query(_LOGGED_SQL)
+def log_source_stream(spark, d):
+    """The same log read as a stream, by a watcher that writes what it sees."""
+    from .sources.shared import shared_path
+
+    seen, checkpoint = shared_path(spark, "seen"), shared_path(spark, "watcher")
+    rows = spark.readStream.format("tally_log").load(_logged(spark, d))
+    q = rows.writeStream.format("parquet").option("path", seen).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _of_log(spark.read.parquet(seen))
+
+
+@query(_GOODS_SQL)
+def stream_state(spark, d):
+    """A stream with its state on the executors, stopped and started again with new files in between."""
+    from .sources.shared import shared_path
+    from .streaming import Store, fill_store
+
+    files, store, checkpoint = (shared_path(spark, n) for n in ("files", "store", "state"))
+    rows = lineitem(spark, d)
+    for i in range(2):
+        rows.where(f"l_suppkey % 2 = {i}").write.mode("append").parquet(files)
+        q = fill_store(spark.readStream.schema(rows.schema).parquet(files), _GOODS, store, checkpoint)
+        q.processAllAvailable()
+        q.stop()
+    return _goods(Store(spark, store).tally().tidy())
