@@ -389,14 +389,17 @@ def stacked(rows: DataFrame, own: set[str], thresholds: list[tuple[str, int]]) -
     A running sum from the last bin down gives what each filled bin and those after it hold; that is the result of all thresholds
     after the filled bin before. So the work grows with the rows of the result, not with pairs of bins and thresholds.
     """
-    sums, out = _sums(own, " OVER (PARTITION BY path, kind, others ORDER BY slot DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    group = "PARTITION BY path, kind, others ORDER BY slot DESC"
+    sums, out = _sums(own, f" OVER ({group} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     for place in sorted({i for _, i in thresholds}):
+        # all rows take one way, so that the input is read once; a row that is under no threshold here is a group of its own
         here = f"path IN ({', '.join(sorted({_string(p) for p, i in thresholds if i == place}))})"
-        some = parts(rows.where(here)).selectExpr("*", f"bigint(keys[{place}]) AS slot", f"concat(slice(keys, 1, {place}), slice(keys, {place + 2}, 1000000)) AS others")
-        some = some.selectExpr("path", "kind", "others", "slot", "lead(slot, 1, -1L) OVER (PARTITION BY path, kind, others ORDER BY slot DESC) AS before", *sums)
-        some = some.selectExpr("*", "explode(sequence(before + 1L, slot)) AS i")
-        keys = f"concat(slice(others, 1, {place}), array(string(i)), slice(others, {place + 1}, 1000000)) AS keys"
-        rows = rows.where(f"NOT {here}").unionByName(some.selectExpr("path", "kind", keys, *out))
+        others = f"CASE WHEN {here} THEN concat(slice(keys, 1, {place}), slice(keys, {place + 2}, 1000000)) ELSE keys END AS others"
+        some = parts(rows).selectExpr("*", f"CASE WHEN {here} THEN bigint(keys[{place}]) END AS slot", others)
+        some = some.selectExpr("path", "kind", "others", "slot", f"lead(slot, 1, -1L) OVER ({group}) AS before", *sums)
+        some = some.selectExpr("*", "explode(if(slot IS NULL, array(0L), sequence(before + 1L, slot))) AS i")
+        keys = f"if(slot IS NULL, others, concat(slice(others, 1, {place}), array(string(i)), slice(others, {place + 1}, 1000000))) AS keys"
+        rows = some.selectExpr("path", "kind", keys, *out)
     return rows
 
 
@@ -521,7 +524,8 @@ def _contribution(r: Request, g: _Group, use: dict[str, str], many: bool, own: s
 
 
 def _text(k: str, slot: str) -> str:
-    return f"to_json({k})" if slot == "vector" else f"string({k})"
+    """A key as text; -0.0 is 0.0, as it is for grouping."""
+    return f"to_json(transform({k}, x -> x + 0D))" if slot == "vector" else f"string({k} + 0D)" if slot == "double" else f"string({k})"
 
 
 def empty_rows(spark: SparkSession, nodes: list[tuple[str, str, tuple]], dense: bool, zero: list[str]):
