@@ -832,3 +832,30 @@ def stream_state(spark, d):
         q.processAllAvailable()
         q.stop()
     return _goods(Store(spark, store).tally().tidy())
+
+
+@query("""SELECT l_orderkey::VARCHAR AS key, count(*)::DOUBLE AS entries, round(avg(l_extendedprice), 6) AS mean, round(max(l_tax), 2) AS top FROM lineitem GROUP BY l_orderkey""")
+def json_large(spark, d):
+    """The JSON of a result with a category for each order, written and read again without a tree on the driver."""
+    from .plans import tally
+    from .sources.json_rows import read_json, write_json
+    from .sources.shared import shared_path
+
+    path = shared_path(spark, "json")
+    write_json(tally(lineitem(spark, d), Categorize("l_orderkey", Branch(Average("l_extendedprice"), Maximize("l_tax")))), path)
+    rows = read_json(spark, path).tidy()
+    key = F.col("keys")[0].alias("key")
+    means = rows.where("path = 'bins/i0'").select(key, "entries", F.round("mean", 6).alias("mean"))
+    return means.join(rows.where("path = 'bins/i1'").select(key, F.round("max", 2).alias("top")), "key")
+
+
+@query("""SELECT '{"version": "1.0", "type": "Stack", "data": {"entries": ' || count(*) || ', "bins:type": "Bag", "bins": [' || (SELECT string_agg('{"atleast": ' || low || ', "data": {"entries": ' || n || ', "values": [' || v || '], "range": "N"}}', ', ' ORDER BY i) FROM
+(SELECT i, low, sum(n) AS n, string_agg('{"w": ' || n || ', "v": ' || l_linenumber || '}', ', ' ORDER BY l_linenumber) AS v FROM (SELECT i, low, l_linenumber, count(*) AS n FROM lineitem JOIN (VALUES (0, '"-inf"', -1), (1, '10', 10), (2, '40', 40)) t(i, low, x) ON l_quantity >= x GROUP BY ALL) GROUP BY i, low)) || '], "nanflow:type": "Count", "nanflow": 0}}' AS json FROM lineitem""")
+def json_stack(spark, d):
+    """The whole JSON of a Stack of Bags, as text, put together from pieces."""
+    from .plans import tally
+    from .sources.json_rows import encode
+
+    pieces = encode(tally(lineitem(spark, d), Stack([10, 40], "l_quantity", Bag("l_linenumber"))))
+    whole = F.sort_array(F.collect_list(F.struct("place", "numbers", "text")))
+    return pieces.agg(F.array_join(F.transform(whole, lambda p: p["text"]), "").alias("json"))

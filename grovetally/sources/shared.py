@@ -37,6 +37,11 @@ class Folder:
     def delete(self, name: str) -> None:
         self.fs.delete(self._at(name), True)
 
+    def write(self, name: str, value) -> None:
+        out = self.fs.create(self._at(name), True)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+
     def read(self, name: str) -> dict:
         stream = self.fs.open(self._at(name))
         try:
