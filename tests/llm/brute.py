@@ -211,3 +211,79 @@ def best_edits(pattern, text):
         step[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
         row = np.minimum.accumulate(step - place) + place
     return int(row.min())
+
+
+def exact(rows):
+    """op11 for [(doc_id, text)]: sorted (doc_id, keep_id, group_size, kept, sha), for distinct ids."""
+    norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in rows]
+    groups = {}
+    for i, t in norm:
+        groups.setdefault(t, []).append(i)
+    first = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return [(i, first[t], len(groups[t]), i == first[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in norm]
+
+
+def runs(text, orders=3):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % 10000 for n in range(1, orders + 1) for i in range(len(w) - n + 1)]
+
+
+def resample(rows, target, percent=5, min_words=20):
+    """op12 for [(doc_id, text)] and texts: {doc_id: (n_features, weight, score, rank)}."""
+    own, other = Counter(), Counter()
+    found = {i: runs(t) for i, t in rows}
+    for _, f in found.values():
+        own.update(f)
+    for t in target:
+        other.update(runs(t)[1])
+    s, t = sum(own.values()), sum(other.values())
+    gain = [math.floor(1000 * math.log((other[b] + 1) * (s + 10000) / ((own[b] + 1) * (t + 10000)))) for b in range(10000)]
+    out = {}
+    for i, (n, f) in found.items():
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out[i] = [len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None]
+    able = sorted((i for i, (n, _) in found.items() if n >= min_words), key=lambda i: (-out[i][2], i is None, i or 0))
+    for rank, i in enumerate(able[: percent * len(able) // 100], 1):
+        out[i][3] = rank
+    return {i: tuple(x) for i, x in out.items()}
+
+
+def trie(conversations):
+    """op13's nodes for {conv_id: [(role, text)]}, by going over all prefixes."""
+    nodes = {}
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(c)
+    children = {}
+    for p in nodes:
+        if p:
+            children.setdefault(p[:-1], []).append(p)
+    out = []
+
+    def go(p):
+        """Leaves and savings at or below a node."""
+        leaves, saved = int(p not in children), (len(nodes[p]) - 1) * len(p[-1][1].encode()) if p else 0
+        for q in children.get(p, []):
+            a, b = go(q)
+            leaves, saved = leaves + a, saved + b
+        ends = ",".join(str(c) for c in sorted(nodes[p]) if len(conversations[c]) == len(p))
+        out.append((min(nodes[p]), len(p), min(nodes[p[:-1]]) if p else None, len(nodes[p]), len(children.get(p, [])), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+        return leaves, saved
+
+    if nodes:
+        go(())
+    return sorted(out)
+
+
+def rebuilt(rows):
+    """Conversations of op13 from [(conv_id, turn, role, text)]."""
+    own = {}
+    for c, turn, role, text in rows:
+        role, text = role or "", text or ""
+        if c is not None:
+            label = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+            own.setdefault(c, []).append((turn is not None, turn or 0, label, (role, text)))
+    own = {c: [x[-1] for x in sorted(t)] for c, t in own.items()}
+    h = {c: zlib.crc32(str(c).encode()) % 9 for c in own}
+    return {c: own.get(c - math.trunc(math.fmod(c, 5)), [])[: h[c]] + t[h[c] :] for c, t in own.items()}
