@@ -25,8 +25,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import accumulate
 from math import floor, inf, isinf, isnan, prod
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,8 @@ class Request:
     weight: str | None
     value: str | None = None
     transform: object = None
+    #: Conditions of the selections above, as they stand in the input: no other row counts.
+    where: tuple = ()
 
 
 @dataclass
@@ -80,6 +84,10 @@ class Plan:
     steps: list[list[tuple[str, str]]]
 
     def project(self, df: DataFrame) -> DataFrame:
+        """The quantities of ``df``, of the rows that some request counts: where all are below selections, these filter the scan."""
+        if all(r.where for r in self.requests):
+            ways = {r.guard: r.where for r in self.requests}
+            df = df.where(reduce(or_, [reduce(and_, where) for where in ways.values()]))
         out = df.select(*self.base) if self.base else df.selectExpr("0 AS q")
         for step in self.steps:
             out = out.selectExpr("*", *[f"{x} AS {n}" for n, x in step])
@@ -142,7 +150,7 @@ class _Lowering:
         return self.known[key][0]
 
     def ask(self, node: S.Spec, path: str, kind: str, at: dict, **more) -> None:
-        self.requests.append(Request(path, kind, at["axes"], at["chain"], at["tests"], at["guard"], at["weight"], **more))
+        self.requests.append(Request(path, kind, at["axes"], at["chain"], at["tests"], at["guard"], at["weight"], where=at["where"], **more))
 
     def chosen(self, q: Quantity, at: dict) -> dict:
         """Guard and weight below a selection."""
@@ -150,9 +158,12 @@ class _Lowering:
             return at
         if isinstance(self.types[id(q)], T.BooleanType):
             flag = self.name(q, "flag")
+            at = at | {"where": (*at["where"], q.column)}
             return at | {"guard": flag if at["guard"] is None else f"({at['guard']} AND {flag})"}
         w = self.name(q, "number") if at["weight"] is None else f"({at['weight']} * {self.name(q, 'number')})"
         w = f"nanvl({w}, 0D)"
+        if at["weight"] is None:  # products may be above 0 where a factor is not
+            at = at | {"where": (*at["where"], q.column.cast("double") > 0)}
         passes = f"({w} > 0D)"
         return at | {"weight": w, "guard": passes if at["guard"] is None else f"({at['guard']} AND {passes})"}
 
@@ -249,18 +260,23 @@ def _spelled(x: float) -> str:
     return f"{'-' * (x < 0)}Infinity" if isinf(x) else repr(x)
 
 
-def lower(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> Plan:
+def lower(df: DataFrame, spec: S.Spec, nulls: str = "nan", paths: list[str] | None = None) -> Plan:
     """The plan of a tree over the columns of ``df``. ``nulls``: "nan" takes a null quantity as
-    missing, "zero" as 0."""
+    missing, "zero" as 0. ``paths``: only nodes at or below these."""
     if nulls not in ("nan", "zero"):
         raise ValueError('nulls must be "nan" or "zero"')
     low = _Lowering(df, nulls, spec)
-    low.node(spec, "", {"axes": (), "chain": (), "tests": (), "guard": None, "weight": None})
-    every = {r.chain for r in low.requests}
+    low.node(spec, "", {"axes": (), "chain": (), "tests": (), "guard": None, "weight": None, "where": ()})
+    requests = low.requests
+    if paths is not None:
+        requests = [r for r in requests if any(r.path == p or r.path.startswith(f"{p}/") or not p for p in paths)]
+        if not requests:
+            raise KeyError(f"the tree has nothing at {sorted(paths)}")
+    every = {r.chain for r in requests}
     longest = [c for c in every if not any(d[: len(c)] == c and len(d) > len(c) for d in every)]
     longest.sort(key=lambda c: [a.id for a in c])
     steps = [[x for steps in low.searches.values() for x in steps[i : i + 1]] for i in range(max(map(len, low.searches.values()), default=0))]
-    return Plan([c.alias(n) for n, c in low.base.items()], low.requests, longest, steps)
+    return Plan([c.alias(n) for n, c in low.base.items()], requests, longest, steps)
 
 
 def measured_by_row(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> DataFrame:
@@ -321,9 +337,9 @@ def _when(guard: str | None, x: str) -> str:
     return x if guard is None else f"CASE WHEN {guard} THEN {x} END"
 
 
-def _measured(df: DataFrame, spec: S.Spec, nulls: str) -> tuple[DataFrame, list[Request], set[str]]:
+def _measured(df: DataFrame, spec: S.Spec, nulls: str, paths: list[str] | None = None) -> tuple[DataFrame, list[Request], set[str]]:
     """What the rows of ``df`` add to each node, in parts that :func:`folded` adds up; the requests; the measures that these parts have."""
-    plan = lower(df, spec, nulls)
+    plan = lower(df, spec, nulls, paths)
     base = plan.project(df)
     groups = [_Group(i, c) for i, c in enumerate(plan.chains)]
     changed = [(i, r) for i, r in enumerate(plan.requests) if r.kind == "Count" and r.transform is not None]
@@ -395,7 +411,7 @@ def stacked(rows: DataFrame, own: set[str], thresholds: list[tuple[str, int]]) -
         # all rows take one way, so that the input is read once; a row that is under no threshold here is a group of its own
         here = f"path IN ({', '.join(sorted({_string(p) for p, i in thresholds if i == place}))})"
         others = f"CASE WHEN {here} THEN concat(slice(keys, 1, {place}), slice(keys, {place + 2}, 1000000)) ELSE keys END AS others"
-        some = parts(rows).selectExpr("*", f"CASE WHEN {here} THEN bigint(keys[{place}]) END AS slot", others)
+        some = parts(rows).selectExpr("*", f"CASE WHEN {here} THEN bigint(get(keys, {place})) END AS slot", others)
         some = some.selectExpr("path", "kind", "others", "slot", f"lead(slot, 1, -1L) OVER ({group}) AS before", *sums)
         some = some.selectExpr("*", "explode(if(slot IS NULL, array(0L), sequence(before + 1L, slot))) AS i")
         keys = f"if(slot IS NULL, others, concat(slice(others, 1, {place}), array(string(i)), slice(others, {place + 1}, 1000000))) AS keys"
@@ -421,14 +437,15 @@ def finished(rows: DataFrame, own: set[str], more: tuple[str, ...] = ()) -> Data
     return rows.selectExpr(*more, "path", "keys", f"{entries} AS entries", *[f"{x} AS {c}" for c, x in out.items()])
 
 
-def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True) -> DataFrame:
+def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True, paths: list[str] | None = None) -> DataFrame:
     """The filled tree as rows (path, keys, entries, sum, mean, variance, min, max).
 
     ``path`` leads from the root to a node, as "data/values"; ``keys`` are the bins on the way, as
     strings. Columns that a node does not have are null. With ``dense``, bins known beforehand
-    are there even if empty, where no sparse binning stands above them.
+    are there even if empty, where no sparse binning stands above them. With ``paths`` the nodes at or below these are the only ones that
+    are computed, from the columns they need; where all of them are below selections, the input is filtered by these as it is read.
     """
-    rows, requests, own = _measured(df, spec, nulls)
+    rows, requests, own = _measured(df, spec, nulls, paths)
     nothing = ["0D AS entries", *[f"double(NULL) AS {c}" for c in sorted(own)]]
     for empty in empty_rows(df.sparkSession, [(r.path, _kind(r), tuple(a.size for a in r.axes)) for r in requests], dense, nothing):
         rows = rows.union(empty)

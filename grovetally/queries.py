@@ -356,7 +356,7 @@ def stack_build(spark, d):
 
 @query("SELECT count(*)::DOUBLE AS entries, round(sum(l_extendedprice), 2) AS sum FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_quantity < 25")
 def select_bool(spark, d):
-    return shown(tidy(lineitem(spark, d), Select("l_shipdate >= timestamp_ntz'1995-01-01' and l_quantity < 25", Sum("l_extendedprice"))), "data", "entries, sum")
+    return shown(tidy(lineitem(spark, d), Select("l_shipdate >= timestamp_ntz'1995-01-01' and l_quantity < 25", Sum("l_extendedprice")), paths=["data"]), "data", "entries, sum")
 
 
 @query("SELECT round(sum(l_tax), 6) AS entries, round(sum(l_tax * l_extendedprice), 2) AS sum FROM lineitem WHERE l_tax > 0")
@@ -725,7 +725,7 @@ UNION ALL SELECT 'orders/bins', l_orderkey::VARCHAR, count(*)::DOUBLE, round(avg
 def _goods(rows: DataFrame) -> DataFrame:
     """Means and variances (in millions) below the two binnings of ``_GOODS``."""
     rows = rows.where("path IN ('stack/bins', 'orders/bins')")
-    return rows.select("path", F.col("keys")[0].alias("key"), "entries", F.round("mean", 6).alias("mean"), F.round(F.col("variance") / 1e6, 4).alias("variance"))
+    return rows.select("path", F.get("keys", F.lit(0)).alias("key"), "entries", F.round("mean", 6).alias("mean"), F.round(F.col("variance") / 1e6, 4).alias("variance"))
 
 
 @query(_GOODS_SQL)
@@ -844,7 +844,7 @@ def json_large(spark, d):
     path = shared_path(spark, "json")
     write_json(tally(lineitem(spark, d), Categorize("l_orderkey", Branch(Average("l_extendedprice"), Maximize("l_tax")))), path)
     rows = read_json(spark, path).tidy()
-    key = F.col("keys")[0].alias("key")
+    key = F.get("keys", F.lit(0)).alias("key")
     means = rows.where("path = 'bins/i0'").select(key, "entries", F.round("mean", 6).alias("mean"))
     return means.join(rows.where("path = 'bins/i1'").select(key, F.round("max", 2).alias("top")), "key")
 
@@ -859,3 +859,49 @@ def json_stack(spark, d):
     pieces = encode(tally(lineitem(spark, d), Stack([10, 40], "l_quantity", Bag("l_linenumber"))))
     whole = F.sort_array(F.collect_list(F.struct("place", "numbers", "text")))
     return pieces.agg(F.array_join(F.transform(whole, lambda p: p["text"]), "").alias("json"))
+
+
+_FAR = "CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN 1e12D WHEN l_orderkey = 1 THEN -3e11D ELSE l_extendedprice / 10 END"
+
+
+@query("""WITH f AS (SELECT l_linenumber::VARCHAR AS above, floor(CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN 1e12 WHEN l_orderkey = 1 THEN -3e11 ELSE l_extendedprice / 10 END)::BIGINT AS bin, count(*)::DOUBLE AS value FROM lineitem GROUP BY 1, 2),
+n AS (SELECT *, lead(bin) OVER (PARTITION BY above ORDER BY bin) AS after FROM f)
+SELECT above, bin, bin AS last, bin::DOUBLE AS low, bin + 1.0::DOUBLE AS high, value FROM n UNION ALL SELECT above, bin + 1, after - 1, bin + 1.0::DOUBLE, after::DOUBLE, 0.0::DOUBLE FROM n WHERE after > bin + 1""")
+def view_runs(spark, d):
+    """Sparse histograms for each line number, with outliers: empty bins are runs."""
+    from .plans import tally
+    from .plans.view_rows import bins
+
+    rows = bins(tally(lineitem(spark, d), Categorize("l_linenumber", SparselyBin(1.0, _FAR))), "bins")
+    return rows.select(F.get("above", F.lit(0)).alias("above"), "bin", "last", "low", "high", "value")
+
+
+@query(_LAYERS.format(inner=_PRICE_SQL, upper="true"))
+def view_rows_layers(spark, d):
+    """The layers of a Stack of histograms, as rows."""
+    from .plans import tally
+    from .plans.view_rows import bins
+
+    rows = bins(tally(lineitem(spark, d), Stack([10, 20, 40], "l_quantity", Histogram(*_PRICE, "l_extendedprice"))), "bins", "all")
+    return rows.select(F.get("above", F.lit(0)).cast("bigint").alias("layer"), "bin", "value")
+
+
+@query(SQL["view_fraction_intervals"])
+def view_rows_fractions(spark, d):
+    """Efficiencies and their intervals, as rows."""
+    from .plans import tally
+    from .plans.view_rows import fractions
+
+    t = tally(lineitem(spark, d), Fraction("l_returnflag = 'R'", Histogram(*_PRICE, "l_extendedprice")))
+    wald, wilson = (fractions(t, interval=i, z=2.0).select("bin", F.round("lower", 6).alias(f"{i}_low"), F.round("upper", 6).alias(f"{i}_high")) for i in ("wald", "wilson"))
+    return wald.join(wilson, "bin")
+
+
+@query(SQL["view_profile_err"])
+def view_rows_profile(spark, d):
+    """A profile and its errors, as rows; variances from the errors."""
+    from .plans import tally
+    from .plans.view_rows import bins
+
+    rows = bins(tally(lineitem(spark, d), ProfileErr(*_PRICE, "l_extendedprice", "l_quantity")), empty="all")
+    return rows.select("bin", F.round("value", 6).alias("mean"), F.round(F.coalesce(F.col("error") * F.col("error") * F.col("entries"), F.lit(float("nan"))), 4).alias("variance"), F.round("error", 6).alias("error"))

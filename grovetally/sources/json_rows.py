@@ -155,7 +155,7 @@ def encode(tally: Tally) -> DataFrame:
     # which bins are the first of those that data made
     sparse = [n.path for n in nodes if n.sparse]
     if sparse:
-        some = rows.where(F.col("path").isin(sparse)).selectExpr("path", "slice(keys, 1, size(keys) - 1) AS above", "keys[size(keys) - 1] AS key", "keys")
+        some = rows.where(F.col("path").isin(sparse)).selectExpr("path", "slice(keys, 1, size(keys) - 1) AS above", "get(keys, size(keys) - 1) AS key", "keys")
         orders = {n.path: ("i" if n.place[-1].startswith("#i") else "s" if n.place[-1].startswith("#s") else "n" if n.pieces[0][4] == "#double" else "v") for n in nodes if n.sparse}
         order = F.create_map(*[F.lit(x) for item in orders.items() for x in item])[F.col("path")]
         some = some.withColumn("how", order)
@@ -176,7 +176,7 @@ def encode(tally: Tally) -> DataFrame:
         "#edge": _spelled("get(edges, int(last))"), "#vector": f"concat('[', array_join(transform({vector}, x -> {_spelled('x')}), ', '), ']')",
     }
     text = "CASE p " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in fill.items()) + " ELSE p END"
-    key = "keys[int(substr(p, 3))]"
+    key = "get(keys, int(substr(p, 3)))"
     order = f"CASE substr(p, 1, 2) WHEN '#d' THEN lpad({key}, 12, '0') WHEN '#i' THEN lpad(string(decimal({key}) + 9223372036854775808), 20, '0') WHEN '#s' THEN {key} ELSE p END"
     out = out.selectExpr("*", f"transform(place, p -> {order}) AS own", "explode(pieces) AS piece")
     numbers = f"CASE WHEN array_contains(piece.parts, '#double') THEN array(double(last)) WHEN array_contains(piece.parts, '#vector') THEN {vector} ELSE CAST(array() AS array<double>) END"
