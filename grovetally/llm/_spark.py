@@ -7,12 +7,13 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a maximal run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,7 +123,7 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 _UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` in batches of at most ``BATCH_BYTES`` (one row if it is longer).
 
     The session's own limit is lowered to that if it is higher, and stays so.
@@ -134,7 +135,18 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     own = df.sparkSession.sparkContext.environment
     if _ROOT not in own.get("PYTHONPATH", "").split(os.pathsep):  # for workers that start elsewhere
         own["PYTHONPATH"] = os.pathsep.join(filter(None, [own.get("PYTHONPATH"), _ROOT]))
-    return df.mapInArrow(run, schema)
+    plain = [f"column {i}" if "`" in c or "." in c else c for i, c in enumerate(df.columns)]  # Spark looks columns up by name here
+    return (df if plain == df.columns else df.toDF(*plain)).mapInArrow(run, schema)
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def schema_of(fields: Iterable[T.StructField], more: str = "") -> T.StructType:
+    """The schema of some fields, whatever their names, and of those that ``more`` spells out; nulls may stand anywhere."""
+    return T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], *(T.StructType.fromDDL(more).fields if more else [])])
 
 
 def word_count(text: str = "text"):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import fresh, map_arrow, written
+from ._spark import col, fresh, map_arrow, schema_of, written
 from ._text import Chunk, chunks, spread
 
 Q, EDITS, PIECE, BAND, BLOCK = 12, 0.05, 128, 32, 1 << 22
@@ -249,8 +249,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc
     one of the new names, an underscore is put before the new one. A benchmark of several
     blocks takes as many passes one after another.
     """
-    names = fresh(docs.select(*keep), "items", "contaminated", "read_text")
-    rows = docs.select(F.col("text").alias(names[2]), *keep, F.lit(None).cast("array<long>").alias(names[0]))
+    names = fresh(docs.select(*map(col, keep)), "items", "contaminated", "read_text")
+    rows = docs.select(F.col("text").alias(names[2]), *map(col, keep), F.lit(None).cast("array<long>").alias(names[0]))
     waiting = None
     for index in blocks(benchmark):
         if waiting is not None:  # written between passes, so that no task holds two blocks
@@ -277,5 +277,4 @@ def _search(rows: DataFrame, index: Index, carry: bool) -> DataFrame:
                 cols = [b.column(i).slice(c.first, c.n) for i in range(first, b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([sorted(h) for h in hits], pa.list_(pa.int64()))], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.transform(map_arrow, run, schema)
+    return rows.transform(map_arrow, run, schema_of(rows.schema[first:]))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, fresh, map_arrow
+from ._spark import col, cut, fresh, map_arrow, schema_of
 from ._text import Chunk, chunks, mix, shingles, spread
 
 PERCENT, WORDS = 80, 5
@@ -371,8 +371,7 @@ def _with_class(docs: DataFrame, name: str) -> DataFrame:
                 cls = pa.array(_signature(h, begins), mask=np.diff(begins) == 0)
                 yield pa.RecordBatch.from_arrays([*(x.slice(c.first, c.n) for x in b.columns), cls], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.transform(map_arrow, run, f"{schema}, `{name}` long")
+    return docs.transform(map_arrow, run, schema_of(docs.schema, f"`{name}` long"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -381,7 +380,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by id and class, so a row whose id is null or stands on other rows as well
     stays or goes by its own group. Rows without shingles stay, as they link with nothing.
-    Of rows that repeat both id and class one stays. The classes of the groups are broadcast if
+    Of rows that repeat both id and class the one stays that a hash of the whole row puts first. The classes of the groups are broadcast if
     there are at most ``SENT_CLASSES``, else joined by a shuffle.
     """
     found = cut(_labelled(docs).where("n > 0"))  # cut here, so that the join by class can be split
@@ -397,5 +396,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     out = out.where(F.col(rows).isNull() | ((F.col(rows) > 0) & F.col("doc_id").eqNullSafe(F.col(kept))))
     if not members.where(F.col(rows) > 1).isEmpty():
         several = F.coalesce(F.col(rows) > 1, F.lit(False))
-        out = out.where(~several).unionByName(out.where(several).dropDuplicates([cls]))
-    return out.select(*docs.columns)
+        row = F.struct("*")
+        one = out.where(several).select(cls, row.alias("row")).groupBy(cls).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        out = out.where(~several).union(one.select("row.*"))
+    return out.select(*map(col, docs.columns))

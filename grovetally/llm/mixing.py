@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, fresh, totals_before, word_count
+from ._spark import col, cut, fresh, totals_before, word_count
 
 BUCKETS = 1024
 #: Time slots to a unit of virtual time, and their number in all; the last takes all later times.
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weigh=None, share: float = 1.5, limit: int = 2, seed: i
     """
     weigh = weigh or cyclic_weights()
     src = docs.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("id"),
+        *[col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("id"),
         F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("nul"),
         word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("key"),
     )
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weigh=None, share: float = 1.5, limit: int = 2, seed: i
     copies = F.when(F.col("times").isNull(), F.lit(0)).otherwise(copies)
     out = timed.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
     made = [F.col("size"), F.col("source_size"), F.col("target").cast("double"), F.col("taken"), F.col("copies")]
-    names = fresh(docs.select(*keep), "size", "source_size", "target", "taken", "copies")
+    names = fresh(docs.select(*map(col, keep)), "size", "source_size", "target", "taken", "copies")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[x.alias(n) for x, n in zip(made, names, strict=True)])
 
 

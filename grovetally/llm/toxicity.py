@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, fresh, map_arrow
+from ._spark import col, cut, fresh, map_arrow, schema_of
 from ._text import Chunk, chunks, mix
 
 #: Bytes of a word's start that count as a feature of their own where the word is longer.
@@ -235,10 +235,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), le
     Null and empty texts get the scores of a text without words. Null ids, repeated rows
     and other columns (whatever their names, read only if kept) pass through one by one.
     """
-    names = fresh(docs.select(*keep), "severity", "p_toxic", "grade", "toxic")
+    names = fresh(docs.select(*map(col, keep)), "severity", "p_toxic", "grade", "toxic")
     least = model.cut if least is None else least
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         m = sent.value
@@ -262,4 +261,5 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), le
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("double", "double", "int", "boolean"), strict=True))
-    return docs.select(F.col("text").alias(fresh(docs, "read_text")[0]), *keep).transform(map_arrow, run, f"{types}, {kinds}")
+    rows = docs.select(F.col("text").alias(fresh(docs, "read_text")[0]), *map(col, keep))
+    return rows.transform(map_arrow, run, schema_of((docs.schema[c] for c in keep), kinds))

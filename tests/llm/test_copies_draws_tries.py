@@ -204,3 +204,46 @@ def test_level_order_bits():
     t = Louds(np.array([2, 1, 2, 0, 0, 0]))
     assert "".join(map(str, t.bits)) == "10" + "110" + "10" + "110" + "0" + "0" + "0"
     assert t.parents().tolist() == [-1, 0, 0, 1, 2, 2] and t.degrees().tolist() == [2, 1, 2, 0, 0, 0]
+
+
+# columns that are only passed through, in every operator that passes them
+
+
+def test_odd_columns_pass_through(spark, docs, tmp_path):
+    """Names with dots, backticks and spaces, fields with hyphens, maps of structs."""
+    import corpus_pipeline
+    from grovetally.llm import decontam, jaccard, mixing, pii, toxicity
+
+    odd = {"a.b": F.lit(1), "c`d": F.lit("x"), "e f": F.expr("named_struct('content-type', 'x', 'g.h', array(1))"), "text.x": F.expr("map('k.l', named_struct('m-n', 2D))")}
+    table = docs.withColumns(odd)
+    labels = spark.createDataFrame([(7, 1), (11, 0), (12, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "nothing like this stands in any of them")], "item_id long, text string")
+    keep = tuple(table.columns)
+    model = toxicity.train(table, labels)
+    sides = lambda df: sorted(map(str, df.select(*[f"`{c.replace('`', '``')}`" for c in keep]).collect()))
+    want = sides(table)
+    assert sides(toxicity.score(table, model, keep)) == want and sides(decontam.matches(table, items, keep)) == want and sides(mixing.mix(table, keep=keep)) == want
+    assert pii.redact(table).columns == list(keep) and jaccard.one_of_each(table).columns == list(keep)
+    assert jaccard.one_of_each(table).count() == jaccard.one_of_each(docs).count()
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, str(tmp_path))
+        assert got.columns == list(keep)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_which_of_rows_with_one_id_and_class_stays_is_settled(spark):
+    """Texts of one set of shingles under one id: the same one stays however the rows are dealt."""
+    from grovetally.llm import jaccard
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text + " " * i, i) for i in range(30)] + [(2, text, 99)]
+    stays = set()
+    for parts in (1, 3, 7):
+        got = jaccard.one_of_each(spark.createDataFrame(rows[parts:] + rows[:parts], "doc_id long, text string, n long").repartition(parts)).collect()
+        assert len(got) == 1
+        stays.add(got[0]["n"])
+    assert len(stays) == 1 and stays != {99}
