@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovetally.llm import decontam, jaccard, mixing, pii, toxicity
-from grovetally.llm._spark import fresh, written
+from grovetally.llm._spark import col, fresh, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keep = tuple(docs.columns)
     flag = fresh(docs, "toxic")[0]
-    return toxicity.score(docs, model, keep).where(~F.col(flag)).select(*keep)
+    return toxicity.score(docs, model, keep).where(~F.col(flag)).select(*map(col, keep))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = tuple(docs.columns)
     flag = fresh(docs, "contaminated")[0]
-    return decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep).where(~F.col(flag)).select(*keep)
+    return decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep).where(~F.col(flag)).select(*map(col, keep))
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
