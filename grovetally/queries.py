@@ -753,14 +753,14 @@ def tally_algebra(spark, d):
     return rows.select(F.substring("path", 1, 1).alias("path"), F.round("sum", 2).alias("sum"), "entries")
 
 
-_CENTERS = tuple(20.0 * i + i % 7 for i in range(4000))
+_MANY_CENTERS = tuple(20.0 * i + i % 7 for i in range(4000))
 
 
 @query("""WITH c AS (SELECT range AS i, 20.0::DOUBLE * range + range % 7 AS c FROM range(4000)), m AS (SELECT i, (lag(c) OVER (ORDER BY i) + c) / 2 AS low FROM c),
 s AS (SELECT i, coalesce(low, '-Infinity'::DOUBLE) AS low FROM m) SELECT s.i::BIGINT AS bin, count(*)::DOUBLE AS entries, round(avg(l_quantity), 6) AS mean FROM lineitem l ASOF JOIN s ON l.l_extendedprice >= s.low GROUP BY s.i""")
 def centrally_bin_4000(spark, d):
     """Nearest of 4,000 centres."""
-    rows = tidy(lineitem(spark, d), CentrallyBin(_CENTERS, "l_extendedprice", Average("l_quantity")), dense=False)
+    rows = tidy(lineitem(spark, d), CentrallyBin(_MANY_CENTERS, "l_extendedprice", Average("l_quantity")), dense=False)
     return shown(rows, "bins", "entries, mean", "bin bigint")
 
 
