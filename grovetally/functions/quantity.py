@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,15 +16,30 @@ from pyspark.sql.functions import PandasUDFType
 class Quantity:
     """What a node of an aggregation tree looks at in each row.
 
-    ``expr`` is a Column, a SQL expression or a number. A Python function can be used after
-    wrapping it with :func:`vectorized`, whose Column is evaluated once for each row.
+    ``expr`` is a Column, a SQL expression, a number, or a Python function of single values whose parameters are named like
+    columns. Such a function runs row by row within Arrow batches; :func:`vectorized` takes one of whole batches.
     """
 
-    expr: Column | str | float
+    expr: Column | str | float | Callable
     name: str | None = None
 
+    def _called(self, kind: str) -> Column:
+        """The column of a Python function. A result of None is null."""
+        f, names = self.expr, list(inspect.signature(self.expr).parameters)
+        if not names:
+            raise TypeError("a function as a quantity needs parameters named like columns")
+        put = float if kind == "double" else str
+
+        def run(*series):
+            got = [f(*(None if pd.isna(x) and not isinstance(x, float) else x for x in row)) for row in zip(*series, strict=True)]
+            return pd.Series([None if x is None else put(x) for x in got], dtype=object)
+
+        return vectorized(run, *names, kind=kind)
+
     @property
     def column(self) -> Column:
+        if callable(self.expr):
+            return self._called("double")
         return self.expr if isinstance(self.expr, Column) else F.expr(self.expr) if isinstance(self.expr, str) else F.lit(float(self.expr))
 
     def named(self, name: str) -> Quantity:
@@ -37,15 +53,16 @@ class Quantity:
 
     def category(self) -> Column:
         """As a string; null is the category "NaN"."""
-        return F.coalesce(self.column.cast("string"), F.lit("NaN"))
+        column = self._called("string") if callable(self.expr) else self.column.cast("string")
+        return F.coalesce(column, F.lit("NaN"))
 
 
-def quantity(q: Quantity | Column | str | float) -> Quantity:
+def quantity(q: Quantity | Column | str | float | Callable) -> Quantity:
     if isinstance(q, Quantity):
         return q
-    if isinstance(q, (Column, str, int, float)) and not isinstance(q, bool):
+    if isinstance(q, (Column, str, int, float)) and not isinstance(q, bool) or (callable(q) and not isinstance(q, type)):
         return Quantity(q)
-    raise TypeError(f"a quantity must be a Column, a SQL expression or a number, not {type(q).__name__}; wrap a Python function with vectorized(f, columns...)")
+    raise TypeError(f"a quantity must be a Column, a SQL expression, a number or a function of columns, not {type(q).__name__}")
 
 
 def named(q: Quantity | Column | str | float, name: str) -> Quantity:

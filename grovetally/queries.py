@@ -905,3 +905,58 @@ def view_rows_profile(spark, d):
 
     rows = bins(tally(lineitem(spark, d), ProfileErr(*_PRICE, "l_extendedprice", "l_quantity")), empty="all")
     return rows.select("bin", F.round("value", 6).alias("mean"), F.round(F.coalesce(F.col("error") * F.col("error") * F.col("entries"), F.lit(float("nan"))), 4).alias("variance"), F.round("error", 6).alias("error"))
+
+
+@query("""SELECT CASE WHEN l_quantity < 10 THEN 'few' WHEN l_discount > 0.05 THEN 'cheap' ELSE 'plain' END AS kind, count(*)::DOUBLE AS entries, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum FROM lineitem GROUP BY 1""")
+def python_functions(spark, d):
+    """Python functions of single values as a category and as a quantity; their parameters are columns."""
+
+    def kind(l_quantity, l_discount):
+        if l_quantity < 10:
+            return "few"
+        return "cheap" if l_discount > 0.05 else "plain"
+
+    return shown(tidy(lineitem(spark, d), Categorize(kind, Sum(lambda l_extendedprice, l_discount: l_extendedprice * (1 - l_discount)))), "bins", "entries, sum", "kind string")
+
+
+@query(f"""SELECT 'mean' AS name, NULL AS bin, round(avg(l_extendedprice * (1 - l_discount)), 6) AS value FROM lineitem UNION ALL SELECT 'bins', {bin_sql('l_extendedprice * (1 - l_discount)', 20, 0.0, 100000.0)}, count(*)::DOUBLE FROM lineitem
+WHERE l_extendedprice * (1 - l_discount) < 100000 GROUP BY 2""")
+def shared_quantity(spark, d):
+    """One quantity in two containers is one column of the plan, computed once a row."""
+    price = "l_extendedprice * (1 - l_discount)"
+    rows = tidy(lineitem(spark, d), UntypedLabel(mean=Average(price), bins=Bin(20, 0, 100000, price)), dense=False)
+    means = rows.where("path = 'mean'").selectExpr("'mean' AS name", "CAST(NULL AS bigint) AS bin", "round(mean, 6) AS value")
+    return means.union(rows.where("path = 'bins/values' AND entries > 0").selectExpr("'bins' AS name", "bigint(get(keys, 0)) AS bin", "entries AS value"))
+
+
+_TYPES = UntypedLabel(
+    count=Count(), sum=Sum("l_linenumber"), average=Average(2), deviate=Deviate(3), least=Minimize("l_linenumber"), most=Maximize("l_linenumber"), bag=Bag("l_returnflag", "S"),
+    sparse=SparselyBin(2, "l_linenumber"), near=CentrallyBin([1, 4, 7], "l_linenumber"), edges=IrregularlyBin([2, 5], "l_linenumber"), cut=Select("l_returnflag = 'R'", Count()),
+    label=Label(a=Count(), b=Count()), index=Index(Count(), Count()), branch=Branch(Count(), Sum("l_linenumber")),
+)
+_NAN = '"nanflow:type": "Count", "nanflow": 0'
+_TYPES_SQL = f"""WITH c AS (SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS s, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(*) FILTER (l_returnflag = 'R') AS r,
+count(*) FILTER (l_linenumber < 2.5) AS c0, count(*) FILTER (l_linenumber >= 2.5 AND l_linenumber < 5.5) AS c1, count(*) FILTER (l_linenumber >= 5.5) AS c2,
+count(*) FILTER (l_linenumber < 2) AS e0, count(*) FILTER (l_linenumber >= 2 AND l_linenumber < 5) AS e1, count(*) FILTER (l_linenumber >= 5) AS e2 FROM lineitem),
+b AS (SELECT string_agg('{{"w": ' || n || ', "v": "' || f || '"}}', ', ' ORDER BY f) AS b FROM (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1)),
+p AS (SELECT string_agg('"' || k || '": ' || n, ', ' ORDER BY k) AS p FROM (SELECT l_linenumber // 2 AS k, count(*) AS n FROM lineitem GROUP BY 1))
+SELECT '{{"version": "1.0", "type": "UntypedLabel", "data": {{"entries": ' || n || ', "data": {{"count": {{"type": "Count", "data": ' || n || '}}, "sum": {{"type": "Sum", "data": {{"entries": ' || n || ', "sum": ' || s || '}}}}, '
+|| '"average": {{"type": "Average", "data": {{"entries": ' || n || ', "mean": 2}}}}, "deviate": {{"type": "Deviate", "data": {{"entries": ' || n || ', "mean": 3, "variance": 0}}}}, '
+|| '"least": {{"type": "Minimize", "data": {{"entries": ' || n || ', "min": ' || lo || '}}}}, "most": {{"type": "Maximize", "data": {{"entries": ' || n || ', "max": ' || hi || '}}}}, '
+|| '"bag": {{"type": "Bag", "data": {{"entries": ' || n || ', "values": [' || b || '], "range": "S"}}}}, "sparse": {{"type": "SparselyBin", "data": {{"entries": ' || n || ', "binWidth": 2, "bins:type": "Count", "bins": {{' || p || '}}, {_NAN}, "origin": 0}}}}, '
+|| '"near": {{"type": "CentrallyBin", "data": {{"entries": ' || n || ', "bins:type": "Count", "bins": [{{"center": 1, "data": ' || c0 || '}}, {{"center": 4, "data": ' || c1 || '}}, {{"center": 7, "data": ' || c2 || '}}], {_NAN}}}}}, '
+|| '"edges": {{"type": "IrregularlyBin", "data": {{"entries": ' || n || ', "bins:type": "Count", "bins": [{{"atleast": "-inf", "data": ' || e0 || '}}, {{"atleast": 2, "data": ' || e1 || '}}, {{"atleast": 5, "data": ' || e2 || '}}], {_NAN}}}}}, '
+|| '"cut": {{"type": "Select", "data": {{"entries": ' || n || ', "sub:type": "Count", "data": ' || r || '}}}}, "label": {{"type": "Label", "data": {{"entries": ' || n || ', "sub:type": "Count", "data": {{"a": ' || n || ', "b": ' || n || '}}}}}}, '
+|| '"index": {{"type": "Index", "data": {{"entries": ' || n || ', "sub:type": "Count", "data": [' || n || ', ' || n || ']}}}}, '
+|| '"branch": {{"type": "Branch", "data": {{"entries": ' || n || ', "data": [{{"type": "Count", "data": ' || n || '}}, {{"type": "Sum", "data": {{"entries": ' || n || ', "sum": ' || s || '}}}}]}}}}}}}}}}' AS json FROM c, b, p"""
+
+
+@query(_TYPES_SQL)
+def json_types(spark, d):
+    """The whole JSON of a tree with the types that json_bin, json_categorize and json_stack leave out, as text."""
+    from .plans import tally
+    from .sources.json_rows import encode
+
+    pieces = encode(tally(lineitem(spark, d), _TYPES))
+    whole = F.sort_array(F.collect_list(F.struct("place", "numbers", "text")))
+    return pieces.agg(F.array_join(F.transform(whole, lambda p: p["text"]), "").alias("json"))
