@@ -2,7 +2,7 @@
 
 from .results import Result, zero_of
 from .spec import (
-    Average, Bag, Bin, Branch, Categorize, CentrallyBin, Count, Deviate, Fraction, Index, IrregularlyBin, Label, Maximize, Minimize, Select,
+    Average, Bag, Bin, Branch, Categorize, CentrallyBin, Count, Deviate, Fraction, Index, IrregularlyBin, Label, Maximize, Measured, Minimize, Select,
     SparselyBin, Spec, Stack, Sum, UntypedLabel, containers,
 )
 from .sugar import (
@@ -15,6 +15,6 @@ PRIMITIVES = (
 )
 
 __all__ = [
-    "Result", "zero_of", "Spec", "PRIMITIVES", "containers", *[p.__name__ for p in PRIMITIVES], "Histogram", "Profile", "ProfileErr", "SparselyHistogram",
+    "Result", "zero_of", "Spec", "Measured", "PRIMITIVES", "containers", *[p.__name__ for p in PRIMITIVES], "Histogram", "Profile", "ProfileErr", "SparselyHistogram",
     "SparselyProfile", "SparselyProfileErr", "TwoDimensionallyHistogram", "TwoDimensionallySparselyHistogram",
 ]

@@ -36,6 +36,8 @@ def shape(spec: S.Spec) -> dict:
         out["range"] = spec.range
     if isinstance(spec, S.Count) and spec.transform is not None:
         out["transformed"] = True
+    if isinstance(spec, S.Measured):
+        out["parts"] = spec.columns()
     if isinstance(spec, S.Fraction):
         out["children"] = [["value", shape(spec.value)]]
     elif spec.children():
@@ -46,7 +48,7 @@ def shape(spec: S.Spec) -> dict:
 def spec_of(d: dict) -> S.Spec:
     """A tree of the structure ``d``. Its quantities are 0 with the names they had, so it can rebuild a result but not fill one."""
     kind, q = d["kind"], Quantity(0.0, d.get("name"))
-    make, below = getattr(S, kind), {k: spec_of(c) for k, c in d.get("children", [])}
+    make, below = S.find(kind), {k: spec_of(c) for k, c in d.get("children", [])}
     fixed = [[float(x) for x in d[f]] if isinstance(d[f], list) else d[f] for f in _FIXED.get(kind, ())]
     if kind == "Count":
         return S.Count((lambda w: w) if d.get("transformed") else None)
@@ -65,6 +67,14 @@ def spec_of(d: dict) -> S.Spec:
     return make(*below.values()) if below else make(q)
 
 
+def measured(d: dict) -> dict[str, S.Measured]:
+    """The containers of one's own in a structure, by kind."""
+    own = {d["kind"]: S.find(d["kind"])(0.0)} if "parts" in d else {}
+    for _, c in d.get("children", []):
+        own |= measured(c)
+    return own
+
+
 def text(d: dict) -> str:
     """A structure as text that is equal for equal structures."""
     return json.dumps(d, sort_keys=True)

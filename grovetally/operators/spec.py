@@ -86,6 +86,34 @@ class Maximize(_Leaf):
     kind = "Maximize"
 
 
+class Measured(Spec):
+    """A leaf of one's own, which is filled, merged and streamed like the others: a subclass with a ``kind`` (an identifier) and three methods.
+
+    ``parts(w, x)`` gives its state: {name: (function, SQL)}, where the function is "sum", "min" or "max" and the SQL is of a row's weight ``w`` and value ``x``.
+    Parts are merged by their functions. ``finish(p)`` gives its results: {name: SQL}, where ``p`` has the SQL of each merged part, and of ``entries``; tidy rows hold
+    them in a map ``more``. ``make(entries, more, name)`` gives the node of a tree (``more`` is empty where nothing was filled): a :class:`~grovetally.operators.results.Result` (see
+    :func:`grovetally.sources.jsonio.register` for its JSON). The parts must not depend on anything but weight and value.
+    """
+
+    kind = ""
+
+    def __init__(self, q):
+        self.q = quantity(q)
+
+    def parts(self, w: str, x: str) -> dict[str, tuple[str, str]]:
+        raise NotImplementedError
+
+    def finish(self, p: dict[str, str]) -> dict[str, str]:
+        raise NotImplementedError
+
+    def make(self, entries: float, more: dict[str, float], name: str | None):
+        raise NotImplementedError
+
+    def columns(self) -> dict[str, str]:
+        """The column of each part in rows of states; its function stands in the name."""
+        return {part: f"u_{how}_{self.kind}_{part}" for part, (how, _) in self.parts("w", "x").items()}
+
+
 class Bag(Spec):
     """Multiset of values: the sum of weights of each distinct value.
 
@@ -260,6 +288,17 @@ class Branch(_Collection):
             raise ValueError("Branch needs at least one container")
 
 
+def find(kind: str) -> type[Spec]:
+    """The container of a name, among all that are known."""
+    todo = [Spec]
+    while todo:
+        for c in todo.pop().__subclasses__():
+            if c.kind == kind:
+                return c
+            todo.append(c)
+    raise KeyError(f"no container is named {kind!r}")
+
+
 def containers() -> dict[str, str]:
     """Every container by name, with what it does."""
     found, todo = {}, [Spec]

@@ -26,8 +26,9 @@ def aggregate(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> R.Result:
 def assemble(rows: DataFrame, spec: S.Spec) -> R.Result:
     """The result whose tidy rows these are."""
     by: dict[str, dict[tuple, dict]] = defaultdict(dict)
-    for r in rows.select("path", "keys", *_NONE).collect():
-        by[r["path"]][tuple(r["keys"])] = {k: r[k] for k in _NONE}
+    columns = [*_NONE, *(c for c in rows.columns if c == "more")]
+    for r in rows.select("path", "keys", *columns).collect():
+        by[r["path"]][tuple(r["keys"])] = {k: r[k] for k in columns}
     return build(spec, by)
 
 
@@ -61,6 +62,8 @@ def build(spec: S.Spec, by: dict) -> R.Result:
             return R.Minimized(n, row["min"], name=name)
         if isinstance(s, S.Maximize):
             return R.Maximized(n, row["max"], name=name)
+        if isinstance(s, S.Measured):
+            return s.make(n, (row.get("more") or {}) if n else {}, name)
         if isinstance(s, S.Bag):
             p = step("values")
             return R.Bagged(n, {_value(k, s.range): by[p][(*keys, k)]["entries"] for k in below(p, keys)}, s.range, name=name)

@@ -72,6 +72,8 @@ class Request:
     transform: object = None
     #: Conditions of the selections above, as they stand in the input: no other row counts.
     where: tuple = ()
+    #: A container that brings its own parts.
+    custom: S.Measured | None = None
 
 
 @dataclass
@@ -176,6 +178,8 @@ class _Lowering:
             self.ask(n, path, "Count", at, transform=n.transform)
         elif isinstance(n, S._Leaf):
             self.ask(n, path, n.kind, at, value=self.name(n.q, "number"))
+        elif isinstance(n, S.Measured):
+            self.ask(n, path, n.kind, at, value=self.name(n.q, "number"), custom=n)
         elif isinstance(n, S.Bag):
             self.ask(n, path, "Bag", at)
             how, slot = {"N": ("number", "double"), "S": ("category", "string")}.get(n.range, ("vector", "vector"))
@@ -288,14 +292,14 @@ def measured_by_row(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> DataFram
     more = [f"CAST({a.key} AS {_SLOTS[a.slot]}) AS {n}" for a, n in axes.items()]
     changed = [r.transform(F.expr(r.weight or "1D")).cast("double").alias(f"t{i}") for i, r in enumerate(plan.requests) if _kind(r) == "Transformed"]
     base = base.select("*", *map(F.expr, more), *changed)
-    each = []
+    each, extra = [], sorted({c for r in plan.requests for c in _own_parts(r)})
     for i, r in enumerate(plan.requests):
         w, x, kind = r.weight or "1D", r.value, _kind(r)
         product = x if r.weight is None else f"{w} * {x}"
-        got = {"entries": w, "sum": {"Transformed": f"t{i}", "Sum": product, "Average": product}.get(kind)}
+        got = {"entries": w, **_own_parts(r), "sum": {"Transformed": f"t{i}", "Sum": product, "Average": product}.get(kind)}
         got |= {c: f"nullif({x}, double('NaN'))" if kind == k else None for c, k in (("min", "Minimize"), ("max", "Maximize"))}
         got |= dict(zip(("wx", "w", "x"), (product, w, x), strict=True)) if kind == "Deviate" else {}
-        fields = ", ".join(f"CAST({got.get(c) or 'NULL'} AS double) AS {c}" for c in ("entries", "sum", "min", "max", "wx", "w", "x"))
+        fields = ", ".join(f"CAST({got.get(c) or 'NULL'} AS double) AS {c}" for c in ("entries", "sum", "min", "max", "wx", "w", "x", *extra))
         keys = f"array({', '.join(_text(axes[a], a.slot) for a in r.axes)})" if r.axes else "CAST(array() AS array<string>)"
         ok = " AND ".join(filter(None, [r.guard, *_tests(r, axes)]))
         row = f"struct({_string(r.path)} AS path, {_string(kind)} AS kind, {keys} AS keys, {fields})"
@@ -306,10 +310,29 @@ def measured_by_row(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> DataFram
 def states_by_row(rows: DataFrame) -> DataFrame:
     """The rows of :func:`measured_by_row` as :func:`states`, by one aggregation."""
     sums = ["sum(entries) AS entries", "sum(sum) AS sum", "min(min) AS min", "max(max) AS max", "sum(wx) AS first", "double(count(wx)) AS rows", "covar_pop(wx, x) AS both", "covar_pop(w, x) AS mixed", "min(x) AS bottom", "max(x) AS top"]
+    extra = _extra(rows.columns)
+    sums += [f"{_how(c)}({c}) AS {c}" for c in extra]
     rows = rows.groupBy("path", "kind", "keys").agg(*map(F.expr, sums))
     mean = "CASE WHEN top = bottom THEN top ELSE first / nullif(entries, 0D) END AS mean"
     m2 = "CASE WHEN top = bottom THEN 0D ELSE greatest(rows * (both - first / nullif(entries, 0D) * mixed), 0D) END AS m2"
-    return rows.selectExpr("path", "kind", "keys", "entries", "sum", mean, m2, "min", "max")
+    return rows.selectExpr("path", "kind", "keys", "entries", "sum", mean, m2, "min", "max", *extra)
+
+
+def _own_parts(r: Request) -> dict[str, str]:
+    """What a row adds to the parts of a container of one's own, by column."""
+    if r.custom is None:
+        return {}
+    names = r.custom.columns()
+    return {names[part]: x for part, (_, x) in r.custom.parts(r.weight or "1D", r.value).items()}
+
+
+def _extra(columns) -> list[str]:
+    """The columns that hold parts of containers of one's own."""
+    return [c for c in sorted(columns) if c.startswith("u_")]
+
+
+def _how(column: str) -> str:
+    return column.split("_")[1]
 
 
 _SLOTS = {"long": "bigint", "double": "double", "string": "string", "vector": "array<double>"}
@@ -363,10 +386,11 @@ def _measured(df: DataFrame, spec: S.Spec, nulls: str, paths: list[str] | None =
             x = _when(r.guard, x)
             use |= {"first": g.slot("sum", _when(r.guard, f"{w} * {r.value}")), "rows": g.slot("sum", _when(r.guard, "1D"))}
             use |= {"both": g.slot("cov", (_when(r.guard, f"{w} * {r.value}"), x)), "mixed": g.slot("cov", (_when(r.guard, w), x))}
+        use |= {c: g.slot(_how(c), _when(r.guard, x)) for c, x in _own_parts(r).items()}
         wanted.append((r, g, use))
 
     small = _grouped(base, groups)
-    own = {c for r, _, _ in wanted for c in _MEASURES.get(_kind(r), ())}
+    own = {c for r, _, use in wanted for c in (*_MEASURES.get(_kind(r), ()), *_extra(use))}
     rows = ", ".join(_contribution(r, g, use, len(groups) > 1, own) for r, g, use in wanted)
     rows = small.selectExpr(f"explode(array({rows})) AS r").selectExpr("r.*").where("entries > 0")
     return rows, plan.requests, own
@@ -375,7 +399,8 @@ def _measured(df: DataFrame, spec: S.Spec, nulls: str, paths: list[str] | None =
 def _sums(own: set[str], over: str = "") -> tuple[list[str], list[str]]:
     """Aggregates of parts, and what follows from them: entries, and of sum, mean, m2, min and max those in ``own``."""
     named = {"entries": "sum(entries)"} | {c: f"sum({c})" for c in ("sum", "v2") if c in own} | {c: f"{c}({c})" for c in ("min", "max") if c in own}
-    out = ["entries"] + [c for c in ("sum", "min", "max") if c in own]
+    named |= {c: f"{_how(c)}({c})" for c in _extra(own)}
+    out = ["entries"] + [c for c in ("sum", "min", "max") if c in own] + _extra(own)
     if "vn" in own:
         n, m = "CASE WHEN vn > 0D THEN vn END", "CASE WHEN vn > 0D THEN vm END"
         named |= {"vn": f"sum({n})", "first": f"sum({n} * {m})", "rows": f"count({n})", "both": f"covar_pop({n} * {m}, {m})", "mixed": f"covar_pop({n}, {m})", "top": f"max({m})", "bottom": f"min({m})"}
@@ -396,7 +421,7 @@ def parts(rows: DataFrame) -> DataFrame:
     """Rows that :func:`folded` gives, as parts again."""
     have = set(rows.columns)
     moments = ["CASE WHEN kind = 'Deviate' THEN entries END AS vn", "mean AS vm", "m2 AS v2"] if "m2" in have else []
-    return rows.selectExpr("path", "kind", "keys", "entries", *[c for c in ("sum", "min", "max") if c in have], *moments)
+    return rows.selectExpr("path", "kind", "keys", "entries", *[c for c in ("sum", "min", "max") if c in have], *moments, *_extra(have))
 
 
 def stacked(rows: DataFrame, own: set[str], thresholds: list[tuple[str, int]]) -> DataFrame:
@@ -419,8 +444,8 @@ def stacked(rows: DataFrame, own: set[str], thresholds: list[tuple[str, int]]) -
     return rows
 
 
-def finished(rows: DataFrame, own: set[str], more: tuple[str, ...] = ()) -> DataFrame:
-    """Tidy rows of those that :func:`folded` gives, with further columns of theirs."""
+def finished(rows: DataFrame, own: set[str], more: tuple[str, ...] = (), custom: dict[str, S.Measured] | None = None) -> DataFrame:
+    """Tidy rows of those that :func:`folded` gives, with further columns of theirs; ``custom``: containers of one's own by kind."""
     nan = "double('NaN')"
     out = {c: "double(NULL)" for c in ("sum", "mean", "variance", "min", "max")}
     entries = "entries"
@@ -434,6 +459,10 @@ def finished(rows: DataFrame, own: set[str], more: tuple[str, ...] = ()) -> Data
     for c, kind in (("min", "Minimize"), ("max", "Maximize")):
         if c in own:
             out[c] = f"CASE WHEN kind = '{kind}' THEN coalesce({c}, {nan}) END"
+    if custom:
+        results = {k: c.finish({**c.columns(), "entries": "entries"}) for k, c in custom.items()}
+        maps = {k: ", ".join(f"{_string(n)}, coalesce(CAST({x} AS DOUBLE), {nan})" for n, x in r.items()) for k, r in results.items()}
+        out["more"] = "CASE kind " + " ".join(f"WHEN {_string(k)} THEN map({m})" for k, m in maps.items()) + " END"
     return rows.selectExpr(*more, "path", "keys", f"{entries} AS entries", *[f"{x} AS {c}" for c, x in out.items()])
 
 
@@ -450,7 +479,7 @@ def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True, pa
     for empty in empty_rows(df.sparkSession, [(r.path, _kind(r), tuple(a.size for a in r.axes)) for r in requests], dense, nothing):
         rows = rows.union(empty)
     thresholds = [(r.path, j) for r in requests for j, a in enumerate(r.axes) if a.cumulative]
-    return finished(stacked(folded(rows, own), own, thresholds), own)
+    return finished(stacked(folded(rows, own), own, thresholds), own, custom={r.kind: r.custom for r in requests if r.custom is not None})
 
 
 #: Every measure of a part.
@@ -463,7 +492,7 @@ def states(df: DataFrame, spec: S.Spec, nulls: str = "nan") -> DataFrame:
     rows, _, own = _measured(df, spec, nulls)
     rows = folded(rows, own)
     have = set(rows.columns)
-    return rows.selectExpr("path", "kind", "keys", "entries", *[c if c in have else f"double(NULL) AS {c}" for c in ("sum", "mean", "m2", "min", "max")])
+    return rows.selectExpr("path", "kind", "keys", "entries", *[c if c in have else f"double(NULL) AS {c}" for c in ("sum", "mean", "m2", "min", "max")], *_extra(have))
 
 
 #: What a row of a kind adds to besides its entries.
@@ -524,7 +553,7 @@ def _contribution(r: Request, g: _Group, use: dict[str, str], many: bool, own: s
     slot = {a: n for n, a in g.keys}
     ok = [f"chain = {g.number}"] * many + _tests(r, slot)
     got = {c: "double(NULL)" for c in own}
-    for c in ("sum", "min", "max"):
+    for c in ("sum", "min", "max", *_extra(use)):
         if c in use:
             got[c] = use[c]
     if "var" in use:

@@ -38,7 +38,13 @@ class Tally:
     """
 
     def __init__(self, rows: DataFrame, structure: dict, summed: bool = False):
-        self.rows, self.structure, self.summed = rows.select(*_COLUMNS), structure, summed
+        self.custom = H.measured(structure)
+        self.extra = sorted({c for own in self.custom.values() for c in own.columns().values()})
+        self.rows, self.structure, self.summed = rows.select(*_COLUMNS, *self.extra), structure, summed
+
+    @property
+    def _every(self) -> set[str]:
+        return set(MEASURES).union(self.extra)
 
     def _with(self, rows: DataFrame) -> Tally:
         return Tally(rows, self.structure, self.summed)
@@ -48,7 +54,7 @@ class Tally:
 
     def _final(self) -> Tally:
         """One row for each node, summed."""
-        every = set(MEASURES)
+        every = self._every
         return Tally(stacked(folded(parts(self.rows), every), every, self._thresholds()), self.structure, True)
 
     def __add__(self, other: Tally) -> Tally:
@@ -64,7 +70,7 @@ class Tally:
         if math.isnan(factor) or factor <= 0:
             return self.zero()
         f = F.lit(float(factor))
-        return self._with(self.rows.withColumns({c: F.col(c) * f for c in ("entries", "sum", "m2")}))
+        return self._with(self.rows.withColumns({c: F.col(c) * f for c in ("entries", "sum", "m2", *[c for c in self.extra if c.startswith("u_sum_")])}))
 
     __rmul__ = __mul__
 
@@ -74,11 +80,12 @@ class Tally:
 
     @staticmethod
     def empty(spark: SparkSession, structure: dict) -> Tally:
-        return Tally(spark.createDataFrame([], STATE), structure)
+        more = "".join(f", {c} double" for own in H.measured(structure).values() for c in own.columns().values())
+        return Tally(spark.createDataFrame([], STATE + more), structure)
 
     def compact(self) -> Tally:
         """The same with one row for each node."""
-        return self._with(folded(parts(self.rows), set(MEASURES)))
+        return self._with(folded(parts(self.rows), self._every))
 
     def tidy(self, dense: bool = True) -> DataFrame:
         """Rows as :func:`grovetally.tidy` gives them."""
@@ -86,8 +93,8 @@ class Tally:
         nothing = ["0D AS entries", *[f"double(NULL) AS {c}" for c in rows.columns[4:]]]
         for empty in empty_rows(self.rows.sparkSession, [n[:3] for n in H.nodes(self.structure)], dense, nothing):
             rows = rows.union(empty)
-        every = set(MEASURES)
-        return finished(stacked(folded(rows, every), every, self._thresholds()), every)
+        every = self._every
+        return finished(stacked(folded(rows, every), every, self._thresholds()), every, custom=self.custom)
 
     def result(self) -> R.Result:
         """The tree, on the driver: for results that fit there."""
@@ -118,6 +125,8 @@ class Tally:
     def log(self, path: str, replace: bool = False) -> None:
         """Appends this result to a log that ``spark.read`` and ``spark.readStream`` read as format ``tally_log``; with ``replace`` it
         becomes the only one. It appears whole, or not at all if the write fails."""
+        if self.custom:
+            raise TypeError(f"a log has no columns for {', '.join(self.custom)}; save the tally")
         self.rows.sparkSession.dataSource.register(log_source.TallyLog)
         rows = finished(self._final().rows, set(MEASURES), ("kind",)).select(*_LOGGED)
         writer = rows.write.format(log_source.FORMAT).option("path", path).option("structure", H.text(self.structure))

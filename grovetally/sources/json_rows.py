@@ -60,6 +60,8 @@ def _pieces(d: dict, hide: bool) -> tuple[list[list[str]], list[tuple[str, dict,
     name = [f', "name": {_text(d["name"])}'] if "name" in d and not hide else []
     named = lambda key, c: [f', "{key}": {_text(c["name"])}'] if "name" in c else []
     begin = ['{"entries": ', "#entries"]
+    if "parts" in d:
+        raise TypeError(f"{kind} has no JSON form that rows can be written in")
     if kind in ("Count", "Item"):
         return [["#entries" if kind == "Count" else "#item"]], []
     if kind in _MEASURES:
