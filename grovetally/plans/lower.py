@@ -472,7 +472,8 @@ def tidy(df: DataFrame, spec: S.Spec, nulls: str = "nan", dense: bool = True, pa
     ``path`` leads from the root to a node, as "data/values"; ``keys`` are the bins on the way, as
     strings. Columns that a node does not have are null. With ``dense``, bins known beforehand
     are there even if empty, where no sparse binning stands above them. With ``paths`` the nodes at or below these are the only ones that
-    are computed, from the columns they need; where all of them are below selections, the input is filtered by these as it is read.
+    are computed, from the columns they need; where all of them are below selections, the input is filtered by these as it is read (so a selection
+    must not be random, as it is evaluated again below).
     """
     rows, requests, own = _measured(df, spec, nulls, paths)
     nothing = ["0D AS entries", *[f"double(NULL) AS {c}" for c in sorted(own)]]
