@@ -25,9 +25,7 @@ class Quantity:
 
     def _called(self, kind: str) -> Column:
         """The column of a Python function. A result of None is null."""
-        f, names = self.expr, list(inspect.signature(self.expr).parameters)
-        if not names:
-            raise TypeError("a function as a quantity needs parameters named like columns")
+        f, names = self.expr, columns_of(self.expr)
         put = float if kind == "double" else str
 
         def run(*series):
@@ -57,10 +55,23 @@ class Quantity:
         return F.coalesce(column, F.lit("NaN"))
 
 
+def columns_of(f: Callable) -> list[str]:
+    """The columns that a Python function is of: its parameters."""
+    given = list(inspect.signature(f).parameters.values())
+    if not given or any(p.kind not in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) for p in given):
+        raise TypeError("a function as a quantity needs parameters named like columns")
+    if [p.name for p in given] == ["row"]:
+        raise TypeError("a function as a quantity gets the values of columns, not a row: name its parameters like columns")
+    return [p.name for p in given]
+
+
 def quantity(q: Quantity | Column | str | float | Callable) -> Quantity:
     if isinstance(q, Quantity):
         return q
-    if isinstance(q, (Column, str, int, float)) and not isinstance(q, bool) or (callable(q) and not isinstance(q, type)):
+    if isinstance(q, (Column, str, int, float)) and not isinstance(q, bool):
+        return Quantity(q)
+    if callable(q) and not isinstance(q, type):
+        columns_of(q)
         return Quantity(q)
     raise TypeError(f"a quantity must be a Column, a SQL expression, a number or a function of columns, not {type(q).__name__}")
 

@@ -297,3 +297,25 @@ def test_stack_grows_with_its_result(spark):
         values = want[int(r["keys"][0]) - 1, int(r["keys"][1])]
         mean = sum(values) / len(values)
         assert r["entries"] == len(values) and r["mean"] == pytest.approx(mean) and r["variance"] == pytest.approx(sum((v - mean) ** 2 for v in values) / len(values), abs=1e-6)
+
+
+# Python functions
+
+
+def test_functions_of_columns(rows):
+    import numpy as np
+
+    def side(x, s):
+        return None if s is None else f"{s}{'+' if x is not None and x > 0 else '-'}"
+
+    got = aggregate(rows, Branch(Categorize(side, Sum(lambda y: y * 2)), Select(lambda k: k > 3, Count()), Sum(named(lambda y, k: y if k else None, "some"))))
+    made = rows.collect()
+    want: dict = {}
+    for r in made:
+        want.setdefault("NaN" if r["s"] is None else f"{r['s']}{'+' if r['x'] is not None and r['x'] > 0 else '-'}", []).append(2 * r["y"])
+    assert {k: (v.entries, pytest.approx(v.sum)) for k, v in got.i0.bins.items()} == {k: (len(v), sum(v)) for k, v in want.items()}
+    assert got.i1.cut.entries == sum(r["k"] > 3 for r in made) and math.isnan(got.i2.sum) and got.i2.name == "some"
+    for wrong in (lambda: 1.0, lambda *columns: 1.0, lambda row: row.x):
+        with pytest.raises(TypeError):
+            Sum(wrong)
+    assert np.isclose(aggregate(rows, Sum(lambda y: y), "zero").sum, sum(r["y"] for r in made))
