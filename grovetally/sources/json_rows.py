@@ -137,10 +137,12 @@ def _quoted(x: str) -> str:
     return f"regexp_replace(to_json(array({x})), '^.|.$', '')"
 
 
-def encode(tally: Tally) -> DataFrame:
-    """The JSON document of a result as rows (place, numbers, text): sorted by the first two, the texts are the document."""
+def encode(tally: Tally, kept: str | None = None) -> DataFrame:
+    """The JSON document of a result as rows (place, numbers, text): sorted by the first two, the texts are the document.
+
+    The tidy rows are written once, at ``kept`` or in the shared folder, as several steps read them."""
     spark, nodes = tally.rows.sparkSession, list(_nodes(tally.structure))
-    kept = shared_path(spark, "tidy")
+    kept = kept or shared_path(spark, "tidy")
     tally.tidy(dense=False).write.parquet(kept)
     rows = spark.read.parquet(kept)
     # every node that the document has: below each of the bins that data made, all those that are there without data
@@ -188,8 +190,11 @@ def encode(tally: Tally) -> DataFrame:
 
 def write_json(tally: Tally, path: str) -> None:
     """Writes a result as one JSON document over text files, and its structure beside them, in a new folder."""
-    encode(tally).repartitionByRange("place", "numbers").sortWithinPartitions("place", "numbers").select("text").write.text(path)
-    Folder(tally.rows.sparkSession, path).write("_structure.json", tally.structure)
+    spark = tally.rows.sparkSession
+    kept = shared_path(spark, "tidy")
+    encode(tally, kept).repartitionByRange("place", "numbers").sortWithinPartitions("place", "numbers").select("text").write.text(path)
+    Folder(spark, kept).delete("")
+    Folder(spark, path).write("_structure.json", tally.structure)
 
 
 def read_json(spark: SparkSession, path: str, structure: dict | None = None) -> Tally:
