@@ -1087,4 +1087,4 @@ def test_every_query_is_registered():
     from grovetally.llm.queries import QUERIES, SQL
 
     exact = {"mix_targets", "jaccard_links", "pii_counts", "rules_base"}  # what SQL can express of op1, op6 and op8, and the links of op2
-    assert exact <= set(SQL) and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in set(QUERIES) - exact) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert exact <= set(SQL) and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in set(QUERIES) - exact) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
