@@ -69,7 +69,8 @@ def resample(
     names = fresh(docs.select(F.col(f"`{id_col}`")), "n_features", "weight", "score", "rank")
     table = written(positions(docs, id_col, text_col, orders, buckets), "positions")
     other = target.select(F.lit(0).alias("id"), F.col(f"`{target_text}`").alias("text"))
-    gain = written(gains(counts(table, orders), counts(positions(other, "id", "text", orders, buckets), orders), buckets), "gains")
+    own, wanted = (written(counts(t, orders), "counts") for t in (table, positions(other, "id", "text", orders, buckets)))
+    gain = written(gains(own, wanted, buckets), "gains")
     columns = [f"b{i}" for i in range(1, orders + 1)]
     for b in columns:
         table = table.join(F.broadcast(gain.select(F.col("bucket").alias(b), F.col("gain").alias(f"g{b}"))), b, "left")
