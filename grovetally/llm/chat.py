@@ -122,18 +122,50 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tu
     return df.withColumns({turns_col: turns, layout_col: layout}).drop(variant, number)
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """A record {"turns": [{role, text}]} for each conv_id of (conv_id, turn, role, text).
+def _says(turns: Column, m: Mapping) -> Column:
+    """Whether a layout can hold some turns so that they are read back as they are."""
+    if m.each:
+        return ~F.exists(turns, lambda t: t["role"].isin(*[was for was, _ in m.roles])) if m.roles else F.lit(True)
+    return F.transform(turns, lambda t: t["role"]) == F.array(*[F.lit(role) for role, _ in m.parts])
+
+
+def _record(turns: Column, m: Mapping) -> Column:
+    """The variant that holds some turns in a layout, whose fields stand at the top of a record."""
+    field = lambda path: path.removeprefix("$.")
+    if not m.each:
+        return F.to_variant_object(F.struct(*[F.get(turns, F.lit(i))["text"].alias(field(path)) for i, (_, path) in enumerate(m.parts)]))
+    path, role, text = m.each
+
+    def name(r: Column) -> Column:
+        out = r
+        for was, now in m.roles:
+            out = F.when(r == now, was).otherwise(out)
+        return out
+
+    return F.to_variant_object(F.struct(F.transform(turns, lambda t: F.struct(name(t["role"]).alias(role), t["text"].alias(text))).alias(field(path))))
+
+
+def gathered(rows: DataFrame, layouts: tuple[Mapping, ...] = MAPPINGS[1:2]) -> DataFrame:
+    """A record for each conv_id of (conv_id, turn, role, text), {"turns": [{role, text}]} unless ``layouts`` says otherwise.
 
     Turns go by number, null last; rows that tie go by role and text, so repeated rows give
     repeated turns. Null roles and texts become empty, null ids form one conversation. A
     conversation is one training example, so its rows are brought together.
+
+    With several ``layouts``, as a table put together from several sources has them, the hash of a conversation's id selects one of those that can hold
+    its roles; a conversation that none can hold has a null record.
     """
     rows = rows.select(
         "conv_id", F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row")
     )
     turns = F.transform(F.array_sort(F.collect_list("row")), lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(F.to_variant_object(F.struct(turns.alias("turns"))).alias("record"))
+    whole, t = rows.groupBy("conv_id").agg(turns.alias("turns")), F.col("turns")
+    able = F.filter(F.array(*[F.when(_says(t, m), i) for i, m in enumerate(layouts)]), lambda i: i.isNotNull())
+    whole = whole.withColumn("able", able).withColumn("layout", F.get("able", F.pmod(F.xxhash64("conv_id"), F.greatest(F.size("able"), F.lit(1))).cast("int")))
+    record = F.lit(None).cast("variant")
+    for i, m in enumerate(layouts):
+        record = F.when(F.col("layout") == i, _record(t, m)).otherwise(record)
+    return whole.select("conv_id", record.alias("record"))
 
 
 def escape(x: Column) -> Column:

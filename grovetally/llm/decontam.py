@@ -92,11 +92,26 @@ class Index:
     place: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
-    short: list[tuple[int, bytes]]
+    #: Items shorter than Q bytes by their number of words: the hashes in order and the item of each.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _by_words(short: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    if not short:
+        return {}
+    offs = np.concatenate([[0], np.cumsum([len(p) for _, p in short])])
+    whole = Chunk(0, len(short), np.frombuffer(b"".join(p for _, p in short), dtype=np.uint8), offs)
+    hashes, items = whole.span_hash(offs[:-1], offs[1:], raw=True), np.array([i for i, _ in short], dtype=np.int64)
+    words, out = np.array([p.count(b" ") + 1 for _, p in short]), {}
+    for n in np.unique(words).tolist():
+        own = np.flatnonzero(words == n)
+        own = own[np.argsort(hashes[own], kind="stable")]
+        out[n] = hashes[own], items[own]
+    return out
 
 
 def build(rows: list[tuple[int, str]]) -> Index:
-    """The index of items (id, text). Items shorter than Q bytes are looked up as they are,
+    """The index of items (id, text). Items shorter than Q bytes are looked up as runs of whole words,
     items without any character that is not white space are left out."""
     items, patterns, short = [], [], []
     for item, text in rows:
@@ -121,7 +136,7 @@ def build(rows: list[tuple[int, str]]) -> Index:
     order = np.argsort(g, kind="stable")
     m = np.array([len(p) for p in patterns], dtype=np.int64)
     k = np.minimum((EDITS * m).astype(np.int64), (m - Q) // Q)
-    return Index(np.array(items, dtype=np.int64), patterns, g[order], o[order], j[order], k, m + 1 - (k + 1) * Q, short)
+    return Index(np.array(items, dtype=np.int64), patterns, g[order], o[order], j[order], k, m + 1 - (k + 1) * Q, _by_words(short))
 
 
 def aligned(pattern: bytes, text: bytes, edits: int) -> bool:
@@ -184,21 +199,29 @@ class Matcher:
         key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         return key, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
 
+    def _short(self, c: Chunk) -> set[tuple[int, int]]:
+        """(document, item) for items shorter than Q bytes, which are found by the hashes of the text's runs of as many words: the
+        time does not depend on the number of items."""
+        starts, ends, begins = c.words()
+        doc = np.repeat(np.arange(c.n), np.diff(begins))
+        found = set()
+        for n, (hashes, items) in self.x.short.items():
+            first = np.arange(max(0, len(starts) - n + 1))
+            first = first[(first + n <= begins[doc[first] + 1]) & (ends[first + n - 1] - starts[first] < Q)]
+            own = c.span_hash(starts[first], ends[first + n - 1], raw=True)
+            lo, hi = np.searchsorted(hashes, own, side="left"), np.searchsorted(hashes, own, side="right")
+            some = hi > lo
+            hits = np.unique(np.repeat(doc[first[some]], (hi - lo)[some]) * len(items) + spread(lo[some], (hi - lo)[some]))
+            found |= set(zip((hits // len(items)).tolist(), items[hits % len(items)].tolist(), strict=True))
+        return found
+
     def find(self, c: Chunk) -> set[tuple[int, int]]:
         """(document, item) of the chunk."""
         x = self.x
         data, offs = normal(c.data, c.offsets)
         found = set()
         if x.short:
-            whole = data.tobytes()
-            for item, p in x.short:
-                at = whole.find(p)
-                while at >= 0:
-                    d = int(np.searchsorted(offs, at, side="right")) - 1
-                    edge = lambda i: i < offs[d] or i >= offs[d + 1] or whole[i] == 32  # noqa: B023, E731
-                    if at + len(p) <= offs[d + 1] and edge(at - 1) and edge(at + len(p)):
-                        found.add((d, item))
-                    at = whole.find(p, at + 1)
+            found |= self._short(Chunk(0, c.n, data, offs))
         g = grams(data)
         if not len(g) or not len(x.gram):
             return found
@@ -243,6 +266,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc
     """The columns ``keep`` of ``docs`` with items (the ids of the benchmark items found in the
     whole text, in order) and contaminated (whether there are any).
 
+    An item shorter than ``Q`` bytes is found wherever its words stand in a row, so an item "yes" marks every document that holds
+    this word: leave such items out of ``benchmark`` if that is not wanted. Item ids are whole numbers.
     Null and empty texts have no items. Null items or item ids are left out, repeated items
     count once. Repeated rows and null ids of documents pass through one by one. With an
     empty benchmark nothing is contaminated. Other columns are not read; where a kept column has

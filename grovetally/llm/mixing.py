@@ -104,8 +104,8 @@ def mix(docs: DataFrame, weigh=None, share: float = 1.5, limit: int = 2, seed: i
 def _stop(timed: DataFrame):
     """The last copy (time, key, id) in the order of finish times that the budget still takes;
     None if it takes all. A slot of time is found by the totals of all slots, and a part of that slot in the
-    same way, so the copies that are sorted in the end are about one in 2**24. Few small rows come to the
-    driver, whatever the size of the input."""
+    same way, so the copies that are sorted in the end, over ranges of (time, key, id, size), are about one in 2**24 unless
+    many end at one time. Few small rows come to the driver, whatever the size of the input."""
     copies = timed.select("id", "key", "size", "budget", F.explode("times").alias("time"))
     # both are whole numbers of the same exact product, as SLOTS and PARTS are powers of two
     copies = copies.withColumn("slot", F.least(F.floor(F.col("time") * SLOTS), F.lit(LAST_SLOT)).cast("int"))
@@ -122,8 +122,9 @@ def _stop(timed: DataFrame):
     slot, before = found[0]
     copies = copies.where(F.col("slot") == slot)
     part, before = reached(copies, "part", before)[0]
-    order = Window.orderBy("time", "key", "id", "size")
-    inside = copies.where(F.col("part") == part).withColumn("upto", F.lit(before) + F.sum("size").over(order))
+    # many copies may end at one time, as those of sources with one document do at 1 / limit and at 1
+    inside = totals_before(copies.where(F.col("part") == part), ["time", "key", "id", "size"], {"earlier": F.col("size")})
+    inside = inside.withColumn("upto", F.lit(before) + F.col("earlier") + F.col("size"))
     taken = inside.where((F.col("upto") - F.col("size") / 2) <= F.col("budget"))
     last = taken.orderBy(F.desc("time"), F.desc("key"), F.desc("id")).select("time", "key", "id").limit(1).collect()
     if last:

@@ -25,7 +25,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    done = chat.format_chats(chat.gathered(rows.unionByName(extra)))
+    done = chat.format_chats(chat.gathered(rows.unionByName(extra), chat.MAPPINGS))
     back = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_arrow
+from ._spark import col, fresh, map_arrow, schema_of
 from ._text import Chunk, chunks, mix, shingles
 
 #: The characters that count as symbols.
@@ -165,12 +165,15 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts have figures of 0, fail the base and are not kept; null ids pass
     through; repeated rows are judged one by one; an empty table gives an empty result.
-    Columns besides the two named ones are not read, so their names cannot clash.
+    Columns besides the two named ones are not read. Where ``id_col`` is one of the new names, an
+    underscore is put before the new one.
     """
     rules = rules or Rules()
-    kind = docs.schema[id_col].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars"]
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean" + ", text string" * with_text
+    ids = docs.select(col(id_col).alias(id_col))
+    called = fresh(ids, *names, "base_failed", "kept", *["text"] * with_text)
+    kinds = ["long"] * len(names) + ["boolean"] * 2 + ["string"] * with_text
+    schema = schema_of(ids.schema, ", ".join(f"{n} {k}" for n, k in zip(called, kinds, strict=True)))
 
     def run(batches):
         for b in batches:
@@ -183,6 +186,6 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         keep = np.flatnonzero(~fails[begins[d] : begins[d + 1]]) + begins[d]
                         texts.append(b"\n".join(whole[starts[i] : ends[i]] for i in keep).decode())
                     cols.append(pa.array(texts, pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [id_col, *names, "base_failed", "kept", *["text"] * with_text])
+                yield pa.RecordBatch.from_arrays(cols, [id_col, *called])
 
-    return docs.select(F.col(id_col), F.col(text_col)).transform(map_arrow, run, schema)
+    return docs.select(col(id_col).alias(id_col), col(text_col).alias(fresh(ids, "read_text")[0])).transform(map_arrow, run, schema)

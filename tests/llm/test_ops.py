@@ -107,6 +107,18 @@ def test_mix_keeps_columns_whatever_their_names(clash):
     assert queries.op1_mix(clash.sparkSession, SMALL).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
 
 
+def test_mix_of_sources_with_one_document(spark):
+    """Their copies all end at one of two times; the cut among them is made over ranges and in the order of the keys."""
+    from grovetally.llm.mixing import mix
+
+    given = [(i, "a b c", f"s{i:05d}") for i in range(4000)] + [(4000 + i, "a " * 50, "big") for i in range(40)]
+    rows = mix(spark.createDataFrame(given, "doc_id long, text string, source string"), weigh=lambda rank: F.lit(1.0), share=1.2).collect()
+    total, budget = sum(r["taken"] for r in rows), 1.2 * sum(r["size"] for r in rows)
+    assert abs(total - budget) <= 50 and {r["copies"] for r in rows} <= {0, 1, 2} and len(rows) == len(given)
+    again = mix(spark.createDataFrame(given[::-1], "doc_id long, text string, source string").repartition(7), weigh=lambda rank: F.lit(1.0), share=1.2).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
 def test_mix_targets(spark):
     from grovetally.llm.mixing import cyclic_weights, source_targets
 
@@ -293,6 +305,25 @@ def test_chat_layouts(spark):
     assert got[7] == got[8] == got[9] == (None, None) and len({m.name for m in MAPPINGS}) == len(MAPPINGS)
 
 
+def test_chat_of_conversations_in_many_layouts(spark):
+    """Whatever layout a conversation is dealt to, its turns come back; every layout that can hold some is met."""
+    from grovetally.llm import chat
+
+    kinds = [["user", "assistant"], ["user", "user", "assistant"], ["system", "user", "assistant"], ["human", "gpt"], [None, "assistant"], ["user"]]
+    given = [(i, t, role, None if (i + t) % 7 == 0 else f"<{i}\\{t}>") for i in range(240) for t, role in enumerate(kinds[i % len(kinds)])] + [(None, 0, "user", "x"), (None, 1, "assistant", "y")]
+    table = spark.createDataFrame(given, "conv_id long, turn long, role string, text string")
+    done = chat.format_chats(chat.gathered(table, chat.MAPPINGS)).select("conv_id", "layout", chat.read_back(F.col("formatted")).alias("back")).collect()
+    expected = {}
+    for i, _, role, text in given:
+        expected.setdefault(i, []).append((role or "", text or ""))
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in done} == expected and len(done) == len(expected)
+    assert {r["layout"] for r in done} == {m.name for m in chat.MAPPINGS}
+    assert {r["layout"] for r in done if r["conv_id"] is not None and r["conv_id"] % 6 == 3} == {"messages", "turns"}
+    plain = chat.gathered(table, tuple(m for m in chat.MAPPINGS if m.name == "question"))
+    assert {r["conv_id"] for r in plain.where("record is not null").collect()} == {i for i in expected if [r for r, _ in expected[i]] == ["user", "assistant"]}
+    assert chat.gathered(table.where("false"), chat.MAPPINGS).count() == 0
+
+
 def test_chat_records_with_further_fields(spark):
     """A mapping needs its own paths only; nothing is lost for a field too many, and no element loses its text."""
     from grovetally.llm.chat import format_chats, read_back
@@ -857,6 +888,16 @@ def test_rules_lines(spark, none):
     assert apply_rules(none, with_text=True).count() == 0
 
 
+def test_rules_of_ids_named_like_results(spark):
+    from grovetally.llm.rules import apply_rules
+
+    for name in ("n_words", "text", "a.b", "read_text"):
+        table = spark.createDataFrame([("x", "one two"), (None, None), ("x", "one two")], "id string, words string").withColumnRenamed("id", name)
+        got = apply_rules(table, name, "words", with_text=True)
+        assert got.columns[0] == name and len({c.lower() for c in got.columns}) == len(got.columns) == 10
+        assert sorted((str(r[0]), r[1]) for r in got.collect()) == [("None", 0), ("x", 2), ("x", 2)]
+
+
 # op9
 
 
@@ -949,6 +990,28 @@ def test_decontamination_finds_parts_of_items(spark):
     assert all(got[i] == [5] for i in range(len(parts)) if len(parts[i]) >= long - 2) and got[100] == [] and got[101] == []
 
 
+def test_decontamination_of_many_short_items(spark):
+    """Short items are runs of whole words; 20,000 of them take no search of the text each."""
+    import time
+
+    from grovetally.llm import decontam
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 4))) for _ in range(60)] + ["Жи", "x-y", "😀"]
+    items = [(i, " ".join(r.choice(words) for _ in range(1 + i % 3))) for i in range(600)] + [(700, "a"), (701, "a"), (702, " a  b "), (703, "b\na")]
+    items = [(i, t) for i, t in items if len(t.encode()) < decontam.Q]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 40))) for _ in range(80)] + [None, "", "a", "ab", "b", "a b", "A\n\nB"]
+    got = decontam.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    plain = {i: f" {decontam.normal_text(t).strip()} " for i, t in items}
+    for row in got.collect():
+        text = f" {decontam.normal_text(texts[row['doc_id']]).strip()} "
+        assert row["items"] == sorted({i for i, p in plain.items() if p in text})
+    many = decontam.Matcher(decontam.build([(i, f"w{i}") for i in range(20000)]))
+    chunk = next(decontam.chunks(decontam.pa.array([" ".join(f"w{r.randrange(40000)}" for _ in range(100000))])))
+    began = time.perf_counter()
+    assert 15000 < len(many.find(chunk)) <= 20000 and time.perf_counter() - began < 5
+
+
 def test_decontamination_on_tables(spark, small):
     from grovetally.llm import decontam
 
