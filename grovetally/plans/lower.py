@@ -10,6 +10,8 @@ grouping keys, never columns of their own. The requests of a tree are fused:
 * A tree with several chains explodes each row into one record for each chain, so the
   input is read once; all chains then share one ``groupBy``. The records are folded
   before the shuffle, which moves bins, not rows.
+* With many chains, what all have in common stands outside the records, and a table of the nodes, in the plan as one constant,
+  says which aggregates of a bin go to which node: a bin's work and the plan's size do not grow with the other chains.
 * Cumulative containers are aggregated as bins and added up from the last to the first in the small result.
 * Bins between many edges are found by a directory of equal slots over the sorted edges and a binary search of the
   edges in one slot, in a few projections: the time for a row hardly depends on the number of edges.
@@ -23,6 +25,7 @@ No Python runs on the executors.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import reduce
@@ -43,6 +46,10 @@ _LOWEST = -(2**63) + 1
 FEW_CUTS = 32
 #: Empty bins that one task makes.
 _EMPTY = 1 << 18
+#: Up to so many chains, what a bin adds to its nodes is spelled out for each node; beyond, it is looked up in a table of the nodes.
+FEW_CHAINS = 8
+#: The most bins of a grid that shares a table of empty bins with others.
+_SMALL = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -391,6 +398,8 @@ def _measured(df: DataFrame, spec: S.Spec, nulls: str, paths: list[str] | None =
 
     small = _grouped(base, groups)
     own = {c for r, _, use in wanted for c in (*_MEASURES.get(_kind(r), ()), *_extra(use))}
+    if len(groups) > FEW_CHAINS:
+        return _looked_up(small, groups, wanted, own), plan.requests, own
     rows = ", ".join(_contribution(r, g, use, len(groups) > 1, own) for r, g, use in wanted)
     rows = small.selectExpr(f"explode(array({rows})) AS r").selectExpr("r.*").where("entries > 0")
     return rows, plan.requests, own
@@ -521,8 +530,22 @@ def _grouped(base: DataFrame, groups: list[_Group]) -> DataFrame:
                 fields += [f"CAST({x} AS double) AS x_{how}_{i}{'_' * j}" for j, x in enumerate(pair)]
         return fields
 
+    shared = []
+    if len(groups) > FEW_CHAINS:
+        # a measure that is the same in all chains that have it stands outside the records
+        for how in most:
+            for i in range(most[how]):
+                given = {list(g.inputs[how])[i] for g in groups if i < len(g.inputs[how])}
+                if len(given) == 1:
+                    x = given.pop()
+                    shared += [(f"x_{how}_{i}{'_' * j}", y) for j, y in enumerate(x if how == "cov" else (x,))]
+    outside = {n for n, _ in shared}
+
+    def records_of(g: _Group) -> str:
+        return f"struct({', '.join(x for x in record(g) if x.rpartition(' ')[2] not in outside)})"
+
     if len(groups) > 1:
-        records = base.selectExpr(f"explode(array({', '.join(f'struct({chr(44).join(record(g))})' for g in groups)})) AS r").selectExpr("r.*")
+        records = base.selectExpr(*[f"CAST({x} AS double) AS {n}" for n, x in shared], f"explode(array({', '.join(map(records_of, groups))})) AS r").selectExpr(*sorted(outside), "r.*")
     else:
         records = base.selectExpr(*record(groups[0]))
     aggs = ["1 AS one"] if not any(most.values()) else []
@@ -537,6 +560,43 @@ def _grouped(base: DataFrame, groups: list[_Group]) -> DataFrame:
     return (records.groupBy(*keys) if keys else records.groupBy()).agg(*map(F.expr, aggs))
 
 
+def _looked_up(small: DataFrame, groups: list[_Group], wanted: list[tuple[Request, _Group, dict[str, str]]], own: set[str]) -> DataFrame:
+    """What the rows of the small table add to the nodes of their chains, as :func:`_contribution` spells it out, by a table of the nodes of each chain:
+    where in the row their keys, conditions and measures stand."""
+    slots = sorted({(n, a.slot) for g in groups for n, a in g.keys})
+    place = {n: i for i, (n, _) in enumerate(slots)}
+    most = {how: max(len(g.inputs[how]) for g in groups) for how in ("sum", "min", "max", "var", "cov")}
+    extra = [c for c in sorted(own) if c.startswith("u_")]
+    table: list[list[dict]] = [[] for _ in groups]
+    for r, g, use in wanted:
+        at = {a: place[n] for n, a in g.keys}
+        tests = []
+        for axis, code in r.tests:  # as in _tests; a bin that is not given is any one of 0 and above
+            if axis.id.startswith("sparse:"):
+                tests.append({"k": at[axis], "null": code == NAN})
+            elif axis.slot == "long":
+                tests.append({"k": at[axis], "code": code})
+        node = {"path": r.path, "kind": _kind(r), "keys": [at[a] for a in r.axes], "tests": tests}
+        table[g.number].append(node | {"x_" + c: int(name.rpartition("_")[2]) for c, name in use.items()})
+    uses = ("entries", "sum", "min", "max", "var", "first", "rows", "both", "mixed", *extra)
+    kind = f"array<array<struct<path:string,kind:string,keys:array<int>,tests:array<struct<k:int,code:bigint,null:boolean>>,{','.join(f'x_{c}:int' for c in uses)}>>>"
+    texts = [_text(n, slot) for n, slot in slots]
+    numbers = [n if slot == "long" else "NULL" for n, slot in slots]
+    arrays = {"of_text": (texts, "string"), "of_key": (numbers, "bigint")}
+    arrays |= {f"of_{how}": ([f"{how}_{i}" for i in range(most[how])], "double") for how in ("sum", "min", "max", "cov")}
+    arrays |= {f"of_{c}": ([f"var_{i}_{c[1:]}" for i in range(most["var"])], "double") for c in ("vn", "vm", "vv")}
+    rows = small.selectExpr(*[f"CAST(array({', '.join(xs)}) AS array<{t}>) AS {n}" for n, (xs, t) in arrays.items()], f"inline(get(from_json({_string(json.dumps(table))}, '{kind}'), chain))")
+    ok = "forall(tests, t -> CASE WHEN t.null IS NOT NULL THEN t.null = (get(of_key, t.k) IS NULL) WHEN t.code IS NULL THEN get(of_key, t.k) >= 0L ELSE get(of_key, t.k) = t.code END)"
+    entries, mean = "get(of_sum, x_entries)", "get(of_sum, x_first) / nullif(get(of_sum, x_entries), 0D)"
+    rest = f"greatest(get(of_sum, x_rows) * (get(of_cov, x_both) - {mean} * get(of_cov, x_mixed)), 0D)"
+    got = {c: f"get(of_{c}, x_{c})" for c in ("sum", "min", "max")} | {c: f"get(of_{_how(c)}, x_{c})" for c in extra}
+    got["vn"] = f"CASE WHEN x_var IS NOT NULL THEN get(of_vn, x_var) WHEN x_both IS NOT NULL THEN {entries} END"
+    got["vm"] = f"CASE WHEN x_var IS NOT NULL THEN get(of_vm, x_var) WHEN x_both IS NOT NULL THEN {mean} END"
+    got["v2"] = f"CASE WHEN x_var IS NOT NULL THEN get(of_vv, x_var) * get(of_vn, x_var) WHEN x_both IS NOT NULL THEN {rest} END"
+    rows = rows.where(ok).where(f"{entries} > 0D")
+    return rows.selectExpr("path", "kind", "transform(keys, k -> get(of_text, k)) AS keys", f"{entries} AS entries", *[f"{got[c]} AS {c}" for c in sorted(own)])
+
+
 def _tests(r: Request, column: dict[Axis, str]) -> list[str]:
     """The conditions on bins under which a row counts for a request."""
     ok = []
@@ -577,11 +637,21 @@ def _text(k: str, slot: str) -> str:
 
 def empty_rows(spark: SparkSession, nodes: list[tuple[str, str, tuple]], dense: bool, zero: list[str]):
     """Rows of 0 entries for what is there even without data; ``nodes`` are (path, kind, numbers of bins above). Bins of a large grid are made by several tasks."""
-    by: dict[tuple, list[str]] = {}
+    by: dict[tuple, list[dict]] = {}
     for path, kind, sizes in nodes:
         if not sizes or (dense and None not in sizes):
-            by.setdefault(sizes, []).append(f"struct({_string(path)}, {_string(kind)})")
+            by.setdefault(sizes, []).append({"path": path, "kind": kind})
+    few = {sizes: paths for sizes, paths in by.items() if len(by) > FEW_CHAINS and prod(sizes) <= _SMALL}
+    if few:  # many small grids make one table
+        grids = json.dumps([{"sizes": sizes, "below": [prod(sizes[j + 1 :]) for j in range(len(sizes))], "n": prod(sizes), "paths": paths} for sizes, paths in few.items()])
+        kind = "array<struct<sizes:array<bigint>,below:array<bigint>,n:bigint,paths:array<struct<path:string,kind:string>>>>"
+        rows = spark.range(0, len(few), 1, -(-sum(map(prod, few)) // _EMPTY)).selectExpr(f"get(from_json({_string(grids)}, '{kind}'), int(id)) AS g")
+        rows = rows.selectExpr("g", "explode(sequence(0L, g.n - 1L)) AS id").selectExpr("g", "id", "inline(g.paths)")
+        yield rows.selectExpr("path", "kind", "transform(g.sizes, (n, j) -> string(id div get(g.below, j) % n)) AS keys", *zero)
     for sizes, paths in by.items():
+        if sizes in few:
+            continue
+        paths = [f"struct({_string(n['path'])}, {_string(n['kind'])})" for n in paths]
         keys = ", ".join(f"string(id div {prod(sizes[j + 1 :])}L % {n}L)" for j, n in enumerate(sizes))
         rows = spark.range(0, prod(sizes), 1, -(-prod(sizes) // _EMPTY)).selectExpr("id", f"inline(array({', '.join(paths)})) AS (path, kind)")
         yield rows.selectExpr("path", "kind", f"CAST(array({keys}) AS array<string>) AS keys", *zero)

@@ -960,3 +960,14 @@ def json_types(spark, d):
     pieces = encode(tally(lineitem(spark, d), _TYPES))
     whole = F.sort_array(F.collect_list(F.struct("place", "numbers", "text")))
     return pieces.agg(F.array_join(F.transform(whole, lambda p: p["text"]), "").alias("json"))
+
+
+_WIDE = 24
+
+
+@query(f"""SELECT 'i' || n || '/values' AS path, floor(l_extendedprice * (10 + n) / 110000)::BIGINT AS bin, count(*)::DOUBLE AS entries, round(avg(l_quantity), 6) AS mean
+FROM lineitem CROSS JOIN generate_series(0, {_WIDE - 1}) g(n) GROUP BY 1, 2""")
+def wide_branch(spark, d):
+    """Histograms of one quantity by 24 bin widths, each with means of another, in one pass over the table."""
+    rows = tidy(lineitem(spark, d), Branch(*[Bin(10 + i, 0, 110000, "l_extendedprice", Average("l_quantity")) for i in range(_WIDE)]), dense=False)
+    return rows.where("path LIKE '%/values' AND entries > 0").selectExpr("path", "bigint(get(keys, 0)) AS bin", "entries", "round(mean, 6) AS mean")

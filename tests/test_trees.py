@@ -1,6 +1,7 @@
 """Compiled trees against small goldens and against the row-at-a-time filler."""
 
 import math
+import sys
 
 import pytest
 from filler import fill, measures
@@ -117,8 +118,7 @@ TREES = [
 ]
 
 
-@pytest.mark.parametrize("tree", TREES, ids=[f"{i}-{t.kind}" for i, t in enumerate(TREES)])
-def test_against_rows(messy, tree):
+def against_rows(messy, tree):
     rows = [dict(zip("xwsy", r, strict=True)) for r in MESSY]
     expected = fill(tree, rows)
     got = {}
@@ -139,6 +139,30 @@ def test_against_rows(messy, tree):
     assert all(r["entries"] == 0 for by in got.values() for r in by.values())
 
 
+@pytest.mark.parametrize("tree", TREES, ids=[f"{i}-{t.kind}" for i, t in enumerate(TREES)])
+def test_against_rows(messy, tree):
+    against_rows(messy, tree)
+
+
+@pytest.mark.parametrize("tree", TREES[-8:-1], ids=[t.kind for t in TREES[-8:-1]])
+def test_nodes_are_looked_up(messy, tree, monkeypatch):
+    monkeypatch.setattr(sys.modules["grovetally.plans.lower"], "FEW_CHAINS", 1)
+    against_rows(messy, tree)
+
+
+def test_wide_tree(messy, spark, tmp_path):
+    """All trees at once: many chains of different keys and measures, from one scan and one shuffle of rows."""
+    tree = Branch(*TREES, *[Select("w", Bin(2 + i, -4, 8, "x", Deviate("y"))) for i in range(12)], Label(**{"a'b\\": Bin(3, 0, 1, "y"), "c": Bin(5, 0, 1, "y")}))
+    against_rows(messy, tree)
+    whole = aggregate(messy, tree)
+    parts = aggregate(messy.where("y > 0.75"), tree) + aggregate(messy.where("not coalesce(y > 0.75, false)"), tree)
+    assert parts.equals(whole, 1e-9, 1e-12)
+    spark.range(100).selectExpr("double(id) as x", "id as unused").write.parquet(str(tmp_path / "t"))
+    plan = tidy(spark.read.parquet(str(tmp_path / "t")), Branch(*[Bin(5 + i, 0, 100, "x") for i in range(40)]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2 and "unused" not in plan and "from_json" not in plan
+    assert len(tidy(messy.where("false"), tree).where("entries > 0").take(1)) == 0
+
+
 @pytest.mark.parametrize("tree", TREES, ids=[f"{i}-{t.kind}" for i, t in enumerate(TREES)])
 def test_laws(messy, tree):
     from grovetally.sources import loads, to_string
