@@ -392,6 +392,7 @@ def encoded(docs: DataFrame, path: str, top: tuple[np.ndarray, np.ndarray], ends
                 h = c.span_hash(starts, stops)
                 seq, at = subwords.sequences(c, starts, begins, stops, h)
                 seq, whole = seq.astype(kind), c.span_hash(c.offsets[:-1], c.offsets[1:])
+                whole = mix(whole ^ b.column(3).slice(c.first, c.n).to_numpy().view(np.uint64))
                 rounds = [int(np.bitwise_or.reduce(1 << dealt(whole[d], j - i, 1, PIECE)[0])) for d, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True))]
                 n = np.diff(begins)
                 owner = np.repeat(np.arange(c.n), n)
@@ -408,7 +409,8 @@ def encoded(docs: DataFrame, path: str, top: tuple[np.ndarray, np.ndarray], ends
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, shared double, rare array<long>, key long, rounds long, ids binary"
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text").transform(map_arrow, run, schema)
+    own = F.xxhash64(F.col("doc_id").cast("string")).alias("own")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text", own).transform(map_arrow, run, schema)
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "ids")
 
 
@@ -432,14 +434,15 @@ def id_counts(rows: DataFrame, path: str) -> np.ndarray:
 
 
 def dealt(key: np.uint64, n: int, units: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Round, unit and key of each piece of a document of ``n`` ids with its ends, whose text has the hash ``key``."""
+    """Round, unit and key of each piece of a document of ``n`` ids with its ends, whose id and text have the hash ``key``. So copies
+    under ids of their own go to all units; rows that repeat both id and text share theirs."""
     own = mix(np.full(-(-(n - 1) // piece), key, dtype=np.uint64) ^ np.arange(0, n - 1, piece, dtype=np.uint64))
     return (own % np.uint64(ROUNDS)).astype(np.int64), (own // np.uint64(ROUNDS) % np.uint64(units)).astype(np.int64), own
 
 
 def pieces(rows: DataFrame, turn: int, units: int, size: int) -> DataFrame:
     """(unit, key, lead, ids) of one round: the training documents in pieces of at most PIECE scored ids. A piece holds
-    ``lead`` ids before them that are only looked at; it is dealt by the hash of its text and its place."""
+    ``lead`` ids before them that are only looked at; it is dealt by the hash of its document's id and text and its place."""
     kind = np.uint16 if size <= 1 << 16 else np.uint32
 
     def run(batches):

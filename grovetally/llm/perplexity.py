@@ -28,6 +28,8 @@ from ._text import Chunk, chunks, mix
 
 MAX_DOCS, MAX_WORDS = 2000, 2_000_000
 QUANTILE, MARGIN, LEAST = 0.995, 1.25, 50
+#: The most thresholds that are broadcast.
+SENT_LIMITS = 100_000
 #: Parts of the training documents; each is scored by a model of the other parts.
 FOLDS = 10
 _SHARD_BITS = 16
@@ -277,8 +279,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
         cut_ = each.where(F.col("upto") >= F.col("all") * quantile).groupBy(*keys).agg(F.min("step").alias("step"), F.max("all").alias("all"))
         return cut_.where(F.col("all") >= LEAST).select(*keys, (F.exp(F.col("step") / 100) * margin).alias(name)) if keys else cut_.select((F.exp(F.col("step") / 100) * margin).alias(name))
 
+    def sent(limits: DataFrame) -> DataFrame:
+        """Few thresholds are broadcast, so that no task gets all rows of a language."""
+        limits = cut(limits)
+        return F.broadcast(limits) if limits.count() <= SENT_LIMITS else limits
+
     overall = limit([], "t0").collect()
-    out = scored.join(limit(["tongue", "size"], "t2"), ["tongue", "size"], "left").join(limit(["tongue"], "t1"), "tongue", "left")
+    out = scored.join(sent(limit(["tongue", "size"], "t2")), ["tongue", "size"], "left").join(sent(limit(["tongue"], "t1")), "tongue", "left")
     threshold = F.coalesce("t2", "t1", F.lit(overall[0][0] if overall else None).cast("double"))
     out = out.withColumn("threshold", threshold)
     kept = F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))

@@ -482,6 +482,20 @@ def test_lm_pieces_hold_every_id_of_training_once(spark, monkeypatch):
     assert {i: int(n) for i, n in enumerate(ids) if n} == expected
 
 
+def test_lm_copies_go_to_all_units(spark):
+    """A text that stands under many ids is not one unit's work."""
+    from collections import Counter
+
+    import numpy as np
+
+    from grovetally.llm import lm
+
+    df = spark.range(3000).selectExpr("id AS doc_id", "'the same few words in every row' AS text")
+    rows = lm.encoded(df, lm.VOCABULARY, (np.zeros(0, np.uint64), np.zeros(0)), 0)
+    units = Counter(r["unit"] for turn in range(lm.ROUNDS) for r in lm.pieces(rows, turn, 10, 50257).select("unit").collect())
+    assert len(units) == 10 and max(units.values()) < 1.5 * sum(units.values()) / 10
+
+
 def test_lm_scores_each_id_once_by_plain_attention():
     """Overlapping windows against attention over one position at a time; probabilities add up to 1."""
     import numpy as np
