@@ -971,3 +971,25 @@ def wide_branch(spark, d):
     """Histograms of one quantity by 24 bin widths, each with means of another, in one pass over the table."""
     rows = tidy(lineitem(spark, d), Branch(*[Bin(10 + i, 0, 110000, "l_extendedprice", Average("l_quantity")) for i in range(_WIDE)]), dense=False)
     return rows.where("path LIKE '%/values' AND entries > 0").selectExpr("path", "bigint(get(keys, 0)) AS bin", "entries", "round(mean, 6) AS mean")
+
+
+@query(f"""WITH m AS (SELECT l_orderkey, l_quantity AS px, l_linenumber::DOUBLE AS py, l_discount AS pz, l_extendedprice / 100.0 AS e,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_discount, l_extendedprice, l_tax) AS k FROM lineitem),
+t AS (SELECT a.px + b.px AS px, a.py + b.py AS py, a.pz + b.pz AS pz, a.e + b.e AS e FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.k = 1 AND b.k = 2),
+s AS (SELECT sqrt(px * px + py * py) AS pt, e * e - px * px - py * py - pz * pz AS s FROM t)
+SELECT bin, count(*)::DOUBLE AS entries, round(avg(pt), 6) AS mean FROM (SELECT pt, {bin_sql("m", 50, 0.0, 2500.0)} AS bin FROM (SELECT pt, CASE WHEN s >= 0 THEN sqrt(s) ELSE 'NaN'::DOUBLE END AS m FROM s))
+GROUP BY bin HAVING bin >= 0""")
+def events_from_json(spark, d):
+    """Orders as events with their lines as muons, written as gzipped JSON lines and read back: the masses of pairs, with mean momenta across."""
+    from .functions.vectors import lorentz_sum, mass, pt
+    from .sources.events import read_events
+    from .sources.shared import shared_path
+
+    path = shared_path(spark, "collisions")
+    line = "named_struct('px', l_quantity, 'py', double(l_linenumber), 'pz', l_discount, 'E', l_extendedprice / 100D, 'q', l_linenumber, 'iso', l_tax)"
+    orders = lineitem(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.expr(line))).alias("muons"))
+    orders.select("muons", F.size("muons").alias("numPrimaryVertices")).write.option("compression", "gzip").json(path)
+    events = read_events(spark, path)
+    both = lorentz_sum(F.get("muons", F.lit(0)), F.get("muons", F.lit(1)))
+    rows = tidy(events, Select(F.size("muons") >= 2, Bin(50, 0, 2500, mass(both), Average(pt(both)))), dense=False)
+    return shown(rows.where("entries > 0"), "data/values", "entries, mean", "bin bigint")
