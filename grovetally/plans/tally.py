@@ -34,28 +34,31 @@ class Tally:
     """The rows of a filled tree and its structure (as :func:`grovetally.operators.shape.shape` gives it).
 
     ``rows`` may hold several rows for a node, which stand for their sum. Below a Stack they are of its bins or, if ``summed``, of all
-    from a threshold up.
+    from a threshold up. ``single``: there is one row for each node. ``kept``: rows come from saved tallies, a few for each node; they are brought together by
+    node before they are folded, as a table of all nodes that a task reads would grow with the files, and fold little.
     """
 
-    def __init__(self, rows: DataFrame, structure: dict, summed: bool = False):
+    def __init__(self, rows: DataFrame, structure: dict, summed: bool = False, single: bool = False, kept: bool = False):
         self.custom = H.measured(structure)
         self.extra = sorted({c for own in self.custom.values() for c in own.columns().values()})
-        self.rows, self.structure, self.summed = rows.select(*_COLUMNS, *self.extra), structure, summed
+        self.rows, self.structure, self.summed, self.single, self.kept = rows.select(*_COLUMNS, *self.extra), structure, summed, single, kept
 
     @property
     def _every(self) -> set[str]:
         return set(MEASURES).union(self.extra)
 
-    def _with(self, rows: DataFrame) -> Tally:
-        return Tally(rows, self.structure, self.summed)
+    def _with(self, rows: DataFrame, single: bool) -> Tally:
+        return Tally(rows, self.structure, self.summed, single, self.kept and not single)
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        return folded(rows.repartition("path", "kind", "keys") if self.kept else rows, self._every)
 
     def _thresholds(self) -> list[tuple[str, int]]:
         return [] if self.summed else [(path, i) for path, _, _, stacks in H.nodes(self.structure) for i in stacks]
 
     def _final(self) -> Tally:
         """One row for each node, summed."""
-        every = self._every
-        return Tally(stacked(folded(parts(self.rows), every), every, self._thresholds()), self.structure, True)
+        return Tally(stacked(self.compact().rows, self._every, self._thresholds()), self.structure, True, True)
 
     def __add__(self, other: Tally) -> Tally:
         """The sum: what both trees were filled with. Trees of other structure or with other names cannot be added (:class:`MergeError`)."""
@@ -63,14 +66,14 @@ class Tally:
             return NotImplemented
         H.agree(self.structure, other.structure)
         a, b = (self, other) if self.summed == other.summed or not self._thresholds() + other._thresholds() else (self._final(), other._final())
-        return Tally(a.rows.union(b.rows), self.structure, a.summed)
+        return Tally(a.rows.union(b.rows), self.structure, a.summed, kept=a.kept or b.kept)
 
     def __mul__(self, factor: float) -> Tally:
         """All weights times ``factor``; a factor that is NaN or not above 0 gives :meth:`zero`."""
         if math.isnan(factor) or factor <= 0:
             return self.zero()
         f = F.lit(float(factor))
-        return self._with(self.rows.withColumns({c: F.col(c) * f for c in ("entries", "sum", "m2", *[c for c in self.extra if c.startswith("u_sum_")])}))
+        return self._with(self.rows.withColumns({c: F.col(c) * f for c in ("entries", "sum", "m2", *[c for c in self.extra if c.startswith("u_sum_")])}), self.single)
 
     __rmul__ = __mul__
 
@@ -85,7 +88,7 @@ class Tally:
 
     def compact(self) -> Tally:
         """The same with one row for each node."""
-        return self._with(folded(parts(self.rows), self._every))
+        return self if self.single else self._with(self._folded(parts(self.rows)), True)
 
     def tidy(self, dense: bool = True) -> DataFrame:
         """Rows as :func:`grovetally.tidy` gives them."""
@@ -94,7 +97,7 @@ class Tally:
         for empty in empty_rows(self.rows.sparkSession, [n[:3] for n in H.nodes(self.structure)], dense, nothing):
             rows = rows.union(empty)
         every = self._every
-        return finished(stacked(folded(rows, every), every, self._thresholds()), every, custom=self.custom)
+        return finished(stacked(self._folded(rows), every, self._thresholds()), every, custom=self.custom)
 
     def result(self) -> R.Result:
         """The tree, on the driver: for results that fit there."""
@@ -144,7 +147,7 @@ def load(spark: SparkSession, path: str) -> Tally:
     known = rows.schema["path"].metadata if "path" in rows.columns else {}
     if STRUCTURE not in known:
         raise ValueError(f"{path} holds no saved tally")
-    return Tally(rows, json.loads(known[STRUCTURE]))
+    return Tally(rows, json.loads(known[STRUCTURE]), kept=True)
 
 
 def logged(spark: SparkSession, path: str, entry: int | str = "last") -> Tally:
@@ -170,7 +173,7 @@ def from_tidy(rows: DataFrame, structure: dict) -> Tally:
 
 def tally(df: DataFrame, spec: Spec, nulls: str = "nan") -> Tally:
     """``spec`` filled from ``df``, in the same single pass as :func:`grovetally.tidy`, as rows that can be added to others."""
-    return Tally(states(df, spec, nulls), H.shape(spec))
+    return Tally(states(df, spec, nulls), H.shape(spec), single=True)
 
 
 def merge(tallies: Iterable[Tally]) -> Tally:

@@ -93,6 +93,21 @@ def test_structures_that_differ_cannot_be_added(rows, other, said):
         tally(rows, Select("x", Bin(4, 0, 1, "x"))) + tally(rows, other)
 
 
+def test_saved_tallies_fold_by_node(spark, rows, tmp_path):
+    """No task holds a table of all nodes in the files that it reads, and what is filled is not folded again to be saved."""
+    path = f"file://{tmp_path}/saved"
+    parts = [tally(x, LESS) for x in halves(rows)]
+    assert parts[0].compact() is parts[0] and (2 * parts[0]).single and not (parts[0] + parts[1]).single
+    for p in parts:
+        p.append(path)
+    for t in (load(spark, path), 2 * load(spark, path)):
+        plan = t.compact().rows._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" in plan and "Exchange hashpartitioning(path" in plan
+        assert "Aggregate" not in plan[plan.rindex("Exchange hashpartitioning") :]
+        assert t.compact().compact().single
+    assert (load(spark, path) + parts[0]).result().equals(merge([*parts, parts[0]]).result(), rel=1e-11, abs_=1e-11)
+
+
 def test_saved_rows(spark, rows, tmp_path):
     path = f"file://{tmp_path}/saved"
     parts = [tally(x, LESS) for x in halves(rows)]
