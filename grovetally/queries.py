@@ -843,10 +843,8 @@ def json_large(spark, d):
 
     path = shared_path(spark, "json")
     write_json(tally(lineitem(spark, d), Categorize("l_orderkey", Branch(Average("l_extendedprice"), Maximize("l_tax")))), path)
-    rows = read_json(spark, path).tidy()
-    key = F.get("keys", F.lit(0)).alias("key")
-    means = rows.where("path = 'bins/i0'").select(key, "entries", F.round("mean", 6).alias("mean"))
-    return means.join(rows.where("path = 'bins/i1'").select(key, F.round("max", 2).alias("top")), "key")
+    rows = read_json(spark, path).tidy().where("path IN ('bins/i0', 'bins/i1')").groupBy(F.get("keys", F.lit(0)).alias("key"))
+    return rows.agg(F.max(F.expr("if(path = 'bins/i0', entries, NULL)")).alias("entries"), F.round(F.max("mean"), 6).alias("mean"), F.round(F.max("max"), 2).alias("top"))
 
 
 @query("""SELECT '{"version": "1.0", "type": "Stack", "data": {"entries": ' || count(*) || ', "bins:type": "Bag", "bins": [' || (SELECT string_agg('{"atleast": ' || low || ', "data": {"entries": ' || n || ', "values": [' || v || '], "range": "N"}}', ', ' ORDER BY i) FROM

@@ -4,8 +4,11 @@ Writing: each node of the result is a few pieces of text with a place in the doc
 files, in the order of their names, are one JSON document, as :func:`grovetally.sources.to_string` gives it but for white space and the
 spelling of numbers. No step gathers the children of a node.
 
-Reading: a document is a VARIANT, and each path of the tree is a walk through it that explodes bins as it meets them, to tidy rows. A document
-is one value, so it must fit in one (128 MiB); larger results are kept as :meth:`Tally.save` or :meth:`Tally.log` keep them.
+A line is indented by the number of its piece, in blanks (0) and tabs (1), which JSON does not mind.
+
+Reading: what :func:`write_json` has written is read by lines, in ranges of any size. The indent says which node a line is of, the bins around it are the last ones
+that began before it, and a table with a row for each file says which had begun before the file. Other documents are VARIANTs, and each path
+of the tree is a walk through them that explodes bins as it meets them, to tidy rows (:func:`decode`); such a document must fit in one value (128 MiB).
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import prod
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import shape as H
@@ -28,6 +31,8 @@ _MEASURES = {"Sum": ("sum",), "Average": ("mean",), "Deviate": ("mean", "varianc
 _EDGE = {"CentrallyBin": "center", "IrregularlyBin": "atleast", "Stack": "atleast"}
 #: The kind of a Bag's values, which are nodes of their own here.
 _ITEM = {"kind": "Item"}
+#: Lines of a file, and what says that they are indented.
+_LINES, _INDENTED = 1_000_000, "_lines.json"
 
 
 def _text(x) -> str:
@@ -52,6 +57,8 @@ class _Node:
     sizes: tuple[int, ...]
     #: Bins that data decide begin with this node.
     sparse: bool
+    #: The number of keys that its rows have.
+    depth: int
 
 
 def _pieces(d: dict, hide: bool) -> tuple[list[list[str]], list[tuple[str, dict, bool]]]:
@@ -104,7 +111,7 @@ def _nodes(d: dict) -> Iterator[_Node]:
         pieces, below = _pieces(d, hide)
         pieces = [*pieces]
         pieces[0], pieces[-1] = [*before, *pieces[0]], [*(pieces[-1] if len(pieces) > 1 else [*before, *pieces[-1]]), *after]
-        yield _Node(path, "Transformed" if d.get("transformed") else d["kind"], place, pieces, edges, anchor, sizes, sparse)
+        yield _Node(path, "Transformed" if d.get("transformed") else d["kind"], place, pieces, edges, anchor, sizes, sparse, keys)
         kind = d["kind"]
         for i, (step, c, hidden) in enumerate(below):
             down, here = f"{path}/{step}" if path else step, [*place, f"{2 * i + 1:06d}"]
@@ -118,7 +125,7 @@ def _nodes(d: dict) -> Iterator[_Node]:
             elif kind == "Bag":
                 own = {"S": [f"#s{keys}"]}.get(d["range"], [])
                 value = "#" + {"S": "string", "N": "double"}.get(d["range"], "vector")
-                yield _Node(down, "Item", [*here, *own], [["#comma", '{"w": ', "#entries", ', "v": ', value, "}"]], [], down, (), True)
+                yield _Node(down, "Item", [*here, *own], [["#comma", '{"w": ', "#entries", ', "v": ', value, "}"]], [], down, (), True, keys + 1)
             else:
                 order = f"#{'i' if kind == 'SparselyBin' else 's'}{keys}"
                 yield from walk(c, down, hidden, [*here, order], keys + 1, down, (), ["#comma", "#key", ": "], [], [], True)
@@ -126,6 +133,11 @@ def _nodes(d: dict) -> Iterator[_Node]:
     yield from walk(d, "", False, [], 0, "", (), [f'{{"version": {_text(VERSION)}, "type": {_text(d["kind"])}, "data": '], ["}"], [], False)
 
 
+def _indents(nodes: list[_Node]) -> dict[tuple[str, int], str]:
+    """What the lines of a piece begin with, by the path of its node and its number there."""
+    return {k: f"{i:b}".translate({48: " ", 49: "\t"}) for i, k in enumerate((n.path, j) for n in nodes for j in range(len(n.pieces)))}
+
+
 def _spelled(x: str) -> str:
     """SQL for a number as JSON."""
     whole = f"{x} = floor({x}) AND abs({x}) < 9007199254740992D"
@@ -138,7 +150,7 @@ def _quoted(x: str) -> str:
 
 
 def encode(tally: Tally, kept: str | None = None) -> DataFrame:
-    """The JSON document of a result as rows (place, numbers, text): sorted by the first two, the texts are the document.
+    """The JSON document of a result as rows (place, numbers, text, indent): sorted by the first two, the texts are the document.
 
     The tidy rows are written once, at ``kept`` or in the shared folder, as several steps read them."""
     spark, nodes = tally.rows.sparkSession, list(_nodes(tally.structure))
@@ -168,8 +180,9 @@ def encode(tally: Tally, kept: str | None = None) -> DataFrame:
         whole = whole.join(first, ["path", "keys"], "left")
     else:
         whole = whole.withColumn("first", F.lit(False))
-    forms = [(n.path, [(f"{2 * i:06d}", p) for i, p in enumerate(n.pieces)], n.place, n.edges, n.sparse) for n in nodes]
-    forms = spark.createDataFrame(forms, "path string, pieces array<struct<number: string, parts: array<string>>>, place array<string>, edges array<double>, sparse boolean")
+    indents = _indents(nodes)
+    forms = [(n.path, [(f"{2 * i:06d}", p, indents[n.path, i]) for i, p in enumerate(n.pieces)], n.place, n.edges, n.sparse) for n in nodes]
+    forms = spark.createDataFrame(forms, "path string, pieces array<struct<number: string, parts: array<string>, indent: string>>, place array<string>, edges array<double>, sparse boolean")
     # as many forms as the tree has nodes, whatever the bins
     out = whole.join(rows, ["path", "keys"], "left").join(F.broadcast(forms), "path").withColumn("last", F.expr("get(keys, size(keys) - 1)"))
     zero = {"entries": "0D", "sum": "0D"} | {m: "double('NaN')" for m in ("mean", "variance", "min", "max")}
@@ -185,27 +198,85 @@ def encode(tally: Tally, kept: str | None = None) -> DataFrame:
     out = out.selectExpr("*", f"transform(place, p -> {order}) AS own", "explode(pieces) AS piece")
     numbers = f"CASE WHEN array_contains(piece.parts, '#double') THEN array(double(last)) WHEN array_contains(piece.parts, '#vector') THEN {vector} ELSE CAST(array() AS array<double>) END"
     place = "if(array_contains(piece.parts, '#double') OR array_contains(piece.parts, '#vector'), own, concat(own, array(piece.number)))"
-    return out.selectExpr(f"{place} AS place", f"{numbers} AS numbers", f"array_join(transform(piece.parts, p -> {text}), '') AS text")
+    return out.selectExpr(f"{place} AS place", f"{numbers} AS numbers", f"array_join(transform(piece.parts, p -> {text}), '') AS text", "piece.indent")
 
 
 def write_json(tally: Tally, path: str) -> None:
     """Writes a result as one JSON document over text files, and its structure beside them, in a new folder."""
     spark = tally.rows.sparkSession
     kept = shared_path(spark, "tidy")
-    encode(tally, kept).repartitionByRange("place", "numbers").sortWithinPartitions("place", "numbers").select("text").write.text(path)
+    sorted_ = encode(tally, kept).repartitionByRange("place", "numbers").sortWithinPartitions("place", "numbers")
+    sorted_.select(F.concat("indent", "text").alias("text")).write.option("maxRecordsPerFile", _LINES).text(path)
     Folder(spark, kept).delete("")
     Folder(spark, path).write("_structure.json", tally.structure)
+    Folder(spark, path).write(_INDENTED, {"lines": _LINES})
 
 
 def read_json(spark: SparkSession, path: str, structure: dict | None = None) -> Tally:
     """The result whose document :func:`write_json` has written; the structure is that beside it if none is given."""
-    structure = Folder(spark, path).read("_structure.json") if structure is None else structure
+    folder = Folder(spark, path)
+    own = folder.read("_structure.json") if structure is None or folder.has(_INDENTED) else structure
+    structure = own if structure is None else structure
+    if folder.has(_INDENTED) and _nameless(own) == _nameless(structure):
+        return from_tidy(_by_line(spark, path, structure), structure)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
     whole = lines.groupBy("file", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("text"))
     doc = whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "start", "text"))), lambda x: x["text"]), "\n").alias("doc"))
     return from_tidy(decode(doc, structure), structure)
 
 
+def _nameless(d: dict) -> dict:
+    """A structure without the names of quantities."""
+    return {k: [[s, _nameless(c)] for s, c in x] if k == "children" else x for k, x in d.items() if k != "name"}
+
+
+def _by_line(spark: SparkSession, path: str, structure: dict) -> DataFrame:
+    """Tidy rows (and ``kind``) of a document whose lines are indented by the numbers of their pieces."""
+    nodes = list(_nodes(structure))
+    indents = _indents(nodes)
+    how = {n.path: (n.pieces[0][4] if n.kind == "Item" else "#key" if n.sparse else "#number") if n.pieces[0][0] == "#comma" else None for n in nodes}
+    table = [(indents[n.path, j], j == 0, n.path, n.kind, n.depth, how[n.path], n.sizes[-1] if n.sizes else None) for n in nodes for j in range(len(n.pieces))]
+    table = spark.createDataFrame(table, "indent string, first boolean, path string, kind string, depth int, how string, size long")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("indent", F.regexp_extract("value", "^[ \t]*", 0)).join(F.broadcast(table), "indent", "left")
+    lines = lines.where(F.coalesce("first", F.raise_error(F.lit("a line of the document is of no node")).cast("boolean")))
+    # the numbers of a line, and its own bin
+    number = r'"(?:nan|inf|-inf)"|[-+0-9.eE]+'
+    many = rf'\{{"entries": ({number})(?:, "(?:sum|mean|min|max)": ({number}))?(?:, "variance": ({number}))?'
+    item, kind = F.parse_json(F.when(F.col("kind") == "Item", F.regexp_extract("value", r'(?s)\{"w": .*', 0))), F.col("kind")
+    one = F.regexp_extract("value", rf"({number})\}}*\z", 1)
+    wrong = lambda: F.raise_error(F.concat(F.lit("the document has no number at '"), "path", F.lit("'"))).cast("double")
+    real = lambda x: F.coalesce(F.btrim(x, F.lit('"')).try_cast("double"), wrong())
+    group = lambda i: real(F.regexp_extract("value", many, i))
+    text = lambda key: F.variant_get(item, f"$.{key}", "string")
+    entries = F.when(kind.isin("Count", "Transformed"), real(one)).when(kind == "Item", real(text("w"))).otherwise(group(1))
+    measures = {"entries": entries, **{m: F.when(kind.isin(*[k for k, ms in _MEASURES.items() if m in ms]), group(3 if m == "variance" else 2)) for m in ("sum", "mean", "variance", "min", "max")}}
+    name = F.variant_get(F.parse_json(F.regexp_extract("value", rf'(?s)^[ \t]*(?:, )?(".*"): (?:\{{"entries": |(?:{number})\z)', 1)), "$", "string")
+    vector = F.to_json(F.transform(F.variant_get(item, "$.v", "array<string>"), lambda x: x.cast("double")))
+    key = F.when(F.col("how") == "#key", name).when(F.col("how") == "#string", text("v")).when(F.col("how") == "#double", text("v").cast("double").cast("string")).when(F.col("how") == "#vector", vector)
+    top = F.when((F.col("path") == "") & ~F.contains("value", F.lit(f'"type": {_text(structure["kind"])}, "data": ')), F.raise_error(F.lit(f"the document is no {structure['kind']}")).cast("string")).otherwise(kind)
+    rows = lines.select("file", "start", "at", "indent", "path", top.alias("kind"), "depth", "how", "size", key.alias("key"), *[x.alias(m) for m, x in measures.items()])
+    within, over, part = Window.partitionBy("file", "start").orderBy("at"), Window.orderBy("file", "start"), ["file", "start"]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if "#number" in how.values():
+        # a dense binning has all its bins, so the number of a bin follows from how many of its kind came before
+        met = rows.where("how = '#number'").groupBy(*part, "indent").count()
+        met = met.select(*part, "indent", F.coalesce(F.sum("count").over(before(Window.partitionBy("indent").orderBy(*part))), F.lit(0)).alias("met"))
+        here = F.row_number().over(Window.partitionBy(*part, "indent").orderBy("at"))
+        rows = rows.withColumn("here", here).join(F.broadcast(met), [*part, "indent"], "left")
+        rows = rows.withColumn("key", F.when(F.col("how") == "#number", ((F.col("met") + F.col("here") - 1) % F.col("size")).cast("string")).otherwise(F.col("key")))
+    deepest = max(n.depth for n in nodes)
+    last: list[Column] = []
+    if deepest:
+        # the document goes through bins one after another, so the last bin of a depth that began is the one around what is deeper
+        own = lambda x, i: F.when(F.col("how").isNotNull() & (F.col("depth") == i + 1), F.col(x))
+        begun = rows.groupBy(*part).agg(*[F.max_by(own("key", i), own("at", i)).alias(f"b{i}") for i in range(deepest)])
+        begun = begun.select(*part, *[F.last(f"b{i}", True).over(before(over)).alias(f"b{i}") for i in range(deepest)])
+        rows = rows.select("*", *[F.last(own("key", i), True).over(within.rowsBetween(Window.unboundedPreceding, 0)).alias(f"k{i}") for i in range(deepest)]).join(F.broadcast(begun), part, "left")
+        last = [F.coalesce(f"k{i}", f"b{i}") for i in range(deepest)]
+    return rows.select("path", "kind", F.slice(F.array(*last).cast("array<string>"), F.lit(1), F.col("depth")).alias("keys"), *measures)
+
+
 def decode(docs: DataFrame, structure: dict, doc_col: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
     """Tidy rows (and ``kind``) of the JSON documents in a column, which all have one structure; columns in ``keep`` go with them.
 

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_tally import LESS, TREE, rows  # noqa: F401
@@ -117,3 +118,35 @@ def test_many_categories(spark, tmp_path):
     got = json.loads(document(f"{tmp_path}/doc"))["data"]
     assert got["entries"] == 100000 and len(got["bins"]) == 50000
     assert read_json(spark, f"file://{tmp_path}/doc").rows.where("path = 'bins/bins'").selectExpr("count(*)", "sum(entries)").first()[:] == (50000, 100000.0)
+
+
+#: Bins that data decide and bins that are there anyway, above and below each other, beside leaves of the same form.
+NESTED = UntypedLabel(
+    cats=Categorize("s", Bin(3, -1, 1, "x", Categorize("s", Branch(Count(), Sum("y"))))), bins=Bin(2, -1, 1, "x", SparselyBin(1.0, "y", CentrallyBin([0, 1], "x", Bag("s", "S")))),
+    items=Categorize("s", Bag("array(double(k), 1D)", "N2")), again=Categorize("s", Count()), last=Bag("x"),
+)
+
+
+def test_documents_are_read_by_line(spark, rows, tmp_path, monkeypatch):  # noqa: F811
+    """No task gets a document, or more of it than a file; what was open before a file is known in it."""
+    from grovetally.sources import json_rows
+
+    def refused(*args):
+        raise AssertionError("the whole document")
+
+    monkeypatch.setattr(json_rows, "_LINES", 7)
+    odd = "concat(s, if(k = 1, '\": {\"entries\": 5, \\\\ : 7\u2028', if(k = 2, '\\n\": 12', '')))"
+    rows = rows.withColumn("s", F.expr(odd))
+    for i, tree in enumerate((NESTED, Count(), Bin(2, -1, 1, named("x", "q"), Deviate("y")), Categorize("s", Minimize("sqrt(-x)")))):
+        t, path = tally(rows, tree), f"{tmp_path}/doc{i}"
+        write_json(t, f"file://{path}")
+        near(json.loads(document(path)), json.loads(json.dumps(to_json(t.result()))))
+        with monkeypatch.context() as m:
+            m.setattr(json_rows, "decode", refused)
+            assert read_json(spark, f"file://{path}").result().equals(t.result(), rel=1e-11, abs_=1e-11)
+    assert len([f for f in os.listdir(f"{tmp_path}/doc0") if f.startswith("part-")]) > 50
+    # another structure, and one that is not indented, are read whole
+    with pytest.raises(Exception, match="no Sum"):
+        read_json(spark, f"file://{tmp_path}/doc1", H.shape(Sum("x"))).rows.collect()
+    os.remove(f"{tmp_path}/doc0/_lines.json")
+    assert read_json(spark, f"file://{tmp_path}/doc0").result().equals(tally(rows, NESTED).result(), rel=1e-11, abs_=1e-11)
