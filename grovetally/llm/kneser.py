@@ -4,12 +4,14 @@ Every place of a document's tokens is a record: the pair of tokens that ends the
 in trusted documents the token before it. Records go to shards by the pair's hash. A shard counts the records
 of trusted documents, which gives the triples after each pair and the different tokens before it, and answers every record with
 the counts that it needs. A shard's pairs give the counts of their words; these are summed in
-shards of words, which answer the words of each batch. Last, a batch's tokens meet all answers and its documents are scored.
+shards of words, after each round and then over all, which answer the words of each batch. Last, a batch's tokens meet all answers and its documents are scored.
 No task and not the driver holds more than a shard of the counts or a batch of documents.
 
 Trusted documents are scored twice, the second time by a model of the other folds. All that a fold's document asks
 for occurs in that fold, so a shard has the counts without the fold as differences for what occurs in it.
 
+Records of a batch send each pair once, and the word before follows from its hash. Answers are small and mostly alike, so they are kept by columns.
+
 Pairs are 64-bit hashes; the tokens before and after a pair are told apart by 32 bits within the pair. To bound the disk that shuffles
 take at once, pairs are dealt to ``ROUNDS`` rounds (one if texts are ``FEW``), each of which reads the texts again. Batches must come the same each time; a sum over
 each batch's tokens goes with its records, and another sum is an error.
@@ -29,9 +31,9 @@ from ._spark import cut, map_arrow, shared_path, shuffles_dropped, tidied, writt
 from ._text import chunks, mix
 from .perplexity import _C1, FOLDS, discounts, sequence, signatures
 
-ROUNDS = 6
+ROUNDS = 7
 #: Rounds of the shards of words, and of the input's partitions when documents are scored.
-WORD_ROUNDS, LAST_ROUNDS = 2, 3
+WORD_ROUNDS, LAST_ROUNDS = 2, 4
 #: Texts of fewer bytes take one round. Bytes of text for each shard.
 FEW, SHARE = 64 << 20, 2 << 20
 #: The model of all trusted documents; models 0 to FOLDS - 1 are those without a fold.
@@ -42,27 +44,94 @@ _PAIRS, _ANSWERS, _TALLY, _WORD_ANSWERS, _TOKENS = range(5)
 _COUNTS, _WORDS = 16, 1 << 16
 #: Rows of word counts that a task sums before it passes them on.
 _HELD = 1 << 17
+#: Bytes of text whose words are found at once, few enough for a core's cache.
+_CHUNK = 1 << 18
 #: Tokens whose probabilities are computed at once.
 _SLICE = 1 << 17
 
 
+def joint(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of a table of whole numbers from 0 as a byte each: its place among the most frequent columns of small numbers
+    (as keys), or 255 for any other, which follow as they are. One byte for a column takes fewer bits than one for each number, as most columns
+    are alike. Which are frequent is taken from columns at equal distances; that bears on size only."""
+    x = np.ascontiguousarray(x)
+    key = np.zeros(x.shape[1], np.uint64)
+    for i, row in enumerate(x):
+        key |= row.view(np.uint64) << np.uint64(_BITS * i)
+    key[x.max(axis=0, initial=0) >= 1 << _BITS] = _OTHER
+    some, n = np.unique(key[:: max(1, len(key) >> 12)], return_counts=True)
+    some = some[np.argsort(-n, kind="stable")]
+    some = some[some != _OTHER][:255]
+    slot = lambda k: (k * _C1 >> np.uint64(48)).astype(np.int64)
+    of_slot, keys = np.full(1 << 16, 255, np.uint8), np.full(256, _OTHER)
+    of_slot[slot(some)[::-1]] = np.arange(len(some), dtype=np.uint8)[::-1]  # of two in one slot, the more frequent one
+    keys[: len(some)] = some
+    code = of_slot[slot(key)]
+    code[keys[code] != key] = 255
+    return code, some, x[:, code == 255]
+
+
+class Columns:
+    """The table of :func:`joint`."""
+
+    def __init__(self, code: np.ndarray, keys: np.ndarray, others: np.ndarray):
+        self.code, self.others = code, others
+        self.frequent = np.zeros((len(others), 256), np.int64)
+        for i, row in enumerate(self.frequent):
+            row[: len(keys)] = (keys >> np.uint64(_BITS * i) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+
+    def rows(self, made, kind: type) -> np.ndarray:
+        """Columns as rows, after ``made``, which is computed once for all that are alike."""
+        out = np.ascontiguousarray(made(self.frequent).T.astype(kind))[self.code]
+        out[self.code == 255] = made(self.others).T
+        return out
+
+
+def rising(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that mostly rise, as differences: the lower six bytes of each, which do not compress, and what is above."""
+    x = np.diff(x, prepend=np.uint64(0))
+    return x.view(np.uint8).reshape(-1, 8)[:, :6], (x >> np.uint64(48)).astype(np.int64)
+
+
+def risen(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(low), 8), np.uint8)
+    x[:, :6] = low
+    return np.cumsum(x.view(np.uint64).ravel() | high.astype(np.uint64) << np.uint64(48), dtype=np.uint64)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, integers below 255 as one byte each."""
-    out = []
+    """Arrays as compressed bytes: integers below 255 as one byte each, tables of them by columns (see :func:`joint`). Bytes in
+    rows and 32-bit numbers are hashes; they stand behind the others as they are."""
+    out, plain = [], []
     for a in arrays:
-        if a.dtype == np.int64:
-            small = np.minimum(a, 255).astype(np.uint8)
-            over = a[a >= 255]
-            out += [np.array([1, len(a), len(over)], np.int64).tobytes(), small.tobytes(), over.tobytes()]
+        if a.ndim == 2 and a.dtype == np.int64:
+            code, keys, others = joint(a)
+            inner = packed(others.ravel())
+            out += [np.array([2, len(code), len(keys)], np.int64).tobytes(), np.array([len(a), len(inner)], np.int64).tobytes(), code.tobytes(), keys.tobytes(), inner]
+        elif a.ndim == 2 or a.dtype == np.uint32:
+            out.append(np.array([3, len(a), a.shape[1] if a.ndim == 2 else 0], np.int64).tobytes())
+            plain.append(a.tobytes())
         else:
-            out += [np.array([a.dtype.num + 100, len(a), 0], np.int64).tobytes(), a.tobytes()]
+            out.append(packed(a))
     raw = b"".join(out)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    small = pa.compress(raw, codec="zstd", asbytes=True)
+    return b"".join([len(raw).to_bytes(8, "little"), len(small).to_bytes(8, "little"), small, *plain])
+
 
+def packed(a: np.ndarray) -> bytes:
+    if a.dtype != np.int64:
+        return np.array([a.dtype.num + 100, len(a), 0], np.int64).tobytes() + a.tobytes()
+    over = a[a >= 255]
+    return b"".join([np.array([1, len(a), len(over)], np.int64).tobytes(), np.minimum(a, 255).astype(np.uint8).tobytes(), over.tobytes()])
 
-def unpack(blob: bytes) -> list[np.ndarray]:
-    size = int.from_bytes(blob[:8], "little")
-    raw, at, out = pa.decompress(blob[8:], size, codec="zstd", asbytes=True), 0, []
+
+def unpack(blob: bytes) -> list[np.ndarray | Columns]:
+    size, small = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+    return unpacked(pa.decompress(blob[16 : 16 + small], size, codec="zstd", asbytes=True), 0, size, blob, 16 + small)
+
+
+def unpacked(raw: bytes, at: int, size: int, plain: bytes = b"", behind: int = 0) -> list[np.ndarray | Columns]:
+    out = []
     while at < size:
         kind, n, over = np.frombuffer(raw, np.int64, 3, at).tolist()
         at += 24
@@ -70,6 +139,14 @@ def unpack(blob: bytes) -> list[np.ndarray]:
             a = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
             a[a == 255] = np.frombuffer(raw, np.int64, over, at + n)
             at += n + 8 * over
+        elif kind == 2:
+            height, inner = np.frombuffer(raw, np.int64, 2, at).tolist()
+            code, keys, at = np.frombuffer(raw, np.uint8, n, at + 16), np.frombuffer(raw, np.uint64, over, at + 16 + n), at + 16 + n + 8 * over
+            a = Columns(code, keys, unpacked(raw, at, at + inner)[0].reshape(height, -1))
+            at += inner
+        elif kind == 3:
+            a = np.frombuffer(plain, np.uint8, n * over, behind).reshape(n, over) if over else np.frombuffer(plain, np.uint32, n, behind)
+            behind += a.nbytes
         else:
             a = np.frombuffer(raw, _DTYPES[kind - 100], n, at)
             at += a.nbytes
@@ -77,6 +154,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+#: Bits of a number in the key of a column (of at most 12 numbers), and the key of columns with larger numbers.
+_BITS, _OTHER = 5, np.uint64(2**64 - 1)
 _DTYPES = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64)}
 
 
@@ -120,7 +199,7 @@ class Tokens:
     @staticmethod
     def read(b: pa.RecordBatch) -> Tokens:
         ws, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for c in chunks(b.column(2)):
+        for c in chunks(b.column(2), _CHUNK):
             starts, ends, begins = c.words()
             ws.append(c.span_hash(starts, ends))
             ns.append(np.diff(begins))
@@ -156,14 +235,20 @@ class Tokens:
         order = (np.sort(key) & np.uint64((1 << low) - 1)).astype(np.int64)  # no two keys are equal
         return own[order], shard[order]
 
-    def words(self, shards: int, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, shards: int, turn: int = 0, rounds: int = 1, given: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different words by shard (those of a round's shards), their shards, the models wanted of each as bits, and the
-        place of each of their tokens' word."""
+        place of each of their tokens' word. ``given``: all different words in any order, and where each token's is."""
         seq, model = self.seq, np.repeat(self.model, np.diff(self.begins) + 3)
         if rounds > 1:
             here = np.flatnonzero((seq >> np.uint64(40)) % np.uint64(shards) % np.uint64(rounds) == turn)
             seq, model = seq[here], model[here]
-        words, own = np.unique(seq, return_inverse=True)
+        if given:
+            rank = np.argsort(given[0])
+            back = np.empty(len(rank), np.int64)
+            back[rank] = np.arange(len(rank))
+            words, own = given[0][rank], back[given[1]]
+        else:
+            words, own = np.unique(seq, return_inverse=True)
         shard = ((words >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(words), np.int64)
@@ -185,13 +270,15 @@ def pair_rows(shards: int, turn: int, rounds: int):
             order, shard = t.order(turn, rounds, shards)
             good = t.of[order] < ALL
             after, before = t.beside(order)
-            pair, fold, w1, w2 = t.pair[order], t.of[order].astype(np.uint8), t.seq[t.at[order] - 1], t.seq[t.at[order]]
+            pair, fold, w2 = t.pair[order], t.of[order].astype(np.uint8), t.seq[t.at[order]]
+            new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (good[1:] != good[:-1]) | (shard[1:] != shard[:-1])])[: len(pair)]
             ends = np.searchsorted(shard, np.arange(shards + 1))
             middle = ends[1:] - np.diff(np.concatenate([[0], np.cumsum(good)])[ends])
             rows = []
             for s in np.flatnonzero(np.diff(ends)).tolist():
                 i, j, k = ends[s], middle[s], ends[s + 1]
-                blob = pack(np.array([t.sum], np.uint64), pair[i:j], after[i:j], w1[j:k], w2[j:k], after[j:k], before[j:k], fold[j:k])
+                one, two = np.flatnonzero(new[i:j]) + i, np.flatnonzero(new[j:k]) + j  # each pair once where its records lie side by side
+                blob = pack(np.array([t.sum], np.uint64), *rising(pair[one]), new[i:j].view(np.uint8), after[i:j], *rising(pair[two]), w2[two], new[j:k].view(np.uint8), after[j:k], before[j:k], fold[j:k])
                 rows.append((turn * shards + s, _PAIRS, at, blob))
             if rows:
                 yield table(rows)
@@ -215,6 +302,14 @@ def unfolded(x: np.ndarray) -> np.ndarray:
     return np.where(x % 2 == 1, -(x + 1) // 2, x // 2)
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    return brief(x, back=True)
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    return brief(unfolded(x), back=True)
+
+
 def tally(old: np.ndarray, new: np.ndarray | None = None, model: np.ndarray | None = None) -> np.ndarray:
     """How many counts are 1, 2, 3 and 4, for all models; or by how much they change in each model."""
     out = np.zeros((FOLDS + 1, 4), np.int64)
@@ -232,14 +327,30 @@ def _kinds(group: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(group[some] * 3 + np.minimum(count[some], 3) - 1, minlength=3 * n).reshape(n, 3)
 
 
+def first_words(pair: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The first words of pairs, which follow from their hashes and second words: each step of :func:`mix` has an inverse."""
+    h = pair ^ pair >> np.uint64(32)
+    for _ in range(2):
+        h = h * _UNMIX
+        h ^= h >> np.uint64(32)
+    return (h - second) * _UN_C1
+
+
+_UNMIX, _UN_C1 = (np.uint64(pow(int(x), -1, 2**64)) for x in (0xD6E8FEB86659FD93, _C1))
+
+
 class Pairs:
     """The counts of a shard's trusted records, and of each fold's the counts without the fold."""
 
-    def __init__(self, w1: np.ndarray, w2: np.ndarray, after: np.ndarray, before: np.ndarray, fold: np.ndarray):
+    def __init__(self, pair: np.ndarray, w2: np.ndarray, run: np.ndarray, after: np.ndarray, before: np.ndarray, fold: np.ndarray):
+        """``pair`` and ``w2`` have a row for each run of records of a pair, the others one for each record."""
         sums = lambda at, x, n: np.bincount(at, weights=x, minlength=n).astype(np.int64)
-        self.keys, first, self.own = np.unique(mix(w1 * _C1 + w2), return_index=True, return_inverse=True)
+        self.keys, own = np.unique(pair, return_inverse=True)
+        self.own = own[run]
         n = len(self.keys)
-        self.w1, self.w2 = w1[first], w2[first]
+        self.w2 = np.empty(n, np.uint64)
+        self.w2[own] = w2
+        self.w1 = first_words(self.keys, self.w2)
         self.in_fold, self.own_fold = np.unique(self.own * 16 + fold, return_inverse=True)
         pair, m = self.in_fold >> 4, len(self.in_fold)
 
@@ -256,7 +367,7 @@ class Pairs:
         place = np.searchsorted(self.in_fold, of[kind] * 16 + model)
         total = self.total[pair] + sums(place, left - self.n[kind], m)
         kinds = self.kinds[pair] + _kinds(place, left, m) - _kinds(place, self.n[kind], m)
-        three, three_fold = np.zeros((2, len(w1)), np.int64)
+        three, three_fold = np.zeros((2, len(run)), np.int64)
         three[has], three_fold[has] = self.n[at], left[at_each]
         self.tally3 = tally(self.n) + tally(self.n[kind], left, model)
 
@@ -279,22 +390,17 @@ class Pairs:
         base, folds = np.full(len(some), ALL, np.uint8), (self.in_fold[less] & 15).astype(np.uint8)
         self.words = summed(np.concatenate([self.w2[some], self.w1[some], self.w2[pair[less]], self.w1[pair[less]]]), np.concatenate([base, base, folds, folds]), np.concatenate(rows))
 
-    def find(self, pair: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
-        """The answers to records of other documents."""
-        zero = np.zeros(len(pair), np.int64)
+    def find(self, pair: np.ndarray, run: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
+        """The answers to records of other documents; ``pair`` is of runs of them."""
         if not len(self.keys):
-            return [zero] * 6
+            return [np.zeros(len(run), np.int64)] * 6
         at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == pair)
-        at = at[hit]
-        out = []
-        for x in (self.two, self.total, *self.kinds.T):
-            col = zero.copy()
-            col[hit] = x[at]
-            out.append(col)
-        code = at.astype(np.uint64) << np.uint64(32) | after[hit]
+        there = self.keys[at] == pair
+        out = [np.where(there, x[at], 0)[run] for x in (self.two, self.total, *self.kinds.T)]
+        hit = np.flatnonzero(there[run])
+        code = at[run[hit]].astype(np.uint64) << np.uint64(32) | after[hit]
         place = np.minimum(np.searchsorted(self.types, code), max(0, len(self.types) - 1))
-        col = zero.copy()
+        col = np.zeros(len(run), np.int64)
         if len(self.types):
             col[hit] = np.where(self.types[place] == code, self.n[place], 0)
         return [*out, col]
@@ -304,12 +410,37 @@ def summed(word: np.ndarray, model: np.ndarray, values: np.ndarray) -> tuple[np.
     """One row for each word and model, sorted by them."""
     if not len(word):
         return word, model, values
-    order = np.lexsort((model, word))
-    word, model = word[order], model[order]
+    order = np.argsort(word)
+    word, model = word[order], model[order].astype(np.int64)
+    # the same words stand together; their number and model are a whole number, which sorts faster than two keys
+    number = np.cumsum(np.concatenate([[False], word[1:] != word[:-1]]))
+    again = np.argsort(number << 4 | model)
+    order, word, model = order[again], word[again], model[again]
     first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (model[1:] != model[:-1])]))
     return word[first], model[first], np.add.reduceat(values[order], first, axis=0)
 
 
+def counts_packed(word: np.ndarray, model: np.ndarray, values: np.ndarray) -> bytes:
+    """Rows as :func:`summed` gives them."""
+    first = np.diff(word, prepend=~word[:1]) != 0  # each word once
+    return pack(*rising(word[first]), model.astype(np.uint8) | np.where(first, np.uint8(16), np.uint8(0)), folded(brief(values.T.astype(np.int64))))
+
+
+def counts_summed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    word, model, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 5), np.int32)]
+    for low, high, k, v in map(unpack, blobs):
+        word.append(risen(low, high)[np.cumsum(k >> 4, dtype=np.int64) - 1])
+        model.append((k & 15).astype(np.int64))
+        values.append(v.rows(_changes, np.int32))
+    return summed(*map(np.concatenate, (word, model, values)))
+
+
+def word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shard of words: the sums of its counts from the shards of pairs of a round."""
+    for shard, rows in grouped(batches):
+        yield table([(shard, rows[0][0], 0, counts_packed(*counts_summed([blob for _, _, blob in rows])))])
+
+
 def pair_counts(shards: int, word_rounds: int):
     def run(batches):
         tallies, held = np.zeros((2, FOLDS + 1, 4), np.int64), []
@@ -323,19 +454,22 @@ def pair_counts(shards: int, word_rounds: int):
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(ends)).tolist():
                 own = order[ends[s] : ends[s + 1]]
-                yield (s, _COUNTS + s % word_rounds, 0, pack(word[own], model[own], *folded(brief(values[own].T.astype(np.int64)))))
+                yield (s, _COUNTS + s % word_rounds, 0, counts_packed(word[own], model[own], values[own]))
 
         for unit, rows in grouped(batches):
             asked = [unpack(blob) for _, _, blob in rows]
-            pairs = Pairs(*(np.concatenate([a[i] for a in asked]) for i in range(3, 7)), np.concatenate([a[7] for a in asked]).astype(np.int64))
+            joined = lambda i: np.concatenate([a[i] for a in asked])  # noqa: B023, E731
+            hashes = lambda i: np.concatenate([risen(a[i], a[i + 1]) for a in asked])  # noqa: B023, E731
+            # each batch begins a run, so runs can be numbered on
+            pairs = Pairs(hashes(5), joined(7), np.cumsum(joined(8), dtype=np.int64) - 1, joined(9), joined(10), joined(11).astype(np.int64))
             tallies += np.stack([pairs.tally2, pairs.tally3])
             held.append(pairs.words)
-            plain = brief(np.stack(pairs.find(*(np.concatenate([a[i] for a in asked]) for i in (1, 2)))))
+            plain = brief(np.stack(pairs.find(hashes(1), np.cumsum(joined(3), dtype=np.int64) - 1, joined(4))))
             base, other = brief(pairs.answers[0]), brief(pairs.answers[1])
             good, out, i, j = np.concatenate([base, folded(base - other)]), [], 0, 0
             for (_, at, _), a in zip(rows, asked, strict=True):
-                out.append((at, _ANSWERS, unit, pack(a[0], plain[:, i : i + len(a[1])].ravel(), good[:, j : j + len(a[3])].ravel())))
-                i, j = i + len(a[1]), j + len(a[3])
+                out.append((at, _ANSWERS, unit, pack(a[0], plain[:, i : i + len(a[4])], good[:, j : j + len(a[9])])))
+                i, j = i + len(a[4]), j + len(a[9])
             yield table(out)
             if sum(len(h[0]) for h in held) > 2 * _HELD:
                 held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
@@ -352,7 +486,7 @@ def word_rows(shards: int, turn: int, rounds: int):
             words, shard, bits, _ = t.words(shards, turn, rounds)
             ends = np.searchsorted(shard, np.arange(shards + 1))
             mask = bits @ (1 << np.arange(FOLDS))
-            rows = [(s, _WORDS, at, pack(np.array([t.sum], np.uint64), words[ends[s] : ends[s + 1]], mask[ends[s] : ends[s + 1]].astype(np.uint16))) for s in np.flatnonzero(np.diff(ends)).tolist()]
+            rows = [(s, _WORDS, at, pack(np.array([t.sum], np.uint64), *rising(words[ends[s] : ends[s + 1]]), mask[ends[s] : ends[s + 1]].astype(np.uint16))) for s in np.flatnonzero(np.diff(ends)).tolist()]
             if rows:
                 yield table(rows)
 
@@ -362,13 +496,7 @@ def word_rows(shards: int, turn: int, rounds: int):
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of each shard's words; answers to each batch's words: all models' counts, then those of each fold wanted."""
     for shard, rows in grouped(batches):
-        given = [unpack(blob) for kind, _, blob in rows if kind < _WORDS]
-        word, model, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 5), np.int64)]
-        for w, k, *v in given:
-            word.append(w)
-            model.append(k.astype(np.int64))
-            values.append(brief(unfolded(np.stack(v)), back=True).T)
-        word, model, values = summed(*map(np.concatenate, (word, model, values)))
+        word, model, values = counts_summed([blob for kind, _, blob in rows if kind < _WORDS])
         base, less = model == ALL, model < ALL
         keys, counts = word[base], values[base]
         place = np.searchsorted(keys, word[less])
@@ -382,7 +510,8 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(-1, _TALLY, 1, total.tobytes())]
         for kind, at, blob in rows:
             if kind == _WORDS:
-                sign, words, mask = unpack(blob)
+                sign, low, high, mask = unpack(blob)
+                words = risen(low, high)
                 found = np.zeros((len(words), 5), np.int64)
                 at_word = np.searchsorted(keys, words)
                 known = np.flatnonzero(keys[np.minimum(at_word, len(keys) - 1)] == words) if len(keys) else np.zeros(0, np.int64)
@@ -394,17 +523,21 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
                     hit = codes[spot] == code
                     each[hit] = left[spot[hit]]
-                out.append((at, _WORD_ANSWERS, shard, pack(sign, found.T.ravel(), each.T.ravel())))
+                out.append((at, _WORD_ANSWERS, shard, pack(sign, brief(found.T), folded(brief((found[i] - each).T)))))
         yield table(out)
 
 
 def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at, b, t in read_batches(batches):
-        words, own = np.unique(t.seq, return_inverse=True)
+        words, own, count = np.unique(t.seq, return_inverse=True, return_counts=True)
+        order = np.argsort(-count)  # frequent words have small numbers
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        words, own = words[order], place[own].view(np.uint8).reshape(-1, 4).T.ravel()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, b.select([0, 1]).schema) as w:
             w.write_batch(b.select([0, 1]))
-        yield table([(at, _TOKENS, 0, pack(words, own.astype(np.uint32), t.begins.astype(np.uint64), t.trusted.astype(np.uint8), np.frombuffer(sink.getvalue(), np.uint8)))])
+        yield table([(at, _TOKENS, 0, pack(words.view(np.uint8).reshape(-1, 8), own, t.begins.astype(np.uint64), t.trusted.astype(np.uint8), np.frombuffer(sink.getvalue(), np.uint8)))])
 
 
 def _same(sign: np.ndarray, t: Tokens) -> None:
@@ -430,31 +563,33 @@ def scores(shards: int, rounds: int, d1: np.ndarray, d2: np.ndarray, d3: np.ndar
         for _, rows in grouped(batches):
             ((_, _, blob),) = [r for r in rows if r[0] == _TOKENS]
             words, own, begins, trusted, ids = unpack(blob)
+            words, own = words.view(np.uint64).ravel(), np.ascontiguousarray(own.reshape(4, -1).T).view(np.uint32).ravel()
             t = Tokens(words[own], begins.astype(np.int64), trusted.astype(bool))
             n, done = len(t.at), 0
-            base, other = np.zeros((2, 6, n), np.uint32)
+            base, other = np.zeros((2, n, 6), np.uint32)
             order = np.concatenate([t.order(turn, rounds, shards)[0] for turn in range(rounds)])
             doc = np.repeat(np.arange(len(t.model)), np.diff(t.begins) + 3)
             for _, _, blob in sorted(r for r in rows if r[0] == _ANSWERS):
                 sign, plain, trusted = unpack(blob)
                 _same(sign, t)
-                plain, trusted = plain.reshape(6, -1), trusted.reshape(12, -1)
-                here = order[done : done + plain.shape[1]]
-                base[:, here] = brief(plain, back=True)
-                done += plain.shape[1]
-                here = order[done : done + trusted.shape[1]]
-                base[:, here], other[:, here] = brief(trusted[:6], back=True), brief(trusted[:6] - unfolded(trusted[6:]), back=True)
-                done += trusted.shape[1]
+                here = order[done : done + len(plain.code)]
+                base[here] = plain.rows(_whole, np.uint32)
+                done += len(plain.code)
+                here = order[done : done + len(trusted.code)]
+                base[here] = trusted.rows(lambda x: _whole(x[:6]), np.uint32)
+                other[here] = trusted.rows(lambda x: _whole(x[:6] - unfolded(x[6:])), np.uint32)
+                done += len(trusted.code)
             if done != n:
                 raise RuntimeError("answers are missing")
-            words, _, bits, own = t.words(shards)
-            found, each = [], []
+            _, _, bits, own = t.words(shards, given=(words, own))
+            found, each, i = [], [], 0
             for _, _, blob in sorted(r for r in rows if r[0] == _WORD_ANSWERS):
                 sign, a, b = unpack(blob)
                 _same(sign, t)
-                found.append(a.reshape(5, -1))
-                each.append(b.reshape(5, -1))
-            found, each = np.concatenate(found, axis=1), np.concatenate(each, axis=1)
+                found.append(a.rows(_whole, np.int64))
+                each.append(found[-1][np.nonzero(bits[i : i + len(a.code)])[0]] - b.rows(_changes, np.int64))
+                i += len(a.code)
+            found, each = np.concatenate(found), np.concatenate(each)
             spot = np.zeros(bits.shape, np.int64)
             spot[bits] = np.arange(bits.sum())
             # a token at place j of seq has its pair in the record of j and its triple in that of j - 1
@@ -467,7 +602,7 @@ def scores(shards: int, rounds: int, d1: np.ndarray, d2: np.ndarray, d3: np.ndar
             logs = np.zeros(len(length))
             for i in range(0, len(keep), _SLICE):
                 at = keep[i : i + _SLICE]
-                logs += log10(doc[at], len(length), base[0, record[at]], base[1:, record[at - 1]], (found[:, own[at]], found[:, own[at - 1]]), np.full(len(at), ALL))
+                logs += log10(doc[at], len(length), base[record[at], 0], base[record[at - 1], 1:].T, (found[own[at]].T, found[own[at - 1]].T), np.full(len(at), ALL))
             perplexity = 10 ** (-logs / (length + 1))
             unseen = perplexity.copy()
             k = t.model[doc[keep]]
@@ -477,7 +612,7 @@ def scores(shards: int, rounds: int, d1: np.ndarray, d2: np.ndarray, d3: np.ndar
                 apart = np.zeros(len(length))
                 for i in range(0, len(keep), _SLICE):
                     at, which = keep[i : i + _SLICE], k[i : i + _SLICE]
-                    apart += log10(doc[at], len(length), other[0, record[at]], other[1:, record[at - 1]], (each[:, spot[own[at], which]], each[:, spot[own[at - 1], which]]), which)
+                    apart += log10(doc[at], len(length), other[record[at], 0], other[record[at - 1], 1:].T, (each[spot[own[at], which]].T, each[spot[own[at - 1], which]].T), which)
                 mine = t.model < ALL
                 unseen[mine] = np.where(total[t.model] > 0, 10 ** (-apart / (length + 1)), np.nan)[mine]
             named = pa.ipc.open_stream(pa.py_buffer(ids.tobytes())).read_next_batch()
@@ -504,12 +639,13 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
 
     paths = []
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
+    def kept(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
         """The rows written by kind."""
         paths.append(path := shared_path(spark, name))
         with shuffles_dropped(spark):
             df.write.partitionBy("kind").parquet(path)
-        tidied(spark)
+        if tidy:
+            tidied(spark)
         return spark.read.schema(_ROWS).parquet(path)
 
     def of_kind(df: DataFrame, kind: int) -> DataFrame:
@@ -519,15 +655,28 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
         return sum((np.frombuffer(r[0], np.int64).reshape(shape) for r in of_kind(df, _TALLY).select("blob").toLocalIterator()), np.zeros(shape, np.int64))
 
     union = lambda dfs: reduce(DataFrame.unionByName, dfs)
-    pairs = union([kept(map_arrow(by_key(map_arrow(read, pair_rows(shards, turn, rounds), _ROWS)), pair_counts(shards, word_rounds), _ROWS), "pairs") for turn in range(rounds)])
-    made = [*paths]
+
+    def let_go(path: str, turn: int) -> None:
+        """Removes counts of words that are summed."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={_COUNTS + turn}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    pairs, counted, made = [], [], []
+    for turn in range(rounds):
+        pairs.append(kept(map_arrow(by_key(map_arrow(read, pair_rows(shards, turn, rounds), _ROWS)), pair_counts(shards, word_rounds), _ROWS), "pairs"))
+        # a word is in many shards of pairs; kept until all rounds are done is one row for each word, model and round
+        counts = by_key(pairs[-1].where(F.col("kind").between(_COUNTS, _COUNTS + word_rounds - 1)))
+        counted.append(kept(map_arrow(counts, word_sums, _ROWS), "counts", tidy=False))
+        made.append(paths[-1])
+        for i in range(word_rounds):
+            let_go(paths[-2], i)
+    pairs, counted = union(pairs), union(counted)
     words = []
     for turn in range(word_rounds):
-        asked = by_key(of_kind(pairs, _COUNTS + turn), map_arrow(read, word_rows(shards, turn, word_rounds), _ROWS))
+        asked = by_key(of_kind(counted, _COUNTS + turn), map_arrow(read, word_rows(shards, turn, word_rounds), _ROWS))
         words.append(kept(map_arrow(asked, word_counts, _ROWS), "words"))
-        for path in made:  # these counts are summed
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={_COUNTS + turn}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in made:
+            let_go(path, turn)
     words = union(words)
     two, three = tallies(pairs, (2, FOLDS + 1, 4))
     one = tallies(words, (FOLDS + 1, 6))

@@ -681,6 +681,48 @@ def test_quality_records_of_a_pair_stand_together():
         assert all((x == y[here]).all() and len(x) for x, y in zip(got[:3], (words, shard, bits)))
 
 
+def test_quality_tables_are_coded_by_columns():
+    """A table whose columns are mostly alike takes less than a byte a column; all numbers come back; and words come back from pairs."""
+    import numpy as np
+
+    from grovetally.llm import kneser
+    from grovetally.llm._text import mix
+
+    r = np.random.default_rng(4)
+    kinds = r.integers(0, 5, (12, 60))
+    table = kinds[:, np.minimum(r.geometric(0.3, 20_000), 60) - 1]
+    table[:, ::500] = r.integers(0, 1 << 40, (12, 40))
+    for x in (table, table[:6], table[:, :1], table[:, :0], r.integers(0, 1 << 50, (5, 30))):
+        (got,) = kneser.unpack(kneser.pack(x))
+        assert (got.rows(lambda t: t, np.int64) == x.T).all()
+    assert len(kneser.pack(table)) < 12_500  # one code for each number took 55,000 at least
+    h = np.sort(r.integers(0, 2**64, 5000, dtype=np.uint64))
+    for x in (h, h[:1], h[:0], h[::-1].copy()):
+        assert (kneser.risen(*kneser.unpack(kneser.pack(*kneser.rising(x)))) == x).all()
+    first, second = h, h[::-1]
+    assert (kneser.first_words(mix(first * kneser._C1 + second), second) == first).all()
+
+
+def test_quality_counts_of_words_are_summed_by_round():
+    """While pairs are counted, each shard of words keeps one row for a round, however many shards of pairs have the word."""
+    from collections import Counter
+
+    import numpy as np
+
+    from grovetally.llm import kneser
+
+    r, want, rows = np.random.default_rng(5), Counter(), []
+    for i in range(60):
+        word, model, values = r.integers(0, 20, 50).astype(np.uint64) << np.uint64(59), r.integers(0, 11, 50).astype(np.uint8), r.integers(-3, 400, (50, 5))
+        for w, m, v in zip(word.tolist(), model.tolist(), values):
+            want[w, m] += v
+        rows.append((i // 20, 16, 0, kneser.counts_packed(*kneser.summed(word, model, values))))
+    got = [x for b in kneser.word_sums(iter([kneser.table(rows[:25]), kneser.table(rows[25:])])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert [x[:3] for x in got] == [(0, 16, 0), (1, 16, 0), (2, 16, 0)]
+    word, model, values = kneser.counts_summed([x[3] for x in got])
+    assert {(w, m): v.tolist() for w, m, v in zip(word.tolist(), model.tolist(), values)} == {k: v.tolist() for k, v in want.items()}
+
+
 def test_quality_leaves_no_shuffle_files(spark, monkeypatch):
     """Those of a round go when it is written, whether or not the driver collects its garbage."""
     import time
